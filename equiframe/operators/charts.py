@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiframe.functions.columns import (
@@ -13,7 +17,7 @@ from equiframe.functions.columns import (
 )
 from equiframe.functions.scale import quantiles, salted_join
 from equiframe.operators.demographics import (
-    TOP_GROUPS, chart_age_group, is_chart_age, split_charted, top_groups,
+    TOP_GROUPS, chart_age_group, is_chart_age, split_charted,
 )
 from equiframe.operators.profile import id_like, profile, valid_target
 
@@ -21,6 +25,10 @@ GRID = 200
 LONG = "attribute string, statistic string, group string, category string, value double"
 
 
+def _listed(columns: str | Sequence[str] | None) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns or [])
+
+
 def column_labels(df: DataFrame) -> DataFrame:
     """Display label of every column, ``(column, label)``."""
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
@@ -42,97 +50,173 @@ def group_proportions(df: DataFrame, group_col: str, target: str) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, value_col: str, group_col: str | None = None) -> DataFrame:
-    """Quartiles and whiskers of a numeric column per group (or over all rows).
+def box_stats(
+    df: DataFrame, columns: str | Sequence[str], by: str | Sequence[str] | None = None
+) -> DataFrame:
+    """Quartiles and whiskers of number columns, per group when ``by`` names group columns.
 
     Whiskers end at the outermost values within 1.5 interquartile ranges of the box;
-    ``outliers`` counts the rows beyond them.
+    ``outliers`` counts the rows beyond them.  Rows without a group are left out.
     """
-    require(df, value_col)
-    group = ref(group_col).cast("string") if group_col else F.lit("all")
-    frame = (
-        clean(df).select(group.alias("group"), ref(value_col).cast("double").alias("value"))
-        .filter(F.col("group").isNotNull() & F.col("value").isNotNull())
+    columns, by = _listed(columns), _listed(by)
+    require(df, *columns, *by)
+    frame = clean(df)
+    keys = [f"_g{i}" for i in range(len(by))]
+    frame = frame.select(
+        *[ref(b).cast("string").alias(k) for b, k in zip(by, keys)],
+        *[ref(c).cast("double").alias(c) for c in columns],
     )
+    for k in keys:
+        frame = frame.filter(F.col(k).isNotNull())
+    keys.append("column")
     boxes = (
-        quantiles(frame, ["value"], (0.25, 0.5, 0.75), ["group"])
-        .groupBy("group")
+        quantiles(frame, columns, (0.25, 0.5, 0.75), keys[:-1])
+        .groupBy(*keys)
         .agg(*[
             F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
             for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
         ])
     )
+    long = frame.select(*keys[:-1], rows_of([
+        {"column": F.lit(c), "value": ref(c)} for c in columns
+    ])).filter(F.col("value").isNotNull())
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        salted_join(frame, boxes, ["group"], F.col("value"))
-        .groupBy("group", "q1", "median", "q3")
+        salted_join(long, boxes, keys, F.col("value"))
+        .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(within, F.col("value"))).alias("whisker_low"),
             F.max(F.when(within, F.col("value"))).alias("whisker_high"),
             F.count(F.lit(1)).alias("n"),
             F.count_if(~within).alias("outliers"),
         )
-        .select("group", "n", "whisker_low", "q1", "median", "q3", "whisker_high", "outliers")
+        .select("column", *[F.col(k).alias(b) for k, b in zip(keys, by)],
+                "n", "whisker_low", "q1", "median", "q3", "whisker_high", "outliers")
     )
 
 
-def auto_bins(df: DataFrame, column: str) -> int:
-    """Bin count by the smaller of the Sturges and Freedman-Diaconis widths."""
-    v = ref(column).cast("double")
-    n, low, high = df.agg(F.count(v), F.min(v), F.max(v)).first()
-    if not n or low == high:
-        return 1
-    width = (high - low) / (math.log2(n) + 1)
-    box = {r["q"]: r["value"] for r in quantiles(df, [column], (0.25, 0.75)).collect()}
-    spread = 2 * (box[0.75] - box[0.25]) / n ** (1 / 3)
-    return math.ceil((high - low) / (min(width, spread) if spread > 0 else width))
+@dataclass
+class Range:
+    """Row count, ends and deviation of a number column, and its bins."""
 
+    n: int
+    low: float
+    high: float
+    deviation: float
+    bins: int = 0
 
-def histogram(df: DataFrame, column: str, bins: int | str = 20) -> DataFrame:
-    """Non-empty bins ``(bin, low, high, n)`` of equal width; the last one is closed."""
-    require(df, column)
-    df = clean(df)
+    @property
+    def start(self) -> float:
+        # a constant gets one unit of width around it, as plotting libraries give it
+        return self.low - 0.5 if self.low == self.high else self.low
+
+    @property
+    def width(self) -> float:
+        return (self.high - self.low or 1.0) / self.bins
+
+
+def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Range]:
+    """One aggregation for all columns; columns without a value are left out."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = ref(c).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.stddev_samp(v).alias(f"sd{i}")]
+    row = df.agg(*aggs).first()
+    return {
+        c: Range(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"sd{i}"] or 0.0)
+        for i, c in enumerate(columns) if row[f"n{i}"]
+    }
+
+
+def _set_bins(df: DataFrame, ranges: dict[str, Range], bins: int | str) -> None:
+    """A fixed bin count, or the one of the smaller of the Sturges and Freedman-Diaconis widths."""
+    boxes = {}
     if bins == "auto":
-        bins = auto_bins(df, column)
-    v = ref(column).cast("double")
-    ends = one_row(df.agg(F.min(v).alias("low"), F.max(v).alias("high")))
-    low, high = ends.getField("low"), ends.getField("high")
-    # a constant gets one unit of width around it, as plotting libraries give it
-    flat = F.when(low == high, 0.5).otherwise(0.0)
-    start, width = low - flat, (high - low + 2 * flat) / bins
+        for r in quantiles(df, list(ranges), (0.25, 0.75)).collect():
+            boxes.setdefault(r["column"], {})[r["q"]] = r["value"]
+    for c, r in ranges.items():
+        if bins != "auto":
+            r.bins = bins
+        elif r.low == r.high:
+            r.bins = 1
+        else:
+            sturges = (r.high - r.low) / (math.log2(r.n) + 1)
+            spread = 2 * (boxes[c][0.75] - boxes[c][0.25]) / r.n ** (1 / 3)
+            r.bins = math.ceil((r.high - r.low) / (min(sturges, spread) if spread > 0 else sturges))
+
+
+def histogram(df: DataFrame, columns: str | Sequence[str], bins: int | str = 20) -> DataFrame:
+    """Non-empty bins ``(column, bin, low, high, n)`` of equal width; the last one is closed.
+
+    Ranges of all columns come from one pass, their bin counts from another.
+    """
+    columns = _listed(columns)
+    require(df, *columns)
+    df = clean(df)
+    ranges = _ranges(df, columns)
+    if not ranges:
+        return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n bigint")
+    _set_bins(df, ranges, bins)
+    cells = []
+    for c, r in ranges.items():
+        place = F.floor((ref(c).cast("double") - F.lit(r.start)) / F.lit(r.width))
+        cells.append({
+            "column": F.lit(c), "bin": F.least(place, F.lit(r.bins - 1)).cast("int"),
+            "start": F.lit(float(r.start)), "width": F.lit(float(r.width)),
+        })
+    edge = F.col("start") + F.col("bin") * F.col("width")
     return (
-        df.filter(v.isNotNull())
-        .groupBy(F.least(F.floor((v - start) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("bin", (start + F.col("bin") * width).alias("low"),
-                (start + (F.col("bin") + 1) * width).alias("high"), "n")
+        df.select(rows_of(cells)).filter(F.col("bin").isNotNull())
+        .groupBy("column", "bin", "start", "width").agg(F.count(F.lit(1)).alias("n"))
+        .select("column", "bin", edge.alias("low"),
+                (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("high"), "n")
     )
 
 
-def density(df: DataFrame, column: str, points: int = GRID) -> DataFrame:
-    """Gaussian kernel density ``(point, x, density)`` from the smallest to the largest value.
+def density(df: DataFrame, columns: str | Sequence[str], points: int = GRID) -> DataFrame:
+    """Gaussian kernel density ``(column, point, x, density)`` from the smallest to the largest value.
 
-    Bandwidth is the sample deviation times ``n ** -0.2``.  Every row adds to every
-    grid point; the sums combine before the shuffle, which moves ``points`` rows per task.
+    Bandwidth is the sample deviation times ``n ** -0.2``.  Every row adds to every grid
+    point of its column.  Each task sums its own rows with NumPy and hands on
+    ``points`` partial sums per column, so no row is shuffled.
     """
-    require(df, column)
+    columns = _listed(columns)
+    require(df, *columns)
     df = clean(df)
-    v = ref(column).cast("double")
-    s = one_row(df.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
-                       F.stddev_samp(v).alias("sd")))
-    width = s.getField("sd") * F.pow(s.getField("n").cast("double"), F.lit(-0.2))
-    step = (s.getField("high") - s.getField("low")) / (points - 1)
-    x = s.getField("low") + F.col("point") * step
-    z = (x - F.col("v")) / F.nullif(width, F.lit(0.0))
-    return (
-        df.select(v.alias("v")).filter(F.col("v").isNotNull())
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("point").agg(F.sum(F.exp(-0.5 * z * z)).alias("total"))
-        .select("point", x.alias("x"),
-                (F.col("total") / (s.getField("n") * width * math.sqrt(2 * math.pi))).alias("density"))
-        .filter(F.col("density").isNotNull())
+    ranges = {c: r for c, r in _ranges(df, columns).items() if r.deviation > 0}
+    if not ranges:
+        return df.sparkSession.createDataFrame([], "column string, point int, x double, density double")
+    names = list(ranges)
+    grids = [np.linspace(r.low, r.high, points) for r in ranges.values()]
+    widths = [r.deviation * r.n ** -0.2 for r in ranges.values()]
+
+    def partial_sums(batches):
+        totals = np.zeros((len(grids), points))
+        for batch in batches:
+            for i, (grid, width) in enumerate(zip(grids, widths)):
+                values, counts = np.unique(batch[f"v{i}"].dropna().to_numpy(), return_counts=True)
+                for at in range(0, len(values), 4096):
+                    z = (grid[:, None] - values[None, at:at + 4096]) / width
+                    totals[i] += np.exp(-0.5 * z * z) @ counts[at:at + 4096]
+        for i in range(len(grids)):
+            yield pd.DataFrame({"i": i, "point": np.arange(points), "total": totals[i]})
+
+    sums = (
+        df.select(*[ref(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+        .mapInPandas(partial_sums, "i int, point int, total double")
+        .groupBy("i", "point").agg(F.sum("total").alias("total"))
     )
+    facts = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(float(r.low)).alias("low"),
+                 F.lit((r.high - r.low) / (points - 1)).alias("step"),
+                 F.lit(r.n * w * math.sqrt(2 * math.pi)).alias("mass"))
+        for (c, r), w in zip(ranges.items(), widths)
+    ])
+    return sums.withColumn("f", F.get(facts, F.col("i"))).select(
+        "f.column", "point", (F.col("f.low") + F.col("point") * F.col("f.step")).alias("x"),
+        (F.col("total") / F.col("f.mass")).alias("density"))
 
 
 def _counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -172,15 +256,67 @@ def _is_demographic(name: str) -> bool:
     return any(word in name for word in ("demographic", "gender", "race", "ethnicity"))
 
 
-def _stat_rows(df: DataFrame, attribute: str, columns: dict[str, str], group: Column) -> DataFrame:
+def _stat_rows(df: DataFrame, columns: dict[str, str], attribute: Column, group: Column) -> DataFrame:
     """Long rows from a result table: ``columns`` maps statistic names to columns."""
-    return df.select(F.lit(attribute).alias("attribute"), group.alias("group"), rows_of([
+    return df.select(attribute.alias("attribute"), group.alias("group"), rows_of([
         {"statistic": F.lit(s), "category": F.lit(None).cast("string"), "value": F.col(c).cast("double")}
         for s, c in columns.items()
     ])).select("attribute", "statistic", "group", "category", "value")
 
 
 _BOX = {s: s for s in ("n", "whisker_low", "q1", "median", "q3", "whisker_high", "outliers")}
+_BARS = {"low": "low", "high": "high", "bin_count": "n"}
+_CURVE = {"x": "x", "density": "density"}
+
+
+def _bars(df: DataFrame, columns: Sequence[str], bins: int | str) -> DataFrame:
+    return _stat_rows(histogram(df, columns, bins), _BARS, F.col("column"), F.col("bin").cast("string"))
+
+
+def _curves(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _stat_rows(density(df, columns), _CURVE, F.col("column"), F.col("point").cast("string"))
+
+
+def _value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    counts = (
+        melt(df, columns).filter(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    return _stat_rows(counts, {"count": "n"}, F.col("column"), F.col("value"))
+
+
+def _union(spark: SparkSession, parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LONG)
+
+
+def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Histogram with automatic bins and density of each number, value counts of the rest."""
+    require(df, *columns)
+    df = clean(df)
+    numbers = [c for c in columns if is_numeric(df, c)]
+    others = [c for c in columns if c not in numbers]
+    parts = [_bars(df, numbers, "auto"), _curves(df, numbers)] if numbers else []
+    return _union(df.sparkSession, parts + ([_value_rows(df, others)] if others else []))
+
+
+def overview(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`distributions` and the box of each number."""
+    columns = [c for c in columns if c in df.columns]
+    numbers = [c for c in columns if is_numeric(df, c)]
+    out = distributions(df, columns)
+    if numbers:
+        out = out.unionByName(
+            _stat_rows(box_stats(df, numbers), _BOX, F.col("column"), F.lit("all")))
+    return out
+
+
+def _top_values(df: DataFrame, column: str, n: int) -> list:
+    """The ``n`` most frequent values, ties by value."""
+    rows = (
+        df.filter(ref(column).isNotNull()).groupBy(ref(column).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(n).collect()
+    )
+    return [r["v"] for r in rows]
 
 
 def groupwise(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
@@ -189,63 +325,46 @@ def groupwise(df: DataFrame, columns: Sequence[str], target: str | None = None)
     Long ``(attribute, statistic, group, category, value)``: box statistics of a
     numeric target, proportions of a categorical one; without a target counts, or a
     20-bin histogram of a number with ten or more values.  A column with over 20
-    values is cut to its 20 largest groups.
+    values is cut to its 20 largest groups.  All columns are charted in the same pass.
     """
     df = clean(df)
     demo = _not_id_like(df, [c for c in columns if c in df.columns and _is_demographic(c)])
     if not demo:
         return df.sparkSession.createDataFrame([], LONG)
-    if target is not None:
-        ok = target in df.columns and not profile(df, [target], exact=False).filter(valid_target()).isEmpty()
-        target = target if ok else None
-    sizes = {r["column"]: r["n_unique"] for r in profile(df, demo, exact=False).collect()}
-    parts = []
+    asked = [target] if target is not None and target in df.columns else []
+    facts = profile(df, list(dict.fromkeys(demo + asked)), exact=False).withColumn("ok", valid_target()).collect()
+    sizes = {r["column"]: r["n_unique"] for r in facts}
+    target = next((r["column"] for r in facts if r["column"] in asked and r["ok"]), None)
+    groups = {}
     for c in demo:
-        frame, name = df, c
         if is_chart_age(df, c):
-            frame = df.withColumn("_age_group", chart_age_group(c))
-            name = "_age_group"
+            groups[c] = chart_age_group(c)
         elif sizes[c] > TOP_GROUPS:
-            frame = top_groups(df, c)
-        if target is not None and is_numeric(df, target):
-            part = _stat_rows(box_stats(frame, target, name), c, _BOX, F.col("group"))
-        elif target is not None:
-            part = group_proportions(frame, name, target).select(
-                F.lit(c).alias("attribute"), F.lit("proportion").alias("statistic"), "group", "category",
-                F.col("proportion").alias("value"))
-        elif not is_numeric(frame, name) or sizes[c] < 10:
-            part = frame.filter(ref(name).isNotNull()).groupBy(ref(name).cast("string").alias("group")).agg(
-                F.count(F.lit(1)).alias("n"))
-            part = _stat_rows(part, c, {"count": "n"}, F.col("group"))
-        else:
-            part = histogram(frame, name).withColumn("group", F.col("bin").cast("string"))
-            part = _stat_rows(part, c, {"low": "low", "high": "high", "bin_count": "n"}, F.col("group"))
-        parts.append(part)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def overview(df: DataFrame, columns: Sequence[str], bins: int | str = "auto") -> DataFrame:
-    """Overview of each column: histogram, density and box of a number, else value counts."""
-    df = clean(df)
-    out = None
-    for c in [c for c in columns if c in df.columns]:
-        if is_numeric(df, c):
-            hist = histogram(df, c, bins).withColumn("group", F.col("bin").cast("string"))
-            curve = density(df, c).withColumn("group", F.col("point").cast("string"))
-            part = (
-                _stat_rows(hist, c, {"low": "low", "high": "high", "bin_count": "n"}, F.col("group"))
-                .unionByName(_stat_rows(curve, c, {"x": "x", "density": "density"}, F.col("group")))
-                .unionByName(_stat_rows(box_stats(df, c), c, _BOX, F.col("group")))
-            )
+            groups[c] = F.when(ref(c).isin(_top_values(df, c, TOP_GROUPS)), ref(c))
         else:
-            counts = df.filter(ref(c).isNotNull()).groupBy(ref(c).cast("string").alias("group")).agg(
-                F.count(F.lit(1)).alias("n"))
-            part = _stat_rows(counts, c, {"count": "n"}, F.col("group"))
-        out = part if out is None else out.unionByName(part)
-    return df.sparkSession.createDataFrame([], LONG) if out is None else out
+            groups[c] = ref(c)
+    if target is None:
+        shown = df.select(*[groups[c].alias(c) for c in demo])
+        binned = [c for c in demo if is_numeric(shown, c) and sizes[c] >= 10]
+        counted = [c for c in demo if c not in binned]
+        parts = [_bars(shown, binned, 20)] if binned else []
+        return _union(df.sparkSession, parts + ([_value_rows(shown, counted)] if counted else []))
+    picked = df.select(ref(target).alias("_target"), *[groups[c].alias(c) for c in demo])
+    long = melt(picked, demo, ["_target"])
+    if is_numeric(df, target):
+        boxes = box_stats(long.withColumnsRenamed({"column": "attribute", "value": "group"}),
+                          "_target", ["attribute", "group"])
+        return _stat_rows(boxes, _BOX, F.col("attribute"), F.col("group"))
+    cells = (
+        long.filter(F.col("value").isNotNull() & F.col("_target").isNotNull())
+        .groupBy(F.col("column").alias("attribute"), F.col("value").alias("group"),
+                 F.col("_target").cast("string").alias("category"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    totals = cells.groupBy("attribute", "group").agg(F.sum("n").alias("total"))
+    return salted_join(cells, totals, ["attribute", "group"], F.col("category")).select(
+        "attribute", F.lit("proportion").alias("statistic"), "group", "category",
+        (F.col("n") / F.col("total")).alias("value"))
 
 
 def group_profile(df: DataFrame, group_col: str, metrics: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
+from equiframe.functions.scale import materialise
 
 COLUMNS = ("section", "feature", "group", "severity", "message")
 SIGNIFICANT = 0.05
@@ -160,3 +161,9 @@ def overall_finding(findings: DataFrame, n_columns: int) -> DataFrame:
                 F.lit(" Outcomes differ most between "), F.col("pair"), F.lit("."))).otherwise(""),
         ),
         severity=F.when(F.col("flagged") > 0, "warning").otherwise("info"))
+
+
+def with_summary(findings: DataFrame, n_columns: int) -> DataFrame:
+    """Findings and their summary.  They are written once, as the summary reads them again."""
+    findings = materialise(findings, "findings")
+    return findings.unionByName(overall_finding(findings, n_columns))

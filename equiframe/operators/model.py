@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equiframe.functions.columns import clean, kinds, ref, require, safe_div
+from equiframe.functions.columns import clean, kinds, one_row, ref, require, safe_div
 from equiframe.functions.scale import (
     bucket_openings, bucketed_rows, materialise, running_totals, value_totals,
 )
@@ -130,16 +130,14 @@ def train_baseline(
     frame, stages, names = _features(df.withColumn("_label", index), features)
     train, test = split(frame, key or df.columns)
     built = Pipeline(stages=stages).fit(train)
-    # numbers only and read on every iteration of the fit, so written once as arrays
-    ready = materialise(
-        built.transform(train).select("_label", vector_to_array("_features").alias("_features")), "train",
-    ).withColumn("_features", array_to_vector("_features"))
+    # what the fit reads, written once, so that its passes do not redo the encoding
+    ready = materialise(built.transform(train).select("_label", "_features"), "train")
     model = select_model(len(classes), ready.count(), **options).fit(ready)
     scored = model.transform(built.transform(test)).select(
         *[ref(c) for c in df.columns if c not in SCORED],
         F.col("_label").alias("label"), F.col("_prediction").alias("prediction"),
         F.element_at(vector_to_array("_probability"), 2).alias("probability_1"),
-        vector_to_array("_features").alias("features"),
+        F.col("_features").alias("features"),
     )
     return Baseline(model, classes, names, materialise(scored, "scored"))
 
@@ -212,14 +210,13 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     down = rows.withColumn("bucket", -F.col("bucket"))
     values = values.withColumn("bucket", -F.col("bucket"))
     openings = bucket_openings(down, ["curve"], ["pos", "neg"])
-    ends = openings.agg(F.max("total_pos").alias("p"), F.max("total_neg").alias("n"))
+    ends = one_row(openings.agg(F.max("total_pos").alias("p"), F.max("total_neg").alias("n")))
     curve = running_totals(values, openings, ["curve"], ["pos", "neg"], descending=True).select(
         F.col("value").alias("threshold"), "cum_neg", "cum_pos")
-    start = ends.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("cum_neg"),
-                        F.lit(0).cast("bigint").alias("cum_pos"))
-    p, n = ends.select("p").scalar(), ends.select("n").scalar()
+    start = df.sparkSession.createDataFrame([(float("inf"), 0, 0)], curve.schema)
     return curve.unionByName(start).select(
-        "threshold", safe_div(F.col("cum_neg"), n).alias("fpr"), safe_div(F.col("cum_pos"), p).alias("tpr"))
+        "threshold", safe_div(F.col("cum_neg"), ends.getField("n")).alias("fpr"),
+        safe_div(F.col("cum_pos"), ends.getField("p")).alias("tpr"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
@@ -246,8 +243,10 @@ def permutation_importance(fitted: Baseline, repeats: int = REPEATS) -> DataFram
     permutes the feature over all rows.  That costs one shuffle of the test rows for
     all repeats and features, and no row index.
     """
-    scored = fitted.scored.select("label", "prediction", "features").withColumn(
-        "_id", F.monotonically_increasing_id())  # the scored table is written, so this is stable
+    scored = fitted.scored.select(
+        "label", "prediction", vector_to_array("features").alias("features"),
+        F.monotonically_increasing_id().alias("_id"),  # the scored table is written, so this is stable
+    )
     n = scored.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     blocked = scored.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
@@ -272,8 +271,10 @@ def permutation_importance(fitted: Baseline, repeats: int = REPEATS) -> DataFram
         return F.avg((F.col("label") == F.col(prediction)).cast("double"))
 
     base = scored.agg(accuracy("prediction")).scalar()
+    # only the class is needed here, not scores and probabilities
+    predictor = fitted.model.copy().setRawPredictionCol("").setProbabilityCol("")
     return (
-        fitted.model.transform(trials)
+        predictor.transform(trials)
         .groupBy("slot", "repeat").agg(accuracy("_prediction").alias("accuracy"))
         .withColumn("loss", base - F.col("accuracy"))
         .groupBy("slot").agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))

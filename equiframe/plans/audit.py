@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiframe.functions.columns import clean, is_numeric, ref, require, rows_of
+from equiframe.functions.columns import clean, is_numeric, require, rows_of
 from equiframe.operators import findings as say
-from equiframe.operators.charts import LONG, density, histogram
+from equiframe.operators.charts import distributions
 from equiframe.operators.model import (
     Baseline, classification_report, permutation_importance, roc_auc, train_baseline,
 )
@@ -88,58 +88,44 @@ def model_fairness(
     return fitted, out
 
 
-def _distribution(df: DataFrame, column: str) -> DataFrame:
-    if is_numeric(df, column):
-        bars = histogram(df, column, "auto").select(
-            F.lit("bin_count").alias("statistic"), F.col("bin").cast("string").alias("group"),
-            F.col("low").cast("string").alias("category"), F.col("n").cast("double").alias("value"))
-        curve = density(df, column).select(
-            F.lit("density").alias("statistic"), F.col("point").cast("string").alias("group"),
-            F.col("x").cast("string").alias("category"), F.col("density").alias("value"))
-        part = bars.unionByName(curve)
-    else:
-        part = df.filter(ref(column).isNotNull()).groupBy(ref(column).cast("string").alias("group")).agg(
-            F.count(F.lit(1)).cast("double").alias("value"),
-        ).withColumns({"statistic": F.lit("count"), "category": F.lit(None).cast("string")})
-    return part.select(F.lit(column).alias("attribute"), "statistic", "group", "category", "value")
+def report_findings(df: DataFrame, audit_cols: Sequence[str], group_col: str = "race") -> DataFrame:
+    """One statistical finding per audited column.
 
-
-def audit_report(
-    df: DataFrame, audit_cols: Sequence[str], group_col: str = "race", plan: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Recommendations, one statistical finding per audited column, and distributions.
-
-    Columns with up to ten values get a chi-square test, others ANOVA; each kind of
-    test reads the table once for all its columns.
+    Columns with up to ten values get a chi-square test, other numbers ANOVA; each
+    kind of test reads the table once for all its columns.
     """
     require(df, group_col, *audit_cols)
     df = clean(df)
-    plan = recommend(df) if plan is None else plan
     sizes = {r["column"]: r["n_unique"] for r in profile(df, audit_cols, exact=False).collect()}
     few = [c for c in audit_cols if sizes[c] <= CATEGORICAL_UP_TO]
     many = [c for c in audit_cols if c not in few and is_numeric(df, c)]
-    parts = []
     columns = ("feature", "test", "stat", "p_value")
+    tests = []
     if few:
-        parts.append(chi_square(df, few, group_col).select(*columns))
+        tests.append(chi_square(df, few, group_col).select(*columns))
     if many:
-        parts.append(anova(df, many, group_col).select(*columns))
-    found = None
-    if parts:
-        tests = reduce(DataFrame.unionByName, parts)
-        found = say.significance_findings(tests, group_moments(df, few + many, group_col))
-    spark = df.sparkSession
-    untested = [(
-        "test", c, None, "warning", f"{c}: text with over {CATEGORICAL_UP_TO} values has no group test."
-    ) for c in audit_cols if c not in few and c not in many]
-    if untested or found is None:
-        rest = spark.createDataFrame(untested, ", ".join(f"`{c}` string" for c in say.COLUMNS))
-        found = rest if found is None else found.unionByName(rest)
-    shapes = [_distribution(df, c) for c in audit_cols]
+        tests.append(anova(df, many, group_col).select(*columns))
+    untested = [
+        ("test", c, None, "warning", f"{c}: text with over {CATEGORICAL_UP_TO} values has no group test.")
+        for c in audit_cols if c not in few and c not in many
+    ]
+    out = df.sparkSession.createDataFrame(untested, ", ".join(f"`{c}` string" for c in say.COLUMNS))
+    if not tests:
+        return out
+    moments = group_moments(df, few + many, group_col)
+    found = say.significance_findings(reduce(DataFrame.unionByName, tests), moments)
+    return found.unionByName(out) if untested else found
+
+
+def audit_report(
+    df: DataFrame, audit_cols: Sequence[str], group_col: str = "race", plan: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Recommendations, one statistical finding per audited column, and distributions."""
+    plan = recommend(df) if plan is None else plan
     return {
         "recommendations": plan.select("column", "recommendation"),
-        "findings": found,
-        "distributions": reduce(DataFrame.unionByName, shapes) if shapes else spark.createDataFrame([], LONG),
+        "findings": report_findings(df, audit_cols, group_col),
+        "distributions": distributions(df, audit_cols),
     }
 
 

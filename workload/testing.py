@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from equiframe.functions.scale import shared_folder
 from equiframe.operators import findings as say
+from equiframe.operators.charts import distributions
 from equiframe.operators.outcome import disparities, output_fairness
 from equiframe.operators.prepare import recommend
 from equiframe.operators.profile import groupwise_missing
 from equiframe.operators.significance import anova, chi_square, group_moments, ks_pairs, standardized_difference
-from equiframe.plans.audit import audit_report
+from equiframe.plans.audit import audit_report, report_findings, write_report
 from workload.views import PREDICTIONS, labelled, predictions, rounded, table
 
 
@@ -34,14 +38,24 @@ def _findings(s, d):
         say.distribution_findings(ks_pairs(frame, "l_tax", "grp")),
         say.outcome_findings(by_group, disparities(by_group)),
     )
-    return said.unionByName(say.overall_finding(said, len(docs.columns) + len(frame.columns)))
+    return say.with_summary(said, len(docs.columns) + len(frame.columns))
+
+
+def _audited(s, d):
+    return table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
+
+
+def _written_report(s, d):
+    """A report written to the shared folder and read back, as rows per section."""
+    report = audit_report(_audited(s, d), AUDITED, "l_returnflag")
+    path = f"{shared_folder(s)}/equiframe/report-{uuid.uuid4().hex}"
+    write_report(report, path, "json")
+    sections = [s.read.json(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(name).alias("section"), "rows") for name in report]
+    return sections[0].unionByName(sections[1]).unionByName(sections[2])
 
 
-def _report(part):
-    def run(s, d):
-        frame = table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
-        return rounded(audit_report(frame, ["l_linestatus", "l_tax", "l_discount", "l_quantity"], "l_returnflag")[part])
-    return run
+AUDITED = ["l_linestatus", "l_tax", "l_discount", "l_quantity"]
 
 
 QUERIES = {
@@ -71,9 +85,9 @@ QUERIES = {
             chi_square(table(s, d, "part"), "p_size", "p_brand").select("feature", "test", "p_value"),
             allowMissingColumns=True)),
     "findings": _findings,
-    "report_recommendations": _report("recommendations"),
-    "report_findings": _report("findings"),
-    "report_distributions": _report("distributions"),
+    "report_findings": lambda s, d: report_findings(_audited(s, d), AUDITED, "l_returnflag"),
+    "report_distributions": lambda s, d: rounded(distributions(_audited(s, d), AUDITED)),
+    "audit_report": _written_report,
 }
 
 

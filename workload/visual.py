@@ -51,8 +51,9 @@ def _box_sql(source: str, value: str, group: str) -> str:
             FROM src s JOIN box b ON s.g = b.g GROUP BY b.g, q1, q2, q3)"""
 
 
-_BOX = """SELECT g AS "group", n, round(lo, 6) AS whisker_low, round(q1, 6) AS q1, round(q2, 6) AS median,
-    round(q3, 6) AS q3, round(hi, 6) AS whisker_high, outliers FROM stats"""
+def _box_wide(column: str, group: str) -> str:
+    return f"""SELECT '{column}' AS "column", g AS "{group}", n, round(lo, 6) AS whisker_low, round(q1, 6) AS q1,
+        round(q2, 6) AS median, round(q3, 6) AS q3, round(hi, 6) AS whisker_high, outliers FROM stats"""
 
 
 def _box_long(attribute: str) -> str:
@@ -88,7 +89,10 @@ def _density_sql(source: str, value: str) -> str:
                  FROM grid, vals, dends GROUP BY 1, 2)"""
 
 
-_HIST = 'SELECT bin, round(low, 6) AS low, round(high, 6) AS high, n FROM hist'
+def _hist_wide(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", bin, round(low, 6) AS low, round(high, 6) AS high, n FROM hist"""
+
+
 _AGE_BOX = _box_sql(f"SELECT *, 'all' AS g1 FROM ({AGES})", "age", "g1")
 
 
@@ -102,12 +106,13 @@ ORACLES = {
                                        FROM orders GROUP BY 1, 2)
         SELECT g AS "group", t AS category, n, round(n / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE), 6) AS proportion
         FROM c""",
-    "box_stats": f"WITH {_box_sql(_PEOPLE, 'charge', 'race')} {_BOX}",
-    "box_stats_outliers": f"WITH {_box_sql('SELECT lang, n_chars FROM documents', 'n_chars', 'lang')} {_BOX}",
-    "histogram": f"WITH {_hist_sql('SELECT l_quantity FROM lineitem', 'l_quantity', '20')} {_HIST}",
-    "histogram_auto": f"WITH {_hist_sql(_PEOPLE, 'charge', 'auto')} {_HIST}",
+    "box_stats": f"WITH {_box_sql(_PEOPLE, 'charge', 'race')} {_box_wide('charge', 'demographic.race')}",
+    "box_stats_outliers": f"""WITH {_box_sql('SELECT lang, n_chars FROM documents', 'n_chars', 'lang')}
+        {_box_wide('n_chars', 'lang')}""",
+    "histogram": f"WITH {_hist_sql('SELECT l_quantity FROM lineitem', 'l_quantity', '20')} {_hist_wide('l_quantity')}",
+    "histogram_auto": f"WITH {_hist_sql(_PEOPLE, 'charge', 'auto')} {_hist_wide('charge')}",
     "density": f"""WITH {_density_sql('SELECT l_quantity FROM lineitem', 'l_quantity')}
-        SELECT point, round(x, 6) AS x, round(density, 6) AS density FROM dens""",
+        SELECT 'l_quantity' AS "column", point, round(x, 6) AS x, round(density, 6) AS density FROM dens""",
     "demographic_counts": """SELECT 'demographic.language' AS attribute, lang AS category, count(*) AS n
         FROM documents GROUP BY 2
         UNION ALL SELECT 'demographic.q', coalesce(CAST(quality AS VARCHAR), 'None'), count(*)
