@@ -22,7 +22,7 @@ TEST_SHARE = 0.2
 SEED = 42
 MAX_CLASSES = 1000
 REPEATS = 10
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
 SCORED = ("label", "prediction", "probability_1", "features")
 
 
@@ -258,12 +258,14 @@ def permutation_importance(fitted: Baseline, repeats: int = REPEATS) -> DataFram
         donors.append(F.coalesce(F.lead("features").over(order), first))
     shuffled = blocked.select(
         "label", F.col("features").alias("_own"), F.array(*donors).alias("_donors"))
+    slots = range(len(fitted.features))
+    swapped = F.array(*[
+        F.when(F.col("slot") == i, F.get("_donor", F.lit(i))).otherwise(F.get("_own", F.lit(i))) for i in slots
+    ])
     trials = (
         shuffled.select("label", "_own", F.posexplode("_donors").alias("repeat", "_donor"))
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(len(fitted.features) - 1))))
-        .select("label", "repeat", "slot", array_to_vector(F.transform(
-            "_own", lambda v, i: F.when(i == F.col("slot"), F.get("_donor", i)).otherwise(v),
-        )).alias("_features"))
+        .withColumn("slot", F.explode(F.array(*[F.lit(i) for i in slots])))
+        .select("label", "repeat", "slot", array_to_vector(swapped).alias("_features"))
     )
     names = F.array(*[F.lit(f) for f in fitted.features])
 

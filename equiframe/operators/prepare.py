@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,23 +142,39 @@ def impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: _filled(df, c, fills.get(c)) for c in columns})
 
 
-def _values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct texts of each column that has few, in value order, as metadata."""
-    if not columns:
-        return {}
-    guess = df.agg(*[
-        F.approx_count_distinct(ref(c)).alias(f"e{i}") for i, c in enumerate(columns)
-    ]).first()
-    few = [c for c, n in zip(columns, guess) if n <= FEW_VALUES]
-    out: dict[str, list[str]] = {c: [] for c in few}
+@dataclass
+class Fit:
+    """What scalers and encoders need to know of a table, all of it metadata."""
+
+    ranges: dict[str, tuple]        # smallest and largest value
+    values: dict[str, list[str]]    # distinct texts in value order, for columns with few
+    missing: dict[str, bool]
+
+
+def _fit(df: DataFrame, ranged: Sequence[str] = (), coded: Sequence[str] = ()) -> Fit:
+    """One aggregation for all columns, then the values of the columns that have few."""
+    aggs = []
+    for i, c in enumerate(ranged):
+        aggs += [F.min(ref(c)).alias(f"lo{i}"), F.max(ref(c)).alias(f"hi{i}")]
+    for i, c in enumerate(coded):
+        aggs += [F.approx_count_distinct(ref(c)).alias(f"e{i}"), F.count_if(ref(c).isNull()).alias(f"m{i}")]
+    if not aggs:
+        return Fit({}, {}, {})
+    row = df.agg(*aggs).first()
+    few = [c for i, c in enumerate(coded) if row[f"e{i}"] <= FEW_VALUES]
+    values: dict[str, list[str]] = {c: [] for c in few}
     if few:
         long = melt(df, few).filter(F.col("value").isNotNull())
         for r in long.groupBy("column", "value").agg(F.lit(1).alias("one")).collect():
-            out[r["column"]].append(r["value"])
+            values[r["column"]].append(r["value"])
     kind = kinds(df)
-    for c, values in out.items():
-        values.sort(key=float if kind[c] in ("integer", "float") else str)
-    return out
+    for c, texts in values.items():
+        texts.sort(key=float if kind[c] in ("integer", "float") else str)
+    return Fit(
+        {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(ranged)},
+        values,
+        {c: row[f"m{i}"] > 0 for i, c in enumerate(coded)},
+    )
 
 
 def _dummies(df: DataFrame, name: str, values: Sequence[str]) -> list[Column]:
@@ -165,6 +182,14 @@ def _dummies(df: DataFrame, name: str, values: Sequence[str]) -> list[Column]:
     return [text.eqNullSafe(F.lit(v)).alias(f"{name}_{v}") for v in values]
 
 
+def _one_hot(df: DataFrame, columns: Sequence[str], fit: Fit) -> DataFrame:
+    shown = [c for c in columns if c in fit.values and len(fit.values[c]) <= ONE_HOT_LIMIT]
+    return df.select(
+        *[ref(c) for c in df.columns if c not in shown],
+        *[d for c in shown for d in _dummies(df, c, fit.values[c])],
+    )
+
+
 def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Boolean column per value, ``{column}_{value}``, added at the end.
 
@@ -172,11 +197,7 @@ def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     require(df, *columns)
     df = clean(df)
-    values = {c: v for c, v in _values(df, columns).items() if len(v) <= ONE_HOT_LIMIT}
-    return df.select(
-        *[ref(c) for c in df.columns if c not in values],
-        *[d for c in columns if c in values for d in _dummies(df, c, values[c])],
-    )
+    return _one_hot(df, columns, _fit(df, coded=columns))
 
 
 def _label_text(df: DataFrame, name: str) -> Column:
@@ -238,25 +259,24 @@ def _code_of(df: DataFrame, name: str, values: Sequence[str], has_missing: bool)
     return F.array_position(labels, _label_text(df, name)) - 1
 
 
-def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Codes 0, 1, … in text order; a missing value is the label ``missing_label``."""
-    require(df, *columns)
-    df = clean(df)
-    values = _values(df, columns)
-    small = [c for c in columns if c in values]
-    missing = df.agg(*[
-        F.count_if(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(small)
-    ]).first() if small else ()
-    coded = {
-        c: _code_of(df, c, values[c], m > 0).alias(c) for c, m in zip(small, missing)
+def _label_encode(df: DataFrame, columns: Sequence[str], fit: Fit) -> DataFrame:
+    small = {
+        c: _code_of(df, c, fit.values[c], fit.missing[c]).alias(c) for c in columns if c in fit.values
     }
-    out = df.select(*[coded.get(c, ref(c)) for c in df.columns])
+    out = df.select(*[small.get(c, ref(c)) for c in df.columns])
     for c in columns:
-        if c not in values:
+        if c not in small:
             out = _join_codes(out, c)
     return out
 
 
+def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Codes 0, 1, … in text order; a missing value is the label ``missing_label``."""
+    require(df, *columns)
+    df = clean(df)
+    return _label_encode(df, columns, _fit(df, coded=columns))
+
+
 def _scaled(c: Column, low, high) -> Column:
     if low is None:
         return c
@@ -265,32 +285,27 @@ def _scaled(c: Column, low, high) -> Column:
     return (c.cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
 
 
-def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
-    if not columns:
-        return {}
-    row = df.agg(*[
-        a for i, c in enumerate(columns)
-        for a in (F.min(ref(c)).alias(f"lo{i}"), F.max(ref(c)).alias(f"hi{i}"))
-    ]).first()
-    return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+def _rescale(df: DataFrame, scaled: Sequence[str], logged: Sequence[str], fit: Fit) -> DataFrame:
+    new = {c: _scaled(ref(c), *fit.ranges[c]).alias(c) for c in scaled}
+    for c in logged:
+        low = fit.ranges[c][0]
+        if low is not None and low > -1:
+            new[c] = F.log1p(ref(c)).alias(c)
+    return df.select(*[new.get(c, ref(c)) for c in df.columns])
 
 
 def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale to [0, 1]; a constant becomes 0, missing values stay."""
     require(df, *columns)
     df = clean(df)
-    ranges = _ranges(df, columns)
-    return df.withColumns({c: _scaled(ref(c), *ranges[c]) for c in columns})
+    return _rescale(df, columns, [], _fit(df, ranged=columns))
 
 
 def log1p_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``log(1 + x)``; a column with any value of -1 or less is left as it is."""
     require(df, *columns)
     df = clean(df)
-    ranges = _ranges(df, columns)
-    return df.withColumns({
-        c: F.log1p(ref(c)) for c in columns if ranges[c][0] is not None and ranges[c][0] > -1
-    })
+    return _rescale(df, [], columns, _fit(df, ranged=columns))
 
 
 def apply_plan(
@@ -336,13 +351,8 @@ def apply_plan(
     logged = [c for c in picked(X.LOG1P) if kind[c] in ("integer", "float")] if scaling else []
     scaled = [c for c in scaled if c not in hot and c not in labelled]
     logged = [c for c in logged if c not in hot and c not in labelled and c not in scaled]
-    if scaled:
-        out = min_max_scale(out, scaled)
-    if logged:
-        out = log1p_transform(out, logged)
-    if labelled:
-        out = label_encode(out, labelled)
-    return one_hot(out, hot) if hot else out
+    fit = _fit(out, scaled + logged, labelled + hot)
+    return _one_hot(_label_encode(_rescale(out, scaled, logged, fit), labelled, fit), hot, fit)
 
 
 def shape_change(before: DataFrame, after: DataFrame) -> DataFrame:
