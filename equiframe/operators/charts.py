@@ -163,7 +163,8 @@ def histogram(df: DataFrame, columns: str | Sequence[str], bins: int | str = 20)
     for c, r in ranges.items():
         place = F.floor((ref(c).cast("double") - F.lit(r.start)) / F.lit(r.width))
         cells.append({
-            "column": F.lit(c), "bin": F.least(place, F.lit(r.bins - 1)).cast("int"),
+            "column": F.lit(c),
+            "bin": F.when(place.isNotNull(), F.least(place, F.lit(r.bins - 1))).cast("int"),
             "start": F.lit(float(r.start)), "width": F.lit(float(r.width)),
         })
     edge = F.col("start") + F.col("bin") * F.col("width")

@@ -21,6 +21,11 @@ PROFILE_SCHEMA = (
 )
 
 
+def _missing_share() -> Column:
+    # the missing count is divided, as 1 - present / rows can round over a threshold
+    return (F.col("rows") - F.col("non_null")) / F.greatest(F.col("rows"), F.lit(1))
+
+
 def _stats(df: DataFrame, columns: Sequence[str], estimate: bool) -> DataFrame:
     """One row per column from a single aggregation over the table."""
     kind = kinds(df)
@@ -77,7 +82,7 @@ def profile(
     columns = list(columns or df.columns)
     require(df, *columns)
     df = clean(df)
-    shares = (1 - F.col("non_null") / F.greatest(F.col("rows"), F.lit(1))).alias("null_ratio")
+    shares = _missing_share().alias("null_ratio")
     if exact:
         counted = distinct_counts(df, columns)
         return (
@@ -99,7 +104,7 @@ def profile(
     exactly = {r["column"]: r["n_unique"] for r in distinct_counts(df, near).collect()} if near else {}
     rows = [
         (r["position"], r["column"], r["kind"], r["rows"], r["non_null"],
-         1 - r["non_null"] / max(r["rows"], 1),
+         (r["rows"] - r["non_null"]) / max(r["rows"], 1),
          exactly.get(r["column"], r["estimate"] or 0), r["is_binary"], r["skewness"])
         for r in first
     ]
@@ -117,7 +122,7 @@ def missing_top(df: DataFrame, n: int = 30) -> DataFrame:
         rows.select("rows", rows_of(
             [{"column": F.lit(c), "non_null": F.col(f"n{i}")} for i, c in enumerate(df.columns)]
         ))
-        .select("column", (1 - F.col("non_null") / F.greatest(F.col("rows"), F.lit(1))).alias("null_ratio"))
+        .select("column", _missing_share().alias("null_ratio"))
         .orderBy(F.desc("null_ratio"), "column").limit(n)
     )
 

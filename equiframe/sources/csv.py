@@ -89,5 +89,6 @@ def write_csv(df: DataFrame, path: str) -> None:
         out.append(c.alias(f.name))
     (
         df.select(*out).write.option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("encoding", "UTF-8").csv(path)
     )
