@@ -121,6 +121,32 @@ def melt(df: DataFrame, columns: Iterable[str], keep: Sequence[str] = ()) -> Dat
     return df.select(*[ref(k) for k in keep], F.inline(cells))
 
 
+def typed_value(name: str, data_type: T.DataType) -> Column:
+    """A value of any type as one struct that can be compared and grouped; NULL if missing.
+
+    Numbers stay numbers, so that counting values of many columns at once does not
+    format them as text.
+    """
+    c, kind = ref(name), kind_of(data_type)
+    whole, number, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    if kind == "integer":
+        whole = c.cast("bigint")
+    elif isinstance(data_type, (T.FloatType, T.DoubleType)):
+        number = c.cast("double")
+    else:
+        text = c.cast("string")
+    return F.when(c.isNotNull(), F.struct(
+        whole.alias("whole"), number.alias("number"), text.alias("text")))
+
+
+def melt_typed(df: DataFrame, columns: Iterable[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Long form ``(*keep, column, value)`` with :func:`typed_value` values, missing ones left out."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[ref(k) for k in keep], rows_of([
+        {"column": F.lit(c), "value": typed_value(c, types[c])} for c in columns
+    ])).filter(F.col("value").isNotNull())
+
+
 def rows_of(rows: Iterable[dict[str, Column]]) -> Column:
     """Generator of one output row per mapping, all with the same keys."""
     return F.inline(F.array(*[

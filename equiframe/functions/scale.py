@@ -2,6 +2,7 @@
 
 * ``materialise``     writes a frame to the cluster's shared checkpoint folder.
 * ``salted_join``     equi-join against a summary, with hot keys spread out.
+* ``lookup_join``     the same, broadcasting a summary whose size has been checked.
 * ``unordered_pairs`` all pairs of a summary's rows by an equi-join on grid cells.
 * ``bucketed_rows`` / ``running_totals`` / ``quantiles`` order a column of any size
   without ever putting it, or one of its groups, into a single task.
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from equiframe.functions.columns import ref, rows_of
 
 SALTS = 16
+LOOKUP_ROWS = 20_000
 PAIR_GRID = 8
 MAX_BUCKETS = 4096
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -45,9 +49,20 @@ def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/equiframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process has materialised; call it when their readers are done."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done += 1
+    return done
+
+
 def salted_join(
     big: DataFrame, summary: DataFrame, on: Sequence[str], spread: Column, how: str = "inner"
 ) -> DataFrame:
@@ -63,6 +78,22 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_join(
+    big: DataFrame, summary: DataFrame, on: Sequence[str], spread: Column
+) -> DataFrame:
+    """Inner join of a table-sized frame with a summary, without moving the table if possible.
+
+    The summary is evaluated first.  Up to ``LOOKUP_ROWS`` rows it is broadcast, a size
+    known before the join is planned; the optimiser alone could not tell, as it sizes an
+    aggregate by its input.  Beyond that the join is salted.
+    """
+    found = summary.limit(LOOKUP_ROWS + 1).collect()
+    if len(found) > LOOKUP_ROWS:
+        return salted_join(big, summary, on, spread)
+    local = big.sparkSession.createDataFrame(found, summary.schema)
+    return big.join(F.broadcast(local), list(on))
+
+
 def unordered_pairs(summary: DataFrame, key: str, carry: Sequence[str]) -> DataFrame:
     """Every pair of rows with ``key`` 1 < ``key`` 2, as ``{name}1`` and ``{name}2`` columns.
 
@@ -223,7 +254,7 @@ def quantiles(
         .agg(F.collect_list(F.struct(  # at most two ranks per wanted quantile
             "q", "weight", (F.col("rank") - F.col("before_n")).alias("rank"))).alias("ranks"))
     )
-    wanted = rows.join(targets, [*keys, "bucket"])
+    wanted = lookup_join(rows, targets, [*keys, "bucket"], F.col("value"))
     inside = (
         Window.partitionBy(*[ref(k) for k in keys], "bucket").orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from equiframe.functions.columns import (
     clean, is_numeric, kinds, label_of, melt, one_row, ref, require, rows_of,
 )
-from equiframe.functions.scale import quantiles, salted_join
+from equiframe.functions.scale import lookup_join, quantiles, salted_join
 from equiframe.operators.demographics import (
     TOP_GROUPS, chart_age_group, is_chart_age, split_charted,
 )
@@ -83,7 +83,7 @@ def box_stats(
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        salted_join(long, boxes, keys, F.col("value"))
+        lookup_join(long, boxes, keys, F.col("value"))
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(within, F.col("value"))).alias("whisker_low"),

@@ -119,7 +119,8 @@ def outcome_findings(by_group: DataFrame, gaps: DataFrame, limit: float = GAP_LI
         "%s is %.2f in group %s but %.2f in group %s: the model serves the second less well.",
         "metric", "top.score", "top.group", "bottom.score", "bottom.group"))
     over = gaps.filter((F.col("statistic") == "difference") & (F.col("value") > limit))
-    return _rows(ends, "outcome", message, F.col("attribute"), pair).unionByName(_rows(
+    apart = F.when(F.col("top.score") - F.col("bottom.score") > limit, "warning").otherwise("info")
+    return _rows(ends, "outcome", message, F.col("attribute"), pair, apart).unionByName(_rows(
         over, "outcome gap", F.format_string(
             "%s differs by %.2f between groups of %s, over the limit of %s.",
             "plain_name", "value", "attribute", F.lit(str(limit))),
@@ -138,7 +139,8 @@ def combine(*parts: DataFrame) -> DataFrame:
 
 
 def overall_finding(findings: DataFrame, n_columns: int) -> DataFrame:
-    """One summary row: columns audited and flagged, leading features, worst-served pair."""
+    """One summary row: columns audited and flagged, leading features, and the pair of groups
+    that the most outcome warnings name."""
     flagged = findings.filter((F.col("severity") == "warning") & F.col("feature").isNotNull())
     by_feature = flagged.filter(F.col("section") != "outcome gap").groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"))
@@ -149,8 +151,10 @@ def overall_finding(findings: DataFrame, n_columns: int) -> DataFrame:
     first = counted.select("first").scalar()
     second = by_feature.filter(F.col("feature") != first).agg(
         F.max_by("feature", F.struct("n", "feature"))).scalar()
-    pair = findings.filter((F.col("section") == "outcome") & F.col("group").isNotNull()).agg(
-        F.min("group")).scalar()
+    pair = (
+        flagged.filter(F.col("section") == "outcome").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.max_by("group", F.struct("n", "group"))).scalar()
+    )
     return _rows(
         counted.withColumns({"second": second, "pair": pair}), "summary",
         F.concat(
@@ -158,7 +162,7 @@ def overall_finding(findings: DataFrame, n_columns: int) -> DataFrame:
             F.when(F.col("first").isNotNull(), F.concat(
                 F.lit(" Look first at "), F.concat_ws(" and ", "first", "second"), F.lit("."))).otherwise(""),
             F.when(F.col("pair").isNotNull(), F.concat(
-                F.lit(" Outcomes differ most between "), F.col("pair"), F.lit("."))).otherwise(""),
+                F.lit(" Outcomes differ most often between "), F.col("pair"), F.lit("."))).otherwise(""),
         ),
         severity=F.when(F.col("flagged") > 0, "warning").otherwise("info"))
 

@@ -67,6 +67,12 @@ def split(df: DataFrame, key: Sequence[str] | None = None) -> tuple[DataFrame, D
     return df.filter(bucket >= cut), df.filter(bucket < cut)
 
 
+def _spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Use every core on a table that comes in a few files; a large one is spread already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(source.inputFiles()) < cores else df
+
+
 def _label_index(df: DataFrame, target: str) -> tuple[list, Column]:
     rows = (
         df.select(ref(target).alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.lit(1))
@@ -131,7 +137,7 @@ def train_baseline(
     train, test = split(frame, key or df.columns)
     built = Pipeline(stages=stages).fit(train)
     # what the fit reads, written once, so that its passes do not redo the encoding
-    ready = materialise(built.transform(train).select("_label", "_features"), "train")
+    ready = materialise(_spread(built.transform(train).select("_label", "_features"), df), "train")
     model = select_model(len(classes), ready.count(), **options).fit(ready)
     scored = model.transform(built.transform(test)).select(
         *[ref(c) for c in df.columns if c not in SCORED],
@@ -139,7 +145,7 @@ def train_baseline(
         F.element_at(vector_to_array("_probability"), 2).alias("probability_1"),
         F.col("_features").alias("features"),
     )
-    return Baseline(model, classes, names, materialise(scored, "scored"))
+    return Baseline(model, classes, names, materialise(_spread(scored, df), "scored"))
 
 
 # --- evaluation ---------------------------------------------------------------------

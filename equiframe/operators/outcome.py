@@ -37,20 +37,15 @@ def confusion_counts(
     types = {f.name: f.dataType for f in frame.schema.fields}
     truth = ref(label).eqNullSafe(F.lit(positive))
     said = ref(prediction).eqNullSafe(F.lit(positive))
-    # counting per label, prediction and all attributes first leaves few rows to unpivot
-    seen = frame.groupBy(
-        truth.alias("_truth"), said.alias("_said"),
-        *[as_text(a, types[a]).alias(f"_a{i}") for i, a in enumerate(attributes)],
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    long = seen.select("_truth", "_said", "_n", rows_of([
-        {"attribute": F.lit(a), "group": F.col(f"_a{i}")} for i, a in enumerate(attributes)
+    # unpivoting before the count keeps the shuffle to a few rows per attribute and task,
+    # however many attributes there are
+    long = frame.select(truth.alias("t"), said.alias("s"), rows_of([
+        {"attribute": F.lit(a), "group": as_text(a, types[a])} for a in attributes
     ]))
-    t, s, n = F.col("_truth"), F.col("_said"), F.col("_n")
+    t, s = F.col("t"), F.col("s")
     return long.groupBy("attribute", "group").agg(
-        F.sum(F.when(t & s, n).otherwise(0)).alias("tp"),
-        F.sum(F.when(~t & s, n).otherwise(0)).alias("fp"),
-        F.sum(F.when(t & ~s, n).otherwise(0)).alias("fn"),
-        F.sum(F.when(~t & ~s, n).otherwise(0)).alias("tn"),
+        F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"),
+        F.count_if(t & ~s).alias("fn"), F.count_if(~t & ~s).alias("tn"),
     )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
-from equiframe.functions.columns import as_text, clean, kinds, melt, ref, require
-from equiframe.functions.scale import SALTS, materialise, quantiles
+from equiframe.functions.columns import as_text, clean, kinds, ref, require
+from equiframe.functions.scale import LOOKUP_ROWS, SALTS, materialise, quantiles
 from equiframe.operators.profile import modes, profile
 
 ONE_HOT_LIMIT = 50
@@ -81,8 +81,11 @@ def summarize_categories(plan: DataFrame, mode: str = "exact") -> DataFrame:
     """
     first = F.element_at(F.split("column", r"\."), 1)
     if mode == "prefix":
+        # a name starts with a category when one of its prefixes equals it: an equi-join
         categories = plan.select(first.alias("category")).distinct()
-        rows = categories.join(plan, F.startswith(plan["column"], categories["category"]))
+        prefixes = plan.withColumn("category", F.explode(F.transform(
+            F.sequence(F.lit(1), F.length("column")), lambda n: F.substr(F.col("column"), F.lit(1), n))))
+        rows = prefixes.join(categories, "category", "left_semi")
     elif mode == "exact":
         rows = plan.withColumn(
             "category", F.when(F.contains("column", F.lit(".")), first).otherwise("project")
@@ -162,14 +165,15 @@ def _fit(df: DataFrame, ranged: Sequence[str] = (), coded: Sequence[str] = ()) -
         return Fit({}, {}, {})
     row = df.agg(*aggs).first()
     few = [c for i, c in enumerate(coded) if row[f"e{i}"] <= FEW_VALUES]
-    values: dict[str, list[str]] = {c: [] for c in few}
+    values = {}
     if few:
-        long = melt(df, few).filter(F.col("value").isNotNull())
-        for r in long.groupBy("column", "value").agg(F.lit(1).alias("one")).collect():
-            values[r["column"]].append(r["value"])
-    kind = kinds(df)
-    for c, texts in values.items():
-        texts.sort(key=float if kind[c] in ("integer", "float") else str)
+        types = {f.name: f.dataType for f in df.schema.fields}
+        sets = df.agg(*[  # in value order, each value with its text
+            F.array_sort(F.collect_set(F.when(ref(c).isNotNull(), F.struct(
+                ref(c).alias("v"), as_text(c, types[c]).alias("text"))))).alias(f"s{i}")
+            for i, c in enumerate(few)
+        ]).first()
+        values = {c: [v["text"] for v in found] for c, found in zip(few, sets)}
     return Fit(
         {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(ranged)},
         values,
@@ -233,24 +237,23 @@ def label_codes(df: DataFrame, name: str) -> DataFrame:
 def _join_codes(df: DataFrame, name: str) -> DataFrame:
     """Replace a column of many labels by its codes.
 
-    Labels that hold over 1 % of the rows (there are under 100) are spread over
-    salts, so the join has no hot key.
+    Up to ``LOOKUP_ROWS`` codes are broadcast.  Beyond that it is a shuffled join in
+    which labels that hold over 1 % of the rows (there are under 100) are spread
+    over salts, so that no key is hot.
     """
     codes = label_codes(df, name)
+    keyed = df.withColumn("_label", _label_text(df, name))
+    table = codes.select(F.col("label").alias("_label"), F.col("code").alias("_code"), "n")
+    out = [F.col("_code").alias(c) if c == name else ref(c) for c in df.columns]
+    if codes.count() <= LOOKUP_ROWS:
+        return keyed.join(F.broadcast(table), "_label").select(*out)
     total = codes.agg(F.sum("n").alias("t")).scalar()
     hot = [r["label"] for r in codes.filter(F.col("n") > total * HOT_SHARE).select("label").collect()]
     salt = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-    keyed = df.withColumn("_label", _label_text(df, name)).withColumn(
-        "_salt", F.when(F.col("_label").isin(hot), salt).otherwise(F.lit(0))
-    )
-    salts = F.when(F.col("label").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    spread = codes.select(
-        F.col("label").alias("_label"), F.col("code").alias("_code"),
-        F.explode(F.coalesce(salts, F.array(F.lit(0)))).alias("_salt"),
-    )
-    return keyed.join(spread, ["_label", "_salt"]).select(*[
-        F.col("_code").alias(c) if c == name else ref(c) for c in df.columns
-    ])
+    salted = keyed.withColumn("_salt", F.when(F.col("_label").isin(hot), salt).otherwise(F.lit(0)))
+    salts = F.when(F.col("_label").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = table.withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
+    return salted.join(spread, ["_label", "_salt"]).select(*out)
 
 
 def _code_of(df: DataFrame, name: str, values: Sequence[str], has_missing: bool) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiframe.functions.columns import as_text, clean, kinds, melt, ref, require, rows_of
+from equiframe.functions.columns import as_text, clean, kinds, melt, melt_typed, ref, require, rows_of
 from equiframe.functions.fixed import NOT_TARGET_KEYWORDS, TARGET_KEYWORDS
 from equiframe.functions.scale import quantiles
 
@@ -64,12 +64,20 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     would expand rows just the same but hold every value set in one final task.
     """
     return (
-        melt(df, columns).filter(F.col("value").isNotNull())
+        melt_typed(df, columns)
         .groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count("one").alias("n_unique"))
     )
 
 
+def _few_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct values of columns known to have few: one pass, a set per column and task."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.size(F.collect_set(ref(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return dict(zip(columns, row))
+
+
 def profile(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
 ) -> DataFrame:
@@ -93,15 +101,15 @@ def profile(
                     "is_binary", "skewness")
         )
     first = _stats(df, columns, estimate=True).collect()  # one row per column: metadata
-    near = [
+    few = [r["column"] for r in first if 0 < r["estimate"] < EXACT_BELOW]
+    many = [
         r["column"] for r in first
-        if r["estimate"] and (
-            r["estimate"] < EXACT_BELOW
-            or (r["kind"] == "categorical"
-                and ID_BAND[0] <= r["estimate"] / r["rows"] <= ID_BAND[1])
-        )
+        if r["estimate"] >= EXACT_BELOW and r["kind"] == "categorical"
+        and ID_BAND[0] <= r["estimate"] / r["rows"] <= ID_BAND[1]
     ]
-    exactly = {r["column"]: r["n_unique"] for r in distinct_counts(df, near).collect()} if near else {}
+    exactly = _few_distinct(df, few)
+    if many:
+        exactly.update({r["column"]: r["n_unique"] for r in distinct_counts(df, many).collect()})
     rows = [
         (r["position"], r["column"], r["kind"], r["rows"], r["non_null"],
          (r["rows"] - r["non_null"]) / max(r["rows"], 1),

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
-from equiframe.functions.columns import clean, is_numeric, ladder, melt, ref, require, rows_of
+from equiframe.functions.columns import clean, is_numeric, ladder, melt_typed, ref, require, rows_of
 from equiframe.functions.pvalues import chi2_p, f_p, ks_p
 from equiframe.functions.scale import (
-    bucket_openings, bucketed_rows, running_totals, salted_join, unordered_pairs, value_totals,
+    bucket_openings, bucketed_rows, lookup_join, running_totals, salted_join, unordered_pairs, value_totals,
 )
 
 INF = float("inf")
@@ -36,10 +36,10 @@ def chi_square(df: DataFrame, columns: str | Sequence[str], group_col: str) -> D
     """
     columns = _listed(columns)
     require(df, *columns, group_col)
-    text = clean(df).withColumn("_group", ref(group_col).cast("string"))
+    grouped = clean(df).withColumn("_group", ref(group_col).cast("string"))
     cells = (
-        melt(text, columns, ["_group"])
-        .filter(F.col("_group").isNotNull() & F.col("value").isNotNull())
+        melt_typed(grouped, columns, ["_group"])
+        .filter(F.col("_group").isNotNull())
         .groupBy(F.col("column").alias("feature"), F.col("value").alias("row"), F.col("_group").alias("col"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -154,7 +154,7 @@ def ks_pairs(df: DataFrame, column: str, group_col: str) -> DataFrame:
     )))
 
     def per_pair(totals: DataFrame, spread: Column) -> DataFrame:
-        return salted_join(totals, sides, ["group"], spread).withColumns({
+        return lookup_join(totals, sides, ["group"], spread).withColumns({
             "n1": F.when(F.col("side") == 1, F.col("n")).otherwise(0),
             "n2": F.when(F.col("side") == 2, F.col("n")).otherwise(0),
         })

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equiframe.functions.scale import (
-    bucket_openings, bucketed_rows, materialise, quantiles, running_totals, salted_join,
+    bucket_openings, bucketed_rows, lookup_join, materialise, quantiles, release, running_totals, salted_join,
     unordered_pairs, value_totals,
 )
 
@@ -60,3 +60,22 @@ def test_materialise_uses_the_shared_folder(spark):
     written = materialise(spark.range(5).select(F.col("id").alias("a.b c")))
     assert written.columns == ["a.b c"] and written.count() == 5
     assert spark.conf.get("spark.checkpoint.dir") in written.inputFiles()[0]
+    assert release(spark) >= 1 and release(spark) == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_lookup_join_both_ways(spark, monkeypatch, limit):
+    monkeypatch.setattr("equiframe.functions.scale.LOOKUP_ROWS", limit)
+    big = spark.range(900).select((F.col("id") % 3).alias("k"), "id")
+    summary = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, name string")
+    joined = lookup_join(big, summary, ["k"], F.col("id"))
+    assert joined.count() == 600
+    assert ("_salt" in joined._jdf.queryExecution().toString()) == (limit == 0)
+
+
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_quantiles_both_ways(skewed, monkeypatch, limit):
+    monkeypatch.setattr("equiframe.functions.scale.LOOKUP_ROWS", limit)
+    df, g, x = skewed
+    got = {r["g"]: r["value"] for r in quantiles(df, ["x"], [0.3], ["g"]).collect()}
+    assert got == pytest.approx({k: np.quantile(x[g == k], 0.3) for k in np.unique(g)})
