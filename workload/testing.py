@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from equiframe.functions.scale import shared_folder
 from equiframe.operators import findings as say
-from equiframe.operators.charts import distributions
 from equiframe.operators.outcome import disparities, output_fairness
 from equiframe.operators.prepare import recommend
 from equiframe.operators.profile import groupwise_missing
@@ -66,10 +65,10 @@ QUERIES = {
     "chi_square_corrected": lambda s, d: rounded(
         chi_square(predictions(s, d), ["label", "prediction"], "grp2").drop("p_value")),
     "chi_square_many_cells": lambda s, d: rounded(
-        chi_square(table(s, d, "part"), "p_size", "p_brand").drop("p_value")),
+        chi_square(table(s, d, "part"), "p_size", "p_brand")),
     "anova": lambda s, d: rounded(anova(table(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")),
     "anova_many_groups": lambda s, d: rounded(
-        anova(table(s, d, "orders"), "o_totalprice", "o_orderpriority").drop("p_value")),
+        anova(table(s, d, "orders"), "o_totalprice", "o_orderpriority")),
     "group_moments": lambda s, d: rounded(group_moments(
         table(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")),
     "ks_pairs": lambda s, d: rounded(ks_pairs(table(s, d, "lineitem"), "l_quantity", "l_returnflag").drop("p_value")),
@@ -86,7 +85,8 @@ QUERIES = {
             allowMissingColumns=True)),
     "findings": _findings,
     "report_findings": lambda s, d: report_findings(_audited(s, d), AUDITED, "l_returnflag"),
-    "report_distributions": lambda s, d: rounded(distributions(_audited(s, d), AUDITED)),
+    "ks_p_values": lambda s, d: rounded(
+        ks_pairs(table(s, d, "lineitem"), "l_quantity", "l_returnflag").select("group1", "group2", "p_value")),
     "audit_report": _written_report,
 }
 
@@ -95,7 +95,9 @@ def _chi_sql(source: str, columns: list[str], group: str, corrected: bool, p_val
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS r, CAST({group} AS VARCHAR) AS c FROM src" for c in columns)
     gap = "greatest(abs(o - e) - 0.5, 0)" if corrected else "(o - e)"
-    tail = ", round(exp(-stat / 2), 6) AS p_value" if p_value else ""
+    # for an even number of degrees of freedom the tail is a finite Poisson sum
+    tail = """, round((SELECT sum(exp(i * ln(stat / 2) - stat / 2 - lgamma(i + 1)))
+            FROM range(0, 2000) t(i) WHERE i < dof // 2), 6) AS p_value""" if p_value else ""
     return f"""WITH src AS ({source}), long AS ({long}),
         o AS (SELECT feature, r, c, count(*) AS o FROM long WHERE r IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2, 3),
         rt AS (SELECT feature, r, sum(o) AS t FROM o GROUP BY 1, 2),
@@ -104,19 +106,20 @@ def _chi_sql(source: str, columns: list[str], group: str, corrected: bool, p_val
         cells AS (SELECT rt.feature, coalesce(o.o, 0) AS o, CAST(rt.t AS DOUBLE) * ct.t / n.n AS e
             FROM rt JOIN ct ON rt.feature = ct.feature JOIN n ON n.feature = rt.feature
             LEFT JOIN o ON o.feature = rt.feature AND o.r = rt.r AND o.c = ct.c),
-        stats AS (SELECT feature, sum({gap} * {gap} / e) AS stat FROM cells GROUP BY 1)
-        SELECT s.feature, 'chi-square' AS test, round(stat, 6) AS stat,
-            ((SELECT count(*) FROM rt WHERE rt.feature = s.feature) - 1)
-            * ((SELECT count(*) FROM ct WHERE ct.feature = s.feature) - 1) AS dof{tail},
-            CAST(n.n AS BIGINT) AS n
+        sums AS (SELECT feature, sum({gap} * {gap} / e) AS stat FROM cells GROUP BY 1),
+        stats AS (SELECT *, ((SELECT count(*) FROM rt WHERE rt.feature = sums.feature) - 1)
+            * ((SELECT count(*) FROM ct WHERE ct.feature = sums.feature) - 1) AS dof FROM sums)
+        SELECT s.feature, 'chi-square' AS test, round(stat, 6) AS stat, dof{tail}, CAST(n.n AS BIGINT) AS n
         FROM stats s JOIN n ON n.feature = s.feature"""
 
 
 def _anova_sql(source: str, columns: list[str], group: str, p_value: bool) -> str:
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {group} AS g, CAST({c} AS DOUBLE) AS x FROM {source}" for c in columns)
-    # with df1 = 2 the tail of F has a closed form
-    tail = ", round(pow(1 + 2 * stat / df2, -df2 / 2.0), 6) AS p_value" if p_value else ""
+    # with df1 = 2 and df1 = 4 the tail of F has a closed form
+    tail = """, round(CASE df1 WHEN 2 THEN pow(1 + 2 * stat / df2, -df2 / 2.0)
+        WHEN 4 THEN pow(df2 / (df2 + 4 * stat), df2 / 2.0)
+            * (1 + df2 / 2.0 * (4 * stat / (df2 + 4 * stat))) END, 6) AS p_value""" if p_value else ""
     return f"""WITH long AS ({long}),
         g AS (SELECT feature, g, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM long GROUP BY 1, 2),
         c AS (SELECT feature, avg(x) AS centre FROM long GROUP BY 1),
@@ -127,7 +130,7 @@ def _anova_sql(source: str, columns: list[str], group: str, p_value: bool) -> st
         SELECT feature, 'anova' AS test, round(stat, 6) AS stat, df1, df2{tail} FROM f"""
 
 
-def _ks_sql(source: str, value: str, group: str) -> str:
+def _ks_sql(source: str, value: str, group: str, places: int = 6) -> str:
     return f"""WITH c AS (SELECT CAST({group} AS VARCHAR) AS g, {value} AS v, count(*) AS n FROM {source} GROUP BY 1, 2),
         t AS (SELECT g, sum(n) AS n FROM c GROUP BY 1),
         p AS (SELECT a.g AS g1, b.g AS g2, a.n AS n1, b.n AS n2 FROM t a JOIN t b ON a.g < b.g),
@@ -137,7 +140,7 @@ def _ks_sql(source: str, value: str, group: str) -> str:
               WINDOW w AS (PARTITION BY g1, g2 ORDER BY v))
         SELECT '{value}' AS feature, 'ks' AS test, g1 AS group1, g2 AS group2,
                CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
-               round(max(abs(c1 / CAST(n1 AS DOUBLE) - c2 / CAST(n2 AS DOUBLE))), 6) AS stat
+               round(max(abs(c1 / CAST(n1 AS DOUBLE) - c2 / CAST(n2 AS DOUBLE))), {places}) AS stat
         FROM r GROUP BY 3, 4, 5, 6"""
 
 
@@ -163,10 +166,16 @@ ORACLES = {
         FROM d""",
     "chi_square": _chi_sql(PREDICTIONS, ["grp2", "label", "prediction"], "grp", False, True),
     "chi_square_corrected": _chi_sql(PREDICTIONS, ["label", "prediction"], "grp2", True, False),
-    "chi_square_many_cells": _chi_sql("SELECT p_size, p_brand FROM part", ["p_size"], "p_brand", False, False),
+    "chi_square_many_cells": _chi_sql("SELECT p_size, p_brand FROM part", ["p_size"], "p_brand", False, True),
     "anova": _anova_sql("lineitem", ["l_quantity", "l_discount", "l_tax"], "l_returnflag", True),
-    "anova_many_groups": _anova_sql("orders", ["o_totalprice"], "o_orderpriority", False),
+    "anova_many_groups": _anova_sql("orders", ["o_totalprice"], "o_orderpriority", True),
     "group_moments": _moments_sql(),
     "ks_pairs": _ks_sql("lineitem", "l_quantity", "l_returnflag"),
     "ks_pairs_continuous": _ks_sql("orders", "o_totalprice", "o_orderpriority"),
+    # the limiting series, which holds above 10,000 rows per group
+    "ks_p_values": f"""WITH d AS (SELECT group1, group2, n1, n2, d FROM (
+            {_ks_sql("lineitem", "l_quantity", "l_returnflag", places=15)}) t(feature, test, group1, group2, n1, n2, d))
+        SELECT group1, group2, round(least(1, greatest(0, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END
+            * exp(-2 * pow(k * d * sqrt(n1 * CAST(n2 AS DOUBLE) / (n1 + n2)), 2))) FROM range(1, 101) r(k)))), 6)
+            AS p_value FROM d""",
 }

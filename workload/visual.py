@@ -15,7 +15,10 @@ def _people(s, d):
         (F.col("o_totalprice") / 1000).alias("charge"), F.col("o_orderstatus").alias("outcome"))
 
 
+AUDITED = ["l_linestatus", "l_tax", "l_discount", "l_quantity"]
+
 QUERIES = {
+    "report_distributions": lambda s, d: rounded(charts.distributions(table(s, d, "lineitem"), AUDITED)),
     "group_proportions": lambda s, d: rounded(
         charts.group_proportions(table(s, d, "orders"), "o_orderpriority", "o_orderstatus")),
     "box_stats": lambda s, d: rounded(charts.box_stats(_people(s, d), "charge", "demographic.race")),
@@ -101,7 +104,19 @@ def _long(attribute: str, statistic: str, group: str, value: str, source: str) -
         CAST(NULL AS VARCHAR) AS category, round(CAST({value} AS DOUBLE), 6) AS value FROM {source}"""
 
 
+def _number_long(source: str, column: str) -> str:
+    return f"""SELECT * FROM (WITH {_hist_sql(source, column, 'auto')}, {_density_sql(source, column)}
+        {_long(column, 'low', 'bin', 'low', 'hist')} UNION ALL {_long(column, 'high', 'bin', 'high', 'hist')}
+        UNION ALL {_long(column, 'bin_count', 'bin', 'n', 'hist')}
+        UNION ALL {_long(column, 'x', 'point', 'x', 'dens')}
+        UNION ALL {_long(column, 'density', 'point', 'density', 'dens')})"""
+
+
 ORACLES = {
+    "report_distributions": " UNION ALL ".join(
+        [_number_long(f"SELECT {c} FROM lineitem", c) for c in AUDITED[1:]]
+        + [_long("l_linestatus", "count", "g", "n",
+                 "(SELECT l_linestatus AS g, count(*) AS n FROM lineitem GROUP BY 1)")]),
     "group_proportions": """WITH c AS (SELECT o_orderpriority AS g, o_orderstatus AS t, count(*) AS n
                                        FROM orders GROUP BY 1, 2)
         SELECT g AS "group", t AS category, n, round(n / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE), 6) AS proportion
