@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,8 +30,8 @@ _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder, ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -78,8 +79,24 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+@dataclass
+class Lookup:
+    """A summary that has been evaluated: ``small`` if it is fit to broadcast."""
+
+    frame: DataFrame
+    small: bool
+
+
+def settle(summary: DataFrame) -> Lookup:
+    """Evaluate a summary and keep it as local rows when it has up to ``LOOKUP_ROWS``."""
+    found = summary.limit(LOOKUP_ROWS + 1).collect()
+    if len(found) > LOOKUP_ROWS:
+        return Lookup(summary, False)
+    return Lookup(summary.sparkSession.createDataFrame(found, summary.schema), True)
+
+
 def lookup_join(
-    big: DataFrame, summary: DataFrame, on: Sequence[str], spread: Column
+    big: DataFrame, summary: DataFrame | Lookup, on: Sequence[str], spread: Column
 ) -> DataFrame:
     """Inner join of a table-sized frame with a summary, without moving the table if possible.
 
@@ -87,11 +104,10 @@ def lookup_join(
     known before the join is planned; the optimiser alone could not tell, as it sizes an
     aggregate by its input.  Beyond that the join is salted.
     """
-    found = summary.limit(LOOKUP_ROWS + 1).collect()
-    if len(found) > LOOKUP_ROWS:
-        return salted_join(big, summary, on, spread)
-    local = big.sparkSession.createDataFrame(found, summary.schema)
-    return big.join(F.broadcast(local), list(on))
+    lookup = summary if isinstance(summary, Lookup) else settle(summary)
+    if lookup.small:
+        return big.join(F.broadcast(lookup.frame), list(on))
+    return salted_join(big, lookup.frame, on, spread)
 
 
 def unordered_pairs(summary: DataFrame, key: str, carry: Sequence[str]) -> DataFrame:

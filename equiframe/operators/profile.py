@@ -147,9 +147,10 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def table_summary(df: DataFrame) -> DataFrame:
-    """Describe every column: long ``(column, kind, statistic, value)`` with text values.
+    """Describe every column: long ``(column, statistic, number, text)``.
 
-    Numbers: count, mean, std, min, quartiles, max.  Others: count, unique, top, freq.
+    Numbers: count, mean, std, min, quartiles, max.  Others: count, unique, top, freq;
+    ``top`` is the only text.
     """
     df = clean(df)
     kind = kinds(df)

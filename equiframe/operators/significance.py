@@ -15,7 +15,8 @@ from equiframe.functions import fixed as X
 from equiframe.functions.columns import clean, is_numeric, ladder, melt_typed, ref, require, rows_of
 from equiframe.functions.pvalues import chi2_p, f_p, ks_p
 from equiframe.functions.scale import (
-    bucket_openings, bucketed_rows, lookup_join, running_totals, salted_join, unordered_pairs, value_totals,
+    bucket_openings, bucketed_rows, lookup_join, running_totals, salted_join, settle,
+    unordered_pairs, value_totals,
 )
 
 INF = float("inf")
@@ -57,7 +58,7 @@ def chi_square(df: DataFrame, columns: str | Sequence[str], group_col: str) -> D
     by_col = totals.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_cols"), F.sum(1 / F.col("c")).alias("inv_c"))
     n = F.col("n").cast("double")
-    away = F.abs(F.col("cell.n") - F.col("cell.r") * F.col("cell.c") / n)
+    away = F.abs(F.col("cell.n") - F.col("cell.r").cast("double") * F.col("cell.c") / n)
     corrected = F.pow(away - F.least(F.lit(0.5), away), 2) * n * F.col("inv_r") * F.col("inv_c")
     return (
         by_row.join(by_col, "feature")
@@ -145,13 +146,12 @@ def ks_pairs(df: DataFrame, column: str, group_col: str) -> DataFrame:
         ref(group_col).cast("string").alias("group"), ref(column).alias("value")
     )
     rows = bucketed_rows(frame, ["value"], ["group"])
-    sizes = rows.groupBy("group").agg(F.sum("n").alias("size"))
+    sizes = frame.filter(F.col("value").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     pairs = unordered_pairs(sizes, "group", ["size"])
     keys = ["group1", "group2", "size1", "size2"]
-    sides = pairs.select(*keys, F.inline(F.array(
-        F.struct(F.col("group1").alias("group"), F.lit(1).alias("side")),
-        F.struct(F.col("group2").alias("group"), F.lit(2).alias("side")),
-    )))
+    sides = settle(pairs.select(*keys, rows_of([
+        {"group": F.col("group1"), "side": F.lit(1)}, {"group": F.col("group2"), "side": F.lit(2)},
+    ])))
 
     def per_pair(totals: DataFrame, spread: Column) -> DataFrame:
         return lookup_join(totals, sides, ["group"], spread).withColumns({
