@@ -73,14 +73,14 @@ def _spread(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(source.inputFiles()) < cores else df
 
 
-def _label_index(df: DataFrame, target: str) -> tuple[list, Column]:
+def _label_index(df: DataFrame, target: str, max_classes: int) -> tuple[list, Column]:
     rows = (
         df.select(ref(target).alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.lit(1))
-        .select("v").orderBy("v").limit(MAX_CLASSES + 1).collect()
+        .select("v").orderBy("v").limit(max_classes + 1).collect()
     )
     classes = [r["v"] for r in rows]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{target} has over {MAX_CLASSES} classes: not a classification target")
+    if len(classes) > max_classes:
+        raise ValueError(f"{target} has over {max_classes} classes: not a classification target")
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), ref(target)) - 1
     return classes, index.cast("double")
 
@@ -120,9 +120,10 @@ def _features(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list, l
 
 def train_baseline(
     df: DataFrame, target: str, features: Sequence[str] | None = None,
-    key: Sequence[str] | None = None, **options,
+    key: Sequence[str] | None = None, max_classes: int = MAX_CLASSES, **options,
 ) -> Baseline:
-    """Fit on 80 % of the rows, score the other 20 %.
+    """Fit on 80 % of the rows, score the other 20 %.  A target with over ``max_classes``
+    values is refused, as it is no classification target.
 
     Scored rows are written once to the shared folder: evaluation, importance and
     the fairness audit all read them.
@@ -130,7 +131,7 @@ def train_baseline(
     require(df, target, *(features or []), *(key or []))
     df = clean(df).filter(ref(target).isNotNull())
     features = list(features or [c for c in df.columns if c != target])
-    classes, index = _label_index(df, target)
+    classes, index = _label_index(df, target, max_classes)
     if len(classes) < 2:
         raise ValueError(f"{target} has fewer than two classes")
     frame, stages, names = _features(df.withColumn("_label", index), features)

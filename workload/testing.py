@@ -91,13 +91,13 @@ QUERIES = {
 }
 
 
-def _chi_sql(source: str, columns: list[str], group: str, corrected: bool, p_value: bool) -> str:
+def _chi_sql(source: str, columns: list[str], group: str, corrected: bool, p_value: bool, places: int = 6) -> str:
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS r, CAST({group} AS VARCHAR) AS c FROM src" for c in columns)
     gap = "greatest(abs(o - e) - 0.5, 0)" if corrected else "(o - e)"
     # for an even number of degrees of freedom the tail is a finite Poisson sum
-    tail = """, round((SELECT sum(exp(i * ln(stat / 2) - stat / 2 - lgamma(i + 1)))
-            FROM range(0, 2000) t(i) WHERE i < dof // 2), 6) AS p_value""" if p_value else ""
+    tail = f""", round((SELECT sum(exp(i * ln(stat / 2) - stat / 2 - lgamma(i + 1)))
+            FROM range(0, 2000) t(i) WHERE i < dof // 2), {places}) AS p_value""" if p_value else ""
     return f"""WITH src AS ({source}), long AS ({long}),
         o AS (SELECT feature, r, c, count(*) AS o FROM long WHERE r IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2, 3),
         rt AS (SELECT feature, r, sum(o) AS t FROM o GROUP BY 1, 2),
@@ -113,13 +113,13 @@ def _chi_sql(source: str, columns: list[str], group: str, corrected: bool, p_val
         FROM stats s JOIN n ON n.feature = s.feature"""
 
 
-def _anova_sql(source: str, columns: list[str], group: str, p_value: bool) -> str:
+def _anova_sql(source: str, columns: list[str], group: str, p_value: bool, places: int = 6) -> str:
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {group} AS g, CAST({c} AS DOUBLE) AS x FROM {source}" for c in columns)
     # with df1 = 2 and df1 = 4 the tail of F has a closed form
-    tail = """, round(CASE df1 WHEN 2 THEN pow(1 + 2 * stat / df2, -df2 / 2.0)
+    tail = f""", round(CASE df1 WHEN 2 THEN pow(1 + 2 * stat / df2, -df2 / 2.0)
         WHEN 4 THEN pow(df2 / (df2 + 4 * stat), df2 / 2.0)
-            * (1 + df2 / 2.0 * (4 * stat / (df2 + 4 * stat))) END, 6) AS p_value""" if p_value else ""
+            * (1 + df2 / 2.0 * (4 * stat / (df2 + 4 * stat))) END, {places}) AS p_value""" if p_value else ""
     return f"""WITH long AS ({long}),
         g AS (SELECT feature, g, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM long GROUP BY 1, 2),
         c AS (SELECT feature, avg(x) AS centre FROM long GROUP BY 1),
@@ -151,7 +151,30 @@ def _moments_sql() -> str:
         for c in ("l_quantity", "l_discount", "l_tax"))
 
 
+def _findings_sql() -> str:
+    """Messages of chi-square and ANOVA verdicts, with the groups of highest and lowest mean."""
+    means = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, l_returnflag AS g, avg({c}) AS m FROM lineitem GROUP BY 2"
+        for c in ("l_tax", "l_discount", "l_quantity"))
+    chi = _chi_sql("SELECT * FROM lineitem", ["l_linestatus", "l_tax"], "l_returnflag", False, True, places=12)
+    f = _anova_sql("lineitem", ["l_discount", "l_quantity"], "l_returnflag", True, places=12)
+    return f"""WITH tests AS (SELECT feature, test, p_value FROM ({chi})
+            UNION ALL SELECT feature, test, p_value FROM ({f})),
+        ends AS (SELECT feature, arg_max(g, m) AS top, max(m) AS high, arg_min(g, m) AS bottom, min(m) AS low
+                 FROM ({means}) GROUP BY 1)
+        SELECT 'test' AS section, t.feature, CAST(NULL AS VARCHAR) AS "group",
+            CASE WHEN p_value < 0.05 THEN 'warning' ELSE 'info' END AS severity,
+            CASE WHEN p_value < 0.05 THEN
+                printf('%s: the groups differ significantly (%s, p = %.4f).', t.feature, test, p_value)
+                || CASE WHEN top IS NULL THEN '' ELSE printf(
+                    ' Group %s is highest (%.2f), group %s lowest (%.2f).', top, high, bottom, low) END
+            ELSE printf('%s: no significant difference between groups (%s, p = %.4f).', t.feature, test, p_value)
+            END AS message
+        FROM tests t LEFT JOIN ends e ON t.feature = e.feature"""
+
+
 ORACLES = {
+    "report_findings": _findings_sql(),
     "standardized_difference": """WITH g AS (
             SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v
             FROM orders GROUP BY 1),
