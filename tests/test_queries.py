@@ -7,11 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from workload import AREAS
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+NAMES = [name for area in AREAS for name in area.QUERIES]
 # Checked against SQL on larger tables only: the SQL is the formula for over 10,000 rows a group.
 LARGE_ONLY = {"ks_p_values"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -39,7 +41,7 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, db, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
