@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiframe.llm import chat, embeddings, mixing, simhash, token_counts, warc
+from equiframe.llm import (
+    chat, decontaminate, embeddings, language, license_scan, mixing, secret_scan, simhash, token_counts, warc,
+)
 from equiframe.llm.shared import read_table
 
 
@@ -66,6 +68,28 @@ OP2_SQL = """
     FROM embeddings e"""
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.size("matches").cast("bigint").alias("n_items"),
+        F.transform("matches", lambda m: m["item_id"]).alias("item_ids"),
+        F.array_min(F.transform("matches", lambda m: m["distance"])).alias("least_distance"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_candidates", "n_secrets", F.array_join("secrets", ",").alias("secrets"),
+                        F.sha2(F.encode("redacted", "UTF-8"), 256).alias("redacted_sha256"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_records(index).select(
@@ -111,6 +135,10 @@ OP8_SQL = r"""
     FROM marked GROUP BY conv_id"""
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -119,5 +147,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_embedding_groups, op6_warc, op7_simhash, op8_chat, op10_token_counts)}
+    op1_mix, op2_embedding_groups, op3_decontaminate, op4_secrets, op5_language, op6_warc, op7_simhash, op8_chat,
+    op9_licenses, op10_token_counts)}
 ORACLES = {"op1_mix": OP1_SQL, "op2_embedding_groups": OP2_SQL, "op8_chat": OP8_SQL}

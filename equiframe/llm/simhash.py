@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiframe.llm.components import connected_components
-from equiframe.llm.shared import Stored
+from equiframe.llm.shared import Stored, text_key
 
 LANE, SEED = 64, 42
 BLOCK = 1 << 16  # hashes whose bytes are counted at once
@@ -190,3 +190,76 @@ def simhash_groups(
         F.col("f0").alias("f0"), F.coalesce("component", "vertex").alias("component_id"))
     return rows.join(classes, "f0", "left").select(
         key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _similar(rows: DataFrame, points: DataFrame, key: str, text: str, width: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """A test that keeps pairs of vertices whose sets of shingles have this Jaccard similarity.
+
+    ``points`` tells the text ``(vertex, text_key)`` of each vertex.  Only texts of vertices in a pair are
+    looked up and cut into shingles.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes_of(shingles(words_in(v.as_py() or b""), width), 1)).view("<i8")
+                    for v in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vertex", "shingles"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        held = Stored(pairs, "pairs").frame
+        used = held.select(F.col("a").alias("vertex")).union(held.select(F.col("b").alias("vertex"))).distinct()
+        known = Stored(points.select("vertex", "text_key").join(used, "vertex"), "used").frame
+        texts = rows.select(F.col(key).alias("vertex"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key")).join(
+            known, ["vertex", "text_key"]).select("vertex", "text")
+        sets = Stored(texts.mapInArrow(cut, T.StructType([
+            texts.schema["vertex"], T.StructField("shingles", T.ArrayType(T.LongType()))])), "shingles").frame.dropDuplicates(["vertex"])
+        both = (
+            held.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
+        )
+        common = F.size(F.array_intersect("x", "y"))
+        return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    return verify
+
+
+def near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8,
+    lanes: int = 2, max_bits: int = 13,
+) -> DataFrame:
+    """``(key, text_key)`` of the rows of ``docs`` that are near copies of a row that stays, distinct.
+
+    Texts link if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity``.
+    Candidates are pairs whose fingerprints over distinct words, 64 bits per lane, differ in at most
+    ``max_bits`` bits: a changed word spoils five shingles but one word.  Of a group that links
+    reach, the smallest key stays.  Equal texts are one vertex; texts without words link with
+    nothing.  Rows with null text or a null key are never near copies.
+    """
+    rows = docs.select(key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    prints = Stored(fingerprints(rows, [key], text, 1, lanes, once=True), "fingerprints").frame
+    lane = [f"f{x}" for x in range(lanes)]
+    worded = prints.filter(F.greatest(*[F.abs(f) for f in lane]) > 0) if lanes > 1 else prints.filter("f0 <> 0")
+    vertices = Stored(worded.groupBy("text_key").agg(
+        F.min(key).alias("vertex"), *[F.first(f).alias(f) for f in lane]), "vertices").frame
+    # A key with several texts is one vertex; the first of its fingerprints stands for it.
+    points = vertices.groupBy("vertex").agg(F.min(F.struct("text_key", *lane)).alias("p")).select("vertex", "p.*")
+    groups = components_of(points.select("vertex", *lane), lanes, max_bits, _similar(rows, points, key, text, width, similarity))
+    placed = points.join(groups, "vertex", "left").select(
+        "text_key", F.coalesce("component", "vertex").alias("component"))
+    return (
+        worded.select(key, "text_key").join(placed, "text_key").filter(F.col(key) != F.col("component"))
+        .select(key, "text_key").distinct()
+    )
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without its near copies.
+
+    Rows that repeat the key and text of a row that stays, stay with it: they are one document.
+
+    Rows with null text, a null key or no words all stay.
+    """
+    copies = Stored(near_copies(docs, key, text, **options), "copies").frame
+    away = copies.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"))
+    marked = docs.withColumn("_mark", text_key(F.col(text)))
+    return marked.join(away, (F.col(key) == F.col("_key")) & (F.col("_mark") == F.col("_text_key")), "left_anti").drop("_mark")
