@@ -1,0 +1,77 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from equiframe.llm import secret_scan as S
+
+WORDS = "the quick brown foxes jumped over lazy sleeping dogs while international visitors watched carefully".split()
+
+
+def text_with(rng, tail):
+    lead = " ".join(rng.choice(WORDS) for _ in range(30))
+    return f"{lead} {tail} {lead}"
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    from tests.llm.conftest import DOCS
+    rng = random.Random(13)
+    rows, secret, clean = [], {}, set()
+    for i in range(240):
+        value = hashlib.sha1(str(i).encode()).hexdigest()
+        kind = i % 6
+        tail = {0: f'token = "{value}"', 1: f"commit {value}", 2: f"card {rng.randrange(10**15, 10**16)}", 3: "plain words only",
+                4: f"password: {value[:24].upper()}", 5: "token = \"your_token_value_here_1\""}[kind]
+        if kind in (0, 4):
+            secret[i] = value if kind == 0 else value[:24].upper()
+        else:
+            clean.add(i)
+        rows.append((i, text_with(rng, tail), "en", "src", 0))
+    rows += [(900, None, "en", None, None), (901, "", "en", "s", 0), (902, rows[0][1], "en", "src", 0), (903, "w" * 200_000, "en", "s", 0)]
+    frame = spark.createDataFrame(rows, DOCS).withColumnRenamed("n_chars", "secrets")
+    return S.scan_secrets(frame).collect(), secret, clean, {r[0]: r[1] for r in rows}
+
+
+def test_secrets_are_found_and_masked(scanned):
+    rows, secret, clean, texts = scanned
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) == len(by)
+    assert all(v in by[i].secrets and v not in by[i].redacted and S.MASK in by[i].redacted for i, v in secret.items())
+    assert by[902].redacted == by[0].redacted
+    assert by[900].redacted is None and by[901].redacted == ""
+    for i, r in by.items():
+        if not r.n_secrets:
+            assert r.redacted == texts[i]
+
+
+def test_false_positives_go(scanned):
+    rows, _, clean, _ = scanned
+    wrong = [r.doc_id for r in rows if r.doc_id in clean and r.n_secrets]
+    assert len(wrong) <= 0.03 * len(clean)
+    assert sum(r.n_candidates for r in rows if r.doc_id in clean) > 60  # they were candidates
+
+
+def test_candidates_against_a_plain_search(docs_of):
+    rng = random.Random(14)
+    texts = [text_with(rng, t) for t in (
+        "x=AbCdEfGh12345678Xy y", "passwd:hunter2hunter2", "secret = shortvalue", "aaaaaaaaaaaaaaaaaaaaaaa", "id 1234567890123456789")]
+    got = {(r.doc.key, r.value) for r in S.candidates(docs_of(texts)).collect()}
+    want = {(i, v) for i, t in enumerate(texts) for v in re.findall(S.RUN, t) if re.search(r"\d", v)}
+    assert got == want | {(1, "hunter2hunter2"), (2, "shortvalue")}
+
+
+def test_transitions_and_vocabulary(docs_of):
+    docs = docs_of(["abab ab", "AB zz", None])
+    terms = {r.term: r.n for r in S.vocabulary(docs).collect()}
+    assert terms == {"abab": 1, "ab": 2, "zz": 1}
+    logs = {r.pair: r.logp for r in S.transitions(S.vocabulary(docs)).collect()}
+    assert len(logs) == 676
+    import math
+    assert logs["ab"] == pytest.approx(math.log(5 / 30)) and logs["ba"] == pytest.approx(math.log(2 / 27))
+
+
+def test_empty(docs_of):
+    assert S.scan_secrets(docs_of([])).count() == 0
+    assert [r.n_candidates for r in S.scan_secrets(docs_of(["nothing here", None])).collect()] == [0, 0]
