@@ -55,19 +55,22 @@ def best_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     nodes = Stored(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes").frame
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     same_tree = F.col("tree").eqNullSafe(F.col("_t"))
-    state = Stored(nodes.join(known, same_tree & (F.col("parent") == F.col("_n")), "left").select(
-        "tree", "node", F.col("_n").alias("jump"), F.col("score").alias("sum"), F.lit(1).cast("bigint").alias("depth")), "jumps")
-    jumps = []  # the k-th holds (tree, node, ancestor 2^k above)
+    first = Stored(nodes.join(known, same_tree & (F.col("parent") == F.col("_n")), "left").select(
+        "tree", "node", F.col("_n").alias("jump"), F.col("score").alias("sum"), F.lit(1).cast("bigint").alias("depth")), "jumps").frame
+    reached, climbing = first.filter("jump is null"), first.filter("jump is not null")
+    jumps = []  # the k-th holds (tree, node, ancestor 2^k above) of the messages that are as deep
     most = max(1, nodes.count()).bit_length() + 1
-    while len(jumps) < most and not state.frame.filter("jump is not null").isEmpty():
-        jumps.append(state.frame.select("tree", "node", "jump"))
-        above = state.frame.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"),
-                                   F.col("sum").alias("_s"), F.col("depth").alias("_d"))
-        state = Stored(state.frame.join(above, same_tree & (F.col("jump") == F.col("_n")), "left").select(
-            "tree", "node", F.col("_j").alias("jump"), (F.col("sum") + F.coalesce("_s", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "jumps")
+    while len(jumps) < most and not climbing.isEmpty():
+        jumps.append(climbing.select("tree", "node", "jump"))
+        above = reached.union(climbing).select(
+            F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"),
+            F.col("sum").alias("_s"), F.col("depth").alias("_d"))
+        moved = Stored(climbing.join(above, same_tree & (F.col("jump") == F.col("_n"))).select(
+            "tree", "node", F.col("_j").alias("jump"), (F.col("sum") + F.col("_s")).alias("sum"),
+            (F.col("depth") + F.col("_d")).alias("depth")), "jumps").frame
+        reached, climbing = reached.union(moved.filter("jump is null")), moved.filter("jump is not null")
     parents = nodes.filter("parent is not null").select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).distinct()
-    leaves = state.frame.filter("jump is null").join(parents, same_tree & (F.col("node") == F.col("_n")), "left_anti")
+    leaves = reached.join(parents, same_tree & (F.col("node") == F.col("_n")), "left_anti")
     if top is None:
         best = leaves.withColumn("path", F.row_number().over(
             Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("depth")), "node")))
@@ -81,11 +84,11 @@ def best_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         marked = one.select("tree", F.posexplode("r").alias("path", "rank")).select(
             "tree", (F.col("path") + 1).cast("bigint").alias("path"), F.col("rank.node").alias("node"))
     for jump in reversed(jumps):
-        hop = jump.filter("jump is not null").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"))
+        hop = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"))
         marked = Stored(marked.union(
             marked.join(hop, same_tree & (F.col("node") == F.col("_n"))).select("tree", "path", F.col("_j").alias("node"))
         ).distinct(), "marked").frame
-    depths = state.frame.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "depth")
+    depths = reached.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "depth")
     return marked.join(depths, same_tree & (F.col("node") == F.col("_n"))).select("tree", "path", "depth", "node")
 
 
