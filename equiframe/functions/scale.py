@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,24 +21,33 @@ from pyspark.sql import functions as F
 
 from equiframe.functions.columns import ref, rows_of
 
-SALTS = 16
 LOOKUP_ROWS = 20_000
-PAIR_GRID = 8
-MAX_BUCKETS = 4096
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}  # by session
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salt_count(spark: SparkSession) -> int:
+    """Parts a hot key is split into: with a third of the rows it keeps most tasks of a shuffle busy."""
+    return max(2, math.ceil(partitions(spark) / 4))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The cluster's checkpoint folder, ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="equiframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`release` of this session deletes."""
+    path = f"{shared_folder(spark)}/equiframe/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark._jsparkSession.sessionUUID(), []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
@@ -48,17 +57,16 @@ def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
     later jobs prune columns, and a lost executor costs only a re-read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/equiframe/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables this process has materialised; call it when their readers are done."""
-    done = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    """Delete what this session has written; call it when its readers are done."""
+    done, paths = 0, _written.pop(spark._jsparkSession.sessionUUID(), [])
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         done += 1
     return done
@@ -71,11 +79,12 @@ def salted_join(
 
     The summary is repeated once per salt and each big row takes the salt of
     its ``spread`` column, so a key that holds a third of the rows is spread over
-    ``SALTS`` tasks.  There is no broadcast hint: adaptive execution broadcasts the
+    :func:`salt_count` tasks.  There is no broadcast hint: adaptive execution broadcasts the
     summary only when its measured size is under the session's threshold.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    right = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = salt_count(big.sparkSession)
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -114,12 +123,13 @@ def unordered_pairs(summary: DataFrame, key: str, carry: Sequence[str]) -> DataF
     """Every pair of rows with ``key`` 1 < ``key`` 2, as ``{name}1`` and ``{name}2`` columns.
 
     Rows are hashed onto a grid, each one is sent to its grid row and its
-    grid column, and pairs meet in one cell: an equi-join spread over
-    ``PAIR_GRID`` squared cells, not a cross join.
+    grid column, and pairs meet in one cell: an equi-join spread over about as
+    many cells as a shuffle has partitions, not a cross join.
     """
     names = [key, *carry]
-    cell = F.pmod(F.xxhash64(key), F.lit(PAIR_GRID)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(PAIR_GRID - 1)))
+    side = math.ceil(math.sqrt(partitions(summary.sparkSession)))
+    cell = F.pmod(F.xxhash64(key), F.lit(side)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     first = summary.select(*[F.col(n).alias(f"{n}1") for n in names],
                            cell.alias("_row"), other.alias("_column"))
     second = summary.select(*[F.col(n).alias(f"{n}2") for n in names],
@@ -133,7 +143,7 @@ def unordered_pairs(summary: DataFrame, key: str, carry: Sequence[str]) -> DataF
 
 def bucket_count(spark: SparkSession) -> int:
     """Buckets for ordered work: one per shuffle partition of the session."""
-    return max(2, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, partitions(spark))
 
 
 def bucket_splits(
@@ -164,16 +174,21 @@ def bucketed_rows(
     by: Sequence[str] = (),
     sums: dict[str, Column] | None = None,
     buckets: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Long rows ``(*by, column, value, bucket, *sums)``, missing values left out.
 
-    ``sums`` are the amounts that later totals add up; 1 as ``n`` by default.
+    ``sums`` are the amounts that later totals add up; 1 as ``n`` by default.  Values are doubles;
+    with ``exact`` they keep the type of the one column there is, and the double only picks the bucket.
     """
+    if exact and len(columns) != 1:
+        raise ValueError("only a single column keeps its type")
     sums = sums or {"n": F.lit(1)}
     splits = bucket_splits(df, columns, buckets)
     picked = df.select(
         *[ref(b).alias(b) for b in by],
         *[ref(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)],
+        *[ref(c).alias(f"x{i}") for i, c in enumerate(columns) if exact],
         *[e.cast("bigint").alias(k) for k, e in sums.items()],
     )
     cut = Bucketizer(
@@ -186,10 +201,10 @@ def bucketed_rows(
         *[ref(b) for b in by],
         *sums,
         rows_of([
-            {"column": F.lit(c), "value": F.col(f"v{i}"), "bucket": F.col(f"b{i}").cast("int")}
+            {"column": F.lit(c), "value": F.col(f"x{i}" if exact else f"v{i}"), "bucket": F.col(f"b{i}").cast("int")}
             for i, c in enumerate(columns)
         ]),
-    ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    ).filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
 
 
 def value_totals(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -230,7 +245,7 @@ def running_totals(
     """
     names = [*keys, "bucket", "value", *sums, "_opening"]
     opening = openings.select(
-        *[ref(k) for k in keys], "bucket", F.lit(None).cast("double").alias("value"),
+        *[ref(k) for k in keys], "bucket", F.lit(None).cast(values.schema["value"].dataType).alias("value"),
         *[F.col(f"before_{s}").alias(s) for s in sums], F.lit(True).alias("_opening"),
     )
     tagged = values.withColumn("_opening", F.lit(False)).select(*[ref(n) for n in names])

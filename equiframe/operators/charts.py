@@ -9,13 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equiframe.functions.columns import (
-    clean, is_numeric, kinds, label_of, melt, one_row, ref, require, rows_of,
+    clean, is_numeric, kinds, label_of, melt, melt_typed, one_row, ref, require, rows_of,
 )
-from equiframe.functions.scale import lookup_join, quantiles, salted_join
+from equiframe.functions.scale import lookup_join, partitions, quantiles, salted_join
 from equiframe.operators.demographics import (
     TOP_GROUPS, chart_age_group, is_chart_age, split_charted,
 )
@@ -157,14 +157,14 @@ def histogram(df: DataFrame, columns: str | Sequence[str], bins: int | str = 20)
     df = clean(df)
     ranges = _ranges(df, columns)
     if not ranges:
-        return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n bigint")
+        return df.sparkSession.createDataFrame([], "column string, bin bigint, low double, high double, n bigint")
     _set_bins(df, ranges, bins)
     cells = []
     for c, r in ranges.items():
         place = F.floor((ref(c).cast("double") - F.lit(r.start)) / F.lit(r.width))
         cells.append({
             "column": F.lit(c),
-            "bin": F.when(place.isNotNull(), F.least(place, F.lit(r.bins - 1))).cast("int"),
+            "bin": F.when(place.isNotNull(), F.least(place, F.lit(r.bins - 1))).cast("bigint"),
             "start": F.lit(float(r.start)), "width": F.lit(float(r.width)),
         })
     edge = F.col("start") + F.col("bin") * F.col("width")
@@ -240,7 +240,7 @@ def _not_id_like(df: DataFrame, columns: Sequence[str]) -> list[str]:
     text = [c for c in columns if kinds(df)[c] == "categorical"]
     if not text:
         return list(columns)
-    found = profile(df, text, exact=False).filter(id_like()).select("column").collect()
+    found = profile(df, text).filter(id_like()).select("column").collect()
     return [c for c in columns if c not in {r["column"] for r in found}]
 
 
@@ -311,13 +311,24 @@ def overview(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def _top_values(df: DataFrame, column: str, n: int) -> list:
-    """The ``n`` most frequent values, ties by value."""
-    rows = (
-        df.filter(ref(column).isNotNull()).groupBy(ref(column).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(n).collect()
-    )
-    return [r["v"] for r in rows]
+def _top_values(df: DataFrame, columns: Sequence[str], n: int) -> dict[str, list]:
+    """The ``n`` most frequent values of each column, ties by value, from one count of all columns.
+
+    A column's counts are ranked in parts first, so that a column of many values is spread over tasks.
+    """
+    if not columns:
+        return {}
+    counts = melt_typed(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+    def best(frame: DataFrame, *keys: Column) -> DataFrame:
+        order = Window.partitionBy("column", *keys).orderBy(F.desc("n"), "value")
+        return frame.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+
+    part = F.pmod(F.xxhash64("value"), F.lit(partitions(df.sparkSession)))
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in best(best(counts, part)).collect():
+        out[r["column"]].append(next(v for v in r["value"] if v is not None))
+    return out
 
 
 def groupwise(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
@@ -333,15 +344,16 @@ def groupwise(df: DataFrame, columns: Sequence[str], target: str | None = None)
     if not demo:
         return df.sparkSession.createDataFrame([], LONG)
     asked = [target] if target is not None and target in df.columns else []
-    facts = profile(df, list(dict.fromkeys(demo + asked)), exact=False).withColumn("ok", valid_target()).collect()
+    facts = profile(df, list(dict.fromkeys(demo + asked))).withColumn("ok", valid_target()).collect()
     sizes = {r["column"]: r["n_unique"] for r in facts}
     target = next((r["column"] for r in facts if r["column"] in asked and r["ok"]), None)
     groups = {}
+    top = _top_values(df, [c for c in demo if not is_chart_age(df, c) and sizes[c] > TOP_GROUPS], TOP_GROUPS)
     for c in demo:
         if is_chart_age(df, c):
             groups[c] = chart_age_group(c)
         elif sizes[c] > TOP_GROUPS:
-            groups[c] = F.when(ref(c).isin(_top_values(df, c, TOP_GROUPS)), ref(c))
+            groups[c] = F.when(ref(c).isin(top[c]), ref(c))
         else:
             groups[c] = ref(c)
     if target is None:

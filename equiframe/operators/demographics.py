@@ -181,7 +181,7 @@ def onehot_prefixes(df: DataFrame) -> DataFrame:
     if not flags:
         return df.sparkSession.createDataFrame([], schema)
     return (
-        profile(df.select(*[ref(c) for c in flags]), exact=False)
+        profile(df.select(*[ref(c) for c in flags]))
         .filter("is_binary")
         .groupBy(F.regexp_replace("column", r"_[^_]*$", "").alias("prefix"))
         .agg(F.count(F.lit(1)).alias("members"))
@@ -215,7 +215,7 @@ def recommend_demographic(
         return merged, df.sparkSession.createDataFrame(
             [], "column string, n_unique bigint, null_ratio double")
     fit = (
-        profile(merged, names, exact=False)
+        profile(merged, names)
         .filter(F.col("n_unique").between(2, 15) & group_eligible() & (F.col("null_ratio") <= 0.5))
         .orderBy("position")
         .select("column", "n_unique", "null_ratio")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,29 +15,31 @@ from pyspark.sql import types as T
 
 from equiframe.functions.columns import clean, kinds, one_row, ref, require, safe_div
 from equiframe.functions.scale import (
-    bucket_openings, bucketed_rows, materialise, running_totals, value_totals,
+    bucket_openings, bucketed_rows, materialise, partitions, running_totals, value_totals,
 )
+from equiframe.operators.profile import ID_SHARE
 
 TEST_SHARE = 0.2
 SEED = 42
-MAX_CLASSES = 1000
 REPEATS = 10
 BLOCK_ROWS = 5_000
-SCORED = ("label", "prediction", "probability_1", "features")
+KEY_HASH = "key_hash"
+SCORED = ("label", "prediction", "probability_1", "features", KEY_HASH)
 
 
 @dataclass
 class Baseline:
     """A fitted model, the classes in index order, feature names and the scored test rows.
 
-    ``scored`` has the source columns plus ``label``, ``prediction``, ``probability_1``
-    and ``features``; these four take the place of source columns of the same name.
+    ``scored`` has the source columns plus ``label``, ``prediction``, ``probability_1``,
+    ``features`` and ``key_hash``; these take the place of source columns of the same name.
     """
 
     model: object
     classes: list
     features: list[str]
     scored: DataFrame
+    key: list[str]
 
 
 def select_model(n_classes: int, n_train: int, **options):
@@ -67,20 +69,22 @@ def split(df: DataFrame, key: Sequence[str] | None = None) -> tuple[DataFrame, D
     return df.filter(bucket >= cut), df.filter(bucket < cut)
 
 
-def _spread(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Use every core on a table that comes in a few files; a large one is spread already."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(source.inputFiles()) < cores else df
+def _spread(df: DataFrame, key: Sequence[Column]) -> DataFrame:
+    """Deal rows out by a hash of the key, so that neither fit nor scores follow the layout of files."""
+    return df.repartition(partitions(df.sparkSession), F.xxhash64(*key))
 
 
-def _label_index(df: DataFrame, target: str, max_classes: int) -> tuple[list, Column]:
+def _label_index(df: DataFrame, target: str) -> tuple[list, Column]:
+    """The classes in order.  They are part of the model, which lives on the driver; a target
+    that tells nearly all rows apart is refused as an identifier."""
+    seen = df.agg(F.count(ref(target)).alias("n"), F.count_distinct(ref(target)).alias("k")).first()
+    if seen["k"] > 2 and seen["k"] >= ID_SHARE * seen["n"]:
+        raise ValueError(f"{target} tells nearly all rows apart: not a classification target")
     rows = (
         df.select(ref(target).alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.lit(1))
-        .select("v").orderBy("v").limit(max_classes + 1).collect()
+        .select("v").orderBy("v").collect()
     )
     classes = [r["v"] for r in rows]
-    if len(classes) > max_classes:
-        raise ValueError(f"{target} has over {max_classes} classes: not a classification target")
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), ref(target)) - 1
     return classes, index.cast("double")
 
@@ -120,10 +124,9 @@ def _features(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list, l
 
 def train_baseline(
     df: DataFrame, target: str, features: Sequence[str] | None = None,
-    key: Sequence[str] | None = None, max_classes: int = MAX_CLASSES, **options,
+    key: Sequence[str] | None = None, **options,
 ) -> Baseline:
-    """Fit on 80 % of the rows, score the other 20 %.  A target with over ``max_classes``
-    values is refused, as it is no classification target.
+    """Fit on 80 % of the rows, score the other 20 %.
 
     Scored rows are written once to the shared folder: evaluation, importance and
     the fairness audit all read them.
@@ -131,35 +134,48 @@ def train_baseline(
     require(df, target, *(features or []), *(key or []))
     df = clean(df).filter(ref(target).isNotNull())
     features = list(features or [c for c in df.columns if c != target])
-    classes, index = _label_index(df, target, max_classes)
+    classes, index = _label_index(df, target)
     if len(classes) < 2:
         raise ValueError(f"{target} has fewer than two classes")
     frame, stages, names = _features(df.withColumn("_label", index), features)
-    train, test = split(frame, key or df.columns)
+    key = list(key or df.columns)
+    train, test = split(frame, key)
     built = Pipeline(stages=stages).fit(train)
     # what the fit reads, written once, so that its passes do not redo the encoding
-    ready = materialise(_spread(built.transform(train).select("_label", "_features"), df), "train")
+    ready = materialise(_spread(built.transform(train), [ref(c) for c in key]).select("_label", "_features"), "train")
     model = select_model(len(classes), ready.count(), **options).fit(ready)
-    scored = model.transform(built.transform(test)).select(
+    scored = model.transform(_spread(built.transform(test), [ref(c) for c in key])).select(
         *[ref(c) for c in df.columns if c not in SCORED],
         F.col("_label").alias("label"), F.col("_prediction").alias("prediction"),
         F.element_at(vector_to_array("_probability"), 2).alias("probability_1"),
-        F.col("_features").alias("features"),
+        F.col("_features").alias("features"), F.xxhash64(*[ref(c) for c in key]).alias(KEY_HASH),
     )
-    return Baseline(model, classes, names, materialise(_spread(scored, df), "scored"))
+    return Baseline(model, classes, names, materialise(scored, "scored"), key)
 
 
 # --- evaluation ---------------------------------------------------------------------
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Counts per true and predicted class, ``(label, prediction, n)``."""
+    """Counts per true and predicted class, ``(label, prediction, n)``.
+
+    Two numeric columns are compared as numbers, so an integer label meets the doubles that models
+    predict; whole numbers are written without a fraction.
+    """
     require(df, label, prediction)
+    both = [ref(label), ref(prediction)]
+    if all(isinstance(df.schema[c].dataType, T.NumericType) for c in (label, prediction)):
+        both = [_class_text(c) for c in both]
     return (
-        df.groupBy(ref(label).cast("string").alias("label"), ref(prediction).cast("string").alias("prediction"))
+        df.groupBy(both[0].cast("string").alias("label"), both[1].cast("string").alias("prediction"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def _class_text(value: Column) -> Column:
+    whole = value.cast("bigint")
+    return F.when(whole == value, whole.cast("string")).otherwise(value.cast("double").cast("string"))
+
+
 def classification_report(
     df: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
@@ -199,9 +215,9 @@ def classification_report(
 
 def _score_totals(df: DataFrame, label: str, score: str, positive) -> tuple[DataFrame, DataFrame]:
     require(df, label, score)
-    hit = ref(label).eqNullSafe(F.lit(positive))
+    hit = ref(label) == F.lit(positive)
     rows = bucketed_rows(
-        clean(df), [score],
+        clean(df).filter(ref(label).isNotNull()), [score],  # a row without a label is on neither side
         sums={"pos": hit.cast("bigint"), "neg": (~hit).cast("bigint")},
     ).drop("column").withColumn("curve", F.lit(1))
     return rows, value_totals(rows, ["curve"], ["pos", "neg"])
@@ -242,49 +258,51 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
 
 # --- permutation importance -----------------------------------------------------------
 
-def permutation_importance(fitted: Baseline, repeats: int = REPEATS) -> DataFrame:
+def permutation_importance(fitted: Baseline, repeats: int = REPEATS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Loss of accuracy when one feature is shuffled: ``(feature, importance_mean, importance_std)``.
 
-    Rows go to random blocks of about ``BLOCK_ROWS``; within a block each repeat puts
-    them in a random order and every row takes the feature of the next one, which
-    permutes the feature over all rows.  That costs one shuffle of the test rows for
-    all repeats and features, and no row index.
+    A hash of the key puts rows in blocks of about ``block_rows`` and in an order within them; that is the one
+    sort.  In each repeat every row takes the feature of the row some places further on, around the
+    block's end, which permutes the feature over all rows.  The distance follows from block and repeat.
+    A regression's margin moves by coefficient times difference; a forest predicts the changed vectors.
     """
     scored = fitted.scored.select(
-        "label", "prediction", vector_to_array("features").alias("features"),
-        F.monotonically_increasing_id().alias("_id"),  # the scored table is written, so this is stable
-    )
+        "label", "prediction", vector_to_array("features").alias("own"), F.col(KEY_HASH).alias("_at"))
     n = scored.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    blocked = scored.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-    donors = []
-    for r in range(repeats):
-        order = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(SEED + r), F.col("_id")), "_id")
-        first = F.first("features").over(
-            order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        donors.append(F.coalesce(F.lead("features").over(order), first))
-    shuffled = blocked.select(
-        "label", F.col("features").alias("_own"), F.array(*donors).alias("_donors"))
+    blocks = max(1, -(-n // block_rows))
+    order = Window.partitionBy("_block").orderBy("_at", "own", "label")
+    everyone = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = scored.withColumn("_block", F.pmod(F.xxhash64(F.lit(SEED), "_at"), F.lit(blocks))).select(
+        "label", "own", "_block", (F.row_number().over(order) - 1).alias("_place"), F.count(F.lit(1)).over(everyone).alias("_size"))
+    held = materialise(placed, "placed")
+    distance = F.when(F.col("_size") > 1, 1 + F.pmod(F.xxhash64(F.lit(SEED), "repeat", "_block"), F.col("_size") - 1)).otherwise(0)
+    asking = held.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
+        "_place", (F.col("_place") + distance) % F.col("_size")).select("label", "own", "repeat", "_block", "_place")
+    trials = asking.join(held.select("_block", "_place", F.col("own").alias("donor")), ["_block", "_place"])
     slots = range(len(fitted.features))
-    swapped = F.array(*[
-        F.when(F.col("slot") == i, F.get("_donor", F.lit(i))).otherwise(F.get("_own", F.lit(i))) for i in slots
-    ])
-    trials = (
-        shuffled.select("label", "_own", F.posexplode("_donors").alias("repeat", "_donor"))
-        .withColumn("slot", F.explode(F.array(*[F.lit(i) for i in slots])))
-        .select("label", "repeat", "slot", array_to_vector(swapped).alias("_features"))
-    )
+    if isinstance(fitted.model, LogisticRegressionModel):
+        weights = [float(w) for w in fitted.model.coefficients]
+        # whether the row is still predicted right with the feature taken from the other row
+        margin = F.aggregate(F.zip_with("own", F.array(*map(F.lit, weights)), lambda x, w: x * w),
+                             F.lit(float(fitted.model.intercept)), lambda s, v: s + v)
+        right = F.transform(
+            F.zip_with(F.zip_with("donor", "own", lambda d, o: d - o), F.array(*map(F.lit, weights)), lambda x, w: x * w),
+            lambda move: ((F.col("margin") + move > 0) == (F.col("label") == 1)).cast("double"))
+        hits = trials.withColumn("margin", margin).select("repeat", F.posexplode(right).alias("slot", "hit"))
+    else:
+        swapped = F.array(*[
+            F.when(F.col("slot") == i, F.get("donor", F.lit(i))).otherwise(F.get("own", F.lit(i))) for i in slots
+        ])
+        changed = trials.withColumn("slot", F.explode(F.array(*[F.lit(i) for i in slots]))).select(
+            "label", "repeat", "slot", array_to_vector(swapped).alias("_features"))
+        # only the class is needed here, not scores and probabilities
+        predictor = fitted.model.copy().setRawPredictionCol("").setProbabilityCol("")
+        hits = predictor.transform(changed).select(
+            "repeat", "slot", (F.col("label") == F.col("_prediction")).cast("double").alias("hit"))
+    base = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).scalar()
     names = F.array(*[F.lit(f) for f in fitted.features])
-
-    def accuracy(prediction: str) -> Column:
-        return F.avg((F.col("label") == F.col(prediction)).cast("double"))
-
-    base = scored.agg(accuracy("prediction")).scalar()
-    # only the class is needed here, not scores and probabilities
-    predictor = fitted.model.copy().setRawPredictionCol("").setProbabilityCol("")
     return (
-        predictor.transform(trials)
-        .groupBy("slot", "repeat").agg(accuracy("_prediction").alias("accuracy"))
+        hits.groupBy("slot", "repeat").agg(F.avg("hit").alias("accuracy"))
         .withColumn("loss", base - F.col("accuracy"))
         .groupBy("slot").agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
         .select(F.get(names, F.col("slot")).alias("feature"), "importance_mean", "importance_std")

@@ -31,21 +31,26 @@ COUNTS = ("tp", "fp", "fn", "tn")
 def confusion_counts(
     df: DataFrame, label: str, prediction: str, attributes: Sequence[str], positive=1
 ) -> DataFrame:
-    """``(attribute, group, tp, fp, fn, tn)`` for all attributes in one aggregation."""
+    """``(attribute, group, tp, fp, fn, tn, left_out)`` for all attributes in one aggregation.
+
+    Rows without a label or a prediction are in none of the four counts; ``left_out`` is their number.
+    """
     require(df, label, prediction, *attributes)
     frame = clean(df)
     types = {f.name: f.dataType for f in frame.schema.fields}
-    truth = ref(label).eqNullSafe(F.lit(positive))
-    said = ref(prediction).eqNullSafe(F.lit(positive))
+    truth = ref(label) == F.lit(positive)
+    said = ref(prediction) == F.lit(positive)
     # unpivoting before the count keeps the shuffle to a few rows per attribute and task,
     # however many attributes there are
     long = frame.select(truth.alias("t"), said.alias("s"), rows_of([
         {"attribute": F.lit(a), "group": as_text(a, types[a])} for a in attributes
     ]))
-    t, s = F.col("t"), F.col("s")
+    known = F.col("t").isNotNull() & F.col("s").isNotNull()
+    t, s = F.when(known, F.col("t")), F.when(known, F.col("s"))
     return long.groupBy("attribute", "group").agg(
         F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"),
         F.count_if(t & ~s).alias("fn"), F.count_if(~t & ~s).alias("tn"),
+        F.count_if(t.isNull() | s.isNull()).alias("left_out"),
     )
 
 
@@ -55,14 +60,15 @@ def output_fairness(
 ) -> DataFrame:
     """Accuracy, precision, recall, F1 and selection rate per group.
 
-    Undefined ratios are 0.  A missing attribute value is a group of its own.
+    Undefined ratios are 0.  A missing attribute value is a group of its own.  Rows whose label or
+    prediction is missing count only in ``left_out``.
     ``metrics`` maps further names to expressions of ``(tp, fp, fn, tn)``.
     """
     attributes = [attributes] if isinstance(attributes, str) else list(attributes)
     counts = confusion_counts(df, label, prediction, attributes, positive)
     cols = [F.col(c) for c in COUNTS]
     return counts.select(
-        "attribute", "group", sum(cols[1:], cols[0]).alias("n"), *COUNTS,
+        "attribute", "group", sum(cols[1:], cols[0]).alias("n"), *COUNTS, "left_out",
         *[m(*cols).alias(name) for name, m in (metrics or METRICS).items()],
     )
 
@@ -87,7 +93,7 @@ def disparities(by_group: DataFrame) -> DataFrame:
     Each metric has its spread over groups and its highest-to-lowest ratio (infinite
     when the lowest is 0); the two parity differences follow the same form.
     """
-    named = [m for m in by_group.columns if m not in ("attribute", "group", "n", *COUNTS)]
+    named = [m for m in by_group.columns if m not in ("attribute", "group", "n", *COUNTS, "left_out")]
     spread = by_group.groupBy("attribute").agg(*[
         a for m in named for a in (F.max(m).alias(f"{m}_max"), F.min(m).alias(f"{m}_min"))
     ])

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import as_text, clean, kinds, ref, require
-from equiframe.functions.scale import LOOKUP_ROWS, SALTS, materialise, quantiles
+from equiframe.functions.scale import LOOKUP_ROWS, materialise, quantiles, salt_count
 from equiframe.operators.profile import modes, profile
 
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 ONE_HOT_LIMIT = 50
 FEW_VALUES = 200   # value lists up to about this long are plan metadata
 HOT_SHARE = 0.01
@@ -52,10 +54,9 @@ def _missing_step() -> Column:
 def recommend(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """Preprocessing plan, one row per column in table order.
 
-    Pass the frame of :func:`profile` to reuse it; otherwise distinct values are
-    counted only for columns that lie near a threshold.
+    Pass the frame of :func:`profile` to reuse it.
     """
-    profiled = profile(df, exact=False) if profiled is None else profiled
+    profiled = profile(df) if profiled is None else profiled
     empty = (F.col("non_null") == 0) | (F.col("n_unique") == 0)
     steps = F.when(empty, F.array(F.lit(X.DROP_COLUMN))).otherwise(
         F.concat(_encode_step(), _missing_step())
@@ -113,24 +114,43 @@ def dedupe(df: DataFrame) -> DataFrame:
 
 
 def _fills(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Fill value of each column: the mode of text, the median of numbers."""
+    """Fill value of each column: the mode of text and truth values, the median of numbers, the middle of times."""
     kind = kinds(df)
+    types = {c: df.schema[c].dataType for c in columns}
     out = {}
     text = [c for c in columns if kind[c] == "categorical"]
+    truths = [c for c in columns if isinstance(types[c], T.BooleanType)]
     numbers = [c for c in columns if kind[c] in ("integer", "float")]
-    if text:
-        found = {r["column"]: r["top"] for r in modes(df, text).collect()}
+    times = [c for c in columns if isinstance(types[c], TIMES)]
+    if text or truths:
+        found = {r["column"]: r["top"] for r in modes(df, [*text, *truths]).collect()}
         out.update({c: found.get(c, X.MISSING_FALLBACK) for c in text})
+        out.update({c: found[c] == "true" for c in truths if found.get(c) is not None})
+    if times:
+        ticks = df.select(*[_ticks(df, c).alias(c) for c in times])
+        found = {r["column"]: r["value"] for r in quantiles(ticks, times, [0.5]).collect()}
+        out.update({c: int(found[c] // 1) for c in times if c in found})
     if numbers:
         found = {r["column"]: r["value"] for r in quantiles(df, numbers, [0.5]).collect()}
         out.update({c: found[c] for c in numbers if c in found})
     return out
 
 
+def _ticks(df: DataFrame, name: str) -> Column:
+    """Days of a date, microseconds of a timestamp, since 1970."""
+    if isinstance(df.schema[name].dataType, T.DateType):
+        return F.unix_date(ref(name))
+    return F.unix_micros(ref(name).cast("timestamp"))
+
+
 def _filled(df: DataFrame, name: str, fill) -> Column:
     data_type = df.schema[name].dataType
     if fill is None:
         return ref(name)
+    if isinstance(data_type, T.DateType):
+        return F.coalesce(ref(name), F.date_from_unix_date(F.lit(fill)))
+    if isinstance(data_type, TIMES):
+        return F.coalesce(ref(name), F.timestamp_micros(F.lit(fill)).cast(data_type))
     if kinds(df)[name] == "integer" and float(fill) == int(fill):
         return F.coalesce(ref(name), F.lit(int(fill)).cast(data_type))
     if kinds(df)[name] in ("integer", "float"):
@@ -249,9 +269,10 @@ def _join_codes(df: DataFrame, name: str) -> DataFrame:
         return keyed.join(F.broadcast(table), "_label").select(*out)
     total = codes.agg(F.sum("n").alias("t")).scalar()
     hot = [r["label"] for r in codes.filter(F.col("n") > total * HOT_SHARE).select("label").collect()]
-    salt = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+    parts = salt_count(df.sparkSession)
+    salt = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(parts)).cast("int")
     salted = keyed.withColumn("_salt", F.when(F.col("_label").isin(hot), salt).otherwise(F.lit(0)))
-    salts = F.when(F.col("_label").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salts = F.when(F.col("_label").isin(hot), F.sequence(F.lit(0), F.lit(parts - 1)))
     spread = table.withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
     return salted.join(spread, ["_label", "_salt"]).select(*out)
 
@@ -339,9 +360,8 @@ def apply_plan(
     dropped: set[str] = set()
     dropped = set(picked(X.DROP_COLUMN)) | (set(picked(X.DROP_HIGH_NANS)) if missing else set())
     kind = kinds(df)
-    out = materialise(dedupe(df), "deduped").select(
-        *[ref(c) for c in df.columns if c not in dropped]
-    )
+    # rows repeat if all columns do, so dropped columns leave after the comparison and before the write
+    out = materialise(dedupe(df).select(*[ref(c) for c in df.columns if c not in dropped]), "deduped")
     if missing:
         imputed = picked(X.IMPUTE)
         fills = _fills(out, imputed)

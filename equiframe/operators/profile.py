@@ -11,22 +11,15 @@ from equiframe.functions.columns import as_text, clean, kinds, melt, melt_typed,
 from equiframe.functions.fixed import NOT_TARGET_KEYWORDS, TARGET_KEYWORDS
 from equiframe.functions.scale import quantiles
 
-EXACT_BELOW = 100          # every threshold on a distinct count is under this
-ID_BAND = (0.7, 1.3)       # estimated distinct / rows that needs an exact count
 ID_SHARE = 0.9
 
-PROFILE_SCHEMA = (
-    "position int, column string, kind string, rows bigint, non_null bigint, "
-    "null_ratio double, n_unique bigint, is_binary boolean, skewness double"
-)
-
 
 def _missing_share() -> Column:
     # the missing count is divided, as 1 - present / rows can round over a threshold
     return (F.col("rows") - F.col("non_null")) / F.greatest(F.col("rows"), F.lit(1))
 
 
-def _stats(df: DataFrame, columns: Sequence[str], estimate: bool) -> DataFrame:
+def _stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column from a single aggregation over the table."""
     kind = kinds(df)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -34,8 +27,6 @@ def _stats(df: DataFrame, columns: Sequence[str], estimate: bool) -> DataFrame:
     for i, c in enumerate(columns):
         v = ref(c)
         aggs.append(F.count(v).alias(f"n{i}"))
-        if estimate:
-            aggs.append(F.approx_count_distinct(v).alias(f"e{i}"))
         if kind[c] in ("integer", "float"):
             aggs.append(F.skewness(v.cast("double")).alias(f"s{i}"))
             aggs.append(F.bool_and(v.isin(0, 1)).alias(f"b{i}"))
@@ -49,7 +40,6 @@ def _stats(df: DataFrame, columns: Sequence[str], estimate: bool) -> DataFrame:
             "column": F.lit(c),
             "kind": F.lit(kind[c]),
             "non_null": F.col(f"n{i}"),
-            "estimate": F.col(f"e{i}") if estimate else F.lit(None).cast("bigint"),
             "is_binary": F.coalesce(F.col(f"b{i}"), F.lit(False)) if f"b{i}" in have else F.lit(False),
             "skewness": F.col(f"s{i}") if f"s{i}" in have else F.lit(None).cast("double"),
         }
@@ -70,53 +60,17 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _few_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Distinct values of columns known to have few: one pass, a set per column and task."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.size(F.collect_set(ref(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return dict(zip(columns, row))
-
-
-def profile(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
-) -> DataFrame:
-    """One row per column: kind, missing share, distinct values, skewness.
-
-    ``exact=True`` counts every distinct value and stays lazy.  With
-    ``exact=False`` a first pass estimates, and only columns whose estimate lies near
-    a threshold some rule uses are counted; other counts stay estimates.
-    """
+def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: kind, missing share, distinct values (all counted), skewness."""
     columns = list(columns or df.columns)
     require(df, *columns)
     df = clean(df)
-    shares = _missing_share().alias("null_ratio")
-    if exact:
-        counted = distinct_counts(df, columns)
-        return (
-            _stats(df, columns, estimate=False)
-            .join(counted, "column", "left")
-            .select("position", "column", "kind", "rows", "non_null", shares,
-                    F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-                    "is_binary", "skewness")
-        )
-    first = _stats(df, columns, estimate=True).collect()  # one row per column: metadata
-    few = [r["column"] for r in first if 0 < r["estimate"] < EXACT_BELOW]
-    many = [
-        r["column"] for r in first
-        if r["estimate"] >= EXACT_BELOW and r["kind"] == "categorical"
-        and ID_BAND[0] <= r["estimate"] / r["rows"] <= ID_BAND[1]
-    ]
-    exactly = _few_distinct(df, few)
-    if many:
-        exactly.update({r["column"]: r["n_unique"] for r in distinct_counts(df, many).collect()})
-    rows = [
-        (r["position"], r["column"], r["kind"], r["rows"], r["non_null"],
-         (r["rows"] - r["non_null"]) / max(r["rows"], 1),
-         exactly.get(r["column"], r["estimate"] or 0), r["is_binary"], r["skewness"])
-        for r in first
-    ]
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return (
+        _stats(df, columns)
+        .join(distinct_counts(df, columns), "column", "left")
+        .select("position", "column", "kind", "rows", "non_null", _missing_share().alias("null_ratio"),
+                F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "is_binary", "skewness")
+    )
 
 
 def missing_top(df: DataFrame, n: int = 30) -> DataFrame:
@@ -149,8 +103,8 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def table_summary(df: DataFrame) -> DataFrame:
     """Describe every column: long ``(column, statistic, number, text)``.
 
-    Numbers: count, mean, std, min, quartiles, max.  Others: count, unique, top, freq;
-    ``top`` is the only text.
+    Numbers: count, mean, std, min, quartiles, max.  Others: count, unique, top, freq.
+    Every column has its type; ``top`` and ``type`` are texts.
     """
     df = clean(df)
     kind = kinds(df)
@@ -198,7 +152,10 @@ def table_summary(df: DataFrame) -> DataFrame:
             {"statistic": F.lit("freq"), "number": F.col("freq").cast("double"), "text": no_text},
         ]))
         out = text if out is None else out.unionByName(text)
-    return out
+    kinds_of = df.sparkSession.createDataFrame(
+        [(f.name, "type", None, f.dataType.simpleString()) for f in df.schema.fields],
+        "column string, statistic string, number double, text string")
+    return kinds_of if out is None else out.unionByName(kinds_of)
 
 
 # --- rules over the profile -------------------------------------------------
@@ -232,9 +189,9 @@ def valid_target() -> Column:
     return ~id_like() & ~_name_has(NOT_TARGET_KEYWORDS)
 
 
-def column_rules(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_rules(df: DataFrame) -> DataFrame:
     """Every rule's verdict per column."""
-    return profile(df, exact=exact).select(
+    return profile(df).select(
         "column", "kind", "n_unique",
         group_eligible().alias("group_eligible"), id_like().alias("id_like"),
         categorical().alias("categorical"), valid_target().alias("valid_target"),
@@ -263,6 +220,8 @@ def low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     df = clean(df)
     kind = kinds(df)
     numeric = [c for c in df.columns if kind[c] in ("integer", "float")]
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "column string, variance double")
     row = df.agg(*[F.var_samp(ref(c)).alias(f"v{i}") for i, c in enumerate(numeric)])
     return row.select(
         rows_of([{"column": F.lit(c), "variance": F.col(f"v{i}")} for i, c in enumerate(numeric)])

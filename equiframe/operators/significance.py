@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import clean, is_numeric, ladder, melt_typed, ref, require, rows_of
-from equiframe.functions.pvalues import chi2_p, f_p, ks_p
+from equiframe.functions.pvalues import chi2_p, f_p, ks_exact_p, ks_p
 from equiframe.functions.scale import (
     bucket_openings, bucketed_rows, lookup_join, running_totals, salted_join, settle,
     unordered_pairs, value_totals,
@@ -133,19 +133,22 @@ def anova(df: DataFrame, columns: str | Sequence[str], group_col: str) -> DataFr
     )
 
 
-def ks_pairs(df: DataFrame, column: str, group_col: str) -> DataFrame:
+def ks_pairs(df: DataFrame, column: str, group_col: str, method: str = "limit") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of every pair of groups.
 
     Each group's distinct values are counted first.  A pair's distance is then the
     largest gap between two running shares over the values of its two groups,
-    found bucket by bucket.  The p-value is exact up to 10,000 rows per group and
-    from the limiting distribution above.
+    found bucket by bucket.  Integers are compared as integers.  The p-value is that of the limiting
+    distribution with a correction for finite samples; ``method="exact"`` counts lattice paths instead,
+    which takes time with the product of the two group sizes.
     """
+    if method not in ("limit", "exact"):
+        raise ValueError("method is 'limit' or 'exact'")
     require(df, column, group_col)
     frame = clean(df).filter(ref(group_col).isNotNull()).select(
         ref(group_col).cast("string").alias("group"), ref(column).alias("value")
     )
-    rows = bucketed_rows(frame, ["value"], ["group"])
+    rows = bucketed_rows(frame, ["value"], ["group"], exact=True)
     sizes = frame.filter(F.col("value").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     pairs = unordered_pairs(sizes, "group", ["size"])
     keys = ["group1", "group2", "size1", "size2"]
@@ -168,7 +171,7 @@ def ks_pairs(df: DataFrame, column: str, group_col: str) -> DataFrame:
         .groupBy(*keys).agg(F.max(gap).alias("stat"))
         .select(F.lit(column).alias("feature"), F.lit("ks").alias("test"), "group1", "group2",
                 F.col("size1").alias("n1"), F.col("size2").alias("n2"), "stat")
-        .withColumn("p_value", ks_p("stat", "n1", "n2"))
+        .withColumn("p_value", (ks_exact_p if method == "exact" else ks_p)("stat", "n1", "n2"))
     )
 
 

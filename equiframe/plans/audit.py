@@ -14,7 +14,7 @@ from equiframe.operators.charts import distributions
 from equiframe.operators.model import (
     Baseline, classification_report, permutation_importance, roc_auc, train_baseline,
 )
-from equiframe.operators.outcome import disparities, output_fairness
+from equiframe.operators.outcome import COUNTS, disparities, output_fairness
 from equiframe.operators.prepare import recommend
 from equiframe.operators.profile import profile
 from equiframe.operators.representation import fairness_summary, input_fairness
@@ -63,7 +63,7 @@ def long_audit(audit: dict[str, DataFrame]) -> DataFrame:
     ]
     if "output_fairness" in audit:
         metrics = [m for m in audit["output_fairness"].columns
-                   if m not in ("attribute", "group", "n", "tp", "fp", "fn", "tn")]
+                   if m not in ("attribute", "group", "n", *COUNTS, "left_out")]
         parts.append(numbers(audit["output_fairness"], "output_fairness", group, metrics))
         parts.append(audit["disparities"].select(
             F.lit("disparities").alias("section"), F.col("statistic").alias("item"), "metric", "value"))
@@ -96,7 +96,7 @@ def report_findings(df: DataFrame, audit_cols: Sequence[str], group_col: str = "
     """
     require(df, group_col, *audit_cols)
     df = clean(df)
-    sizes = {r["column"]: r["n_unique"] for r in profile(df, audit_cols, exact=False).collect()}
+    sizes = {r["column"]: r["n_unique"] for r in profile(df, audit_cols).collect()}
     few = [c for c in audit_cols if sizes[c] <= CATEGORICAL_UP_TO]
     many = [c for c in audit_cols if c not in few and is_numeric(df, c)]
     columns = ("feature", "test", "stat", "p_value")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiframe.functions.columns import ref, require
+from equiframe.functions.columns import clean, ref, require
 from equiframe.functions.fixed import DEFAULT_BENCHMARK
 
 SCHEMA = "group string, expected double"
@@ -28,7 +28,7 @@ def observed_benchmark(df: DataFrame, group_col: str) -> DataFrame:
     """Observed shares of the known groups, rounded to three places."""
     require(df, group_col)
     counts = (
-        df.select(ref(group_col).cast("string").alias("group"))
+        clean(df.select(ref(group_col).alias("group"))).select(F.col("group").cast("string").alias("group"))
         .filter(F.col("group") != "unknown")  # also leaves NULL out
         .groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     )
