@@ -36,9 +36,9 @@ QUERIES = {
     "onehot_totals": lambda s, d: demo.onehot_totals(flags(s, d), FAMILY),
     "recommend_demographic": lambda s, d: rounded(demo.recommend_demographic(flags(s, d))[1]),
     "demographic_columns": lambda s, d: rounded(
-        profile(flags(s, d), demo.demographic_columns(flags(s, d)), exact=False)
+        profile(flags(s, d), demo.demographic_columns(flags(s, d)))
         .select("column", "kind", "rows", "n_unique", "null_ratio")),
-    "column_labels": lambda s, d: profile(flags(s, d), exact=False).select(
+    "column_labels": lambda s, d: profile(flags(s, d)).select(
         "column", label_of(F.col("column")).alias("label"), "rows"),
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equiframe.functions.columns import rows_of
 from equiframe.operators import model
 from equiframe.operators.outcome import disparities, output_fairness, parity_odds
 from equiframe.plans.audit import fairness_audit, interactive_audit, long_audit, model_fairness
@@ -33,8 +34,7 @@ def _scores(s, d):
 
 def _forest(s, d):
     frame = predictions(s, d)
-    fitted = model.train_baseline(frame, "grp", ["grp2", "l_quantity", "l_tax", "prediction"], KEY,
-                                  numTrees=10, maxDepth=5)
+    fitted = model.train_baseline(frame, "grp", ["grp2", "l_quantity", "l_tax", "prediction"], KEY)
     return rounded(model.classification_report(fitted.scored))
 
 
@@ -43,9 +43,41 @@ def _importance(s, d):
 
 
 def _model_fairness(s, d):
-    frame = predictions(s, d)
-    _, found = model_fairness(frame, "prediction", ["grp", "grp2"], FEATURES, KEY, repeats=2)
-    return rounded(found["output_fairness"])
+    """All five results, as ``(section, item, metric, value)``."""
+    _, found = model_fairness(predictions(s, d), "prediction", ["grp", "grp2"], FEATURES, KEY)
+
+    def long(section, item, metrics):
+        return found[section].select(F.lit(section).alias("section"), item.alias("item"), rows_of([
+            {"metric": F.lit(m), "value": F.col(m).cast("double")} for m in metrics]))
+
+    by_group = F.concat_ws(":", "attribute", F.coalesce("group", F.lit("(missing)")))
+    return rounded(
+        long("report", F.col("class"), ("precision", "recall", "f1", "support"))
+        .unionByName(long("importance", F.col("feature"), ("importance_mean", "importance_std")))
+        .unionByName(long("output_fairness", by_group, ("n", "accuracy", "precision", "recall", "f1", "selection_rate")))
+        .unionByName(found["disparities"].select(
+            F.lit("disparities").alias("section"), F.concat_ws(":", "attribute", "metric").alias("item"),
+            F.col("statistic").alias("metric"), "value"))
+        .unionByName(long("auc", F.lit("all"), ("auc", "positives", "negatives"))))
+
+
+def _interactive(s, d):
+    """Both results: the numbers of the audit and its summary, and the verdict on each group."""
+    audit = interactive_audit(predictions(s, d), "grp", '{"A": 0.5, "N": 0.3, "R": 0.2}')
+    verdict = audit["input_fairness"].select(
+        F.lit("input_fairness").alias("section"), F.col("group").alias("item"), F.lit("fair").alias("metric"),
+        (F.col("fair") == "Fair").cast("double").alias("value"))
+    return rounded(long_audit(audit).unionByName(verdict))
+
+
+def _double_predictions(s, d):
+    """The class as a double, as models predict it."""
+    return predictions(s, d).withColumn("prediction", F.col("prediction").cast("double"))
+
+
+def _gappy(s, d):
+    """Labels missing where the tax is highest."""
+    return predictions(s, d).withColumn("label", F.when(F.col("l_tax") < 0.08, F.col("label")))
 
 
 QUERIES = {
@@ -55,9 +87,10 @@ QUERIES = {
     "parity_odds": lambda s, d: rounded(parity_odds(_by_group(s, d, ["grp", "grp2"]))),
     "fairness_audit": lambda s, d: rounded(long_audit(fairness_audit(
         predictions(s, d), "grp", "label", "prediction", GROUP_SHARES))),
-    "interactive_audit": lambda s, d: rounded(interactive_audit(
-        predictions(s, d), "grp", '{"A": 0.5, "N": 0.3, "R": 0.2}')["input_fairness"]
-        .select("group", "observed_share", "expected_share", "fair")),
+    "interactive_audit": _interactive,
+    "classification_report_double": lambda s, d: rounded(model.classification_report(_double_predictions(s, d))),
+    "output_fairness_missing": lambda s, d: rounded(output_fairness(_gappy(s, d), "label", "prediction", "grp")),
+    "roc_auc_missing": lambda s, d: rounded(model.roc_auc(_gappy(s, d), "label", "l_quantity")),
     "confusion_matrix": lambda s, d: model.confusion_matrix(predictions(s, d)),
     "classification_report": lambda s, d: rounded(model.classification_report(predictions(s, d))),
     "roc_curve": lambda s, d: rounded(model.roc_curve(predictions(s, d), "label", "l_quantity")),
@@ -73,7 +106,7 @@ def _metrics_sql(attributes: list[str]) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{a}' AS attribute, {a} AS grp, label, prediction FROM v" for a in attributes)
     return f"""v AS ({PREDICTIONS}), long AS ({parts}),
-    m AS (SELECT attribute, grp, count(*) AS n,
+    m AS (SELECT attribute, grp, count(*) FILTER (label IS NOT NULL AND prediction IS NOT NULL) AS n, count(*) AS n_all,
             count(*) FILTER (label = 1 AND prediction = 1) AS tp,
             count(*) FILTER (label = 0 AND prediction = 1) AS fp,
             count(*) FILTER (label = 1 AND prediction = 0) AS fn,
@@ -93,7 +126,7 @@ _NAMES = {
     "recall": "Coverage of Actual Positives", "f1": "Balance between Precision & Recall",
     "selection_rate": "Group Selection Rate",
 }
-_PER_GROUP = """SELECT attribute, grp AS "group", n, tp, fp, fn, tn, round(accuracy, 6) AS accuracy,
+_PER_GROUP = """SELECT attribute, grp AS "group", n, tp, fp, fn, tn, CAST(n_all - n AS BIGINT) AS left_out, round(accuracy, 6) AS accuracy,
     round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
     round(selection_rate, 6) AS selection_rate FROM metrics"""
 _GAPS = " UNION ALL ".join(
@@ -138,9 +171,21 @@ ORACLES = {
         UNION ALL SELECT 'output_fairness', grp, 'selection_rate', selection_rate FROM metrics
         UNION ALL SELECT 'disparities', statistic, metric, value FROM ({_GAPS}))
         SELECT section, item, metric, round(CAST(value AS DOUBLE), 6) AS value FROM everything""",
-    "interactive_audit": f"""WITH v AS ({PREDICTIONS}), {_AUDIT}
-        SELECT grp AS "group", round(o, 6) AS observed_share, round(CAST(e AS DOUBLE), 6) AS expected_share,
-               CASE WHEN r BETWEEN 0.8 AND 1.25 THEN 'Fair' ELSE 'Not Fair' END AS fair FROM audit""",
+    "interactive_audit": f"""WITH v AS ({PREDICTIONS}), {_AUDIT}, {DISTANCES},
+        totals AS (SELECT count(*) AS t, count(*) FILTER (r BETWEEN 0.8 AND 1.25) AS f FROM audit),
+        everything AS (
+        SELECT 'input_fairness' AS section, grp AS item, 'observed_share' AS metric, o AS value FROM audit
+        UNION ALL SELECT 'input_fairness', grp, 'expected_share', e FROM audit
+        UNION ALL SELECT 'input_fairness', grp, 'disparity_ratio', r FROM audit
+        UNION ALL SELECT 'input_fairness', grp, 'abs_difference', a FROM audit
+        UNION ALL SELECT 'input_fairness', grp, 'fair', CAST(r BETWEEN 0.8 AND 1.25 AS INT) FROM audit
+        UNION ALL SELECT 'summary', 'all', 'total_groups', t FROM totals
+        UNION ALL SELECT 'summary', 'all', 'unfair_groups', t - f FROM totals
+        UNION ALL SELECT 'summary', 'all', 'fairness_rate', f / CAST(t AS DOUBLE) FROM totals
+        UNION ALL SELECT 'summary', 'all', 'kl_divergence', kl FROM named
+        UNION ALL SELECT 'summary', 'all', 'wasserstein_distance', w FROM named
+        UNION ALL SELECT 'summary', 'all', 'total_variation', tv FROM named)
+        SELECT section, item, metric, round(CAST(value AS DOUBLE), 6) AS value FROM everything""",
     "confusion_matrix": f"""SELECT CAST(label AS VARCHAR) AS label, CAST(prediction AS VARCHAR) AS prediction,
         count(*) AS n FROM ({PREDICTIONS}) GROUP BY 1, 2""",
     "classification_report": f"""WITH v AS ({PREDICTIONS}),
@@ -173,3 +218,9 @@ ORACLES = {
         SELECT round(sum(p * (cn - n / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 6) AS auc,
                CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM r""",
 }
+_GAPPY = f"SELECT * REPLACE (CASE WHEN l_tax < 0.08 THEN label END AS label) FROM ({PREDICTIONS})"
+ORACLES |= {
+    "classification_report_double": ORACLES["classification_report"],
+    "output_fairness_missing": ORACLES["output_fairness"].replace(PREDICTIONS, _GAPPY),
+    "roc_auc_missing": ORACLES["roc_auc"].replace(PREDICTIONS, _GAPPY),
+}

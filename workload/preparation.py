@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from equiframe.functions.scale import shared_folder
+from equiframe.functions.scale import shared_path
 from equiframe.operators import prepare as prep
 from equiframe.operators.profile import profile
 from equiframe.sources.csv import read_csv, write_csv
@@ -15,7 +13,7 @@ from workload.views import FLAGS, LABELLED, flags, labelled, rounded, table
 
 
 def _plan_text(plan):
-    return plan.select("position", "column", "kind", "null_ratio", "skewness", "recommendation")
+    return plan.select("position", "column", "kind", "n_unique", "null_ratio", "skewness", "recommendation")
 
 
 def _csv_roundtrip(s, d):
@@ -26,11 +24,19 @@ def _csv_roundtrip(s, d):
         F.coalesce(F.col("toxic").cast("string"), F.lit("N/A")).alias("toxic"),
         (F.col("n_chars") / 7).alias("ratio"), (F.col("n_chars") > 1000).alias("long"),
     )
-    path = f"{shared_folder(s)}/equiframe/csv-{uuid.uuid4().hex}"
+    path = shared_path(s, "csv")
     write_csv(docs, path)
     return rounded(read_csv(s, path))
 
 
+def _gaps(s, d):
+    """Truth values and dates with gaps."""
+    docs = labelled(s, d)
+    seen = F.col("quality").isNotNull()
+    return docs.select("doc_id", F.when(seen, F.col("n_chars") > 1500).alias("large"), F.when(
+        seen, F.date_from_unix_date((F.col("doc_id") % 997).cast("int"))).alias("day"))
+
+
 def _plan_edited(s, d):
     """A plan with one step overridden by the user and scaling switched off."""
     docs = labelled(s, d)
@@ -50,6 +56,7 @@ QUERIES = {
     "impute": lambda s, d: prep.impute(
         labelled(s, d).withColumn("lang", F.when(F.col("quality").isNotNull(), F.col("lang"))),
         ["lang", "quality", "toxic"]),
+    "impute_truths_and_dates": lambda s, d: prep.impute(_gaps(s, d), ["large", "day"]),
     "min_max_scale": lambda s, d: rounded(prep.min_max_scale(
         table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"),
         ["l_quantity", "l_tax"])),
@@ -81,7 +88,7 @@ LADDER = """
              WHEN null_ratio > 0.3 THEN ' + ImputeMissing + ⚠️ HighMissingRate'
              WHEN null_ratio > 0 THEN ' + ImputeMissing' ELSE '' END END AS recommendation
         FROM prof)"""
-_PLAN = """SELECT position, "column", kind, round(null_ratio, 6) AS null_ratio,
+_PLAN = """SELECT position, "column", kind, n_unique, round(null_ratio, 6) AS null_ratio,
     round(skewness, 6) AS skewness, recommendation FROM plan"""
 # Plain names for the dotted columns of the one-hot view.
 _FLAG_COLUMNS = ("case.id", "demographic.race_auto", "demographic.race_building", "demographic.race_furniture",
@@ -118,6 +125,10 @@ ORACLES = {
                                        ORDER BY count(*) DESC, 1 LIMIT 1)) AS lang, source, n_chars,
                CAST(coalesce(quality, (SELECT median(quality) FROM v)) AS INT) AS quality,
                CAST(coalesce(toxic, (SELECT median(toxic) FROM v)) AS INT) AS toxic FROM v""",
+    "impute_truths_and_dates": f"""WITH v AS (SELECT doc_id, CASE WHEN quality IS NOT NULL THEN n_chars > 1500 END AS large,
+            CASE WHEN quality IS NOT NULL THEN doc_id % 997 END AS days FROM ({LABELLED}))
+        SELECT doc_id, coalesce(large, (SELECT large FROM v WHERE large IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
+            AS large, DATE '1970-01-01' + CAST(floor(coalesce(days, (SELECT median(days) FROM v))) AS INT) AS day FROM v""",
     "min_max_scale": """WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS e
                                    FROM lineitem)
         SELECT l_orderkey, l_linenumber, round((l_quantity - a) / (b - a), 6) AS l_quantity,

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from equiframe.operators import profile as prof
 from workload.views import LABELLED, labelled, rounded, table
 
 QUERIES = {
     "profile": lambda s, d: rounded(prof.profile(labelled(s, d))),
     "profile_thresholds": lambda s, d: rounded(
-        prof.profile(labelled(s, d), exact=False)
-        .filter(F.col("n_unique") <= 50).drop("position")),
+        prof.profile(labelled(s, d)).drop("position")),
     "missing_top": lambda s, d: rounded(prof.missing_top(labelled(s, d), 30)),
     "table_summary": lambda s, d: rounded(prof.table_summary(table(s, d, "lineitem").select(
         "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")), 8),
@@ -22,6 +19,7 @@ QUERIES = {
     "groupwise_missing": lambda s, d: rounded(prof.groupwise_missing(labelled(s, d), "quality", "lang")),
     "low_variance": lambda s, d: rounded(prof.low_variance(table(s, d, "lineitem").select(
         "l_quantity", "l_discount", "l_tax", "l_returnflag"))),
+    "low_variance_of_texts": lambda s, d: prof.low_variance(labelled(s, d).select("lang", "source")),
     "contingency": lambda s, d: prof.contingency(table(s, d, "lineitem"), "l_returnflag", "l_linestatus"),
     "contingency_wide": lambda s, d: prof.contingency_wide(
         table(s, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"]),
@@ -54,7 +52,7 @@ _PROFILE = """SELECT position, "column", kind, rows, non_null, round(null_ratio,
     is_binary, round(skewness, 6) AS skewness FROM prof"""
 
 
-def _summary(source: str, numbers, texts, places: int = 6) -> str:
+def _summary(source: str, numbers, texts, types: dict[str, str], places: int = 6) -> str:
     parts = []
     for c in numbers:
         for name, expr in (
@@ -73,6 +71,7 @@ def _summary(source: str, numbers, texts, places: int = 6) -> str:
             f"SELECT '{c}', 'top', NULL, v FROM {top}",
             f"SELECT '{c}', 'freq', CAST(n AS DOUBLE), NULL FROM {top}",
         ]
+    parts += [f"SELECT '{c}', 'type', NULL, '{t}'" for c, t in types.items()]
     return f"WITH src AS ({source}) {' UNION ALL '.join(parts)}"
 
 
@@ -82,12 +81,16 @@ _CUSTOMER = (("c_custkey", "integer"), ("c_name", "categorical"), ("c_nationkey"
 ORACLES = {
     "profile": f"WITH {profile_rows(LABELLED, _DOCS)} {_PROFILE}",
     "profile_thresholds": f"""WITH {profile_rows(LABELLED, _DOCS)}
-        SELECT * EXCLUDE (position) FROM ({_PROFILE}) WHERE n_unique <= 50""",
+        SELECT * EXCLUDE (position) FROM ({_PROFILE})""",
     "missing_top": f"""WITH {profile_rows(LABELLED, _DOCS)}
         SELECT "column", round(null_ratio, 6) AS null_ratio FROM prof ORDER BY 2 DESC, 1 LIMIT 30""",
     "table_summary": _summary("SELECT * FROM lineitem", ("l_linenumber", "l_quantity", "l_discount", "l_tax"),
-                              ("l_returnflag", "l_linestatus"), 8),
-    "table_summary_missing": _summary(LABELLED, ("n_chars", "quality"), ("lang",)),
+                              ("l_returnflag", "l_linestatus"),
+                              {"l_linenumber": "int", "l_quantity": "double", "l_discount": "double", "l_tax": "double",
+                               "l_returnflag": "string", "l_linestatus": "string"}, 8),
+    "table_summary_missing": _summary(LABELLED, ("n_chars", "quality"), ("lang",),
+                                      {"lang": "string", "n_chars": "bigint", "quality": "int"}),
+    "low_variance_of_texts": """SELECT CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS DOUBLE) AS variance WHERE false""",
     "column_rules": f"""WITH {profile_rows("SELECT * FROM customer", _CUSTOMER)}
         SELECT "column", kind, n_unique,
             kind = 'categorical' OR (n_unique = 2 AND is_binary) OR (n_unique <= 15 AND kind = 'integer')

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from equiframe.functions.scale import shared_folder
+from equiframe.functions.scale import shared_path
 from equiframe.operators import findings as say
+from equiframe.operators.model import permutation_importance, train_baseline
 from equiframe.operators.outcome import disparities, output_fairness
 from equiframe.operators.prepare import recommend
 from equiframe.operators.profile import groupwise_missing
@@ -36,6 +35,8 @@ def _findings(s, d):
             group_moments(frame, ["l_quantity"], "grp")),
         say.distribution_findings(ks_pairs(frame, "l_tax", "grp")),
         say.outcome_findings(by_group, disparities(by_group)),
+        say.importance_findings(permutation_importance(train_baseline(
+            frame, "prediction", ["grp", "grp2", "l_quantity", "l_tax"], ["l_orderkey", "l_linenumber"]))),
     )
     return say.with_summary(said, len(docs.columns) + len(frame.columns))
 
@@ -45,13 +46,22 @@ def _audited(s, d):
 
 
 def _written_report(s, d):
-    """A report written to the shared folder and read back, as rows per section."""
+    """A report written to the shared folder and read back, all rows of its sections in one form."""
     report = audit_report(_audited(s, d), AUDITED, "l_returnflag")
-    path = f"{shared_folder(s)}/equiframe/report-{uuid.uuid4().hex}"
-    write_report(report, path, "json")
-    sections = [s.read.json(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(name).alias("section"), "rows") for name in report]
-    return sections[0].unionByName(sections[1]).unionByName(sections[2])
+    path = shared_path(s, "report")
+    write_report(report, path)
+    read = {name: s.read.parquet(f"{path}/{name}") for name in report}
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    return rounded(
+        read["recommendations"].select(
+            F.lit("recommendations").alias("section"), F.col("column").alias("item"), no_text.alias("statistic"),
+            no_text.alias("place"), F.col("recommendation").alias("text"), no_number.alias("value"))
+        .unionByName(read["findings"].select(
+            F.lit("findings").alias("section"), F.col("feature").alias("item"), F.col("severity").alias("statistic"),
+            F.col("group").alias("place"), F.col("message").alias("text"), no_number.alias("value")))
+        .unionByName(read["distributions"].select(
+            F.lit("distributions").alias("section"), F.col("attribute").alias("item"), "statistic",
+            F.col("group").alias("place"), F.col("category").alias("text"), "value")))
 
 
 AUDITED = ["l_linestatus", "l_tax", "l_discount", "l_quantity"]
@@ -72,6 +82,8 @@ QUERIES = {
     "group_moments": lambda s, d: rounded(group_moments(
         table(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")),
     "ks_pairs": lambda s, d: rounded(ks_pairs(table(s, d, "lineitem"), "l_quantity", "l_returnflag").drop("p_value")),
+    "ks_pairs_large_integers": lambda s, d: rounded(ks_pairs(
+        table(s, d, "orders").select((F.col("o_orderkey") + (1 << 53)).alias("v"), "o_orderstatus"), "v", "o_orderstatus")),
     "ks_pairs_continuous": lambda s, d: rounded(
         ks_pairs(table(s, d, "orders"), "o_totalprice", "o_orderpriority").drop("p_value")),
     "p_values": lambda s, d: rounded(
@@ -144,6 +156,17 @@ def _ks_sql(source: str, value: str, group: str, places: int = 6) -> str:
         FROM r GROUP BY 3, 4, 5, 6"""
 
 
+def _ks_p_sql(source: str, value: str, group: str) -> str:
+    """With the limiting series and its correction for finite samples."""
+    return f"""WITH d AS (SELECT *, sqrt(n1 * CAST(n2 AS DOUBLE) / (n1 + n2)) AS root FROM (
+            {_ks_sql(source, value, group, places=15)}) t(feature, test, group1, group2, n1, n2, stat)),
+        l AS (SELECT *, (root + 0.12 + 0.11 / root) * stat AS lam FROM d)
+        SELECT feature, test, group1, group2, n1, n2, round(stat, 6) AS stat,
+            round(CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * (
+                SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * pow(k * lam, 2))) FROM range(1, 101) r(k)))) END, 6)
+            AS p_value FROM l"""
+
+
 def _moments_sql() -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, l_returnflag AS "group", count({c}) AS n, round(avg({c}), 6) AS mean,
@@ -195,10 +218,12 @@ ORACLES = {
     "group_moments": _moments_sql(),
     "ks_pairs": _ks_sql("lineitem", "l_quantity", "l_returnflag"),
     "ks_pairs_continuous": _ks_sql("orders", "o_totalprice", "o_orderpriority"),
-    # the limiting series, which holds above 10,000 rows per group
-    "ks_p_values": f"""WITH d AS (SELECT group1, group2, n1, n2, d FROM (
-            {_ks_sql("lineitem", "l_quantity", "l_returnflag", places=15)}) t(feature, test, group1, group2, n1, n2, d))
-        SELECT group1, group2, round(least(1, greatest(0, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END
-            * exp(-2 * pow(k * d * sqrt(n1 * CAST(n2 AS DOUBLE) / (n1 + n2)), 2))) FROM range(1, 101) r(k)))), 6)
-            AS p_value FROM d""",
+    "ks_p_values": f"SELECT group1, group2, p_value FROM ({_ks_p_sql('lineitem', 'l_quantity', 'l_returnflag')})",
+    "ks_pairs_large_integers": _ks_p_sql(
+        "(SELECT o_orderkey + 9007199254740992 AS v, o_orderstatus FROM orders)", "v", "o_orderstatus"),
+    "p_values": f"""SELECT feature, test, group1, group2, p_value FROM ({_ks_p_sql('orders', 'o_totalprice', 'o_orderpriority')})
+        UNION ALL SELECT feature, test, NULL, NULL, p_value
+            FROM ({_anova_sql("orders", ["o_totalprice"], "o_orderpriority", True)})
+        UNION ALL SELECT feature, test, NULL, NULL, p_value
+            FROM ({_chi_sql("SELECT p_size, p_brand FROM part", ["p_size"], "p_brand", False, True)})""",
 }
