@@ -14,14 +14,14 @@ def recommendations(df):
 
 
 def test_recommend_text_number_and_mostly_missing(spark):
-    pets = ["cat", "dog", "cat", "dog", "mouse", None, "dog", "cat", "dog", "cat"]
-    sparse = [None, None, None, 1.0, 2.0, None, None, None, None, None]
+    shades = ["teal", None, "plum", "teal", "plum", "rust", "teal", "rust"]
+    hits = [None] * 6 + [4.5, 5.5]
     df = spark.createDataFrame(
-        list(zip(pets, range(10), sparse)), "category string, numeric bigint, mostly_nan double")
+        list(zip(shades, range(40, 48), hits)), "shade string, step bigint, hit double")
     assert recommendations(df) == {
-        "category": "OneHotEncoder + ImputeMissing",
-        "numeric": "MinMaxScaler",
-        "mostly_nan": "LabelEncoder + DropHighNaNs",
+        "shade": "OneHotEncoder + ImputeMissing",
+        "step": "MinMaxScaler",
+        "hit": "LabelEncoder + DropHighNaNs",
     }
 
 
@@ -59,15 +59,17 @@ def test_empty_column_is_dropped(spark):
     assert recommendations(df)["b"] == "DropColumn"
 
 
-def test_threshold_profile_agrees_with_exact(spark):
+def test_every_distinct_value_is_counted(spark):
     df = spark.range(5000).select(
         (F.col("id") % 7).cast("string").alias("few"), F.concat(F.lit("u"), "id").alias("ident"),
-        (F.col("id") % 2).alias("bit"))
-    exact = {r["column"]: r for r in profile(df).collect()}
-    near = {r["column"]: r for r in profile(df, exact=False).collect()}
-    for c in df.columns:
-        assert exact[c]["n_unique"] == near[c]["n_unique"]
-        assert exact[c]["is_binary"] == near[c]["is_binary"] == (c == "bit")
+        (F.col("id") % 3000).alias("many"), (F.col("id") % 2).alias("bit"))
+    found = {r["column"]: (r["n_unique"], r["is_binary"]) for r in profile(df).collect()}
+    assert found == {"few": (7, False), "ident": (5000, False), "many": (3000, False), "bit": (2, True)}
+    assert {r["column"]: r["n_unique"] for r in recommend(df).collect()}["many"] == 3000
+
+
+def test_low_variance_without_numbers(spark):
+    assert low_variance(spark.createDataFrame([("a",)], "t string")).count() == 0
 
 
 def test_skewness_is_the_moment_ratio(spark):

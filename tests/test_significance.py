@@ -118,3 +118,19 @@ def test_standardized_difference(spark):
     lone = [r for r in rows if "one" in (r["group1"], r["group2"])]
     assert all(r["d"] is None and r["effect_size"] == "Unknown" for r in lone)
     assert sig.standardized_difference(df.filter("g = 'a'"), "x", "g").count() == 0
+
+
+def test_ks_tail_has_no_step_in_size():
+    below, above = P.ks_tail(0.02, 10_000, 10_000), P.ks_tail(0.02, 10_001, 10_001)
+    assert 0 < below - above < 2e-5  # no more than one row does at any size
+    assert P.ks_tail(0.05, 4_000, 4_000) == pytest.approx(P.ks_exact_tail(0.05, 4_000, 4_000), rel=0.05)
+
+
+def test_exact_ks_keeps_small_tails():
+    assert 1e-21 < P.ks_exact_tail(0.12, 3_000, 3_000) < 1e-17
+
+
+def test_ks_tells_large_integers_apart(spark):
+    df = spark.createDataFrame([("a", 2**53), ("b", 2**53 + 1)], "g string, x bigint")
+    assert sig.ks_pairs(df, "x", "g").first()["stat"] == 1
+    assert sig.ks_pairs(df, "x", "g", method="exact").first()["p_value"] == 1
