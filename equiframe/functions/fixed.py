@@ -103,3 +103,13 @@ PLAIN_METRIC_NAMES = {
     "f1": "Balance between Precision & Recall",
     "selection_rate": "Group Selection Rate",
 }
+
+# Headings of the category summary as the interface shows them.
+CATEGORY_HEADINGS = {
+    "category": "Data Type (e.g., Diagnoses, Tests)",
+    "columns": "Total Columns",
+    "drop_recommended": "Columns Suggested for Removal (⚠️ Unused or Empty)",
+    "avg_missing": "Average Missing Data (%)",
+    "onehot_recommended": "Columns Suggested for Grouping (Group by Category)",
+    "numeric_transform": "Columns Suggested for Numeric Adjustment (Adjust Numbers)",
+}

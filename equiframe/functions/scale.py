@@ -104,6 +104,15 @@ def settle(summary: DataFrame) -> Lookup:
     return Lookup(summary.sparkSession.createDataFrame(found, summary.schema), True)
 
 
+def evaluated(summary: DataFrame, name: str = "summary") -> DataFrame:
+    """A summary whose rows are there: local up to ``LOOKUP_ROWS`` rows, else written to the shared folder.
+
+    Steps that follow read these rows and not the table behind them.
+    """
+    lookup = settle(summary)
+    return lookup.frame if lookup.small else materialise(summary, name)
+
+
 def lookup_join(
     big: DataFrame, summary: DataFrame | Lookup, on: Sequence[str], spread: Column
 ) -> DataFrame:

@@ -73,9 +73,11 @@ def _has(step: str) -> Column:
     return F.array_contains("steps", step)
 
 
-def summarize_categories(plan: DataFrame, mode: str = "exact") -> DataFrame:
+def summarize_categories(plan: DataFrame, mode: str = "exact", readable: bool = False) -> DataFrame:
     """Plan totals per category, the part of a column name before its first dot.
 
+    ``readable`` gives the columns the headings that the interface shows.
+
     ``mode="exact"`` files undotted names under ``project``.  ``mode="prefix"`` takes
     each name's first part and counts every column whose name starts with it,
     so categories may overlap.
@@ -93,7 +95,7 @@ def summarize_categories(plan: DataFrame, mode: str = "exact") -> DataFrame:
         )
     else:
         raise ValueError("mode is 'exact' or 'prefix'")
-    return (
+    totals = (
         rows.groupBy("category")
         .agg(
             F.count(F.lit(1)).alias("columns"),
@@ -104,6 +106,7 @@ def summarize_categories(plan: DataFrame, mode: str = "exact") -> DataFrame:
         )
         .orderBy("category")
     )
+    return totals.withColumnsRenamed(X.CATEGORY_HEADINGS) if readable else totals
 
 
 # --- apply ---------------------------------------------------------------------

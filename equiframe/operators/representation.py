@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import as_text, clean, ladder, one_row, ref, require, rows_of, safe_div
+from equiframe.functions.scale import evaluated
 from equiframe.sources.benchmark import benchmark_from_dict, default_benchmark
 
 METRICS = ("kl_divergence", "wasserstein_distance", "total_variation")
@@ -43,17 +44,16 @@ def input_fairness(
     """Observed and expected share of every group, NULL included, with a verdict.
 
     ``benchmark`` is a frame ``(group, expected)``, a mapping, or ``None`` for the
-    default one.  One aggregation reads the table; later steps see one row per group.
+    default one.  One aggregation reads the table, at once; later steps see one row per group.
     """
     if sort_by not in SORTABLE:
         raise ValueError(f"sort_by is one of {', '.join(SORTABLE)}")
     expected = validate(df, group_col, benchmark)
     types = {f.name: f.dataType for f in df.schema.fields}
-    observed = (
+    observed = evaluated(
         clean(df.select(ref(group_col)))
         .groupBy(as_text(group_col, types[group_col]).alias("group"))
-        .agg(F.count(F.lit(1)).alias("observed_count"))
-    )
+        .agg(F.count(F.lit(1)).alias("observed_count")), "groups")
     total = observed.agg(F.sum("observed_count").alias("t")).scalar()
     share = F.col("observed_count") / total
     ratio = F.col("disparity_ratio")

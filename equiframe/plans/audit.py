@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equiframe.functions.columns import clean, is_numeric, require, rows_of
+from equiframe.functions.scale import evaluated
 from equiframe.operators import findings as say
 from equiframe.operators.charts import distributions
 from equiframe.operators.model import (
@@ -30,10 +31,10 @@ def fairness_audit(
     benchmark=None,
 ) -> dict[str, DataFrame]:
     """Representation audit, and outcome audit when predictions are given."""
-    result = input_fairness(df, group_col, benchmark)
+    result = evaluated(input_fairness(df, group_col, benchmark), "audit").orderBy(F.desc("observed_share"), "group")
     out = {"input_fairness": result, "summary": fairness_summary(result)}
     if label is not None and prediction is not None:
-        by_group = output_fairness(df, label, prediction, group_col)
+        by_group = evaluated(output_fairness(df, label, prediction, group_col), "outcome")
         out["output_fairness"] = by_group
         out["disparities"] = disparities(by_group)
     return out
@@ -76,7 +77,7 @@ def model_fairness(
 ) -> tuple[Baseline, dict[str, DataFrame]]:
     """Train a baseline, then audit its test predictions for every attribute at once."""
     fitted = train_baseline(df, target, features, key, **options)
-    by_group = output_fairness(fitted.scored, "label", "prediction", list(attributes))
+    by_group = evaluated(output_fairness(fitted.scored, "label", "prediction", list(attributes)), "outcome")
     out = {
         "report": classification_report(fitted.scored),
         "importance": permutation_importance(fitted, repeats).limit(TOP_IMPORTANCE),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equiframe.functions.columns import label_of
 from equiframe.operators import demographics as demo
-from equiframe.operators.charts import demographic_counts
+from equiframe.operators.charts import column_labels, demographic_counts
 from equiframe.operators.profile import profile
-from workload.views import AGES, FLAGS, SEGMENTS, ages, flags, rounded, table
+from workload.views import AGES, FLAGS, LABELLED, SEGMENTS, ages, flags, labelled, rounded, table
 
 FAMILY = [f"demographic.{k}" for k in SEGMENTS]
 
@@ -38,8 +37,10 @@ QUERIES = {
     "demographic_columns": lambda s, d: rounded(
         profile(flags(s, d), demo.demographic_columns(flags(s, d)))
         .select("column", "kind", "rows", "n_unique", "null_ratio")),
-    "column_labels": lambda s, d: profile(flags(s, d)).select(
-        "column", label_of(F.col("column")).alias("label"), "rows"),
+    "column_labels": lambda s, d: column_labels(flags(s, d)).join(
+        profile(flags(s, d)).select("column", "rows"), "column"),
+    "existing_columns": lambda s, d: labelled(s, d).select(
+        "doc_id", *demo.existing_columns([("lang", "Language"), "source", "absent"], labelled(s, d).columns)),
 }
 
 _CASE = " ".join(f"WHEN \"demographic.{k}\" = 1 THEN '{k[len('race_'):]}'" for k in SEGMENTS)
@@ -82,6 +83,7 @@ ORACLES = {
     "demographic_columns": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", 'integer' AS kind, count(*) AS rows, count(DISTINCT "{c}") AS n_unique,
             0.0::DOUBLE AS null_ratio FROM ({FLAGS})""" for c in FAMILY),
+    "existing_columns": f"SELECT doc_id, lang, source FROM ({LABELLED})",
     "column_labels": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{t}' AS label, count(*) AS rows FROM customer" for c, t in _LABELS.items()),
 }

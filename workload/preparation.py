@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equiframe.functions.fixed import CATEGORY_HEADINGS
 from equiframe.functions.scale import shared_path
 from equiframe.operators import prepare as prep
 from equiframe.operators.profile import profile
@@ -16,6 +17,14 @@ def _plan_text(plan):
     return plan.select("position", "column", "kind", "n_unique", "null_ratio", "skewness", "recommendation")
 
 
+def _pass_through(s, d):
+    """Steps that are advice only leave their columns as they are."""
+    docs = labelled(s, d)
+    advice = F.when(F.col("column") == "n_chars", F.array(F.lit("PowerTransform"))).when(
+        F.col("column") == "doc_id", F.array(F.lit("UnknownType"))).otherwise(F.array(F.lit("DropColumn")))
+    return prep.apply_plan(docs, prep.recommend(docs).withColumn("steps", advice))
+
+
 def _csv_roundtrip(s, d):
     """Write documents with several kinds of missing-value text, read them back typed."""
     docs = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select(
@@ -71,6 +80,10 @@ QUERIES = {
     "label_codes": lambda s, d: prep.label_codes(table(s, d, "lineitem").select("l_partkey"), "l_partkey"),
     "apply_plan": lambda s, d: rounded(prep.apply_plan(labelled(s, d))),
     "apply_plan_edited": _plan_edited,
+    "apply_plan_pass_through": _pass_through,
+    "apply_plan_no_encoding": lambda s, d: rounded(prep.apply_plan(labelled(s, d), encoding=False)),
+    "apply_plan_keep_missing": lambda s, d: rounded(prep.apply_plan(labelled(s, d), missing=False)),
+    "summarize_categories_readable": lambda s, d: prep.summarize_categories(prep.recommend(flags(s, d)), readable=True),
     "shape_change": lambda s, d: prep.shape_change(labelled(s, d), prep.apply_plan(labelled(s, d))),
     "csv_roundtrip": _csv_roundtrip,
 }
@@ -159,9 +172,26 @@ ORACLES = {
                dense_rank() OVER (ORDER BY coalesce(toxic, (SELECT median(toxic) FROM v))) - 1 AS toxic,
                lang = 'de' AS lang_de, lang = 'en' AS lang_en, lang = 'es' AS lang_es, lang = 'fr' AS lang_fr
         FROM v""",
+    "apply_plan_pass_through": f"SELECT doc_id, n_chars FROM (SELECT DISTINCT * FROM ({LABELLED}))",
+    "apply_plan_no_encoding": f"""WITH v AS (SELECT DISTINCT * FROM ({LABELLED}))
+        SELECT round((doc_id - (SELECT min(doc_id) FROM v))
+                     / CAST((SELECT max(doc_id) - min(doc_id) FROM v) AS DOUBLE), 6) AS doc_id,
+               lang, source, round(ln(1 + n_chars), 6) AS n_chars,
+               CAST(coalesce(quality, (SELECT median(quality) FROM v)) AS INT) AS quality,
+               CAST(coalesce(toxic, (SELECT median(toxic) FROM v)) AS INT) AS toxic FROM v""",
+    "apply_plan_keep_missing": f"""WITH v AS (SELECT DISTINCT * FROM ({LABELLED}))
+        SELECT round((doc_id - (SELECT min(doc_id) FROM v))
+                     / CAST((SELECT max(doc_id) - min(doc_id) FROM v) AS DOUBLE), 6) AS doc_id,
+               dense_rank() OVER (ORDER BY source) - 1 AS source, round(ln(1 + n_chars), 6) AS n_chars,
+               dense_rank() OVER (ORDER BY coalesce(CAST(quality AS VARCHAR), 'missing_label')) - 1 AS quality,
+               dense_rank() OVER (ORDER BY coalesce(CAST(toxic AS VARCHAR), 'missing_label')) - 1 AS toxic,
+               lang = 'de' AS lang_de, lang = 'en' AS lang_en, lang = 'es' AS lang_es, lang = 'fr' AS lang_fr
+        FROM v""",
     "shape_change": f"""SELECT 'before' AS stage, count(*) AS rows, CAST(6 AS INT) AS columns FROM ({LABELLED})
         UNION ALL SELECT 'after', count(*), 9 FROM (SELECT DISTINCT * FROM ({LABELLED}))""",
     "csv_roundtrip": """SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(l.quality AS BIGINT) AS quality,
         CAST(l.toxic AS BIGINT) AS toxic, round(d.n_chars / 7.0, 6) AS ratio, d.n_chars > 1000 AS long
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 }
+ORACLES["summarize_categories_readable"] = "SELECT " + ", ".join(
+    f'{plain} AS "{shown}"' for plain, shown in CATEGORY_HEADINGS.items()) + f" FROM ({ORACLES['summarize_categories']})"
