@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equiframe.llm.shared import slices
+from equiframe.llm.shared import free_name, slices
 
 # First and last code points of letters by script; what lies in none is script 0.
 SCRIPTS = (
@@ -169,11 +169,11 @@ def identify(
     """
     added = ["lang_pred", "score", *["spans"] * spans]
     kept = docs.drop(*added)
-    names = kept.columns
+    names, whole = kept.columns, free_name(kept, "_text")
     at = len(names)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", SLICE_BYTES):
+        for batch in slices(batches, whole, SLICE_BYTES):
             seen: dict[str, int] = {}
             ids, sizes, offsets = [], [], []
             for value in batch.column(at).to_pylist():
@@ -224,4 +224,4 @@ def identify(
     kinds = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         kinds.append(T.StructField("spans", T._parse_datatype_string("array<struct<start:bigint,end:bigint,lang:string>>")))
-    return kept.withColumn("_text", F.col(text)).mapInArrow(label, T.StructType(kinds))
+    return kept.withColumn(whole, F.col(text)).mapInArrow(label, T.StructType(kinds))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiframe.functions.scale import lookup_join
-from equiframe.llm.shared import WORD, Stored
+from equiframe.llm.shared import WORD, Stored, free_name
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -90,13 +90,13 @@ def mix(
     sized = docs.drop(*added).withColumn("size", word_count(F.col(text)))
     sums = sized.groupBy(F.col(source).alias("_source")).agg(F.sum("size").alias("source_size"))
     summary = source_targets(sums, "_source", weights, most)
-    whole = F.floor("rate")
+    mark, whole = free_name(sized, "_mark"), F.floor("rate")
     copies = whole + (chance(F.col(key), seed) < F.col("rate") - whole).cast("bigint")
     return (
-        lookup_join(sized.withColumn("_mark", source_mark(F.col(source))),
-                    summary.select(source_mark(F.col("_source")).alias("_mark"), "source_size", "target", "rate"),
-                    ["_mark"], F.col(key))
-        .drop("_mark").withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+        lookup_join(sized.withColumn(mark, source_mark(F.col(source))),
+                    summary.select(source_mark(F.col("_source")).alias(mark), "source_size", "target", "rate"),
+                    [mark], F.col(key))
+        .drop(mark).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     )
 
 
@@ -107,5 +107,7 @@ def source_mark(source: Column) -> Column:
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each row of ``docs`` as often as the mix takes it, with all columns of ``mix``."""
-    return mix(docs, **options).withColumn("_copy", F.explode(
-        F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))).drop("_copy")
+    mixed = mix(docs, **options)
+    copy = free_name(mixed, "_copy")
+    return mixed.withColumn(copy, F.explode(
+        F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))).drop(copy)

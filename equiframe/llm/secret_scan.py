@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiframe.llm.shared import SPACES, Stored, text_key
+from equiframe.llm.shared import SPACES, Stored, free_name, text_key
 
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential)s?\"?'?[:=]+[\"']?([^\s\"',;]{8,})"
@@ -218,9 +218,10 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """
     kept = docs.drop("n_candidates", "n_secrets", "secrets", "redacted")
     found = Stored(find_secrets(kept, key, text, path, **options), "secrets").frame
-    slim = found.select(F.col("doc.key").alias("_key"), F.col("doc.text_key").alias("_text_key"), "n_candidates", "secrets")
-    joined = kept.withColumn("_mark", text_key(F.col(text))).join(
-        slim, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_text_key")), "left")
+    mark, doc, doc_mark = (free_name(kept, n) for n in ("_mark", "_doc", "_doc_mark"))
+    slim = found.select(F.col("doc.key").alias(doc), F.col("doc.text_key").alias(doc_mark), "n_candidates", "secrets")
+    joined = kept.withColumn(mark, text_key(F.col(text))).join(
+        slim, F.col(key).eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(doc_mark)), "left")
     ordered = F.array_sort("secrets", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
     redacted = F.aggregate(ordered, F.col(text), lambda t, s: F.replace(t, s["value"], F.lit(MASK)))
     return joined.select(

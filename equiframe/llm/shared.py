@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equiframe.functions.scale import shared_path
+
 # White space as the operators' contracts define it: space and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,16 +58,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) -> Ite
             yield batch.slice(start)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor of the cluster reaches."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{folder.rstrip('/')}/equiframe/{name}-{uuid.uuid4().hex}"
-
-
 class Stored:
-    """A frame written to the shared folder, so that its lineage ends there."""
+    """A frame written to the folder in ``spark.checkpoint.dir``, so that its lineage ends there.
+
+    ``release`` of the library deletes what is left when its readers are done.
+    """
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark, self.path = df.sparkSession, shared_path(df.sparkSession, name)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiframe.llm.components import connected_components
-from equiframe.llm.shared import Stored, text_key
+from equiframe.llm.shared import Stored, free_name, text_key
 
 LANE, SEED = 64, 42
 BLOCK = 1 << 16  # hashes whose bytes are counted at once
@@ -260,6 +260,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     Rows with null text, a null key or no words all stay.
     """
     copies = Stored(near_copies(docs, key, text, **options), "copies").frame
-    away = copies.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"))
-    marked = docs.withColumn("_mark", text_key(F.col(text)))
-    return marked.join(away, (F.col(key) == F.col("_key")) & (F.col("_mark") == F.col("_text_key")), "left_anti").drop("_mark")
+    mark, gone, gone_mark = (free_name(docs, n) for n in ("_mark", "_gone", "_gone_mark"))
+    away = copies.select(F.col(key).alias(gone), F.col("text_key").alias(gone_mark))
+    marked = docs.withColumn(mark, text_key(F.col(text)))
+    return marked.join(away, (F.col(key) == F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti").drop(mark)

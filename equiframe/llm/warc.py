@@ -21,7 +21,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiframe.llm.shared import Stored, shared_path, slices
+from equiframe.functions.scale import shared_path
+from equiframe.llm.shared import Stored, slices
 
 INDEX = ("file string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string, "
          "payload_bytes bigint")

@@ -68,5 +68,7 @@ def test_edge_rows(spark, docs_of):
     assert got[3] == ("aa", 1.0) and got[5] == got[6] == ("aa", 1.0)
     assert got[4][0] in model.languages and got[4][1] == 0.0
     assert L.identify(docs_of([]), model).count() == 0
+    clash = L.identify(docs_of(["kalo"]).selectExpr("*", "'x' as _text", "1 as spans"), model, spans=True).first()
+    assert clash._text == "x" and clash.lang_pred == "aa"
     nothing = L.train(docs_of([(1, "some text", None, "s")]))
     assert L.identify(docs_of(["text"]), nothing).first().lang_pred == "und"

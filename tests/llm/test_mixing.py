@@ -50,5 +50,6 @@ def test_mix(spark, docs_of):
 
 def test_empty_and_clashing_names(spark, docs_of):
     assert mixing.mix(docs_of([])).count() == 0
-    clash = docs_of(["a b", None]).selectExpr("*", "1 as size", "2 as target", "3 as copies", "4 as weight", "5 as _source2")
-    assert {r["size"] for r in mixing.mix(clash).collect()} == {0, 2}
+    clash = docs_of(["a b", None]).selectExpr("*", "1 as size", "2 as target", "3 as copies", "4 as weight", "5 as _mark", "6 as _copy", "7 as _MARK_", "8 as _source")
+    assert {(r["size"], r["_mark"]) for r in mixing.mix(clash).collect()} == {(0, 5), (2, 5)}
+    assert {r["_copy"] for r in mixing.emit(clash).collect()} <= {6}

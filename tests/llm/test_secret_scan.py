@@ -74,4 +74,5 @@ def test_transitions_and_vocabulary(docs_of):
 
 def test_empty(docs_of):
     assert S.scan_secrets(docs_of([])).count() == 0
-    assert [r.n_candidates for r in S.scan_secrets(docs_of(["nothing here", None])).collect()] == [0, 0]
+    clash = docs_of(["nothing here", None]).selectExpr("*", "1 as _doc", "2 as _mark", "3 as _doc_mark", "4 as doc", "5 as value")
+    assert [(r.n_candidates, r._mark) for r in S.scan_secrets(clash).collect()] == [(0, 2), (0, 2)]

@@ -94,3 +94,5 @@ def test_edge_rows(spark, docs_of):
     got = simhash.simhash_groups(docs_of(rows).withColumnRenamed("lang", "f0")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == [(False, 7, 7), (False, 7, 7), (True, 0, 7)]
     assert simhash.drop_near_copies(docs_of(rows)).count() == 4
+    clash = docs_of(["a b c d e f", "a b c d e f"]).selectExpr("*", "1 as _mark", "2 as _gone", "3 as text_key", "4 as f0", "5 as vertex")
+    assert [r._mark for r in simhash.drop_near_copies(clash).collect()] == [1]
