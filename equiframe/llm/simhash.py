@@ -238,7 +238,7 @@ def near_copies(
     rows = docs.select(key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     prints = Stored(fingerprints(rows, [key], text, 1, lanes, once=True), "fingerprints").frame
     lane = [f"f{x}" for x in range(lanes)]
-    worded = prints.filter(F.greatest(*[F.abs(f) for f in lane]) > 0) if lanes > 1 else prints.filter("f0 <> 0")
+    worded = prints.filter(" or ".join(f"{f} <> 0" for f in lane))
     vertices = Stored(worded.groupBy("text_key").agg(
         F.min(key).alias("vertex"), *[F.first(f).alias(f) for f in lane]), "vertices").frame
     # A key with several texts is one vertex; the first of its fingerprints stands for it.
