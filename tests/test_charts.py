@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from equiframe.operators import charts
 
@@ -88,3 +89,18 @@ def test_group_profile(spark):
     assert got == {("a", "x"): 0.5, ("b", "x"): 0.5, ("a", "c"): 0.0, ("b", "c"): 0.0, ("a", "z"): 0.0, ("b", "z"): 1.0}
     with pytest.raises(ValueError):
         charts.group_profile(df, "g", ["x"])
+
+
+def test_automatic_bins_of_a_heavy_tail(spark):
+    from equiframe.operators.charts import histogram
+    df = spark.range(1000).select((F.col("id") % 7 / 10).alias("x")).union(spark.createDataFrame([(1e12,)], "x double"))
+    rows = histogram(df, "x", bins="auto").collect()
+    assert sum(r["n"] for r in rows) == 1001 and max(r["bin"] for r in rows) > 2**31
+
+
+def test_most_frequent_values_of_several_columns(spark):
+    from equiframe.operators.charts import _top_values
+    df = spark.range(600).select((F.col("id") % 50).alias("a"), F.when(F.col("id") < 300, "x").otherwise(
+        F.concat(F.lit("y"), (F.col("id") % 30).cast("string"))).alias("b"))
+    top = _top_values(df, ["a", "b"], 3)
+    assert top["a"] == [0, 1, 2] and top["b"] == ["x", "y0", "y1"]

@@ -51,3 +51,15 @@ def test_attributes_together_and_own_metric(scored):
 def test_positive_class_by_name(spark):
     df = spark.createDataFrame([("yes", "yes", "a"), ("no", "yes", "a")], "y string, p string, g string")
     assert outcome.output_fairness(df, "y", "p", "g", positive="yes").first()["precision"] == 0.5
+
+
+def test_missing_labels_and_double_predictions(spark):
+    from equiframe.operators import model
+    from equiframe.operators.outcome import output_fairness
+    df = spark.createDataFrame([(1, 0.9, "a"), (0, 0.1, "a"), (None, 0.95, "a")], "y int, s double, g string")
+    assert model.roc_auc(df, "y", "s").first()["auc"] == 1
+    said = df.selectExpr("y", "cast(s > 0.5 as double) as p", "g")
+    row = output_fairness(said, "y", "p", "g").first()
+    assert (row["n"], row["left_out"], row["accuracy"]) == (2, 1, 1)
+    report = {r["class"]: r["f1"] for r in model.classification_report(said.filter("y is not null"), "y", "p").collect()}
+    assert report["0"] == report["1"] == 1

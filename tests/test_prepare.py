@@ -81,3 +81,11 @@ def test_switches(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, df.collect()))
     assert "t" in prep.apply_plan(df, encoding=False).columns
     assert prep.apply_plan(df, scaling=False).agg(F.max("x")).first()[0] == 11.0
+
+
+def test_impute_truths_and_times(spark):
+    rows = [(True, "2020-01-01", "2020-01-01 00:00:00"), (True, "2020-01-03", "2020-01-01 02:00:00"), (False, None, None), (None, "2020-01-05", "2020-01-01 04:00:00")]
+    df = spark.createDataFrame(rows, "b boolean, d string, t string").selectExpr("b", "cast(d as date) d", "cast(t as timestamp) t")
+    got = prep.impute(df, ["b", "d", "t"]).collect()
+    assert [r["b"] for r in got] == [True, True, False, True]
+    assert str(got[2]["d"]) == "2020-01-03" and got[2]["t"].hour == 2

@@ -104,3 +104,9 @@ def test_audits(spark):
     parts = fairness_audit(df, "g", "y", "p", {"a": 0.5, "b": 0.5})
     assert set(parts) == {"input_fairness", "summary", "output_fairness", "disparities"}
     assert interactive_audit(df, "g")["summary"].first()["unfair_groups"] == 0
+
+
+def test_nan_is_no_group_of_the_observed_benchmark(spark):
+    from equiframe.sources.benchmark import observed_benchmark
+    df = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (float("nan"),), (None,)], "g double")
+    assert {(r["group"], r["expected"]) for r in observed_benchmark(df, "g").collect()} == {("1.0", 0.667), ("2.0", 0.333)}
