@@ -60,11 +60,14 @@ def select_model(n_classes: int, n_train: int, **options):
 
 
 def split(df: DataFrame, key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of ``key`` (all columns by default).
+    """Train and test rows by the MD5 of ``key`` (all columns by default).
 
-    The split depends on values only, so it survives repartitioning and lost executors.
+    The split depends on values only, so it survives repartitioning and lost executors, and
+    any engine can repeat it: the first eight hex digits of ``md5("42|key|key")``, modulo 1,000.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(SEED), *[ref(c) for c in key or df.columns]), F.lit(1000))
+    parts = [F.coalesce(ref(c).cast("string"), F.lit("")) for c in key or df.columns]
+    digest = F.md5(F.concat_ws("|", F.lit(str(SEED)), *parts))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000
     cut = int(1000 * TEST_SHARE)
     return df.filter(bucket >= cut), df.filter(bucket < cut)
 
