@@ -18,7 +18,9 @@ from equiframe.llm.shared import SPACES, Stored, free_name, text_key
 
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential)s?\"?'?[:=]+[\"']?([^\s\"',;]{8,})"
-QUICK = r"[A-Za-z0-9+/_-]{16}|(?i:token|secret|passw|pwd|key|auth|credential)"
+# What every text with a candidate holds: a run of 16 key characters with a digit, or a credential's name.
+QUICK = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16}"
+         r"|(?i:token|secret|passw|pwd|key|auth|credential|bearer)")
 NAMES = r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|auth|credential|bearer"
 HASHES = r"(?i)commit|sha-?\d|md5|checksum|digest|etag|integrity|uuid|revision"
 SAMPLE_PATH = r"(?i)test|example|sample|mock|fixture|doc"
@@ -214,18 +216,23 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """All columns of ``docs`` and ``n_candidates, n_secrets, secrets, redacted``, one row per row.
 
     ``redacted`` is the text with every secret replaced by ``[SECRET]``, longest first.  Null texts have no
-    candidates and stay null.  Columns of these names in ``docs`` are replaced.
+    candidates and stay null.  Columns of these names in ``docs`` are replaced.  Only texts that can
+    hold a candidate meet the findings in a join; the others pass by and are never shuffled.
     """
     kept = docs.drop("n_candidates", "n_secrets", "secrets", "redacted")
     found = Stored(find_secrets(kept, key, text, path, **options), "secrets").frame
     mark, doc, doc_mark = (free_name(kept, n) for n in ("_mark", "_doc", "_doc_mark"))
     slim = found.select(F.col("doc.key").alias(doc), F.col("doc.text_key").alias(doc_mark), "n_candidates", "secrets")
-    joined = kept.withColumn(mark, text_key(F.col(text))).join(
+    likely = F.coalesce(F.col(text).rlike(QUICK), F.lit(False))
+    joined = kept.filter(likely).withColumn(mark, text_key(F.col(text))).join(
         slim, F.col(key).eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(doc_mark)), "left")
     ordered = F.array_sort("secrets", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
     redacted = F.aggregate(ordered, F.col(text), lambda t, s: F.replace(t, s["value"], F.lit(MASK)))
+    others = kept.filter(~likely).select(
+        *kept.columns, F.lit(0).cast("bigint").alias("n_candidates"), F.lit(0).cast("bigint").alias("n_secrets"),
+        F.array().cast("array<string>").alias("secrets"), F.col(text).alias("redacted"))
     return joined.select(
         *[F.col(c) for c in kept.columns], F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"),
         F.coalesce(F.size("secrets"), F.lit(0)).cast("bigint").alias("n_secrets"),
         F.coalesce(F.transform("secrets", lambda s: s["value"]), F.array().cast("array<string>")).alias("secrets"),
-        F.when(F.col("secrets").isNull(), F.col(text)).otherwise(redacted).alias("redacted"))
+        F.when(F.col("secrets").isNull(), F.col(text)).otherwise(redacted).alias("redacted")).unionByName(others)
