@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +74,23 @@ class Stored:
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sieve(values: DataFrame, column: str, bits: int = 24) -> Callable[[Column], Column]:
+    """A test that is true for every value of ``column`` and false for nearly all others.
+
+    It is one bit per hash, two megabytes whatever the data, so rows that it rules out need not be
+    shuffled to a join.  With very many values it rules out little, and the join does its work as before.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    found = values.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("held")).toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.int64)
+    table[found["word"].to_numpy()] = found["held"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def holds(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((table[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return lambda value: holds(F.pmod(F.xxhash64(value), F.lit(1 << bits)))

@@ -7,7 +7,7 @@ and once for each of its bits left out.  An equality join on these keys meets ev
 can link, and the whole fingerprints decide.
 
 Groups of copies stay cheap.  Equal fingerprints are one vertex.  Vertices that share a segment are
-first linked to the smallest vertex of that segment only; the full join then emits a pair only
+first linked to a few central vertices of that segment only; the full join then emits a pair only
 if its sides are not yet in one component, so a dense group yields a tree, not all its pairs.
 """
 
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiframe.llm.components import connected_components
-from equiframe.llm.shared import Stored, free_name, text_key
+from equiframe.llm.shared import Stored, free_name, sieve, text_key
 
 LANE, SEED = 64, 42
+CENTRES = 3  # vertices of a segment to which the others are linked first
 BLOCK = 1 << 16  # hashes whose bytes are counted at once
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -147,14 +148,16 @@ def components_of(
             F.bit_count(F.col(f"{left}.{f}").bitwiseXOR(F.col(f"{right}.{f}"))) for f in lane]) <= max_bits
 
     whole = vertices.select("vertex", *lane, F.inline(_keys(lanes, max_bits, None))).drop("whole")
-    first = (
-        whole.groupBy("key").agg(F.min(F.struct("vertex", *lane)).alias("low"), F.count("*").alias("n"))
-        .filter("n > 1").select("key", "low.*")
-    )
+    shared = whole.join(whole.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    # The text that copies were made from shares all its segments with many of them, a copy only some.
+    busy = shared.groupBy("vertex").agg(F.sum("n").alias("busy"))
+    members = Stored(shared.drop("n").join(busy, "vertex"), "members").frame
+    centres = members.groupBy("key", F.pmod(F.xxhash64("vertex"), F.lit(CENTRES)).alias("part")).agg(
+        F.max(F.struct("busy", F.xxhash64("vertex").alias("tie"), "vertex", *lane)).alias("c")).select("key", "c.vertex", *[f"c.{f}" for f in lane])
     stars = (
-        whole.alias("x").join(first.alias("y"), "key")
+        members.alias("x").join(centres.alias("y"), "key")
         .filter((F.col("x.vertex") != F.col("y.vertex")) & near("x", "y"))
-        .select(F.col("y.vertex").alias("a"), F.col("x.vertex").alias("b")).distinct()
+        .select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
     )
     starred = Stored(verify(stars), "stars")
     held = Stored(connected_components(starred.frame), "held")
@@ -209,8 +212,8 @@ def _similar(rows: DataFrame, points: DataFrame, key: str, text: str, width: int
         held = Stored(pairs, "pairs").frame
         used = held.select(F.col("a").alias("vertex")).union(held.select(F.col("b").alias("vertex"))).distinct()
         known = Stored(points.select("vertex", "text_key").join(used, "vertex"), "used").frame
-        texts = rows.select(F.col(key).alias("vertex"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key")).join(
-            known, ["vertex", "text_key"]).select("vertex", "text")
+        texts = rows.select(F.col(key).alias("vertex"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key")).filter(
+            sieve(known, "text_key")(F.col("text_key"))).join(known, ["vertex", "text_key"]).select("vertex", "text")
         sets = Stored(texts.mapInArrow(cut, T.StructType([
             texts.schema["vertex"], T.StructField("shingles", T.ArrayType(T.LongType()))])), "shingles").frame.dropDuplicates(["vertex"])
         both = (
@@ -253,7 +256,7 @@ def near_copies(
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without its near copies.
+    """``docs`` without its near copies.  Texts that cannot be one pass by the join that takes them out.
 
     Rows that repeat the key and text of a row that stays, stay with it: they are one document.
 
@@ -262,5 +265,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     copies = Stored(near_copies(docs, key, text, **options), "copies").frame
     mark, gone, gone_mark = (free_name(docs, n) for n in ("_mark", "_gone", "_gone_mark"))
     away = copies.select(F.col(key).alias(gone), F.col("text_key").alias(gone_mark))
-    marked = docs.withColumn(mark, text_key(F.col(text)))
-    return marked.join(away, (F.col(key) == F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti").drop(mark)
+    may_go, marked = sieve(copies, "text_key"), docs.withColumn(mark, text_key(F.col(text)))
+    stays = marked.filter(may_go(F.col(mark))).join(
+        away, (F.col(key) == F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
+    return marked.filter(~may_go(F.col(mark))).unionByName(stays).drop(mark)
