@@ -14,8 +14,9 @@ if its sides are not yet in one component, so a dense group yields a tree, not a
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -30,6 +31,9 @@ from equiframe.llm.components import connected_components
 from equiframe.llm.shared import Stored, free_name, sieve, text_key
 
 LANE, SEED = 64, 42
+SKETCH_BITS = 512
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_MIXERS = np.random.default_rng(5).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CENTRES = 3  # vertices of a segment to which the others are linked first
 BLOCK = 1 << 16  # hashes whose bytes are counted at once
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -134,14 +138,15 @@ def _keys(lanes: int, max_bits: int, bit: int | None) -> Column:
 
 
 def components_of(
-    vertices: DataFrame, lanes: int, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None,
+    vertices: DataFrame, lanes: int, max_bits: int, test: Similarity | None = None,
 ) -> DataFrame:
     """``(vertex, component)`` of the vertices ``(vertex, f0 ..)`` that link with any other.
 
-    ``verify`` keeps those pairs ``(a, b)`` that are links by a further test.
+    With a ``test`` near fingerprints only make a candidate.  A first pass of the join then keeps the
+    vertices that have any, as rows, not pairs; the second runs among them with their sketches, so that
+    texts which share much but not enough do not come out as pairs.
     """
     lane = [f"f{x}" for x in range(lanes)]
-    verify = verify or (lambda pairs: pairs)
 
     def near(left: str, right: str) -> Column:
         return reduce(Column.__add__, [
@@ -159,19 +164,34 @@ def components_of(
         .filter((F.col("x.vertex") != F.col("y.vertex")) & near("x", "y"))
         .select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
     )
-    starred = Stored(verify(stars), "stars")
+    if test:
+        pairs = Stored(stars, "pairs").frame
+        stars = test.links(pairs, test.sets(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()))
+    starred = Stored(stars, "stars")
     held = Stored(connected_components(starred.frame), "held")
     placed = vertices.join(held.frame, "vertex", "left").select(
         "vertex", F.coalesce("component", "vertex").alias("component"), *lane)
-    left = placed.select("vertex", "component", *lane, F.inline(_keys(lanes, max_bits, 0)))
-    right = placed.select("vertex", "component", *lane, F.inline(_keys(lanes, max_bits, 1))).drop("whole")
-    crossing = (
-        left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.component") != F.col("y.component"))
+    def sides(frame: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+        own = ["vertex", "component", *lane, *more]
+        return (frame.select(*own, F.inline(_keys(lanes, max_bits, 0))).alias("x"),
+                frame.select(*own, F.inline(_keys(lanes, max_bits, 1))).drop("whole").alias("y"))
+
+    meet = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
             & (~F.col("x.whole") | (F.col("x.vertex") < F.col("y.vertex"))) & near("x", "y"))
-        .select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
-    )
-    found = Stored(verify(crossing), "crossing")
+    left, right = sides(placed, [])
+    sets = None
+    if test:
+        active = left.join(right, meet, "left_semi").select("vertex").union(
+            right.join(left, meet, "left_semi").select("vertex")).distinct()
+        sets = test.sets(Stored(active, "active").frame)
+        left, right = sides(placed.join(sets.drop("shingles"), "vertex"), SKETCH)
+        meet = meet & (reduce(Column.__add__, [
+            F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH]) <= test.most_sketch_bits)
+    crossing = left.join(right, meet).select(
+        F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
+    if test:
+        crossing = test.links(Stored(crossing, "pairs").frame, sets)
+    found = Stored(crossing, "crossing")
     return connected_components(starred.frame.union(found.frame))
 
 
@@ -195,35 +215,60 @@ def simhash_groups(
         key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(rows: DataFrame, points: DataFrame, key: str, text: str, width: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """A test that keeps pairs of vertices whose sets of shingles have this Jaccard similarity.
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of the smallest of the hashes under each of ``SKETCH_BITS`` mixings, as signed longs.
 
-    ``points`` tells the text ``(vertex, text_key)`` of each vertex.  Only texts of vertices in a pair are
-    looked up and cut into shingles.
+    Two sets of Jaccard similarity J differ in (1 - J) / 2 of the bits on average.
     """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(hashes_of(shingles(words_in(v.as_py() or b""), width), 1)).view("<i8")
-                    for v in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vertex", "shingles"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        held = Stored(pairs, "pairs").frame
-        used = held.select(F.col("a").alias("vertex")).union(held.select(F.col("b").alias("vertex"))).distinct()
-        known = Stored(points.select("vertex", "text_key").join(used, "vertex"), "used").frame
-        texts = rows.select(F.col(key).alias("vertex"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key")).filter(
-            sieve(known, "text_key")(F.col("text_key"))).join(known, ["vertex", "text_key"]).select("vertex", "text")
-        sets = Stored(texts.mapInArrow(cut, T.StructType([
-            texts.schema["vertex"], T.StructField("shingles", T.ArrayType(T.LongType()))])), "shingles").frame.dropDuplicates(["vertex"])
+    lowest = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(hashes), 1024):
+        mixed = hashes[start:start + 1024, None] * _MIXERS
+        lowest = np.minimum(lowest, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return np.packbits((lowest * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40) & np.uint64(1)).astype(bool)).view("<i8")
+
+
+class Similarity:
+    """The exact test of a pair: the Jaccard similarity of the two texts' sets of ``width``-word shingles.
+
+    ``points`` tells the text ``(vertex, text_key)`` of each vertex.  Only texts of vertices that
+    are asked for are looked up and cut.
+    """
+
+    def __init__(self, rows: DataFrame, points: DataFrame, key: str, text: str, width: int, least: float) -> None:
+        self.rows, self.points, self.key, self.text, self.width, self.least = rows, points, key, text, width, least
+        differing = (1 - least) / 2
+        # Four deviations above the mean of a pair at the limit: one such pair in thirty thousand is over it.
+        self.most_sketch_bits = math.ceil(SKETCH_BITS * differing + 4 * math.sqrt(SKETCH_BITS * differing * (1 - differing)))
+
+    def sets(self, used: DataFrame) -> DataFrame:
+        """``(vertex, shingles, s0 .. )``: distinct shingle hashes and their sketch."""
+        width = self.width
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [np.unique(hashes_of(shingles(words_in(v.as_py() or b""), width), 1))
+                        for v in batch.column(1).cast(pa.binary())]
+                marks = np.array([_sketch(x) for x in sets], dtype="<i8").reshape(len(sets), -1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64())),
+                     *[pa.array(marks[:, i]) for i in range(marks.shape[1])]], names=["vertex", "shingles", *SKETCH])
+
+        known = Stored(self.points.select("vertex", "text_key").join(used, "vertex"), "used").frame
+        texts = self.rows.select(
+            F.col(self.key).alias("vertex"), F.col(self.text).alias("text"), text_key(F.col(self.text)).alias("text_key"),
+        ).filter(sieve(known, "text_key")(F.col("text_key"))).join(known, ["vertex", "text_key"]).select("vertex", "text")
+        kinds = T.StructType([texts.schema["vertex"], T.StructField("shingles", T.ArrayType(T.LongType())),
+                              *[T.StructField(c, T.LongType()) for c in SKETCH]])
+        return Stored(texts.mapInArrow(cut, kinds), "shingles").frame.dropDuplicates(["vertex"])
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs ``(a, b)`` that are similar enough."""
         both = (
-            held.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a")
+            pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
         )
         common = F.size(F.array_intersect("x", "y"))
-        return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    return verify
+        return both.filter(common >= self.least * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def near_copies(
@@ -246,7 +291,8 @@ def near_copies(
         F.min(key).alias("vertex"), *[F.first(f).alias(f) for f in lane]), "vertices").frame
     # A key with several texts is one vertex; the first of its fingerprints stands for it.
     points = vertices.groupBy("vertex").agg(F.min(F.struct("text_key", *lane)).alias("p")).select("vertex", "p.*")
-    groups = components_of(points.select("vertex", *lane), lanes, max_bits, _similar(rows, points, key, text, width, similarity))
+    groups = components_of(
+        points.select("vertex", *lane), lanes, max_bits, Similarity(rows, points, key, text, width, similarity))
     placed = points.join(groups, "vertex", "left").select(
         "text_key", F.coalesce("component", "vertex").alias("component"))
     return (
