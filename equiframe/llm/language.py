@@ -28,7 +28,7 @@ SCRIPTS = (
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 500
 UNDETERMINED = "und"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
