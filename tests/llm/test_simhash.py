@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -87,6 +88,31 @@ def test_near_copies(docs_of):
     assert {i for i, t in enumerate(texts) if not t} <= got
 
 
+def edited(rng, kind, fresh):
+    """A text and a copy with one kind of edit, words all new."""
+    n = rng.choice((9, 12, 15, 20)) if kind == "short" else rng.choice((60, 120, 300))
+    base, k = [fresh() for _ in range(n)], max(1, round(n * rng.choice((0.05, 0.1, 0.15, 0.2))))
+    at = rng.randrange(n - k)
+    other = {
+        "short": base + [fresh()], "appended": base + [fresh() for _ in range(k)], "cut": base[:n - k],
+        "block": base[:at] + [fresh() for _ in range(max(1, k // 2))] + base[at + max(1, k // 2):],
+        "scattered": [fresh() if i % 50 == 25 else w for i, w in enumerate(base)]}[kind]
+    return " ".join(base), " ".join(other)
+
+
+KINDS = ("short", "appended", "cut", "block", "scattered")
+
+
+def test_near_copies_of_every_kind_of_edit(docs_of):
+    rng, count = random.Random(6), itertools.count()
+    pairs = [(kind, *edited(rng, kind, lambda: f"w{next(count)}")) for kind in KINDS for _ in range(60)]
+    texts = [t for _, *both in pairs for t in both]
+    got = {r.doc_id for r in simhash.drop_near_copies(docs_of(texts)).collect()}
+    want = {2 * i + 1 for i, (_, a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8}
+    assert all(sum(2 * i + 1 in want for i, p in enumerate(pairs) if p[0] == kind) >= 20 for kind in KINDS)
+    assert set(range(len(texts))) - got == want
+
+
 def test_edge_rows(spark, docs_of):
     assert simhash.simhash_groups(docs_of([])).count() == 0
     assert simhash.drop_near_copies(docs_of([])).count() == 0
