@@ -24,6 +24,7 @@ QUICK = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16}"
 NAMES = r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|auth|credential|bearer"
 HASHES = r"(?i)commit|sha-?\d|md5|checksum|digest|etag|integrity|uuid|revision"
 SAMPLE_PATH = r"(?i)test|example|sample|mock|fixture|doc"
+INTRODUCES = r"[:=]+[\"']?$"
 NEIGHBOURS = 16
 MASK = "[SECRET]"
 KNOWN_AFTER = 5  # a word is in the dictionary if the corpus has it this often
@@ -50,9 +51,33 @@ SEEDS = (
     ("see", "https://www.example.com/articles/2023/", "com/articles/2023/", 0),
     ("file", "src/main/java/module_v2/", "src/main/java/module_v2/", 0),
     ("by", "international-conference-2024", "international-conference-2024", 0),
+    ("password:", "hunter2hunter", "hunter2hunter", 1),
+    ('"password":', '"blue42horse"', "blue42horse", 1),
+    ("pwd:", "Tr0ub4dor&3x", "Tr0ub4dor&3x", 1),
+    ("secret:", "'p4ssw0rd99'", "p4ssw0rd99", 1),
+    ("api_token:", "x7Kq92Lm", "x7Kq92Lm", 1),
+    ("", "password=c0rrect-h0rse", "c0rrect-h0rse", 1),
+    ("", '{"password":"winter7lake","token":"tiny%456"}', "winter7lake", 1),
+    ("", "Server=db;Pwd=Summer2024!;", "Summer2024!", 1),
+    ("author:", "Williams", "Williams", 0),
+    ('"author":', '"Hemingway"', "Hemingway", 0),
+    ("password:", "required", "required", 0),
+    ("auth:", "disabled", "disabled", 0),
+    ("tokens:", "different", "different", 0),
+    ("secret:", "something", "something", 0),
+    ("credentials:", "username", "username", 0),
+    ("", "token=undefined", "undefined", 0),
+    ("", "password=password", "password", 0),
+    ("", '{"author":"Williams","auth":"disabled"}', "disabled", 0),
 )
 
 
+def _introduced(before2: Column, before: Column) -> Column:
+    """Whether the words in front of a value are ``name:``, with quotes or not, or ``name :``; false for nulls."""
+    return F.coalesce(before.rlike(INTRODUCES) & before.rlike(NAMES), F.lit(False)) | F.coalesce(
+        before.rlike(r"^[:=]+$") & before2.rlike(NAMES), F.lit(False))
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """``(doc, path, before2, before, word, after, value)``: every candidate with its neighbours, in all texts.
 
@@ -65,14 +90,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     placed = rows.select("doc", "path", words.alias("words"))
     near = F.filter(F.transform("words", lambda w, i: F.when(
         (F.length(w) >= 8) & (w.rlike(RUN) | w.rlike(ASSIGNED)
-                              | (F.get("words", i - 1).rlike(r"^[:=]+$") & F.get("words", i - 2).rlike(NAMES))),
+                              | _introduced(F.get("words", i - 2), F.get("words", i - 1))),
         F.struct(F.coalesce(F.get("words", i - 2), F.lit("")).alias("before2"),
                  F.coalesce(F.get("words", i - 1), F.lit("")).alias("before"), w.alias("word"),
                  F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))), lambda x: x.isNotNull())
     hits = placed.select("doc", "path", F.inline(near))
     runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"\d"))
     given = F.regexp_extract("word", ASSIGNED, 1)
-    bare = F.when(F.col("before").rlike(r"^[:=]+$") & F.col("before2").rlike(NAMES),
+    bare = F.when(_introduced(F.col("before2"), F.col("before")),
                   F.regexp_extract("word", r"^[\"']?([^\s\"',;]{8,})", 1)).otherwise("")
     values = F.filter(F.array_distinct(F.concat(runs, F.when(F.size(runs) == 0, F.array(given, bare)).otherwise(
         F.array().cast("array<string>")))), lambda v: v != "")
@@ -121,7 +146,8 @@ def described(found: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame
         return F.regexp_count("value", F.lit(pattern)) / length
 
     before = F.concat_ws(" ", "before2", "before")
-    inline = F.regexp_replace("word", r"[A-Za-z0-9+/_-]{16,}.*$", "")
+    inline = F.when(length >= 16, F.regexp_replace("word", r"[A-Za-z0-9+/_-]{16,}.*$", "")).otherwise(
+        F.expr("right(substring_index(word, value, 1), 24)"))  # a short value's name stands just before it
     numbers = [
         length.cast("double"), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[+/_-]"),
         share("[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]"), F.size(F.array_distinct(F.split("value", ""))) / length,
@@ -185,7 +211,7 @@ def train(
     """
     ready = Stored(described(findings, terms, pairs).select("features", "label", "value", "before", "word"), "findings").frame
     ordered = ready.repartitionByRange(1, "value", "before", "word", "label").sortWithinPartitions("value", "before", "word", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0).fit(ordered)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, maxBins=128).fit(ordered)
 
 
 def find_secrets(

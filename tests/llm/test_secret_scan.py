@@ -62,6 +62,26 @@ def test_candidates_against_a_plain_search(docs_of):
     assert got == want | {(1, "hunter2hunter2"), (2, "shortvalue")}
 
 
+def found_in(docs_of, *texts):
+    got = {i: set() for i in range(len(texts))}
+    for r in S.candidates(docs_of(list(texts))).collect():
+        got[r.doc.key].add(r.value)
+    return list(got.values())
+
+
+def test_names_that_end_in_a_colon(docs_of):
+    assert found_in(docs_of, "password: hunter2pass", '{ "password": "hunter2pass" }', "db_password= 'hunter2pass'", "note: hunter2pass") == [
+        {"hunter2pass"}, {"hunter2pass"}, {"hunter2pass"}, set()]
+
+
+def test_short_values_are_masked(docs_of):
+    rng = random.Random(15)
+    texts = ["password: hunter2pass", '{ "password": "hunter2pass" }', "author: Stevenson", "password: optional"]
+    plain = [text_with(rng, t) for t in (f"commit {hashlib.sha1(bytes([i])).hexdigest()}" for i in range(60))]
+    got = {r.doc_id: r.redacted for r in S.scan_secrets(docs_of(texts + plain)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["password: [SECRET]", '{ "password": "[SECRET]" }', *texts[2:]]
+
+
 def test_transitions_and_vocabulary(docs_of):
     docs = docs_of(["abab ab", "AB zz", None])
     terms = {r.term: r.n for r in S.vocabulary(docs).collect()}
