@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from equiframe.llm.shared import SPACES, Stored, free_name, text_key
 
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential)s?\"?'?[:=]+[\"']?([^\s\"',;]{8,})"
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential)s?\"?'?[:=]+[\"']?((?:(?!&[\w.-]+=)[^\s\"',;]){8,})"
 # What every text with a candidate holds: a run of 16 key characters with a digit, or a credential's name.
 QUICK = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16}"
          r"|(?i:token|secret|passw|pwd|key|auth|credential|bearer)")
@@ -58,7 +58,9 @@ SEEDS = (
     ("api_token:", "x7Kq92Lm", "x7Kq92Lm", 1),
     ("", "password=c0rrect-h0rse", "c0rrect-h0rse", 1),
     ("", '{"password":"winter7lake","token":"tiny%456"}', "winter7lake", 1),
+    ("", '{"password":"winter7lake","token":"tiny%456"}', "tiny%456", 1),
     ("", "Server=db;Pwd=Summer2024!;", "Summer2024!", 1),
+    ("", "/login?password=green8door&token=m0ss!stone", "m0ss!stone", 1),
     ("author:", "Williams", "Williams", 0),
     ('"author":', '"Hemingway"', "Hemingway", 0),
     ("password:", "required", "required", 0),
@@ -96,11 +98,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
                  F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))), lambda x: x.isNotNull())
     hits = placed.select("doc", "path", F.inline(near))
     runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"\d"))
-    given = F.regexp_extract("word", ASSIGNED, 1)
+    given = F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
     bare = F.when(_introduced(F.col("before2"), F.col("before")),
                   F.regexp_extract("word", r"^[\"']?([^\s\"',;]{8,})", 1)).otherwise("")
-    values = F.filter(F.array_distinct(F.concat(runs, F.when(F.size(runs) == 0, F.array(given, bare)).otherwise(
-        F.array().cast("array<string>")))), lambda v: v != "")
+    others = F.filter(F.concat(given, F.array(bare)), lambda v: (v != "") & ~F.exists(
+        runs, lambda r: F.contains(r, F.regexp_replace(v, r"[.)}\]>!?]+$", ""))))
+    values = F.array_distinct(F.concat(runs, others))
     return hits.withColumn("value", F.explode(values)).select(*CANDIDATE)
 
 
