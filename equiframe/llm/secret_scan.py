@@ -111,16 +111,15 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(term, n)``: lower-case runs of letters in all texts and how often they occur."""
     return (
         docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("term"))
-        .filter((F.length("term") >= 2) & (F.length("term") <= 32)).groupBy("term").agg(F.count("*").alias("n"))
+        .filter(F.length("term") >= 2).groupBy("term").agg(F.count("*").alias("n"))
     )
 
 
 def transitions(terms: DataFrame) -> DataFrame:
     """``(pair, logp)``: how likely a letter a-z follows another in the corpus, smoothed."""
     letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
-    pairs = terms.select("n", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr("term", i, F.lit(2)))).alias("pair"))
-    counted = pairs.filter(F.col("pair").rlike("^[a-z]{2}$")).groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = terms.select("n", F.explode(F.regexp_extract_all("term", F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("pair"))
+    counted = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     spark = terms.sparkSession
     every = spark.range(26 * 26).select(F.concat(
         F.element_at(F.array(*map(F.lit, letters)), (F.floor(F.col("id") / 26) + 1).cast("int")),

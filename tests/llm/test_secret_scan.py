@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -103,6 +104,13 @@ def test_transitions_and_vocabulary(docs_of):
     assert logs["ab"] == pytest.approx(math.log(5 / 30)) and logs["ba"] == pytest.approx(math.log(2 / 27))
 
 
+def test_long_words_count(docs_of):
+    terms = S.vocabulary(docs_of(["ab" * 20, "é" * 50 + "xy"]))
+    assert {r.term: r.n for r in terms.collect()} == {"ab" * 20: 1, "é" * 50 + "xy": 1}
+    logs = {r.pair: r.logp for r in S.transitions(terms).collect()}
+    assert logs["ab"] == pytest.approx(math.log(21 / 46)) and logs["xy"] == pytest.approx(math.log(2 / 27))
+
+
 def test_empty(docs_of):
     assert S.scan_secrets(docs_of([])).count() == 0
     clash = docs_of(["nothing here", None]).selectExpr("*", "1 as _doc", "2 as _mark", "3 as _doc_mark", "4 as doc", "5 as value")
