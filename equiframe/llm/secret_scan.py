@@ -184,7 +184,7 @@ def presumed_findings(found: DataFrame, most: int) -> DataFrame:
     """
     distinct = found.select("path", "before2", "before", "word", "after", "value").distinct()
     total = distinct.count()
-    some = distinct.filter(F.pmod(F.xxhash64("value", "word", "before"), F.lit(1 << 20)) < (1 << 20) * min(1.0, most / max(1, total)))
+    some = distinct.filter(F.pmod(F.xxhash64(*distinct.columns), F.lit(1 << 20)) < (1 << 20) * min(1.0, most / max(1, total)))
     named = F.concat_ws(" ", "before2", "before").rlike(NAMES) | F.regexp_replace("word", RUN, "").rlike(NAMES)
     mixed = F.col("value").rlike(r"[0-9].*[0-9].*[0-9]") & F.col("value").rlike("[A-Za-z].*[A-Za-z]") & (F.length("value") >= 20)
     wordy = F.col("value").rlike(r"(?i)^(?:[a-z]{3,}[/_-]+)+[a-z0-9]*$")

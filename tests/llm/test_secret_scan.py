@@ -111,6 +111,12 @@ def test_long_words_count(docs_of):
     assert logs["ab"] == pytest.approx(math.log(21 / 46)) and logs["xy"] == pytest.approx(math.log(2 / 27))
 
 
+def test_hot_value_is_sampled(spark):
+    rows = [(1, "s", "", "id", "1234567890123456789", f"w{i}", "1234567890123456789") for i in range(3000)]
+    found = spark.createDataFrame(rows, "doc bigint, path string, before2 string, before string, word string, after string, value string")
+    assert 200 < S.presumed_findings(found, 300).count() < 400
+
+
 def test_empty(docs_of):
     assert S.scan_secrets(docs_of([])).count() == 0
     clash = docs_of(["nothing here", None]).selectExpr("*", "1 as _doc", "2 as _mark", "3 as _doc_mark", "4 as doc", "5 as value")
