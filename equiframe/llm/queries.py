@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiframe.llm import (
-    chat, decontaminate, embeddings, language, license_scan, mixing, secret_scan, simhash, token_counts, warc,
+    chat, decontaminate, embeddings, filter_audit, language, license_scan, mixing, secret_scan, simhash, token_counts,
+    token_files, warc, word_runs,
 )
-from equiframe.llm.shared import read_table
+from equiframe.llm.shared import read_table, words_of
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,77 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+    WITH RECURSIVE cut AS (
+        SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text,
+               COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+    ), flagged AS (  -- bits 1, 2, 4, 8 and 16 for A to E
+        SELECT doc_id, part, CAST(len(words) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT)
+               + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT)
+               + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+               + 16 * CAST(COALESCE(doc_id > MIN(doc_id) OVER (PARTITION BY text), FALSE) AS INT) AS mask
+        FROM cut
+    ), known AS (
+        SELECT doc_id, MAX(CAST(quality = 1 AS INT)) AS good, MAX(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+    ), counts AS (
+        SELECT part, mask, COUNT(*) AS n, COALESCE(SUM(good), 0) AS good, COALESCE(SUM(toxic), 0) AS toxic
+        FROM flagged LEFT JOIN known USING (doc_id) GROUP BY part, mask
+    ), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+    ), orders AS (
+        SELECT letter AS o, bit AS used FROM letters
+        UNION ALL SELECT o || letter, used + bit FROM orders, letters WHERE used & bit = 0
+    ), steps AS (
+        SELECT o AS filter_order, CAST(step AS INT) AS step, l.bit AS own,
+               (SELECT COALESCE(SUM(b.bit), 0) FROM letters b WHERE instr(o, b.letter) < step) AS before
+        FROM (SELECT o, UNNEST([1, 2, 3, 4, 5]) AS step FROM orders WHERE length(o) = 5) JOIN letters l ON l.letter = substr(o, step, 1)
+    ), audit AS (
+        SELECT part, filter_order, step, own,
+               CAST(SUM(CASE WHEN mask & own = 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+               CAST(SUM(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+               CAST(SUM(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+               CAST(SUM(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+               CAST(SUM(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+               CAST(SUM(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+        FROM counts, (SELECT filter_order, step, own, CAST(before AS INT) AS before FROM steps) GROUP BY part, filter_order, step, own
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(SUM(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM audit"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_files(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by a hash of the id, repeat a stretch of their words from some word on."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = words_of(F.col("text"))
+    n, g = F.size("_words").cast("bigint"), F.floor(h / 10)
+    a = F.col("_g") % F.col("_n")
+    p = 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))
+    again = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), lambda i: F.get("_words", F.when(
+        i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    grown = docs.withColumn("_words", F.when(chosen, words)).withColumn("_n", n).withColumn("_g", g)
+    grown = grown.withColumn("_a", F.when(F.col("_n") > 0, a)).withColumn("_p", F.when(F.col("_n") > 0, p))
+    return grown.withColumn("text", F.when(F.col("_n") > 0, F.array_join(again, " ")).otherwise(F.col("text"))).drop(
+        "_words", "_n", "_g", "_a", "_p")
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return word_runs.find_runs(docs).drop("text")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_embedding_groups, op3_decontaminate, op4_secrets, op5_language, op6_warc, op7_simhash, op8_chat,
-    op9_licenses, op10_token_counts)}
-ORACLES = {"op1_mix": OP1_SQL, "op2_embedding_groups": OP2_SQL, "op8_chat": OP8_SQL}
+    op9_licenses, op10_token_counts, op11_filter_audit, op12_token_files, op13_word_runs)}
+ORACLES = {"op1_mix": OP1_SQL, "op2_embedding_groups": OP2_SQL, "op8_chat": OP8_SQL, "op11_filter_audit": OP11_SQL}
