@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -23,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,24 +35,29 @@ SHARD_IDS = 1 << 20
 RANGE_BYTES = 32 << 20  # texts that a task gets
 MOST_RANGES = 50_000
 SLICE_BYTES = 2 << 20
-LEAST_USES = 6
-LEAST_GAIN = 0.01
-SLOT_BITS = 20  # pairs are counted by hash first; only those in a slot that is frequent are sorted
+LEAST_USES = 8
+LEAST_GAIN = 0.02
+SLOT_BITS = 18  # pairs are counted by hash first; only those in a slot that is frequent are sorted
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
 MOST_EXPANSION = 1 << 12
 MAGIC, HEAD = b"RPG1", "<4sIIIIQB"  # mark, bytes of the table, rounds, rules, first rule, symbols, bits of a symbol
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+SPACE_MARK = "Ġ"  # how byte-level vocabularies write a space
+JOINED = 64  # words in one call of the library
+# A space beside white space, at the start or at the end; all that Unicode, or Python, calls white space.
+_WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD_SPACES = f"[{_WHITE}] | [{_WHITE}]|^ | $|^$"
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    The file's pattern starts a new token at a space between two characters that are none, so each word with the space
-    before it is encoded once and looked up afterwards.  Where the file has another pattern, or a
-    text holds the string of a special token, whole texts are encoded.
+    The file's pattern starts a new token at a space between two characters that are no white space.  So each
+    word with the space before it is encoded once, many in one call, where the tokens that begin with a space tell the words apart,
+    and is looked up afterwards.  Where the file has another pattern, or a text has other spaces or the
+    string of a special token, whole texts are encoded.
     """
 
-    def __init__(self, path: str, most_chars: int = 4 << 20) -> None:
+    def __init__(self, path: str, most_bytes: int = 8 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -64,37 +69,62 @@ class Encoder:
             first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
             and not told.get("normalizer") and not told.get("truncation") and not told.get("padding"))
         self.special = [t["content"] for t in told.get("added_tokens") or []]
-        self.most_chars = most_chars
+        words = self.model.get_vocab()
+        self.begins = np.zeros(max(words.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for w, i in words.items() if w.startswith(SPACE_MARK)]] = True
+        self.most_bytes = most_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}  # of a word; its ids are those of the word behind a space
-        self.flat, self.starts, self.sizes, self.held = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.known = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         fast = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         return [e.ids for e in fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        found = self._encode([f" {w}" for w in words])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(found)), dtype=np.uint32)])
-        self.held += sum(map(len, words))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.held > self.most_chars:
+    def _learn(self, words: pa.Array) -> None:
+        if not len(words):
+            return
+        cuts = pa.array([*range(0, len(words), JOINED), len(words)], pa.int32())
+        lines = [f" {line}" for line in pa.compute.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist()]
+        flat = np.array(list(chain.from_iterable(self._encode(lines))), dtype=np.uint32)
+        starts = np.flatnonzero(self.begins[flat])
+        if len(starts) != len(words):
+            raise ValueError("the tokenizer does not begin a token at the space before a word")
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
+        self.sizes = np.concatenate([self.sizes, np.diff(np.append(starts, len(flat)))])
+        self.flat = np.concatenate([self.flat, flat])
+        self.known = pa.concat_arrays([self.known, words])
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text; texts are not null."""
+        if self.known.nbytes > self.most_bytes:
             self._forget()
-        cut = [_CUT.split(t) if self.splits and not any(s in t for s in self.special) else [t] for t in texts]
-        rest = [words[1:] for words in cut]
-        self._learn(list(set(chain.from_iterable(rest)).difference(self.number)))
-        begin = self._encode([words[0] for words in cut])
+        odd = pa.compute.match_substring_regex(texts, ODD_SPACES).to_numpy(zero_copy_only=False)
+        for special in self.special:
+            odd = odd | pa.compute.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if not self.splits:
+            odd[:] = True
+        cut = pa.compute.split_pattern(texts.filter(pa.array(~odd)), " ")
+        words, offsets = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        place = pa.compute.index_in(words.dictionary, value_set=self.known)
+        new = words.dictionary.filter(place.is_null())
+        number = place.fill_null(0).to_numpy().astype(np.int64)
+        number[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        self._learn(new)
+        number = number[words.indices.to_numpy()]
+        begin = iter(self._encode(words.take(pa.array(offsets[:-1])).cast(pa.string()).to_pylist()))  # no space before these
+        whole = iter(self._encode(texts.filter(pa.array(odd)).to_pylist()))
+        parts = iter(zip(offsets, offsets[1:]))
         out = []
-        for first, words in zip(begin, rest):
-            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            out.append(np.concatenate([np.array(first, dtype=np.uint32), _follow(self.flat, self.starts[at], self.sizes[at])]))
+        for apart in odd:
+            if apart:
+                out.append(np.array(next(whole), dtype=np.uint32))
+                continue
+            low, high = next(parts)
+            at = number[low + 1:high]
+            out.append(np.concatenate([np.array(next(begin), dtype=np.uint32), _follow(self.flat, self.starts[at], self.sizes[at])]))
         return out
 
 
@@ -348,7 +378,7 @@ def write_token_files(
                     name = f"{folder}/{uuid.uuid4().hex}.repair"
                     store, path = fs.FileSystem.from_uri(name)
                     file = store.open_output_stream(path, compression=None)
-                for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+                for i, ids in enumerate(encoder.encode(batch.column(1))):
                     keys.append(batch.column(0).slice(i, 1))
                     documents.append(np.append(ids, np.uint32(end_id)))
                     held += len(ids) + 1

@@ -28,16 +28,16 @@ def test_words_encode_like_whole_texts(library):
     encoder = R.Encoder(MODEL)
     assert encoder.splits
     for _ in range(2):  # the second time from what is known
-        for text, ids in zip(TEXTS, encoder.encode([t or "" for t in TEXTS])):
+        for text, ids in zip(TEXTS, encoder.encode(pa.array([t or "" for t in TEXTS]))):
             assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
-    encoder.most_chars = 0
-    assert encoder.encode(["new words"])[0].tolist() == library.encode("new words", add_special_tokens=False).ids
+    encoder.most_bytes = 0
+    assert encoder.encode(pa.array(["new words"]))[0].tolist() == library.encode("new words", add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab ,.\n\t'é1 ", max_size=40), max_size=4))
 def test_words_encode_like_whole_texts_made(texts):
-    assert [f.tolist() for f in ENCODER.encode(texts)] == [
+    assert [f.tolist() for f in ENCODER.encode(pa.array(texts, pa.string()))] == [
         ENCODER.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
