@@ -1,7 +1,7 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage works on all rows that the stage before has kept, and is written and read again before the
-next one starts.  ``run`` returns the rows of the last.
+next one starts.  ``run`` returns the rows of the last.  Stages keep the columns of ``documents``; others are left out.
 """
 
 from __future__ import annotations
@@ -13,20 +13,20 @@ from equiframe.llm import decontaminate, language, mixing, secret_scan, simhash
 from equiframe.llm.shared import Stored, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.5
+LEAST_FIT = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go, and those of whose letters no language has half.
+    """Texts without a letter go, and those of whose letters under half lie in a span of a language that is written so.
 
-    Rows stay as they are; ``lang`` is not rewritten.
+    A text in several known languages stays.  Rows stay as they are; ``lang`` is not rewritten.
     """
     labelled = language.identify(docs, language.train(docs))
-    return labelled.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return labelled.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("fits") >= LEAST_FIT)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of five-word shingles) the smallest ``doc_id`` stays."""
+    """Of each group whose fingerprints of three-word shingles link at 3 bits the smallest ``doc_id`` stays."""
     return simhash.drop_near_copies(docs).select(*COLUMNS)
 
 
@@ -55,7 +55,7 @@ STAGES = [
     ("mixture", mix_sources),
 ]
 
-# Span labelling, verified fingerprints, edit distances and a forest have no SQL; the tests hold each
+# Span labelling, fingerprints, edit distances and a forest have no SQL; the tests hold each
 # stage against brute force.
 ORACLE_SQL = None
 

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from equiframe.llm.shared import Stored, slices
 
 EDIT_RATE = 0.08
 LEAST_CHARS = 24
 BLOCK_CHARS = 1_000_000
+SLICE_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W_]+")
 MATCHES = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
 
@@ -152,10 +154,17 @@ def find_items(
     fewer than ``least`` characters have to occur exactly, at borders of words; items without letters or
     digits never match, nor do null texts.  Repeated items are one.
     A column ``matches`` of ``docs`` is replaced.  Items come in blocks, and a block is one
-    pass over the texts that appends its matches to those before.
+    pass over the texts that appends its matches to those before.  Between two blocks the rows are written, so a
+    task holds one automaton at a time, however many items there are.
     """
     done = docs.drop("matches").withColumn("matches", F.array().cast(MATCHES))
-    for items in blocks_of(benchmark, item, item_text, block):
+    held = None
+    for number, items in enumerate(blocks_of(benchmark, item, item_text, block)):
+        if number:
+            last, held = held, Stored(done, "matched")
+            done = held.frame
+            if last:
+                last.drop()
         done = _with_block(done, text, items, rate, least)
     return done
 
@@ -166,7 +175,7 @@ def _with_block(docs: DataFrame, text: str, items: list[tuple[int, str]], rate:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None
-        for batch in batches:
+        for batch in slices(batches, text, SLICE_BYTES):
             matcher = matcher or Matcher(items, rate, least)
             old = batch.column(held)
             found = [matcher.find(value.as_py()) for value in batch.column(at)]

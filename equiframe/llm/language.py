@@ -160,14 +160,14 @@ def identify(
     docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", penalty: float = 12.0,
     spans: bool = False,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, score`` (and ``spans``), one row per row.
+    """All columns of ``docs`` and ``lang_pred, score, fits`` (and ``spans``), one row per row.
 
     ``lang_pred`` is the language that labels most letters of the whole text, ``und`` for a text that is
     null or has no letter, and for every text if nothing could be learned.  ``score`` is the share of letters
-    that it labels and whose script it is written in.  ``spans`` lists ``(start, end, lang)`` in
+    that it labels and whose script it is written in, ``fits`` that share over all languages of a mixed text.  ``spans`` lists ``(start, end, lang)`` in
     characters.  Columns of these names in ``docs`` are replaced.
     """
-    added = ["lang_pred", "score", *["spans"] * spans]
+    added = ["lang_pred", "score", "fits", *["spans"] * spans]
     kept = docs.drop(*added)
     names, whole = kept.columns, free_name(kept, "_text")
     at = len(names)
@@ -186,17 +186,17 @@ def identify(
                     words = _WORD.findall(lowered.lower())
                 ids.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words)))
                 sizes.append(len(words))
-            predicted, shares, pieces = _label(list(seen), ids, np.array(sizes, dtype=np.int64), offsets)
-            columns = [*batch.columns[:at], pa.array(predicted, pa.string()), pa.array(shares, pa.float64())]
+            predicted, shares, fits, pieces = _label(list(seen), ids, np.array(sizes, dtype=np.int64), offsets)
+            columns = [*batch.columns[:at], pa.array(predicted, pa.string()), pa.array(shares, pa.float64()), pa.array(fits, pa.float64())]
             if spans:
                 columns.append(pa.array(pieces, pa.list_(pa.struct(
                     [("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    def _label(unique: list[str], ids: list[np.ndarray], sizes: np.ndarray, offsets: list) -> tuple[list, list, list]:
+    def _label(unique: list[str], ids: list[np.ndarray], sizes: np.ndarray, offsets: list) -> tuple[list, list, list, list]:
         known = model.languages
         if not unique or not known:
-            return [UNDETERMINED] * len(ids), [0.0] * len(ids), [[] for _ in ids]
+            return [UNDETERMINED] * len(ids), [0.0] * len(ids), [0.0] * len(ids), [[] for _ in ids]
         flat = np.concatenate(ids)
         table = model.scores(unique)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -207,7 +207,8 @@ def identify(
         held = np.bincount(text_of * len(known) + labels, length, minlength=len(ids) * len(known)).reshape(len(ids), -1)
         sure = np.bincount(text_of * len(known) + labels, length * fits, minlength=len(ids) * len(known)).reshape(len(ids), -1)
         best = held.argmax(axis=1)
-        share = sure[np.arange(len(ids)), best] / np.maximum(1, held.sum(axis=1))
+        letters = np.maximum(1, held.sum(axis=1))
+        share, fitting = sure[np.arange(len(ids)), best] / letters, sure.sum(axis=1) / letters
         predicted = [known[b] if n else UNDETERMINED for b, n in zip(best, sizes)]
         pieces = []
         if spans:
@@ -219,9 +220,10 @@ def identify(
                     else:
                         runs.append({"start": i, "end": j, "lang": known[k]})
                 pieces.append(runs)
-        return predicted, [float(s) if n else 0.0 for s, n in zip(share, sizes)], pieces
+        return predicted, [float(s) if n else 0.0 for s, n in zip(share, sizes)], fitting.tolist(), pieces
 
-    kinds = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    kinds = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+             T.StructField("fits", T.DoubleType())]
     if spans:
         kinds.append(T.StructField("spans", T._parse_datatype_string("array<struct<start:bigint,end:bigint,lang:string>>")))
     return kept.withColumn(whole, F.col(text)).mapInArrow(label, T.StructType(kinds))

@@ -9,6 +9,7 @@ DataFrame operations and Spark ML.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,8 +172,8 @@ def described(found: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame
 def seed_findings(spark: SparkSession) -> DataFrame:
     """The fixed labelled findings, as candidates with a label."""
     rows = [("", "=" if label and "key" in before else "", before, word, "", value, float(label)) for before, word, value, label in SEEDS]
-    return spark.createDataFrame(
-        rows, "path string, before2 string, before string, word string, after string, value string, label double")
+    names = ("path", "before2", "before", "word", "after", "value", "label")
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows))))))  # an Arrow table starts no Python worker
 
 
 def presumed_findings(found: DataFrame, most: int) -> DataFrame:

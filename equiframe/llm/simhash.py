@@ -9,15 +9,11 @@ can link, and the whole fingerprints decide.
 Groups of copies stay cheap.  Equal fingerprints are one vertex.  Vertices that share a segment are
 first linked to a few central vertices of that segment only; the full join then emits a pair only
 if its sides are not yet in one component, so a dense group yields a tree, not all its pairs.
-
-Near copies also meet by bands of minima over their shingles.  Minima of two texts agree as often as
-their shingle sets overlap, wherever the edits are, so the recall follows from the similarity alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -31,15 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiframe.llm.components import connected_components
-from equiframe.llm.shared import Stored, free_name, sieve, text_key
+from equiframe.llm.shared import Stored, free_name, slices, text_key
 
 LANE, SEED = 64, 42
-SKETCH_BITS = 512
-SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-_MIXERS = np.random.default_rng(5).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BANDS, BAND_ROWS = 24, 4  # a pair of similarity J shares a band with probability 1 - (1 - J ** 4) ** 24
-_BANDERS = np.random.default_rng(6).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CENTRES = 3  # vertices of a segment to which the others are linked first
+SLICE_BYTES = 4 << 20
 BLOCK = 1 << 16  # hashes whose bytes are counted at once
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -79,60 +71,26 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * on > len(hashes), bitorder="little").view("<i8").reshape(lanes)
 
 
-def _scrambled(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return values ^ (values >> np.uint64(29))
-
-
-def _bands(words: list[bytes], width: int) -> np.ndarray:
-    """A key for each band of ``BAND_ROWS`` minima over the shingles of ``width`` words; none for no words."""
-    if not words:
-        return np.zeros(0, dtype="<i8")
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
-    run = min(width, len(words))
-    shingle = np.full(len(words) - run + 1, run, dtype=np.uint64)
-    for i in range(run):
-        shingle = _scrambled(shingle + hashes[i:i + len(shingle)])
-    lowest = np.full(len(_BANDERS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingle), 1024):
-        lowest = np.minimum(lowest, (shingle[start:start + 1024, None] * _BANDERS).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in lowest.reshape(BANDS, BAND_ROWS).T:
-        keys = _scrambled(keys + row)
-    return keys.view("<i8")
-
-
-def fingerprints(
-    docs: DataFrame, key: list[str], text: str, width: int = 3, lanes: int = 1, once: bool = False, banded: int = 0,
-) -> DataFrame:
+def fingerprints(docs: DataFrame, key: list[str], text: str, width: int = 3, lanes: int = 1) -> DataFrame:
     """``(*key, text_key, f0 .. f{lanes-1})``, one row per row; ``text_key`` is the text's MD5.
 
-    A bit is 1 if it is set in over half of the hashes.  With ``once`` a repeated shingle counts
-    once.  Null, empty and blank texts have fingerprint zero.  With ``banded`` a column ``bands`` has
-    the band keys of shingles of so many words.
+    A bit is 1 if it is set in over half of the hashes.  Null, empty and blank texts have fingerprint zero.
     """
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-            marks, found, bands = [], [], []
-            for value in texts:
+        for batch in slices(batches, "_text", SLICE_BYTES):
+            marks, found = [], []
+            for value in batch.column(batch.num_columns - 1).cast(pa.binary()):
                 raw = value.as_py()
                 marks.append(b"" if raw is None else hashlib.md5(raw).digest())
-                words = words_in(raw or b"")
-                runs = shingles(words, width)
-                if banded:
-                    bands.append(_bands(words, banded))
-                found.append(_majority(hashes_of(list(set(runs)) if once else runs, lanes)))
+                found.append(_majority(hashes_of(shingles(words_in(raw or b""), width), lanes)))
             bits = np.array(found, dtype="<i8").reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(marks, pa.binary()), *[pa.array(bits[:, x]) for x in range(lanes)],
-                 *([pa.array(bands, pa.list_(pa.int64()))] if banded else [])],
-                names=[*key, "text_key", *[f"f{x}" for x in range(lanes)], *(["bands"] if banded else [])])
+                [*batch.columns[:-1], pa.array(marks, pa.binary()), *[pa.array(bits[:, x]) for x in range(lanes)]],
+                names=[*key, "text_key", *[f"f{x}" for x in range(lanes)]])
 
     rows = docs.select(*key, F.col(text).alias("_text"))
     kinds = [*rows.schema.fields[:-1], T.StructField("text_key", T.BinaryType()),
-             *[T.StructField(f"f{x}", T.LongType()) for x in range(lanes)],
-             *([T.StructField("bands", T.ArrayType(T.LongType()))] if banded else [])]
+             *[T.StructField(f"f{x}", T.LongType()) for x in range(lanes)]]
     return rows.mapInArrow(fold, T.StructType(kinds))
 
 
@@ -171,17 +129,8 @@ def _keys(lanes: int, max_bits: int, bit: int | None) -> Column:
         (t["tag"] % 1000 == 0).alias("whole")))
 
 
-def components_of(
-    vertices: DataFrame, lanes: int, max_bits: int, test: Similarity | None = None, linked: DataFrame | None = None,
-) -> DataFrame:
-    """``(vertex, component)`` of the vertices ``(vertex, f0 ..)`` that link with any other.
-
-    ``linked`` are links ``(a, b)`` that are known; pairs that they join are not tested again.
-
-    With a ``test`` near fingerprints only make a candidate.  A first pass of the join then keeps the
-    vertices that have any, as rows, not pairs; the second runs among them with their sketches, so that
-    texts which share much but not enough do not come out as pairs.
-    """
+def components_of(vertices: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """``(vertex, component)`` of the vertices ``(vertex, f0 ..)`` that link with any other."""
     lane = [f"f{x}" for x in range(lanes)]
 
     def near(left: str, right: str) -> Column:
@@ -192,77 +141,47 @@ def components_of(
     shared = whole.join(whole.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
     # The text that copies were made from shares all its segments with many of them, a copy only some.
     busy = shared.groupBy("vertex").agg(F.sum("n").alias("busy"))
-    members = Stored(shared.drop("n").join(busy, "vertex"), "members").frame
-    centres = members.groupBy("key", F.pmod(F.xxhash64("vertex"), F.lit(CENTRES)).alias("part")).agg(
+    members = Stored(shared.drop("n").join(busy, "vertex"), "members")
+    centres = members.frame.groupBy("key", F.pmod(F.xxhash64("vertex"), F.lit(CENTRES)).alias("part")).agg(
         F.max(F.struct("busy", F.xxhash64("vertex").alias("tie"), "vertex", *lane)).alias("c")).select("key", "c.vertex", *[f"c.{f}" for f in lane])
     stars = (
-        members.alias("x").join(centres.alias("y"), "key")
+        members.frame.alias("x").join(centres.alias("y"), "key")
         .filter((F.col("x.vertex") != F.col("y.vertex")) & near("x", "y"))
         .select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
     )
-    if linked is not None:
-        known = Stored(connected_components(linked), "known").frame
-        for side in ("a", "b"):
-            stars = stars.join(known.select(F.col("vertex").alias(side), F.col("component").alias(f"in_{side}")), side, "left")
-        stars = stars.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-    if test:
-        pairs = Stored(stars, "pairs").frame
-        stars = test.links(pairs, test.sets(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()))
-    starred = Stored(stars if linked is None else stars.union(linked), "stars")
+    starred = Stored(stars, "stars")
+    members.drop()
     held = Stored(connected_components(starred.frame), "held")
     placed = vertices.join(held.frame, "vertex", "left").select(
         "vertex", F.coalesce("component", "vertex").alias("component"), *lane)
-    def sides(frame: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
-        own = ["vertex", "component", *lane, *more]
-        return (frame.select(*own, F.inline(_keys(lanes, max_bits, 0))).alias("x"),
-                frame.select(*own, F.inline(_keys(lanes, max_bits, 1))).drop("whole").alias("y"))
-
+    left = placed.select("vertex", "component", *lane, F.inline(_keys(lanes, max_bits, 0))).alias("x")
+    right = placed.select("vertex", "component", *lane, F.inline(_keys(lanes, max_bits, 1))).drop("whole").alias("y")
     meet = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
             & (~F.col("x.whole") | (F.col("x.vertex") < F.col("y.vertex"))) & near("x", "y"))
-    left, right = sides(placed, [])
-    sets = None
-    if test:
-        active = left.join(right, meet, "left_semi").select("vertex").union(
-            right.join(left, meet, "left_semi").select("vertex")).distinct()
-        sets = test.sets(Stored(active, "active").frame)
-        left, right = sides(placed.join(sets.drop("shingles"), "vertex"), SKETCH)
-        meet = meet & test.alike("x", "y")
     crossing = left.join(right, meet).select(
         F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
-    if test:
-        crossing = test.links(Stored(crossing, "pairs").frame, sets)
     found = Stored(crossing, "crossing")
+    held.drop()
     return connected_components(starred.frame.union(found.frame))
 
 
-def band_links(banded: DataFrame, test: Similarity) -> DataFrame:
-    """``(a, b)``: links that join all vertices ``(vertex, bands)`` which share a band and pass the test.
+def _groups(docs: DataFrame, key: str, text: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``(key, text_key, f0)`` of all rows, and ``(f0, group, low)`` of all fingerprints.
 
-    The vertices of a band are first tested with its central vertex.  Only bands whose vertices are
-    then still apart make pairs, and of these the ones with near sketches.
+    Vertices are fingerprints, so a key with several texts ties none of them together.  ``group`` is the smallest
+    fingerprint that links reach, ``low`` the smallest key of the group's rows.
     """
-    keys = banded.select("vertex", F.explode("bands").alias("key"))
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    members = Stored(shared, "members").frame
-    busy = members.groupBy("vertex").agg(F.sum("n").alias("busy"))
-    centres = members.join(busy, "vertex").groupBy("key").agg(
-        F.max(F.struct("busy", F.xxhash64("vertex").alias("tie"), "vertex")).alias("c")).select("key", F.col("c.vertex").alias("centre"))
-    stars = members.join(centres, "key").filter(F.col("vertex") != F.col("centre")).select(
-        F.least("vertex", "centre").alias("a"), F.greatest("vertex", "centre").alias("b")).distinct()
-    pairs = Stored(stars, "pairs").frame
-    starred = Stored(test.links(pairs, test.sets(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct())), "stars").frame
-    held = Stored(connected_components(starred), "held").frame
-    placed = members.join(held, "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    apart = Stored(placed.join(split.select("key"), "key"), "apart").frame
-    sets = test.sets(apart.select("vertex").distinct())
-    sketched = apart.join(sets.select("vertex", *SKETCH), "vertex")
-    left, right = sketched.alias("x"), sketched.alias("y")
-    crossing = left.join(right, (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.vertex") < F.col("y.vertex")) & test.alike("x", "y"))).select(
-        F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
-    return starred.union(test.links(Stored(crossing, "pairs").frame, sets))
+    held = Stored(fingerprints(docs.select(key, text), [key], text, width), "fingerprints")
+    rows = held.frame.groupBy(key, "text_key").agg(F.first("f0").alias("f0"))
+    vertices = Stored(held.frame.groupBy("f0").agg(F.min(key).alias("low")), "vertices").frame
+    linked = Stored(components_of(vertices.select(F.col("f0").alias("vertex"), "f0"), 1, max_bits).withColumnRenamed(
+        "vertex", "f0"), "linked").frame
+    lowest = linked.join(vertices, "f0").groupBy("component").agg(F.min("low").alias("least"))
+    named = linked.join(lowest, "component")
+    groups = vertices.join(named, "f0", "left").select(
+        "f0", F.coalesce("component", "f0").alias("group"), F.when(F.col("component").isNull(), F.col("low")).otherwise(
+            F.col("least")).alias("low"))
+    return rows, groups
 
 
 def simhash_groups(
@@ -275,124 +194,26 @@ def simhash_groups(
     key and text give one row; one key with several texts gives a row for each text.  A null key is a
     row as well, but it names no component.
     """
-    held = Stored(fingerprints(docs.select(key, text), [key], text, width), "fingerprints")
-    rows = held.frame.groupBy(key, "text_key").agg(F.first("f0").alias("f0"))
-    vertices = Stored(held.frame.groupBy("f0").agg(F.min(key).alias("vertex")).filter("vertex is not null"), "vertices")
-    groups = components_of(vertices.frame.select("vertex", "f0"), 1, max_bits)
-    classes = vertices.frame.join(groups, "vertex", "left").select(
-        F.col("f0").alias("f0"), F.coalesce("component", "vertex").alias("component_id"))
-    return rows.join(classes, "f0", "left").select(
-        key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """One bit of the smallest of the hashes under each of ``SKETCH_BITS`` mixings, as signed longs.
-
-    Two sets of Jaccard similarity J differ in (1 - J) / 2 of the bits on average.
-    """
-    lowest = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(hashes), 1024):
-        mixed = hashes[start:start + 1024, None] * _MIXERS
-        lowest = np.minimum(lowest, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-    return np.packbits((lowest * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40) & np.uint64(1)).astype(bool)).view("<i8")
+    rows, groups = _groups(docs, key, text, width, max_bits)
+    return rows.join(groups, "f0", "left").select(
+        key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
-class Similarity:
-    """The exact test of a pair: the Jaccard similarity of the two texts' sets of ``width``-word shingles.
-
-    ``points`` tells the text ``(vertex, text_key)`` of each vertex.  Only texts of vertices that
-    are asked for are looked up and cut.
-    """
-
-    def __init__(self, rows: DataFrame, points: DataFrame, key: str, text: str, width: int, least: float) -> None:
-        self.rows, self.points, self.key, self.text, self.width, self.least = rows, points, key, text, width, least
-        differing = (1 - least) / 2
-        # Four deviations above the mean of a pair at the limit: one such pair in thirty thousand is over it.
-        self.most_sketch_bits = math.ceil(SKETCH_BITS * differing + 4 * math.sqrt(SKETCH_BITS * differing * (1 - differing)))
-
-    def sets(self, used: DataFrame) -> DataFrame:
-        """``(vertex, shingles, s0 .. )``: distinct shingle hashes and their sketch."""
-        width = self.width
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [np.unique(hashes_of(shingles(words_in(v.as_py() or b""), width), 1))
-                        for v in batch.column(1).cast(pa.binary())]
-                marks = np.array([_sketch(x) for x in sets], dtype="<i8").reshape(len(sets), -1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64())),
-                     *[pa.array(marks[:, i]) for i in range(marks.shape[1])]], names=["vertex", "shingles", *SKETCH])
-
-        known = Stored(self.points.select("vertex", "text_key").join(used, "vertex"), "used").frame
-        texts = self.rows.select(
-            F.col(self.key).alias("vertex"), F.col(self.text).alias("text"), text_key(F.col(self.text)).alias("text_key"),
-        ).filter(sieve(known, "text_key")(F.col("text_key"))).join(known, ["vertex", "text_key"]).select("vertex", "text")
-        kinds = T.StructType([texts.schema["vertex"], T.StructField("shingles", T.ArrayType(T.LongType())),
-                              *[T.StructField(c, T.LongType()) for c in SKETCH]])
-        return Stored(texts.mapInArrow(cut, kinds), "shingles").frame.dropDuplicates(["vertex"])
-
-    def alike(self, left: str, right: str) -> Column:
-        """Whether the sketches of two sides of a join can belong to similar texts."""
-        return reduce(Column.__add__, [
-            F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in SKETCH]) <= self.most_sketch_bits
-
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs ``(a, b)`` that are similar enough; only pairs with near sketches meet their sets."""
-        slim = sets.select("vertex", *SKETCH)
-        likely = Stored(
-            pairs.join(slim.alias("x"), F.col("a") == F.col("x.vertex")).join(slim.alias("y"), F.col("b") == F.col("y.vertex"))
-            .filter(self.alike("x", "y")).select("a", "b"), "likely").frame
-        both = (
-            likely.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b")
-        )
-        common = F.size(F.array_intersect("x", "y"))
-        return both.filter(common >= self.least * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def near_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8,
-    lanes: int = 2, max_bits: int = 13,
+def drop_near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 3,
 ) -> DataFrame:
-    """``(key, text_key)`` of the rows of ``docs`` that are near copies of a row that stays, distinct.
-
-    Texts link if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity``.
-    Candidates share a band of minima over their shingles, which a pair at 0.8 misses once in 300,000
-    times whatever was edited, or their fingerprints over distinct words, 64 bits per lane, differ in at
-    most ``max_bits`` bits: a changed word spoils five shingles but one word.  Of a group that links
-    reach, the smallest key stays.  Equal texts are one vertex; texts without words link with
-    nothing.  Rows with null text or a null key are never near copies.
-    """
-    rows = docs.select(key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    prints = Stored(fingerprints(rows, [key], text, 1, lanes, once=True, banded=width), "fingerprints").frame
-    lane = [f"f{x}" for x in range(lanes)]
-    worded = prints.filter(" or ".join(f"{f} <> 0" for f in lane))
-    vertices = Stored(worded.groupBy("text_key").agg(
-        F.min(key).alias("vertex"), *[F.first(f).alias(f) for f in lane], F.first("bands").alias("bands")), "vertices").frame
-    # A key with several texts is one vertex; the first of its fingerprints stands for it.
-    points = vertices.groupBy("vertex").agg(F.min(F.struct("text_key", *lane, "bands")).alias("p")).select("vertex", "p.*")
-    test = Similarity(rows, points, key, text, width, similarity)
-    linked = Stored(band_links(points.select("vertex", "bands"), test), "linked").frame
-    groups = components_of(points.select("vertex", *lane), lanes, max_bits, test, linked)
-    placed = points.join(groups, "vertex", "left").select(
-        "text_key", F.coalesce("component", "vertex").alias("component"))
-    return (
-        worded.select(key, "text_key").join(placed, "text_key").filter(F.col(key) != F.col("component"))
-        .select(key, "text_key").distinct()
-    )
-
-
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without its near copies.  Texts that cannot be one pass by the join that takes them out.
-
-    Rows that repeat the key and text of a row that stays, stay with it: they are one document.
+    """``docs`` with one document of each group of :func:`simhash_groups`, all columns.
 
-    Rows with null text, a null key or no words all stay.
+    The one with the smallest key stays, null keys last; of several texts of that key the one with the smallest
+    MD5.  Rows that repeat the key and text of a row that stays, stay with it: they are one document.  Blank and null texts
+    are one group.
     """
-    copies = Stored(near_copies(docs, key, text, **options), "copies").frame
+    rows, groups = _groups(docs, key, text, width, max_bits)
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("mark"))
+    placed = Stored(rows.join(groups.select("f0", "group"), "f0").select("group", own.alias("own")), "placed").frame
+    stays = Stored(placed.groupBy("group").agg(F.min("own").alias("stays"), F.count("*").alias("n")).filter("n > 1").drop("n"), "stays").frame
     mark, gone, gone_mark = (free_name(docs, n) for n in ("_mark", "_gone", "_gone_mark"))
-    away = copies.select(F.col(key).alias(gone), F.col("text_key").alias(gone_mark))
-    may_go, marked = sieve(copies, "text_key"), docs.withColumn(mark, text_key(F.col(text)))
-    stays = marked.filter(may_go(F.col(mark))).join(
-        away, (F.col(key) == F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
-    return marked.filter(~may_go(F.col(mark))).unionByName(stays).drop(mark)
+    away = Stored(placed.join(stays, "group").filter(F.col("own") != F.col("stays")).select(
+        F.col("own.key").alias(gone), F.col("own.mark").alias(gone_mark)), "copies").frame
+    marked = docs.withColumn(mark, text_key(F.col(text)))
+    return marked.join(away, F.col(key).eqNullSafe(F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti").drop(mark)

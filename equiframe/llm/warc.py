@@ -31,6 +31,8 @@ RECORD = ("file string, offset bigint, record_type string, page_id bigint, url s
 DATE = "2000-01-01T00:00:00Z"  # the tables carry no time of capture
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 BATCH_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20  # of compressed records that a task reads
+MOST_RANGES = 50_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -177,11 +179,14 @@ def read_records(
 ) -> DataFrame:
     """The records that the index rows (those that hold ``where``) name, one row each.
 
-    Rows are dealt out by ranges of file and offset, so that near records meet in a task.
+    Rows are dealt out by ranges of file and offset, so that near records meet in a task; there is a range for
+    every ``RANGE_BYTES`` that the wanted records have in the archives.
     """
     wanted = (index if where is None else index.filter(where)).select("file", "offset", "length")
-    dealt = (wanted.repartitionByRange(ranges, "file", "offset") if ranges else
-             wanted.repartitionByRange("file", "offset")).sortWithinPartitions("file", "offset")
+    if not ranges:
+        total = wanted.agg(F.sum("length")).first()[0] or 0
+        ranges = max(1, min(MOST_RANGES, -(-total // RANGE_BYTES)))
+    dealt = wanted.repartitionByRange(ranges, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = stream = None

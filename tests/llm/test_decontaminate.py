@@ -69,3 +69,11 @@ def test_empty(spark, docs_of):
     long = "filler " * 50_000 + "the needle that we look for in the hay"
     found = D.find_items(docs_of([long]).withColumnRenamed("lang", "matches"), spark.createDataFrame([(1, "The needle that we look for in the hay.")], ITEMS))
     assert found.first().matches[0].distance == 0
+
+
+def test_many_blocks_are_no_deeper_plan(spark, docs_of):
+    items = spark.createDataFrame([(i, f"item number {i} of a long benchmark with words {i * 7919}") for i in range(60)], ITEMS)
+    found = D.find_items(docs_of(["x", "Item number 31 of a long benchmark, with words 245489!"]), items, block=200)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    none, some = found.orderBy("doc_id").collect()
+    assert not none.matches and [m.distance for m in some.matches if m.item_id == 31] == [0]

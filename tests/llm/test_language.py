@@ -52,6 +52,19 @@ def test_accuracy_and_spans(docs_of):
     assert abs(mixed.spans[1].start - len(first)) < 25
 
 
+def test_texts_in_several_languages_fit(docs_of):
+    import corpus_pipeline
+
+    model, rng = L.train(docs_of(corpus())), random.Random(13)
+    mixed = [" ".join(sentence(rng, lang, n) for lang, n in (("aa", 40), ("bb", 30), ("cc", 30))) for _ in range(10)]
+    got = L.identify(docs_of([*mixed, "漢字 仮名", "kalo 漢字漢字漢字漢字"]), model).orderBy("doc_id").collect()
+    assert all(r.fits == 1.0 and r.score < 0.7 for r in got[:10])
+    assert got[10].fits == 0.0 and abs(got[11].fits - 4 / 12) < 1e-9
+    rows = corpus() + [(1000 + i, t, None, "s") for i, t in enumerate([*mixed, "漢字 仮名", None, "123"])]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(None, docs_of(rows), "").collect()}
+    assert kept == {i for i, *_ in rows if i < 1010}
+
+
 def test_lang_is_no_input(docs_of):
     rows = corpus()
     model = L.train(docs_of(rows))

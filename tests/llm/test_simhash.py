@@ -1,4 +1,3 @@
-import itertools
 import random
 import re
 
@@ -66,51 +65,25 @@ def test_dense_group_of_fingerprints(spark):
     assert {r.component for r in got} == {0} and len(got) == len(values)
 
 
-def jaccard(a, b, width=5):
-    def cut(t):
-        words = t.lower().split()
-        return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
-    x, y = cut(a), cut(b)
-    return len(x & y) / len(x | y)
-
-
-def test_near_copies(docs_of):
-    rng = random.Random(5)
-    texts = [t for t in variants(rng, 50) if t] + ["", None, "alone here"] + ["copy of a text"] * 20
-    got = {r.doc_id for r in simhash.drop_near_copies(docs_of(texts)).collect()}
-    real = [i for i, t in enumerate(texts) if t]
-    links = [(a, b) for a in real for b in real if b < a and jaccard(texts[a], texts[b]) >= 0.8]
+def test_one_of_each_group_stays(docs_of):
+    texts = variants(random.Random(5), 50) + ["", None, " ", "alone here"] + ["copy of a text"] * 20
+    prints = [fingerprint(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 3]
     root = components(range(len(texts)), links)
-    away = {i for i in root if root[i] != i}
-    gone = set(range(len(texts))) - got
-    assert gone <= away  # nothing but verified copies goes
-    assert len(gone) >= 0.95 * len(away)  # fingerprints may miss a pair at the limit
-    assert {i for i, t in enumerate(texts) if not t} <= got
-
-
-def edited(rng, kind, fresh):
-    """A text and a copy with one kind of edit, words all new."""
-    n = rng.choice((9, 12, 15, 20)) if kind == "short" else rng.choice((60, 120, 300))
-    base, k = [fresh() for _ in range(n)], max(1, round(n * rng.choice((0.05, 0.1, 0.15, 0.2))))
-    at = rng.randrange(n - k)
-    other = {
-        "short": base + [fresh()], "appended": base + [fresh() for _ in range(k)], "cut": base[:n - k],
-        "block": base[:at] + [fresh() for _ in range(max(1, k // 2))] + base[at + max(1, k // 2):],
-        "scattered": [fresh() if i % 50 == 25 else w for i, w in enumerate(base)]}[kind]
-    return " ".join(base), " ".join(other)
-
-
-KINDS = ("short", "appended", "cut", "block", "scattered")
+    assert sum(root[i] != i for i in root) > 30
+    assert {r.doc_id for r in simhash.drop_near_copies(docs_of(texts)).collect()} == set(root.values())
 
 
-def test_near_copies_of_every_kind_of_edit(docs_of):
-    rng, count = random.Random(6), itertools.count()
-    pairs = [(kind, *edited(rng, kind, lambda: f"w{next(count)}")) for kind in KINDS for _ in range(60)]
-    texts = [t for _, *both in pairs for t in both]
-    got = {r.doc_id for r in simhash.drop_near_copies(docs_of(texts)).collect()}
-    want = {2 * i + 1 for i, (_, a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8}
-    assert all(sum(2 * i + 1 in want for i, p in enumerate(pairs) if p[0] == kind) >= 20 for kind in KINDS)
-    assert set(range(len(texts))) - got == want
+def test_a_key_with_several_texts(docs_of):
+    a, b, c = "the first of these texts", "quite another one of them", "nothing like either of both"
+    def left(*rows):
+        return sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(docs_of([(*r, "en", "s") for r in rows])).collect())
+    assert left((7, a), (7, b), (9, a)) == sorted([(7, a), (7, b)])
+    assert left((7, a), (7, b), (3, b), (9, a)) == sorted([(3, b), (7, a)])
+    assert left((7, a), (7, b), (5, b), (5, c), (6, c)) == sorted([(5, b), (5, c), (7, a)])
+    assert left((7, a), (7, a), (8, a)) == [(7, a), (7, a)]
+    assert left((None, a), (None, a)) == [(None, a), (None, a)]
+    assert left((None, a), (4, a)) == [(4, a)]
 
 
 def test_edge_rows(spark, docs_of):
@@ -119,6 +92,6 @@ def test_edge_rows(spark, docs_of):
     rows = [(None, "a b c", "en", "s"), (7, "a b c", "en", "s"), (7, "a b c", "en", "s"), (7, "other", "en", "s")]
     got = simhash.simhash_groups(docs_of(rows).withColumnRenamed("lang", "f0")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == [(False, 7, 7), (False, 7, 7), (True, 0, 7)]
-    assert simhash.drop_near_copies(docs_of(rows)).count() == 4
+    assert simhash.drop_near_copies(docs_of(rows)).count() == 3  # the row without a key is a copy
     clash = docs_of(["a b c d e f", "a b c d e f"]).selectExpr("*", "1 as _mark", "2 as _gone", "3 as text_key", "4 as f0", "5 as vertex")
     assert [r._mark for r in simhash.drop_near_copies(clash).collect()] == [1]

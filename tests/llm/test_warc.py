@@ -52,6 +52,13 @@ def test_index_and_selected_reads(spark):
     assert sorted(r.page_id for r in got) == list(range(0, 500, 7))
 
 
+def test_tasks_follow_the_bytes(spark, monkeypatch):
+    index = warc.write_archives(spark.createDataFrame([(i, f"http://{i}", f"page {i} " * (i % 50)) for i in range(500)], SCHEMA))
+    monkeypatch.setattr(warc, "RANGE_BYTES", 8 << 10)
+    read = warc.read_records(index)
+    assert read.count() == 500 and read.rdd.getNumPartitions() > 5
+
+
 def test_ranges():
     assert warc.coalesce_ranges([(0, 10), (10, 5), (40, 5), (100, 5)], 25, 1000) == [(0, 45, 0, 2), (100, 5, 3, 3)]
     assert warc.coalesce_ranges([(0, 10), (10, 10)], 25, 15) == [(0, 10, 0, 0), (10, 10, 1, 1)]
