@@ -6,21 +6,29 @@ totals, and works on those.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import clean, is_numeric, ladder, melt_typed, ref, require, rows_of
-from equiframe.functions.pvalues import chi2_p, f_p, ks_exact_p, ks_p
+from equiframe.functions.pvalues import chi2_p, f_p, ks_exact_p, ks_p, ks_series_p
 from equiframe.functions.scale import (
-    bucket_openings, bucketed_rows, lookup_join, running_totals, salted_join, settle,
-    unordered_pairs, value_totals,
+    bucket_count, bucketed_rows, lookup_join, materialise, partitions, salted_join, settle, unordered_pairs, value_totals,
 )
 
 INF = float("inf")
 
+# ship this module's task function with its jobs, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _listed(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
@@ -133,48 +141,114 @@ def anova(df: DataFrame, columns: str | Sequence[str], group_col: str) -> DataFr
     )
 
 
-def ks_pairs(df: DataFrame, column: str, group_col: str, method: str = "limit") -> DataFrame:
+P_VALUES = {"auto": ks_p, "exact": ks_exact_p, "series": ks_series_p}
+TILE_GROUPS = 256  # groups whose running counts a task holds side by side
+
+
+def ks_pairs(df: DataFrame, column: str, group_col: str, method: str = "auto") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of every pair of groups.
 
-    Each group's distinct values are counted first.  A pair's distance is then the
-    largest gap between two running shares over the values of its two groups,
-    found bucket by bucket.  Integers are compared as integers.  The p-value is that of the limiting
-    distribution with a correction for finite samples; ``method="exact"`` counts lattice paths instead,
-    which takes time with the product of the two group sizes.
+    Each group's distinct values are counted first, in one pass.  Values are cut into buckets and sorted there;
+    a task walks through a bucket with one running count per group, side by side, and keeps the largest gap
+    between the running shares of any two.  Integers are compared as integers.  ``method`` is that of the p-value: ``"auto"`` (exact
+    for equal sizes and up to 10,000 rows in the smaller group, a corrected series beyond), ``"exact"`` or ``"series"``.
+    Over ``TILE_GROUPS`` groups meet tile by tile, so no task holds all of them.
     """
-    if method not in ("limit", "exact"):
-        raise ValueError("method is 'limit' or 'exact'")
+    if method not in P_VALUES:
+        raise ValueError(f"method is one of {', '.join(P_VALUES)}")
     require(df, column, group_col)
     frame = clean(df).filter(ref(group_col).isNotNull()).select(
         ref(group_col).cast("string").alias("group"), ref(column).alias("value")
     )
-    rows = bucketed_rows(frame, ["value"], ["group"], exact=True)
-    sizes = frame.filter(F.col("value").isNotNull()).groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    pairs = unordered_pairs(sizes, "group", ["size"])
-    keys = ["group1", "group2", "size1", "size2"]
-    sides = settle(pairs.select(*keys, rows_of([
-        {"group": F.col("group1"), "side": F.lit(1)}, {"group": F.col("group2"), "side": F.lit(2)},
-    ])))
-
-    def per_pair(totals: DataFrame, spread: Column) -> DataFrame:
-        return lookup_join(totals, sides, ["group"], spread).withColumns({
-            "n1": F.when(F.col("side") == 1, F.col("n")).otherwise(0),
-            "n2": F.when(F.col("side") == 2, F.col("n")).otherwise(0),
-        })
-
-    values = per_pair(value_totals(rows, ["group"], ["n"]), F.col("value"))
-    per_bucket = per_pair(rows.groupBy("group", "bucket").agg(F.sum("n").alias("n")), F.col("bucket"))
-    openings = bucket_openings(per_bucket, keys, ["n1", "n2"])
-    gap = F.abs(F.col("cum_n1") / F.col("size1") - F.col("cum_n2") / F.col("size2"))
+    buckets = bucket_count(df.sparkSession)
+    totals = materialise(value_totals(bucketed_rows(frame, ["value"], ["group"], exact=True), ["group"], ["n"]), "totals")
+    sizes = settle(totals.groupBy("group").agg(F.sum("n").alias("size")))
+    # Every group opens every bucket with what it has before it, so no bucket lacks a group.
+    whole = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    grid = sizes.frame.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    openings = (
+        grid.join(totals.groupBy("group", "bucket").agg(F.sum("n").alias("n")), ["group", "bucket"], "left")
+        .select("group", "bucket", F.lit(None).cast(totals.schema["value"].dataType).alias("value"),
+                F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("n"), "size")
+    )
+    counted = lookup_join(totals, sizes, ["group"], F.col("value")).select("group", "bucket", "value", "n", "size")
+    tiles = max(1, math.ceil(sizes.frame.count() / TILE_GROUPS))
+    own, other = F.pmod(F.xxhash64("group"), F.lit(tiles)).cast("int"), F.sequence(F.lit(0), F.lit(tiles - 1))
+    steps = counted.unionByName(openings).withColumn("tile", F.explode(F.transform(
+        other, lambda t: F.concat_ws("-", F.least(own, t), F.greatest(own, t)))))
+    walked = (
+        steps.repartition(partitions(df.sparkSession), "tile", "bucket")
+        .sortWithinPartitions("tile", "bucket", F.col("value").asc_nulls_first())
+        .mapInArrow(_largest_gaps, "group1 string, group2 string, n1 bigint, n2 bigint, stat double")
+    )
     return (
-        running_totals(values, openings, keys, ["n1", "n2"])
-        .groupBy(*keys).agg(F.max(gap).alias("stat"))
-        .select(F.lit(column).alias("feature"), F.lit("ks").alias("test"), "group1", "group2",
-                F.col("size1").alias("n1"), F.col("size2").alias("n2"), "stat")
-        .withColumn("p_value", (ks_exact_p if method == "exact" else ks_p)("stat", "n1", "n2"))
+        walked.groupBy("group1", "group2", "n1", "n2").agg(F.max("stat").alias("stat"))
+        .select(F.lit(column).alias("feature"), F.lit("ks").alias("test"), "group1", "group2", "n1", "n2", "stat")
+        .withColumn("p_value", P_VALUES[method]("stat", "n1", "n2"))
     )
 
 
+def _largest_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket the largest gap between the running shares of each two of its groups.
+
+    Rows come sorted by tile, bucket and value; those without a value say what each group has before the bucket.  A value's rows
+    may run on into the next batch, so the last value seen waits until another one follows.
+    """
+    names: list[str] = []
+    place: dict[str, int] = {}
+    where = last = None
+    sizes = running = best = np.empty(0)
+
+    def widen(shares: np.ndarray) -> None:
+        for i in range(len(names) - 1):
+            np.maximum(best[i, i + 1:], np.abs(shares[:, i + 1:] - shares[:, i:i + 1]).max(axis=0, initial=0.0), out=best[i, i + 1:])
+
+    def finished() -> pa.RecordBatch:
+        widen(running[None, :] / sizes)
+        rows = [(*sorted([(names[i], int(sizes[i])), (names[j], int(sizes[j]))]), float(best[i, j]))
+                for i in range(len(names)) for j in range(i + 1, len(names))]
+        return pa.RecordBatch.from_pylist(
+            [{"group1": a, "group2": b, "n1": x, "n2": y, "stat": gap} for (a, x), (b, y), gap in rows],
+            schema=pa.schema([("group1", pa.string()), ("group2", pa.string()), ("n1", pa.int64()), ("n2", pa.int64()), ("stat", pa.float64())]))
+
+    for batch in batches:
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        keys = list(zip(column["tile"].to_pylist(), column["bucket"].to_pylist()))
+        starts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            groups, counts = column["group"].slice(start, end - start).to_pylist(), column["n"].slice(start, end - start).to_numpy()
+            values = column["value"].slice(start, end - start)
+            if keys[start] != where:
+                if where is not None:
+                    yield finished()
+                where, last, names, place, running = keys[start], None, [], {}, np.empty(0)
+            opening = values.null_count
+            if opening:
+                names += groups[:opening]
+                place = {g: i for i, g in enumerate(names)}
+                running = np.concatenate([running, counts[:opening].astype(np.float64)])
+                known = column["size"].slice(start, opening).to_numpy().astype(np.float64)
+                sizes = known if len(names) == opening else np.concatenate([sizes, known])
+                best = np.zeros((len(names), len(names)))
+                if opening == len(values):
+                    continue
+                groups, counts, values = groups[opening:], counts[opening:], values.slice(opening)
+            fresh = np.concatenate([
+                [last is None or values[0] != last],
+                pa.compute.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)])
+            last = values[len(values) - 1]
+            if fresh[0]:
+                widen(running[None, :] / sizes)
+            number = np.cumsum(fresh) - fresh[0]
+            table = np.zeros((int(number[-1]) + 1, len(names)))
+            np.add.at(table, (number, [place[g] for g in groups]), counts)
+            table = np.cumsum(table, axis=0) + running
+            widen(table[:-1] / sizes)
+            running = table[-1]
+    if where is not None:
+        yield finished()
+
+
 def standardized_difference(df: DataFrame, column: str, group_col: str) -> DataFrame:
     """Cohen's d of every pair of groups with a pooled deviation, largest first."""
     g = group_moments(df, column, group_col).filter("n > 0")

@@ -105,6 +105,37 @@ def test_ks_pairs_against_brute_force(spark, partitions):
         assert row["p_value"] == pytest.approx(P.ks_tail(gap, len(samples[a]), len(samples[b])))
 
 
+def test_ks_pairs_in_small_batches_and_tiles(spark, monkeypatch):
+    """A value's rows, and a bucket's groups, that run over several batches; groups in several tiles."""
+    rng = np.random.default_rng(8)
+    samples = {f"g{i}": rng.integers(0, 40, rng.integers(1, 60)) * 3 + i % 4 for i in range(14)}
+    df = spark.createDataFrame([(g, int(x)) for g, xs in samples.items() for x in xs], "g string, x bigint")
+
+    def gap(a, b):
+        at = np.concatenate([samples[a], samples[b]])
+        return max(abs((samples[a] <= v).mean() - (samples[b] <= v).mean()) for v in at)
+
+    want = {(a, b): (len(samples[a]), len(samples[b]), gap(a, b)) for a in samples for b in samples if a < b}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for tile in (256, 4):
+            monkeypatch.setattr(sig, "TILE_GROUPS", tile)
+            got = {(r["group1"], r["group2"]): (r["n1"], r["n2"], r["stat"]) for r in sig.ks_pairs(df, "x", "g", "series").collect()}
+            assert got.keys() == want.keys()
+            assert all(got[k] == pytest.approx(want[k]) for k in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ks_pairs_edges(spark):
+    none = spark.createDataFrame([], "g string, x double")
+    assert sig.ks_pairs(none, "x", "g").count() == 0
+    one = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), ("b", None), ("c", float("nan"))], "g string, x double")
+    assert sig.ks_pairs(one, "x", "g").count() == 0
+    with pytest.raises(ValueError):
+        sig.ks_pairs(one, "x", "g", "limit")
+
+
 def test_standardized_difference(spark):
     df = spark.createDataFrame(
         [("b", 1.0), ("b", 3.0), ("a", 5.0), ("a", 9.0), ("one", 4.0), ("flat", 2.0), ("flat", 2.0), ("none", None)],
@@ -121,9 +152,40 @@ def test_standardized_difference(spark):
 
 
 def test_ks_tail_has_no_step_in_size():
-    below, above = P.ks_tail(0.02, 10_000, 10_000), P.ks_tail(0.02, 10_001, 10_001)
-    assert 0 < below - above < 2e-5  # no more than one row does at any size
-    assert P.ks_tail(0.05, 4_000, 4_000) == pytest.approx(P.ks_exact_tail(0.05, 4_000, 4_000), rel=0.05)
+    tails = [P.ks_tail(200 / n, n, n) for n in range(9_998, 10_004)]  # the same step of D's lattice at each size
+    assert all(0 < b - a < 2e-5 for a, b in zip(tails, tails[1:]))  # no more than one row does at any size
+    assert P.ks_tail(0.02, 10_000, 20_000) == pytest.approx(P.ks_tail(0.02, 10_001, 20_002), rel=0.01)
+    assert P.ks_tail(0.0200001, 10_000, 10_000) == P.ks_tail(0.0201, 10_000, 10_000)  # D has no value between
+    assert P.ks_tail(0.05, 4_000, 4_000) == pytest.approx(P.ks_exact_tail(0.05, 4_000, 4_000), rel=0.01)
+
+
+@pytest.mark.parametrize("n", [50, 137, 999, 1_000, 4_000, 10_000])
+def test_ks_tail_of_equal_sizes_is_exact(n):
+    for scaled in (0.3, 0.8, 1.4, 2.2, 3.2):
+        d = math.ceil(scaled * math.sqrt(2 / n) * n) / n
+        if d < 1:
+            exact = P.ks_exact_tail(d, n, n)
+            assert P.ks_tail(d, n, n) == pytest.approx(exact, rel=1e-7)
+
+
+@pytest.mark.parametrize("n1, n2", [(50, 75), (64, 1_000), (900, 1_200), (3_001, 2_000), (10_000, 9_999)])
+def test_ks_tail_of_unequal_sizes_is_exact(n1, n2):
+    scale, root = math.lcm(n1, n2), math.sqrt(n1 * n2 / (n1 + n2))
+    for scaled in (0.5, 1.0, 1.6, 2.5, 3.2):
+        d = round(scaled / root * scale) / scale
+        if d < 1:
+            assert P.ks_tail(d, n1, n2) == pytest.approx(P.ks_exact_tail(d, n1, n2), rel=1e-9)
+
+
+def test_ks_series_beyond_the_exact_sizes():
+    for n1, n2 in ((12_000, 18_000), (15_000, 30_000), (12_001, 20_011)):
+        scale, root = math.lcm(n1, n2), math.sqrt(n1 * n2 / (n1 + n2))
+        for scaled in (0.6, 1.0, 1.5, 2.2):
+            d = round(scaled / root * scale) / scale
+            assert P.ks_tail(d, n1, n2) == pytest.approx(P.ks_exact_tail(d, n1, n2), rel=0.01)
+    assert P.ks_tail(2.2 / 10, 100, 10**9) == pytest.approx(P.ks_exact_tail(2.2 / 10 * math.sqrt(1.0005), 100, 200_001), rel=0.01)
+    tails = [P.ks_equal_tail(math.ceil(1.5 * math.sqrt(2 / n) * n) / n, n) for n in (10**6, 10**9, 10**12)]
+    assert tails == pytest.approx([P.kolmogorov_tail(1.5)] * 3, rel=0.01)
 
 
 def test_exact_ks_keeps_small_tails():

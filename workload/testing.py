@@ -41,6 +41,11 @@ def _findings(s, d):
     return say.with_summary(said, len(docs.columns) + len(frame.columns))
 
 
+def _halves(s, d):
+    """Suppliers in four groups of about equal size, by key."""
+    return table(s, d, "supplier").select("s_acctbal", (F.col("s_suppkey") % 4).alias("half"))
+
+
 def _audited(s, d):
     return table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
 
@@ -99,6 +104,7 @@ QUERIES = {
     "report_findings": lambda s, d: report_findings(_audited(s, d), AUDITED, "l_returnflag"),
     "ks_p_values": lambda s, d: rounded(
         ks_pairs(table(s, d, "lineitem"), "l_quantity", "l_returnflag").select("group1", "group2", "p_value")),
+    "ks_p_values_equal_sizes": lambda s, d: rounded(ks_pairs(_halves(s, d), "s_acctbal", "half")),
     "audit_report": _written_report,
 }
 
@@ -157,14 +163,35 @@ def _ks_sql(source: str, value: str, group: str, places: int = 6) -> str:
 
 
 def _ks_p_sql(source: str, value: str, group: str) -> str:
-    """With the limiting series and its correction for finite samples."""
-    return f"""WITH d AS (SELECT *, sqrt(n1 * CAST(n2 AS DOUBLE) / (n1 + n2)) AS root FROM (
+    """Exact up to 10,000 rows in the smaller group: the chance that a path stays in the band is carried from step to step.
+
+    Beyond that, the reflected sum for equal sizes and the corrected series for others.
+    """
+    return f"""WITH RECURSIVE d AS (SELECT *, round(stat * n1 * n2) AS limit_ FROM (
             {_ks_sql(source, value, group, places=15)}) t(feature, test, group1, group2, n1, n2, stat)),
-        l AS (SELECT *, (root + 0.12 + 0.11 / root) * stat AS lam FROM d)
-        SELECT feature, test, group1, group2, n1, n2, round(stat, 6) AS stat,
-            round(CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * (
-                SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * pow(k * lam, 2))) FROM range(1, 101) r(k)))) END, 6)
-            AS p_value FROM l"""
+        walk AS (
+            SELECT group1, group2, n1, n2, limit_, CAST(0 AS BIGINT) AS took, CAST(0 AS BIGINT) AS i, CAST(1 AS DOUBLE) AS p
+            FROM d WHERE least(n1, n2) <= 10000 AND limit_ > 0
+            UNION ALL
+            SELECT group1, group2, n1, n2, limit_, took + 1, i + x AS i,
+                   sum(p * CASE x WHEN 1 THEN n1 - i ELSE n2 - (took - i) END / CAST(n1 + n2 - took AS DOUBLE))
+            FROM walk, (VALUES (0), (1)) moves(x)
+            WHERE took < n1 + n2 AND i + x <= n1 AND took + 1 - (i + x) <= n2
+              AND abs((i + x) * n2 - (took + 1 - (i + x)) * n1) < limit_
+            GROUP BY group1, group2, n1, n2, limit_, took, i + x),
+        exact AS (SELECT group1, group2, 1 - coalesce(max(p) FILTER (took = n1 + n2), 0) AS p FROM walk GROUP BY 1, 2),
+        z AS (SELECT *, sqrt(n1 * CAST(n2 AS DOUBLE) / (n1 + n2)) * (stat - 0.5 / lcm(n1, n2)) AS z,
+              (greatest(n1, n2) + 2 * least(n1, n2)) / (3 * sqrt(CAST(n1 AS DOUBLE) * n2 * (n1 + n2))) AS lean FROM d)
+        SELECT z.feature, z.test, z.group1, z.group2, z.n1, z.n2, round(stat, 6) AS stat, round(CASE
+            WHEN stat <= 0 THEN 1
+            WHEN exact.p IS NOT NULL THEN exact.p
+            WHEN n1 = n2 THEN least(1, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(
+                2 * lgamma(n1 + 1) - lgamma(n1 - k * round(stat * n1) + 1) - lgamma(n1 + k * round(stat * n1) + 1)))
+                FROM range(1, 101) r(k) WHERE k * round(stat * n1) <= n1))
+            WHEN z <= 0.2 THEN 1
+            ELSE least(1, greatest(0, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END
+                * exp(-2 * pow(k * z, 2) - 2 * k * z * lean)) FROM range(1, 101) r(k)))) END, 6) AS p_value
+        FROM z LEFT JOIN exact ON exact.group1 = z.group1 AND exact.group2 = z.group2"""
 
 
 def _moments_sql() -> str:
@@ -219,6 +246,7 @@ ORACLES = {
     "ks_pairs": _ks_sql("lineitem", "l_quantity", "l_returnflag"),
     "ks_pairs_continuous": _ks_sql("orders", "o_totalprice", "o_orderpriority"),
     "ks_p_values": f"SELECT group1, group2, p_value FROM ({_ks_p_sql('lineitem', 'l_quantity', 'l_returnflag')})",
+    "ks_p_values_equal_sizes": _ks_p_sql("(SELECT s_acctbal, s_suppkey % 4 AS half FROM supplier)", "s_acctbal", "half"),
     "ks_pairs_large_integers": _ks_p_sql(
         "(SELECT o_orderkey + 9007199254740992 AS v, o_orderstatus FROM orders)", "v", "o_orderstatus"),
     "p_values": f"""SELECT feature, test, group1, group2, p_value FROM ({_ks_p_sql('orders', 'o_totalprice', 'o_orderpriority')})
