@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equiframe.functions.columns import ref
+from equiframe.functions.columns import q, ref
 from equiframe.functions.fixed import NULL_TOKENS
+from equiframe.sources.csv_records import column_names, csv_records
 
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -17,11 +18,22 @@ _INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 _BOOLEAN = r"^(True|False|TRUE|FALSE|true|false)$"
 
 
-def _options(reader, multiline: bool):
-    return (
-        reader.option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline).option("nullValue", "").option("mode", "PERMISSIVE")
-    )
+OPTIONS = {"quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
+
+
+def _whole_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.options(**OPTIONS).option("header", True).csv(path)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files whose records run over lines: records are found split by split, then parsed one by one."""
+    records = csv_records(spark, path)
+    header = records.filter("is_header").orderBy("file").select("record").first()
+    if header is None:
+        return _whole_lines(spark, path)
+    names = column_names(header["record"])
+    fields = F.from_csv("record", ", ".join(f"{q(n)} string" for n in names), {**OPTIONS, "multiLine": "true"})
+    return records.filter(~F.col("is_header")).select(fields.alias("r")).select(*[F.col("r").getField(n).alias(n) for n in names])
 
 
 def has_multiline_records(spark: SparkSession, path: str) -> bool:
@@ -45,12 +57,11 @@ def read_csv(
 
     One aggregation over the text decides every column's type: integer, number,
     boolean (only without missing values) or string.  ``multiline=None`` looks for
-    records that run over several lines and reads whole files only when there
-    are some, so that ordinary files stay splittable.
+    records that run over several lines; files with some are read split by split all the same.
     """
     if multiline is None:
         multiline = has_multiline_records(spark, path)
-    raw = _options(spark.read, multiline).csv(path)
+    raw = _records(spark, path) if multiline else _whole_lines(spark, path)
     tokens = list(null_tokens)
     text = raw.select(*[
         F.when(~ref(c).isin(tokens), ref(c)).alias(c) for c in raw.columns
