@@ -38,6 +38,14 @@ def _csv_roundtrip(s, d):
     return rounded(read_csv(s, path))
 
 
+def _csv_lines(s, d):
+    """Fields with quotes, commas and line breaks, written and read back split by split."""
+    note = F.concat(F.col("lang"), F.lit('\n"'), F.col("source"), F.lit('",\n\n'), F.col("doc_id").cast("string"), F.lit(' "'))
+    path = shared_path(s, "csv")
+    write_csv(table(s, d, "documents").select("doc_id", note.alias("note"), "n_chars"), path)
+    return read_csv(s, path)
+
+
 def _gaps(s, d):
     """Truth values and dates with gaps."""
     docs = labelled(s, d)
@@ -86,6 +94,7 @@ QUERIES = {
     "summarize_categories_readable": lambda s, d: prep.summarize_categories(prep.recommend(flags(s, d)), readable=True),
     "shape_change": lambda s, d: prep.shape_change(labelled(s, d), prep.apply_plan(labelled(s, d))),
     "csv_roundtrip": _csv_roundtrip,
+    "csv_records_over_lines": _csv_lines,
 }
 
 # The recommendation ladder over a profile.
@@ -123,6 +132,8 @@ _TOTALS = """count(*) AS columns, count(*) FILTER (contains(recommendation, 'Dro
         AS numeric_transform"""
 
 ORACLES = {
+    "csv_records_over_lines": """SELECT doc_id, lang || chr(10) || '"' || source || '",' || chr(10) || chr(10) || doc_id || ' "' AS note,
+        n_chars FROM documents""",
     "recommend": f"WITH {profile_rows(LABELLED, _DOCS)}, {LADDER} {_PLAN}",
     "recommend_from_profile": f"WITH {profile_rows(LABELLED, _DOCS)}, {LADDER} {_PLAN}",
     "summarize_categories": f"""WITH {_flag_profile()}

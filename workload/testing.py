@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equiframe.functions.columns import rows_of
 from equiframe.functions.scale import shared_path
 from equiframe.operators import findings as say
-from equiframe.operators.model import permutation_importance, train_baseline
 from equiframe.operators.outcome import disparities, output_fairness
 from equiframe.operators.prepare import recommend
 from equiframe.operators.profile import groupwise_missing
 from equiframe.operators.significance import anova, chi_square, group_moments, ks_pairs, standardized_difference
 from equiframe.plans.audit import audit_report, report_findings, write_report
-from workload.views import PREDICTIONS, labelled, predictions, rounded, table
+from workload import outcome, preparation, profiling, visual
+from workload.views import LABELLED, PREDICTIONS, labelled, predictions, rounded, table
 
 
 def _chi_two_dof(s, d):
@@ -20,6 +21,20 @@ def _chi_two_dof(s, d):
     return chi_square(predictions(s, d), ["grp2", "label", "prediction"], "grp")
 
 
+def _losses(frame):
+    """Accuracy lost when the rule behind the predictions may not use a column: one threshold for all groups, or no quantity."""
+    def right(prediction):
+        return F.avg((F.col("label") == prediction).cast("double"))
+
+    base = right(F.col("prediction"))
+    spread = F.lit(0.0)
+    return frame.agg(
+        (base - right((F.col("l_quantity") > 25).cast("int"))).alias("grp"), (base - right(F.lit(0))).alias("l_quantity"),
+        (base - right(F.lit(1))).alias("l_quantity_high")).select(rows_of([
+            {"feature": F.lit(c), "importance_mean": F.col(c), "importance_std": spread}
+            for c in ("grp", "l_quantity", "l_quantity_high")]))
+
+
 def _findings(s, d):
     frame, docs = predictions(s, d), labelled(s, d)
     plan = recommend(docs)
@@ -35,8 +50,7 @@ def _findings(s, d):
             group_moments(frame, ["l_quantity"], "grp")),
         say.distribution_findings(ks_pairs(frame, "l_tax", "grp")),
         say.outcome_findings(by_group, disparities(by_group)),
-        say.importance_findings(permutation_importance(train_baseline(
-            frame, "prediction", ["grp", "grp2", "l_quantity", "l_tax"], ["l_orderkey", "l_linenumber"]))),
+        say.importance_findings(_losses(frame)),
     )
     return say.with_summary(said, len(docs.columns) + len(frame.columns))
 
@@ -223,8 +237,94 @@ def _findings_sql() -> str:
         FROM tests t LEFT JOIN ends e ON t.feature = e.feature"""
 
 
+_DETAILS = """
+    encoding AS (SELECT 'encoding' AS section, "column" AS feature, CAST(NULL AS VARCHAR) AS "group", 'info' AS severity,
+        printf('%s holds distinct groups; encode it with %s before modelling.', "column",
+            CASE WHEN contains(recommendation, 'OneHotEncoder') THEN 'OneHotEncoder' ELSE 'LabelEncoder' END) AS message
+        FROM plan WHERE contains(recommendation, 'OneHotEncoder') OR contains(recommendation, 'LabelEncoder')),
+    scaling AS (SELECT 'scaling', "column", NULL, 'info',
+        printf('%s is a continuous measure; scale it so that its range does not dominate a model.', "column")
+        FROM plan WHERE regexp_matches(recommendation, 'MinMaxScaler|Log1pTransform|PowerTransform')),
+    missing AS (SELECT 'missing', "column", NULL, CASE WHEN null_ratio > 0.3 THEN 'warning' ELSE 'info' END,
+        printf('%s lacks %.1f%% of its values: %s.', "column", null_ratio * 100, CASE WHEN null_ratio > 0.3
+            THEN 'too many to rely on it, consider removing the column' ELSE 'fill the gaps or leave the rows out' END)
+        FROM plan WHERE null_ratio > 0),
+    rates AS (SELECT lang AS g, avg(CAST(quality IS NULL AS INT)) AS rate, count(*) AS n FROM src WHERE lang IS NOT NULL GROUP BY 1),
+    overall AS (SELECT sum(rate * n) / sum(n) AS o FROM rates),
+    lacking AS (SELECT 'group missing', 'quality', g, CASE WHEN rate > o THEN 'warning' ELSE 'info' END,
+        printf('quality lacks %.1f%% of its values in group %s%s.', rate * 100, g, CASE WHEN rate > o
+            THEN ', more than overall, so results for that group may be biased' ELSE '' END) FROM rates, overall),
+    verdicts AS (SELECT 'test', t.feature, NULL, CASE WHEN p_value < 0.05 THEN 'warning' ELSE 'info' END,
+        CASE WHEN p_value < 0.05 THEN printf('%s: the groups differ significantly (%s, p = %.4f).', t.feature, test, p_value)
+                || printf(' Group %s is highest (%.2f), group %s lowest (%.2f).', top, high, bottom, low)
+            ELSE printf('%s: no significant difference between groups (%s, p = %.4f).', t.feature, test, p_value) END
+        FROM tests t JOIN (SELECT feature, arg_max(g, m) AS top, max(m) AS high, arg_min(g, m) AS bottom, min(m) AS low
+                           FROM means GROUP BY 1) e ON t.feature = e.feature),
+    spread AS (SELECT 'distribution', feature, group1 || ' / ' || group2, 'warning', printf(
+        '%s is distributed differently in groups %s and %s (p = %.3f).', feature, group1, group2, p_value)
+        FROM ks WHERE p_value < 0.05),
+    scores AS (SELECT attribute, metric, grp, score, row_number() OVER (PARTITION BY attribute, metric ORDER BY score DESC, grp DESC) AS down,
+            row_number() OVER (PARTITION BY attribute, metric ORDER BY score, grp) AS up
+        FROM (UNPIVOT (SELECT attribute, grp, accuracy, precision, recall, f1, selection_rate FROM metrics)
+              ON accuracy, precision, recall, f1, selection_rate INTO NAME metric VALUE score)),
+    served AS (SELECT 'outcome', t.attribute, t.grp || ' / ' || b.grp, CASE WHEN t.score - b.score > 0.1 THEN 'warning' ELSE 'info' END,
+        CASE WHEN t.metric = 'selection_rate' THEN printf(
+                'Group %s is selected at a rate of %.2f and group %s at %.2f: chances may be unequal.', t.grp, t.score, b.grp, b.score)
+            ELSE printf('%s is %.2f in group %s but %.2f in group %s: the model serves the second less well.',
+                t.metric, t.score, t.grp, b.score, b.grp) END
+        FROM scores t JOIN scores b ON t.attribute = b.attribute AND t.metric = b.metric AND t.down = 1 AND b.up = 1),
+    wide AS (SELECT 'outcome gap', attribute, NULL, 'warning',
+        printf('%s differs by %.2f between groups of %s, over the limit of 0.1.', plain_name, value, attribute)
+        FROM gaps WHERE statistic = 'difference' AND value > 0.1),
+    driving AS (SELECT 'importance', feature, NULL, 'info',
+        printf('%s drives predictions: shuffling it costs %.4f of accuracy.', feature, loss) FROM losses WHERE loss > 0),
+    said AS (SELECT * FROM encoding UNION ALL SELECT * FROM scaling UNION ALL SELECT * FROM missing UNION ALL SELECT * FROM lacking
+        UNION ALL SELECT * FROM verdicts UNION ALL SELECT * FROM spread UNION ALL SELECT * FROM served UNION ALL SELECT * FROM wide
+        UNION ALL SELECT * FROM driving),
+    flagged AS (SELECT * FROM said WHERE severity = 'warning' AND feature IS NOT NULL),
+    foremost AS (SELECT feature, row_number() OVER (ORDER BY count(*) DESC, feature DESC) AS place
+        FROM flagged WHERE section <> 'outcome gap' GROUP BY feature),
+    pair AS (SELECT "group" AS g FROM flagged WHERE section = 'outcome' GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+    summary AS (SELECT 'summary', NULL, NULL, CASE WHEN count(*) > 0 THEN 'warning' ELSE 'info' END,
+        printf('%d of {columns} columns show possible bias.', count(*))
+        || CASE WHEN count(*) > 0 THEN ' Look first at ' || string_agg(feature, ' and ' ORDER BY place) FILTER (place <= 2) || '.' ELSE '' END
+        || coalesce((SELECT ' Outcomes differ most often between ' || g || '.' FROM pair), '') FROM foremost)
+    SELECT * FROM said UNION ALL SELECT * FROM summary"""
+
+
+def _all_findings_sql() -> str:
+    """Every message of the ``findings`` query, from the tables up."""
+    means = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, grp AS g, avg({c}) AS m FROM v GROUP BY 2" for c in ("label", "prediction", "l_quantity"))
+    chi = _chi_sql(PREDICTIONS, ["label", "prediction"], "grp", False, True, places=12)
+    f = _anova_sql(f"({PREDICTIONS})", ["l_quantity"], "grp", True, places=12)
+    right = "avg(CAST(label = {} AS INT))"
+    base = right.format("prediction")
+    losses = " UNION ALL ".join(f"SELECT '{n}' AS feature, {base} - {right.format(x)} AS loss FROM v" for n, x in (
+        ("grp", "CAST(l_quantity > 25 AS INT)"), ("l_quantity", "0"), ("l_quantity_high", "1")))
+    return f"""WITH {profiling.profile_rows(LABELLED, profiling._DOCS)}, {preparation.LADDER},
+        {outcome._metrics_sql(['grp'])}, gaps AS ({outcome._GAPS}), means AS ({means}), losses AS ({losses}),
+        tests AS (SELECT feature, test, p_value FROM ({chi}) UNION ALL SELECT feature, test, p_value FROM ({f})),
+        ks AS (SELECT * FROM ({_ks_p_sql(f"({PREDICTIONS})", "l_tax", "grp")})),
+        {_DETAILS.replace("{columns}", "14")}"""
+
+
+def _report_sql() -> str:
+    """Recommendations, findings and distributions of the report, as one long table."""
+    kinds = [("l_returnflag", "categorical"), ("l_linestatus", "categorical"),
+             ("l_quantity", "float"), ("l_discount", "float"), ("l_tax", "float")]
+    source = "SELECT " + ", ".join(c for c, _ in kinds) + " FROM lineitem"
+    none = "CAST(NULL AS VARCHAR)"
+    return f"""SELECT 'recommendations' AS section, "column" AS item, {none} AS statistic, {none} AS place, recommendation AS text,
+            CAST(NULL AS DOUBLE) AS value FROM (WITH {profiling.profile_rows(source, kinds)}, {preparation.LADDER} SELECT * FROM plan)
+        UNION ALL SELECT 'findings', feature, severity, "group", message, NULL FROM ({_findings_sql()})
+        UNION ALL SELECT 'distributions', attribute, statistic, "group", category, value FROM ({visual.ORACLES["report_distributions"]})"""
+
+
 ORACLES = {
     "report_findings": _findings_sql(),
+    "findings": _all_findings_sql(),
+    "audit_report": _report_sql(),
     "standardized_difference": """WITH g AS (
             SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v
             FROM orders GROUP BY 1),
