@@ -22,6 +22,7 @@ from equiframe.operators.demographics import (
 from equiframe.operators.profile import id_like, profile, valid_target
 
 GRID = 200
+INF = float("inf")
 LONG = "attribute string, statistic string, group string, category string, value double"
 
 
@@ -98,12 +99,14 @@ def box_stats(
 
 @dataclass
 class Range:
-    """Row count, ends and deviation of a number column, and its bins."""
+    """Row count, ends and deviation of a column's finite numbers, its infinite rows, and its bins."""
 
     n: int
     low: float
     high: float
     deviation: float
+    below: int = 0
+    above: int = 0
     bins: int = 0
 
     @property
@@ -116,17 +119,23 @@ class Range:
         return (self.high - self.low or 1.0) / self.bins
 
 
+def _finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, missing where they are infinite."""
+    return df.select(*[F.when(F.abs(ref(c).cast("double")) < INF, ref(c).cast("double")).alias(c) for c in columns])
+
+
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Range]:
     """One aggregation for all columns; columns without a value are left out."""
     aggs = []
     for i, c in enumerate(columns):
         v = ref(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.stddev_samp(v).alias(f"sd{i}")]
+        finite = F.when(F.abs(v) < INF, v)
+        aggs += [F.count(finite).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
+                 F.stddev_samp(finite).alias(f"sd{i}"), F.count_if(v == -INF).alias(f"below{i}"), F.count_if(v == INF).alias(f"above{i}")]
     row = df.agg(*aggs).first()
     return {
-        c: Range(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"sd{i}"] or 0.0)
-        for i, c in enumerate(columns) if row[f"n{i}"]
+        c: Range(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"sd{i}"] or 0.0, row[f"below{i}"], row[f"above{i}"])
+        for i, c in enumerate(columns) if row[f"n{i}"] or row[f"below{i}"] or row[f"above{i}"]
     }
 
 
@@ -150,14 +159,20 @@ def _set_bins(df: DataFrame, ranges: dict[str, Range], bins: int | str) -> None:
 def histogram(df: DataFrame, columns: str | Sequence[str], bins: int | str = 20) -> DataFrame:
     """Non-empty bins ``(column, bin, low, high, n)`` of equal width; the last one is closed.
 
-    Ranges of all columns come from one pass, their bin counts from another.
+    Ranges of all columns come from one pass, their bin counts from another.  Bins span the finite values; rows
+    at an infinity are counted in a row without a bin, from that infinity to itself.
     """
     columns = _listed(columns)
     require(df, *columns)
     df = clean(df)
-    ranges = _ranges(df, columns)
+    known = _ranges(df, columns)
+    schema = "column string, bin bigint, low double, high double, n bigint"
+    beyond = [(c, None, end, end, n) for c, r in known.items() for end, n in ((-INF, r.below), (INF, r.above)) if n]
+    ends = df.sparkSession.createDataFrame(beyond, schema)
+    ranges = {c: r for c, r in known.items() if r.n}
     if not ranges:
-        return df.sparkSession.createDataFrame([], "column string, bin bigint, low double, high double, n bigint")
+        return ends
+    df = _finite(df, list(ranges))
     _set_bins(df, ranges, bins)
     cells = []
     for c, r in ranges.items():
@@ -168,12 +183,13 @@ def histogram(df: DataFrame, columns: str | Sequence[str], bins: int | str = 20)
             "start": F.lit(float(r.start)), "width": F.lit(float(r.width)),
         })
     edge = F.col("start") + F.col("bin") * F.col("width")
-    return (
+    found = (
         df.select(rows_of(cells)).filter(F.col("bin").isNotNull())
         .groupBy("column", "bin", "start", "width").agg(F.count(F.lit(1)).alias("n"))
         .select("column", "bin", edge.alias("low"),
                 (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("high"), "n")
     )
+    return found.unionByName(ends) if beyond else found
 
 
 def density(df: DataFrame, columns: str | Sequence[str], points: int = GRID) -> DataFrame:
@@ -181,11 +197,12 @@ def density(df: DataFrame, columns: str | Sequence[str], points: int = GRID) ->
 
     Bandwidth is the sample deviation times ``n ** -0.2``.  Every row adds to every grid
     point of its column.  Each task sums its own rows with NumPy and hands on
-    ``points`` partial sums per column, so no row is shuffled.
+    ``points`` partial sums per column, so no row is shuffled.  Infinite values, which lie
+    on no grid, are left out; :func:`histogram` counts them.
     """
     columns = _listed(columns)
     require(df, *columns)
-    df = clean(df)
+    df = _finite(clean(df), columns)
     ranges = {c: r for c, r in _ranges(df, columns).items() if r.deviation > 0}
     if not ranges:
         return df.sparkSession.createDataFrame([], "column string, point int, x double, density double")

@@ -162,9 +162,11 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     """Counts per true and predicted class, ``(label, prediction, n)``.
 
     Two numeric columns are compared as numbers, so an integer label meets the doubles that models
-    predict; whole numbers are written without a fraction.
+    predict; whole numbers are written without a fraction.  Rows without a label or a prediction, NaN
+    included, are in no cell.
     """
     require(df, label, prediction)
+    df = clean(df).filter(ref(label).isNotNull() & ref(prediction).isNotNull())
     both = [ref(label), ref(prediction)]
     if all(isinstance(df.schema[c].dataType, T.NumericType) for c in (label, prediction)):
         both = [_class_text(c) for c in both]
@@ -175,8 +177,8 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
 
 
 def _class_text(value: Column) -> Column:
-    whole = value.cast("bigint")
-    return F.when(whole == value, whole.cast("string")).otherwise(value.cast("double").cast("string"))
+    whole, number = value.try_cast("bigint"), value.cast("double")  # none for numbers beyond a long
+    return F.when(whole.cast("double") == number, whole.cast("string")).otherwise(number.cast("string"))
 
 
 def classification_report(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import as_text, clean, ladder, one_row, ref, require, rows_of, safe_div
-from equiframe.functions.scale import evaluated
+from equiframe.functions.scale import (
+    bucket_openings, bucketed_rows, evaluated, lookup_join, materialise, running_totals, settle, value_totals,
+)
 from equiframe.sources.benchmark import benchmark_from_dict, default_benchmark
 
 METRICS = ("kl_divergence", "wasserstein_distance", "total_variation")
@@ -78,28 +80,42 @@ def input_fairness(
 def _wasserstein(result: DataFrame) -> DataFrame:
     """Mean gap between the sorted observed and the sorted expected shares.
 
-    The shares themselves are the samples, so this is the area between two
-    empirical distribution functions.  Equal shares are added up first; shares of n
-    rows take at most sqrt(2 n) different values, which bounds the one ordered window.
+    The shares themselves are the samples.  Up to ``LOOKUP_ROWS`` groups both lists are sorted as arrays in one
+    aggregate; beyond that the gap is integrated bucket by bucket.
     """
-    sums = result.agg(F.sum("observed_share").alias("p"), F.sum("expected_share").alias("q"))
-    p = F.col("observed_share") / sums.select("p").scalar()
-    q = F.col("expected_share") / sums.select("q").scalar()
-    order = Window.orderBy("x")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = (
-        result.select(rows_of([
-            {"x": p, "np": F.lit(1), "nq": F.lit(0)}, {"x": q, "np": F.lit(0), "nq": F.lit(1)},
-        ]))
-        .groupBy("x").agg(F.sum("np").alias("np"), F.sum("nq").alias("nq"))
-        .select(
-            (F.sum("np").over(upto) - F.sum("nq").over(upto)).alias("gap"),
-            (F.lead("x").over(order) - F.col("x")).alias("width"), "np",
-        )
-    )
-    return steps.agg(
-        (F.sum(F.abs("gap") * F.col("width")) / F.sum("np")).alias("wasserstein_distance")
-    )
+    lookup = settle(result.select("observed_share", "expected_share"))
+    if not lookup.small:
+        return _integrated_gap(lookup.frame)
+    p, q = (F.array_sort(F.collect_list(c)) for c in ("observed_share", "expected_share"))
+    total = F.aggregate(F.zip_with(
+        "p", "q", lambda x, y: F.abs(x / F.col("sp") - y / F.col("sq"))), F.lit(0.0), lambda s, v: s + v)
+    return lookup.frame.agg(
+        p.alias("p"), q.alias("q"), F.sum("observed_share").alias("sp"), F.sum("expected_share").alias("sq"),
+        F.count(F.lit(1)).alias("n"),
+    ).select((total / F.nullif("n", F.lit(0))).alias("wasserstein_distance"))
+
+
+def _integrated_gap(shares: DataFrame) -> DataFrame:
+    """The same as the area between the two running counts over the shares, cut into buckets that are sorted apart.
+
+    A bucket's last step ends at the first value of the next bucket that has one.
+    """
+    sums = shares.agg(F.sum("observed_share").alias("p"), F.sum("expected_share").alias("q")).first()
+    steps = shares.select(rows_of([
+        {"x": F.col("observed_share") / F.lit(sums["p"]), "np": F.lit(1), "nq": F.lit(0)},
+        {"x": F.col("expected_share") / F.lit(sums["q"]), "np": F.lit(0), "nq": F.lit(1)},
+    ])).withColumn("all", F.lit(0))
+    counts = ["np", "nq"]
+    rows = materialise(bucketed_rows(steps, ["x"], ["all"], {c: F.col(c) for c in counts}).drop("column"), "steps")
+    openings = bucket_openings(rows, ["all"], counts)
+    following = rows.groupBy("all", "bucket").agg(F.min("value").alias("first")).select(
+        "all", "bucket", F.lead("first").over(Window.partitionBy("all").orderBy("bucket")).alias("next"))
+    running = running_totals(value_totals(rows, ["all"], counts), openings, ["all"], counts)
+    inside = Window.partitionBy("all", "bucket").orderBy("value")
+    width = F.coalesce(F.lead("value").over(inside), "next") - F.col("value")
+    return lookup_join(running, following, ["all", "bucket"], F.col("value")).select(
+        F.abs(F.col("cum_np") - F.col("cum_nq")).alias("gap"), width.alias("width"), "np").agg(
+        (F.sum(F.col("gap") * F.col("width")) / F.sum("np")).alias("wasserstein_distance"))
 
 
 def distribution_distance(result: DataFrame) -> DataFrame:

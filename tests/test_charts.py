@@ -104,3 +104,18 @@ def test_most_frequent_values_of_several_columns(spark):
         F.concat(F.lit("y"), (F.col("id") % 30).cast("string"))).alias("b"))
     top = _top_values(df, ["a", "b"], 3)
     assert top["a"] == [0, 1, 2] and top["b"] == ["x", "y0", "y1"]
+
+
+def test_infinite_values_are_counted_and_span_no_bin(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, inf, inf, -inf, float("nan"), None)], "x double")
+    for bins in (4, "auto"):
+        rows = charts.histogram(df, "x", bins).collect()
+        assert {(r["low"], r["high"], r["n"]) for r in rows if r["bin"] is None} == {(inf, inf, 2), (-inf, -inf, 1)}
+        inside = [r for r in rows if r["bin"] is not None]
+        assert sum(r["n"] for r in inside) == 3 and min(r["low"] for r in inside) == 1 and max(r["high"] for r in inside) == 3
+    finite = charts.density(df.filter("x < 4 and x > 0"), "x").orderBy("point").collect()
+    assert charts.density(df, "x").orderBy("point").collect() == finite
+    only = charts.histogram(spark.createDataFrame([(inf,), (inf,)], "x double"), "x").collect()
+    assert [tuple(r) for r in only] == [("x", None, inf, inf, 2)]
+    assert charts.histogram(df.filter("x is null"), "x").count() == 0

@@ -20,6 +20,14 @@ def test_report_and_confusion(spark):
     assert model.confusion_matrix(df).count() == 4
 
 
+def test_confusion_of_odd_numbers(spark):
+    rows = [(1, 1.0), (1, float("nan")), (0, 1e300), (0, None), (None, 1.0), (2**60, float(2**60)), (0, 0.5)]
+    df = spark.createDataFrame(rows, "label bigint, prediction double")
+    assert {tuple(r) for r in model.confusion_matrix(df).collect()} == {
+        ("1", "1", 1), ("0", "1.0E300", 1), (str(2**60), str(2**60), 1), ("0", "0.5", 1)}
+    assert model.classification_report(df).filter("class = 'accuracy'").first()["f1"] == 0.5
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_roc_and_auc(spark, partitions):
     rng = np.random.default_rng(2)

@@ -110,3 +110,12 @@ def test_nan_is_no_group_of_the_observed_benchmark(spark):
     from equiframe.sources.benchmark import observed_benchmark
     df = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (float("nan"),), (None,)], "g double")
     assert {(r["group"], r["expected"]) for r in observed_benchmark(df, "g").collect()} == {("1.0", 0.667), ("2.0", 0.333)}
+
+
+def test_distance_of_many_groups_needs_no_single_sort(spark):
+    rng = np.random.default_rng(4)
+    p, q = rng.random(700).round(2) + 0.01, rng.random(700)
+    shares = spark.createDataFrame([(float(a), float(b)) for a, b in zip(p, q)], "observed_share double, expected_share double")
+    expected = np.abs(np.sort(p / p.sum()) - np.sort(q / q.sum())).mean()
+    assert rep._wasserstein(shares).first()[0] == pytest.approx(expected)
+    assert rep._integrated_gap(shares.repartition(5)).first()[0] == pytest.approx(expected)

@@ -94,6 +94,13 @@ def _gappy(s, d):
     return predictions(s, d).withColumn("label", F.when(F.col("l_tax") < 0.08, F.col("label")))
 
 
+def _odd_predictions(s, d):
+    """Predictions as doubles, some missing, some beyond a long, some no class."""
+    line = F.col("l_linenumber")
+    return predictions(s, d).withColumn("prediction", F.when(line == 7, float("nan")).when(line == 6, 1e300).when(
+        line == 5, 0.5).otherwise(F.col("prediction").cast("double")))
+
+
 QUERIES = {
     "output_fairness": lambda s, d: rounded(_by_group(s, d)),
     "output_fairness_attributes": lambda s, d: rounded(_by_group(s, d, ["grp", "grp2"])),
@@ -106,6 +113,7 @@ QUERIES = {
     "output_fairness_missing": lambda s, d: rounded(output_fairness(_gappy(s, d), "label", "prediction", "grp")),
     "roc_auc_missing": lambda s, d: rounded(model.roc_auc(_gappy(s, d), "label", "l_quantity")),
     "confusion_matrix": lambda s, d: model.confusion_matrix(predictions(s, d)),
+    "confusion_matrix_odd_numbers": lambda s, d: model.confusion_matrix(_odd_predictions(s, d)),
     "classification_report": lambda s, d: rounded(model.classification_report(predictions(s, d))),
     "roc_curve": lambda s, d: rounded(model.roc_curve(predictions(s, d), "label", "l_quantity")),
     "roc_auc": lambda s, d: rounded(model.roc_auc(predictions(s, d), "label", "l_quantity")),
@@ -157,6 +165,9 @@ _GAPS = " UNION ALL ".join(
 _AUDIT = _audit_sql("SELECT grp FROM v", "grp", literal_rows(GROUP_SHARES))
 
 ORACLES = {
+    "confusion_matrix_odd_numbers": f"""SELECT CAST(label AS VARCHAR) AS label, CASE l_linenumber WHEN 6 THEN '1.0E300' WHEN 5 THEN '0.5'
+            ELSE CAST(prediction AS VARCHAR) END AS prediction, count(*) AS n
+        FROM ({PREDICTIONS}) WHERE l_linenumber <> 7 GROUP BY 1, 2""",
     "output_fairness": f"WITH {_metrics_sql(['grp'])} {_PER_GROUP}",
     "output_fairness_attributes": f"WITH {_metrics_sql(['grp', 'grp2'])} {_PER_GROUP}",
     "disparities": f"""WITH {_metrics_sql(['grp', 'grp2'])}

@@ -15,6 +15,13 @@ def _people(s, d):
         (F.col("o_totalprice") / 1000).alias("charge"), F.col("o_orderstatus").alias("outcome"))
 
 
+def _stretched(s, d):
+    """Charges of which some are infinite, to either side, and some are NaN."""
+    key = F.col("o_orderkey") % 97
+    return table(s, d, "orders").select(F.when(key == 0, float("inf")).when(key == 1, float("-inf")).when(
+        key == 2, float("nan")).otherwise(F.round(F.col("o_totalprice") / 1000)).alias("charge"))
+
+
 AUDITED = ["l_linestatus", "l_tax", "l_discount", "l_quantity"]
 
 QUERIES = {
@@ -25,6 +32,8 @@ QUERIES = {
     "box_stats_outliers": lambda s, d: rounded(charts.box_stats(labelled(s, d), "n_chars", "lang")),
     "histogram": lambda s, d: rounded(charts.histogram(table(s, d, "lineitem"), "l_quantity")),
     "histogram_auto": lambda s, d: rounded(charts.histogram(_people(s, d), "charge", "auto")),
+    "histogram_infinite": lambda s, d: rounded(charts.histogram(_stretched(s, d), "charge", "auto")),
+    "density_infinite": lambda s, d: rounded(charts.density(_stretched(s, d), "charge")),
     "density": lambda s, d: rounded(charts.density(table(s, d, "lineitem"), "l_quantity")),
     "demographic_counts": lambda s, d: charts.demographic_counts(
         labelled(s, d).select(F.col("lang").alias("demographic.language"), F.col("quality").alias("demographic.q")),
@@ -42,6 +51,9 @@ QUERIES = {
 _PEOPLE = """SELECT o_orderpriority AS race, o_orderstatus AS gender, o_totalprice / 1000 AS charge FROM orders"""
 
 
+_STRETCHED = "SELECT round(o_totalprice / 1000) AS charge FROM orders WHERE o_orderkey % 97 > 2"
+
+
 def _box_sql(source: str, value: str, group: str) -> str:
     return f"""src AS (SELECT CAST({group} AS VARCHAR) AS g, CAST({value} AS DOUBLE) AS v FROM ({source})
                        WHERE {group} IS NOT NULL AND {value} IS NOT NULL),
@@ -126,6 +138,11 @@ ORACLES = {
         {_box_wide('n_chars', 'lang')}""",
     "histogram": f"WITH {_hist_sql('SELECT l_quantity FROM lineitem', 'l_quantity', '20')} {_hist_wide('l_quantity')}",
     "histogram_auto": f"WITH {_hist_sql(_PEOPLE, 'charge', 'auto')} {_hist_wide('charge')}",
+    "histogram_infinite": f"""WITH {_hist_sql(_STRETCHED, 'charge', 'auto')} {_hist_wide('charge')}
+        UNION ALL SELECT 'charge', NULL, e, e, n FROM (SELECT CASE o_orderkey % 97 WHEN 0 THEN CAST('inf' AS DOUBLE)
+            ELSE CAST('-inf' AS DOUBLE) END AS e, count(*) AS n FROM orders WHERE o_orderkey % 97 < 2 GROUP BY 1)""",
+    "density_infinite": f"""WITH {_density_sql(_STRETCHED, 'charge')}
+        SELECT 'charge' AS "column", point, round(x, 6) AS x, round(density, 6) AS density FROM dens""",
     "density": f"""WITH {_density_sql('SELECT l_quantity FROM lineitem', 'l_quantity')}
         SELECT 'l_quantity' AS "column", point, round(x, 6) AS x, round(density, 6) AS density FROM dens""",
     "demographic_counts": """SELECT 'demographic.language' AS attribute, lang AS category, count(*) AS n
