@@ -70,7 +70,8 @@ def test_baseline_importance_and_fairness(spark, table):
     fitted, found = model_fairness(table, "target", ["colour"], ["x", "noise", "colour"], ["id"], repeats=3)
     assert fitted.classes == ["no", "yes"]
     # first level in text order (blue) has no dummy, and a missing colour reads like it
-    assert fitted.features == ["x", "noise", "colour_red"]
+    assert [tuple(r) for r in fitted.features.orderBy("slot").collect()] == [(0, "x"), (1, "noise"), (2, "colour_red")]
+    assert fitted.n_features == 3
     assert found["auc"].first()["auc"] > 0.95
     importance = {r["feature"]: r["importance_mean"] for r in found["importance"].collect()}
     assert importance["x"] > 0.1 and importance["colour_red"] > 0.1 and abs(importance["noise"]) < 0.02
@@ -98,3 +99,81 @@ def test_unusable_targets(spark, table):
         model.train_baseline(table.withColumn("one", F.lit(1)), "one", ["x"])
     with pytest.raises(ValueError):
         model.train_baseline(table, "id", ["x"])
+
+
+def test_counted_rows_fit_like_the_rows_themselves(spark):
+    """The regression on counted rows against Spark's own on all of them."""
+    from pyspark.ml.feature import VectorAssembler
+
+    h = F.pmod(F.xxhash64("id"), F.lit(1000))
+    df = spark.range(5000).select(
+        "id", (h % 7).cast("double").alias("x"), F.when(h % 3 == 0, "a").when(h % 3 == 1, "b").otherwise("c").alias("g"),
+        F.when((h % 7 > 3) | (h % 50 == 0), "yes").otherwise("no").alias("target"))
+    fitted = model.train_baseline(df, "target", ["x", "g"], ["id"])
+    train, test = model.split(df, ["id"])
+    rows = train.select((F.col("target") == "yes").cast("double").alias("_label"), "x",
+                        (F.col("g") == "c").cast("double").alias("gc"), (F.col("g") == "b").cast("double").alias("gb"))
+    plain = model.select_model(2, train.count()).fit(
+        VectorAssembler(inputCols=["x", "gc", "gb"], outputCol="_features").transform(rows))
+    assert fitted.model.coefficients.toArray() == pytest.approx(plain.coefficients.toArray(), rel=1e-3)
+    assert [r["feature"] for r in fitted.features.orderBy("slot").collect()] == ["x", "g_c", "g_b"]
+    assert fitted.scored.count() == test.count()
+
+
+def test_importance_against_plain_permutation(spark):
+    """Each feature's loss from the rows, blocks and distances that the operator states."""
+    h = F.pmod(F.xxhash64("id"), F.lit(997))
+    df = spark.range(1500).select("id", (h / 997).alias("x"), F.when(h % 2 == 0, "a").otherwise("b").alias("g"),
+                                  F.when(h % 5 == 0, 1.0).otherwise(0.0).alias("z"))
+    for frame, settings in ((df.withColumn("t", ((F.col("x") > 0.6) | (F.col("g") == "b")).cast("int")), {}),
+                            (df.withColumn("t", F.floor(F.col("x") * 3)), {"numTrees": 5, "maxDepth": 4})):
+        fitted = model.train_baseline(frame, "t", ["x", "g", "z"], ["id"], **settings)
+        got = {r["feature"]: r for r in model.permutation_importance(fitted, 4, 100).collect()}
+        rows = fitted.scored.select("label", "prediction", model.vector_to_array("features").alias("v"), model.KEY_HASH).collect()
+        blocks = -(-len(rows) // 100)
+        number = spark.createDataFrame([(r[model.KEY_HASH],) for r in rows], "k bigint").select(
+            F.pmod(F.xxhash64(F.lit(model.SEED), "k"), F.lit(blocks))).collect()
+        held = {}
+        for r, (b,) in zip(rows, number):
+            held.setdefault(b, []).append(r)
+        own, changed = [], {(j, t): [] for j in range(3) for t in range(4)}
+        for b, members in sorted(held.items()):
+            members.sort(key=lambda r: r[model.KEY_HASH])
+            own += [(r["label"], r["v"]) for r in members]
+            for j, t in changed:
+                d = model._distance(b, t, len(members))
+                for i, r in enumerate(members):
+                    v = list(r["v"])
+                    v[j] = members[(i + d) % len(members)]["v"][j]
+                    changed[j, t].append((r["label"], v))
+
+        def accuracy(pairs):
+            vectors = spark.createDataFrame(pairs, "label double, v array<double>").select(
+                "label", model.array_to_vector("v").alias("_features"))
+            return fitted.model.transform(vectors).filter("label = _prediction").count() / len(pairs)
+
+        base = accuracy(own)
+        for j, name in enumerate(("x", "z", "g_b")):
+            losses = [base - accuracy(changed[j, t]) for t in range(4)]
+            assert got[name]["importance_mean"] == pytest.approx(np.mean(losses), abs=1e-12)
+            assert got[name]["importance_std"] == pytest.approx(np.std(losses), abs=1e-7)
+
+
+def test_a_feature_of_many_levels(spark):
+    """100,000 levels: the dictionary is a table, and their names are too."""
+    df = spark.range(120_000).select(
+        "id", F.format_string("level %06d", F.col("id") % 100_000).alias("g"), F.lit("same").alias("one"),
+        F.when(F.col("id") % 100_000 < 50_000, "low").otherwise("high").alias("t"))
+    fitted = model.train_baseline(df, "t", ["g", "one"], ["id"], maxIter=5)
+    assert fitted.n_features == 99_999 and fitted.features.count() == 99_999
+    ends = fitted.features.agg(F.min("slot"), F.max("slot"), F.min_by("feature", "slot"), F.max_by("feature", "slot")).first()
+    assert tuple(ends) == (0, 99_998, "g_level 099999", "g_level 000001")
+    row = fitted.scored.filter("id = 100005 or id < 100000").select("g", "slots", "features").first()
+    name = fitted.features.filter(F.col("slot") == row["slots"][0]).first()["feature"]
+    assert name == f"g_{row['g']}" and row["features"].indices.tolist() == row["slots"]
+
+
+def test_too_many_classes_are_refused(table, monkeypatch):
+    monkeypatch.setattr(model, "MOST_CLASSES", 20)
+    with pytest.raises(ValueError, match="classes"):
+        model.train_baseline(table.withColumn("c", F.col("id") % 30), "c", ["x"], ["id"])
