@@ -1,7 +1,7 @@
 """Secret scans: broad candidates, false positives removed by a random forest.
 
-Candidates are runs of at least 16 key characters with a digit, and shorter values that a
-credential's name introduces.  The forest sees a candidate's length, its character classes, how likely
+Candidates are runs of at least 16 key characters with a digit or a key's prefix, values of six characters or more that a
+credential's name introduces, and the passwords of addresses.  The forest sees a candidate's length, its character classes, how likely
 its letters follow each other in the corpus, how much of it the corpus' dictionary covers, the path
 the text came from, and the neighbouring words.  It is trained on labelled findings.  Everything is
 DataFrame operations and Spark ML.
@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from equiframe.llm.shared import SPACES, Stored, free_name, text_key
 
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential)s?\"?'?[:=]+[\"']?((?:(?!&[\w.-]+=)[^\s\"',;]){8,})"
-# What every text with a candidate holds: a run of 16 key characters with a digit, or a credential's name.
+# How keys of common services begin; behind it a run needs no digit.
+PREFIXED = r"(?:sk|pk|rk|gh[opsu]|glpat|xox[abprs]|api|key|token)[-_][A-Za-z0-9+/_-]{14,}"
+ADDRESS = r"://[^\s:/@]*:([^\s/@]{4,})@"  # the password in an address
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api_?-?key|access_?-?key|auth|credential)s?\"?'?[:=]+[\"']?((?:(?!&[\w.-]+=)[^\s\"',;]){6,})"
+# What every text with a candidate holds: a run of 16 key characters with a digit, a key's prefix, a credential's name, or an
+# address with a password.
 QUICK = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16}"
-         r"|(?i:token|secret|passw|pwd|key|auth|credential|bearer)")
-NAMES = r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|auth|credential|bearer"
+         r"|(?<![A-Za-z0-9+/_-])" + PREFIXED + r"|(?i:token|secret|passw|passphrase|pwd|key|auth|credential|bearer)|" + ADDRESS)
+NAMES = r"(?i)token|secret|passw|passphrase|pwd|api_?-?key|access_?-?key|private_?-?key|auth|credential|bearer"
 HASHES = r"(?i)commit|sha-?\d|md5|checksum|digest|etag|integrity|uuid|revision"
 SAMPLE_PATH = r"(?i)test|example|sample|mock|fixture|doc"
 INTRODUCES = r"[:=]+[\"']?$"
@@ -72,6 +76,26 @@ SEEDS = (
     ("", "token=undefined", "undefined", 0),
     ("", "password=password", "password", 0),
     ("", '{"author":"Williams","auth":"disabled"}', "disabled", 0),
+    ("", "postgres://admin:Tr0ub4dorx3@db.internal/main", "Tr0ub4dorx3", 1),
+    ("url", "redis://:pool77S3cret@cache:6379", "pool77S3cret", 1),
+    ("clone", "https://build:hunter2pass@git.internal/app", "hunter2pass", 1),
+    ("", "amqp://worker:green8door@queue", "green8door", 1),
+    ("", "mysql://root:${DB_ROOT}@db/app", "${DB_ROOT}", 0),
+    ("", "https://user:password@example.com", "password", 0),
+    ("see", "ftp://name:your-pass@host", "your-pass", 0),
+    ("", "sk-qwhzkvbnmtrplxdfgjcsqwhz", "sk-qwhzkvbnmtrplxdfgjcsqwhz", 1),
+    ("with", "pk_kqzvwxjhbnmplrtgdfscyokq", "pk_kqzvwxjhbnmplrtgdfscyokq", 1),
+    ("use", "token-xvbqzkjwhplmnrtdfgsc", "token-xvbqzkjwhplmnrtdfgsc", 1),
+    ("the", "key_performance_indicators", "key_performance_indicators", 0),
+    ("an", "api-documentation-overview", "api-documentation-overview", 0),
+    ("the", "token-based-authentication", "token-based-authentication", 0),
+    ("passphrase:", "correcthorse9", "correcthorse9", 1),
+    ("passphrase:", "river7stone4", "river7stone4", 1),
+    ("pwd:", "abc1234", "abc1234", 1),
+    ("password:", "qx71zt", "qx71zt", 1),
+    ("passphrase:", "optional", "optional", 0),
+    ("pwd:", "unknown", "unknown", 0),
+    ("password:", "hidden", "hidden", 0),
 )
 
 
@@ -92,16 +116,16 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         F.col(path).cast("string").alias("path"), F.col(text).alias("text")).filter(F.col("text").rlike(QUICK))
     placed = rows.select("doc", "path", words.alias("words"))
     near = F.filter(F.transform("words", lambda w, i: F.when(
-        (F.length(w) >= 8) & (w.rlike(RUN) | w.rlike(ASSIGNED)
+        (F.length(w) >= 6) & (w.rlike(RUN) | w.rlike(ASSIGNED) | w.rlike(ADDRESS)
                               | _introduced(F.get("words", i - 2), F.get("words", i - 1))),
         F.struct(F.coalesce(F.get("words", i - 2), F.lit("")).alias("before2"),
                  F.coalesce(F.get("words", i - 1), F.lit("")).alias("before"), w.alias("word"),
                  F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))), lambda x: x.isNotNull())
     hits = placed.select("doc", "path", F.inline(near))
-    runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"\d"))
-    given = F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"\d") | v.rlike(f"^{PREFIXED}"))
+    given = F.concat(F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all("word", F.lit(ADDRESS), F.lit(1)))
     bare = F.when(_introduced(F.col("before2"), F.col("before")),
-                  F.regexp_extract("word", r"^[\"']?([^\s\"',;]{8,})", 1)).otherwise("")
+                  F.regexp_extract("word", r"^[\"']?([^\s\"',;]{6,})", 1)).otherwise("")
     others = F.filter(F.concat(given, F.array(bare)), lambda v: (v != "") & ~F.exists(
         runs, lambda r: F.contains(r, F.regexp_replace(v, r"[.)}\]>!?]+$", ""))))
     values = F.array_distinct(F.concat(runs, others))
@@ -159,6 +183,8 @@ def described(found: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame
         (before.rlike(NAMES) | inline.rlike(NAMES)).cast("double"), (before.rlike(HASHES) | inline.rlike(HASHES)).cast("double"),
         (F.col("before").rlike("[:=]$") | inline.rlike("[:=][\"']?$")).cast("double"),
         F.col("word").rlike("[\"'`]").cast("double"), F.col("word").rlike(r"@|://|\.[a-z]{2,4}/").cast("double"),
+        inline.rlike(r"://[^\s:/@]*:$").cast("double"), F.col("value").rlike(f"^{PREFIXED}").cast("double"),
+        F.col("value").rlike("(?i)[$%{<]|your|example|password|changeme|placeholder").cast("double"),
     ]
     near = [F.pmod(F.xxhash64(F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))), F.lit(NEIGHBOURS)) for c in ("before2", "before", "after")]
     hashed = [F.when((near[0] == i) | (near[1] == i), 1.0).when(near[2] == i, 0.5).otherwise(0.0) for i in range(NEIGHBOURS)]
@@ -188,10 +214,11 @@ def presumed_findings(found: DataFrame, most: int) -> DataFrame:
     some = distinct.filter(F.pmod(F.xxhash64(*distinct.columns), F.lit(1 << 20)) < (1 << 20) * min(1.0, most / max(1, total)))
     named = F.concat_ws(" ", "before2", "before").rlike(NAMES) | F.regexp_replace("word", RUN, "").rlike(NAMES)
     mixed = F.col("value").rlike(r"[0-9].*[0-9].*[0-9]") & F.col("value").rlike("[A-Za-z].*[A-Za-z]") & (F.length("value") >= 20)
+    address = F.col("word").rlike(r"@[a-zA-Z]|://") & ~F.col("word").rlike(ADDRESS)
     wordy = F.col("value").rlike(r"(?i)^(?:[a-z]{3,}[/_-]+)+[a-z0-9]*$")
     hashed = F.concat_ws(" ", "before2", "before").rlike(HASHES)
     label = (
-        F.when(F.col("value").rlike(r"^[0-9+/_-]+=*$") | F.col("word").rlike(r"@[a-zA-Z]|://") | wordy | hashed, 0.0)
+        F.when(F.col("value").rlike(r"^[0-9+/_-]+=*$") | address | wordy | hashed, 0.0)
         .when(named & mixed, 1.0)
     )
     labelled = some.withColumn("label", label).filter("label is not null")

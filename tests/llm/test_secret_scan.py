@@ -63,6 +63,13 @@ def test_candidates_against_a_plain_search(docs_of):
     assert got == want | {(1, "hunter2hunter2"), (2, "shortvalue")}
 
 
+def test_addresses_prefixes_and_further_names(docs_of):
+    assert found_in(
+        docs_of, "postgres://admin:Tr0ub4dorx3@db/x", "go to redis://:pool77@cache", "http://host:8080/path", "sk-" + "abcdefgh" * 3,
+        "api-" + "word" * 5, "risk-" + "abcdefgh" * 3, "passphrase: correcthorse9", "pwd: abc123", "pwd: abc12") == [
+        {"Tr0ub4dorx3"}, {"pool77"}, set(), {"sk-" + "abcdefgh" * 3}, {"api-" + "word" * 5}, set(), {"correcthorse9"}, {"abc123"}, set()]
+
+
 def found_in(docs_of, *texts):
     got = {i: set() for i in range(len(texts))}
     for r in S.candidates(docs_of(list(texts))).collect():
@@ -94,6 +101,52 @@ def test_short_values_are_masked(docs_of):
         '{"password":"[SECRET]","api_key":"[SECRET]"}', *texts[4:]]
 
 
+def made_findings(rng):
+    """``kind: (text, value)`` of secrets, and of values that look like them, none of which the forest was given."""
+    letters, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+
+    def run(n, alphabet=mixed):
+        return "".join(rng.choice(alphabet) for _ in range(n - 2)) + ("7q" if alphabet == mixed else "xz")
+
+    def short():
+        return f"{rng.choice(WORDS)}{rng.randrange(10, 99)}{rng.choice(WORDS)[:3]}"
+
+    plain = lambda: f"{rng.choice(WORDS)}-{rng.choice(WORDS)}-{rng.choice(WORDS)}"
+    secret = {
+        "token": lambda v: (f'token = "{v}"', v), "name:": lambda v: (f"password: {v}", v), "json": lambda v: (f'{{"secret":"{v}","a":1}}', v),
+        "bearer": lambda v: (f"Authorization: Bearer {v}", v)}
+    made = {k: [f(run(rng.randrange(20, 40))) for _ in range(30)] for k, f in secret.items()}
+    made["short"] = [(f"{rng.choice(('pwd', 'passphrase', 'password'))}: {v}", v) for v in (short() for _ in range(30))]
+    made["address"] = [(f"{rng.choice(('postgres', 'mysql', 'amqp'))}://{rng.choice(WORDS)}:{v}@{rng.choice(WORDS)}.internal/x", v)
+                       for v in (run(12) for _ in range(30))]
+    made["prefix"] = [(f"use {v} here", v) for v in (f"{rng.choice(('sk', 'pk'))}-{run(24, letters)}" for _ in range(30))]
+    clean = {
+        "commit": [(f"commit {v}", v) for v in (hashlib.sha1(str(i).encode()).hexdigest() for i in range(30))],
+        "digits": [(f"order {v}", v) for v in (str(rng.randrange(10**17, 10**18)) for _ in range(30))],
+        "words": [(f"see {v}", v) for v in (f"{plain()}-{rng.randrange(2000, 2030)}" for _ in range(30))],
+        "named word": [(f"password: {v}", v) for v in (w for w in WORDS for _ in range(2) if len(w) >= 6)],
+        "address": [(f"read https://www.{rng.choice(WORDS)}.com/{plain()}/2023/", "") for _ in range(30)]}
+    return made, clean
+
+
+def test_recall_and_precision_of_every_kind(docs_of):
+    rng = random.Random(21)
+    made, clean = made_findings(rng)
+    secrets = [(k, *x) for k, found in made.items() for x in found]
+    others = [(k, *x) for k, found in clean.items() for x in found]
+    texts = [text_with(rng, t) for _, t, _ in secrets + others]
+    got = {r.doc_id: set(r.secrets) for r in S.scan_secrets(docs_of(texts)).collect()}
+    caught, taken = {}, {}
+    for i, (kind, _, value) in enumerate(secrets):
+        caught.setdefault(kind, []).append(value in got[i])
+    for i, (kind, _, _) in enumerate(others, len(secrets)):
+        taken.setdefault(kind, []).append(bool(got[i]))
+    recall = {k: sum(v) / len(v) for k, v in caught.items()}
+    right, wrong = sum(map(sum, caught.values())), {k: sum(v) / len(v) for k, v in taken.items()}
+    assert min(recall.values()) >= 0.9, (recall, wrong)
+    assert right / (right + sum(map(sum, taken.values()))) >= 0.9 and max(wrong.values()) <= 0.1, (recall, wrong)
+
+
 def test_transitions_and_vocabulary(docs_of):
     docs = docs_of(["abab ab", "AB zz", None])
     terms = {r.term: r.n for r in S.vocabulary(docs).collect()}
