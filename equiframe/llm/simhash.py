@@ -32,6 +32,7 @@ from equiframe.llm.shared import Stored, free_name, slices, text_key
 LANE, SEED = 64, 42
 CENTRES = 3  # vertices of a segment to which the others are linked first
 SLICE_BYTES = 4 << 20
+FEW_BYTES = 16 << 20  # of keys and digests of copies that are broadcast
 BLOCK = 1 << 16  # hashes whose bytes are counted at once
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -215,5 +216,8 @@ def drop_near_copies(
     mark, gone, gone_mark = (free_name(docs, n) for n in ("_mark", "_gone", "_gone_mark"))
     away = Stored(placed.join(stays, "group").filter(F.col("own") != F.col("stays")).select(
         F.col("own.key").alias(gone), F.col("own.mark").alias(gone_mark)), "copies").frame
+    size = away.agg(F.sum(F.coalesce(F.octet_length(F.col(gone).cast("string")), F.lit(0)) + 48)).first()[0] or 0
+    if size <= FEW_BYTES:  # texts then pass by and are not shuffled
+        away = F.broadcast(away)
     marked = docs.withColumn(mark, text_key(F.col(text)))
     return marked.join(away, F.col(key).eqNullSafe(F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti").drop(mark)
