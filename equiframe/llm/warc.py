@@ -31,7 +31,7 @@ RECORD = ("file string, offset bigint, record_type string, page_id bigint, url s
 DATE = "2000-01-01T00:00:00Z"  # the tables carry no time of capture
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 BATCH_BYTES = 8 << 20
-RANGE_BYTES = 4 << 20  # of compressed records that a task reads
+RANGE_BYTES = 16 << 20  # of compressed records that a task reads
 MOST_RANGES = 50_000
 
 
