@@ -163,18 +163,22 @@ def bucket_splits(
     At most ``buckets`` numbers per column come back.  They decide only how even
     the buckets are; every result is exact whatever the edges.
     """
-    n = buckets or bucket_count(df.sparkSession)
-    at = [i / n for i in range(1, n)]
     row = df.agg(*[
-        F.percentile_approx(ref(c).cast("double"), at, max(1000, 10 * n)).alias(f"e{i}")
-        for i, c in enumerate(columns)
+        edges_of(df.sparkSession, ref(c).cast("double"), buckets).alias(f"e{i}") for i, c in enumerate(columns)
     ]).first()
+    return {c: as_splits(edges) for c, edges in zip(columns, row)}
+
+
+def edges_of(spark: SparkSession, value: Column, buckets: int | None = None) -> Column:
+    """Aggregate of the approximate quantile edges of a double column, for :func:`as_splits`."""
+    n = buckets or bucket_count(spark)
+    return F.percentile_approx(value, [i / n for i in range(1, n)], max(1000, 10 * n))
+
+
+def as_splits(edges: Sequence[float] | None) -> list[float]:
+    """Bucket splits from quantile edges, open at both ends."""
     inf = float("inf")
-    out = {}
-    for c, edges in zip(columns, row):
-        inner = sorted({e for e in edges or [] if e not in (inf, -inf)}) or [0.0]
-        out[c] = [-inf, *inner, inf]
-    return out
+    return [-inf, *(sorted({e for e in edges or [] if e not in (inf, -inf)}) or [0.0]), inf]
 
 
 def bucketed_rows(
@@ -184,16 +188,18 @@ def bucketed_rows(
     sums: dict[str, Column] | None = None,
     buckets: int | None = None,
     exact: bool = False,
+    splits: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """Long rows ``(*by, column, value, bucket, *sums)``, missing values left out.
 
     ``sums`` are the amounts that later totals add up; 1 as ``n`` by default.  Values are doubles;
     with ``exact`` they keep the type of the one column there is, and the double only picks the bucket.
+    ``splits`` that are known already save the pass that finds them.
     """
     if exact and len(columns) != 1:
         raise ValueError("only a single column keeps its type")
     sums = sums or {"n": F.lit(1)}
-    splits = bucket_splits(df, columns, buckets)
+    splits = splits or bucket_splits(df, columns, buckets)
     picked = df.select(
         *[ref(b).alias(b) for b in by],
         *[ref(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)],
@@ -230,12 +236,14 @@ def bucket_openings(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -
     One scan and a shuffle of bucket totals; the windows see at most one row
     per bucket and key.
     """
-    per_bucket = rows.groupBy(*[ref(k) for k in keys], "bucket").agg(
-        *[F.sum(s).alias(s) for s in sums]
-    )
+    return opened(rows.groupBy(*[ref(k) for k in keys], "bucket").agg(*[F.sum(s).alias(s) for s in sums]), keys, sums)
+
+
+def opened(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """The same from totals that have one row per bucket and key; other columns stay."""
     whole = Window.partitionBy(*[ref(k) for k in keys])
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return per_bucket.select(
+    return totals.select(
         "*",
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"before_{s}") for s in sums],
         *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
@@ -271,20 +279,12 @@ def running_totals(
     )
 
 
-def quantiles(
-    df: DataFrame, columns: Sequence[str], at: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles ``(*by, column, q, value)``.
-
-    Bucket totals tell which bucket holds each wanted rank, and only rows of
-    those buckets are shuffled and sorted.
-    """
-    keys = [*by, "column"]
-    rows = bucketed_rows(df, columns, by)
+def quantile_buckets(openings: DataFrame, keys: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """``(*keys, bucket, ranks)``: the buckets that hold a wanted rank, and the ranks inside them."""
     position = F.col("q") * (F.col("total_n") - 1)
     low, high = F.floor(position), F.ceil(position)
-    targets = (
-        bucket_openings(rows, keys, ["n"])
+    return (
+        openings
         .withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in at])))
         .withColumn("rank", F.explode(F.array_distinct(F.array(low, high))))
         .withColumn("weight", F.when(low == high, 1.0).otherwise(1 - F.abs(position - F.col("rank"))))
@@ -294,17 +294,41 @@ def quantiles(
         .agg(F.collect_list(F.struct(  # at most two ranks per wanted quantile
             "q", "weight", (F.col("rank") - F.col("before_n")).alias("rank"))).alias("ranks"))
     )
-    wanted = lookup_join(rows, targets, [*keys, "bucket"], F.col("value"))
+
+
+def take_buckets(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, bucket, value, n, ranks)``: rows of the wanted buckets, equal values as one."""
+    return (
+        lookup_join(rows, wanted, [*keys, "bucket"], F.col("value"))
+        .groupBy(*[ref(k) for k in keys], "bucket", "value")
+        .agg(F.sum("n").alias("n"), F.first("ranks").alias("ranks"))
+    )
+
+
+def ranked_values(taken: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Quantiles ``(*keys, q, value)`` from the rows of the buckets that hold them."""
     inside = (
         Window.partitionBy(*[ref(k) for k in keys], "bucket").orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        wanted.groupBy(*[ref(k) for k in keys], "bucket", "value")
-        .agg(F.sum("n").alias("n"), F.first("ranks").alias("ranks"))
-        .withColumn("upto", F.sum("n").over(inside))
+        taken.withColumn("upto", F.sum("n").over(inside))
         .select("*", F.inline("ranks"))
         .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
         .groupBy(*[ref(k) for k in keys], "q")
         .agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
     )
+
+
+def quantiles(
+    df: DataFrame, columns: Sequence[str], at: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles ``(*by, column, q, value)``.
+
+    Bucket totals tell which bucket holds each wanted rank, and only rows of
+    those buckets are shuffled and sorted.
+    """
+    keys = [*by, "column"]
+    rows = bucketed_rows(df, columns, by)
+    targets = quantile_buckets(bucket_openings(rows, keys, ["n"]), keys, at)
+    return ranked_values(take_buckets(rows, targets, keys), keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from equiframe.functions.columns import as_text, clean, kinds, melt, melt_typed, ref, require, rows_of
 from equiframe.functions.fixed import NOT_TARGET_KEYWORDS, TARGET_KEYWORDS
-from equiframe.functions.scale import quantiles
+from equiframe.functions.scan import Scan
 
 ID_SHARE = 0.9
 
@@ -73,6 +73,20 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def profile_of(scan: Scan) -> DataFrame:
+    """:func:`profile` of a scan's columns; without ``n_unique`` where it counts no values, skewness of its numbers only."""
+    kind = kinds(scan.df)
+    rows = [
+        (i, c, kind[c], scan.rows, f.non_null, scan.sizes[c] if c in scan.values else None, bool(f.is_binary), f.skewness)
+        for i, (c, f) in enumerate(scan.facts.items())
+    ]
+    frame = scan.df.sparkSession.createDataFrame(
+        rows, "position int, column string, kind string, rows bigint, non_null bigint, n_unique bigint, "
+              "is_binary boolean, skewness double")
+    return frame.select("position", "column", "kind", "rows", "non_null", _missing_share().alias("null_ratio"),
+                        "n_unique", "is_binary", "skewness")
+
+
 def missing_top(df: DataFrame, n: int = 30) -> DataFrame:
     """Columns with the largest missing share."""
     df = clean(df)
@@ -91,71 +105,49 @@ def missing_top(df: DataFrame, n: int = 30) -> DataFrame:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent text per column, the smallest one on a tie: ``(column, top, freq)``."""
-    return (
+    return _most_frequent(
         melt(df, columns).filter(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column")
-        .agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
-             F.max("n").alias("freq"))
-    )
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _most_frequent(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("column").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("freq"))
 
 
 def table_summary(df: DataFrame) -> DataFrame:
     """Describe every column: long ``(column, statistic, number, text)``.
 
     Numbers: count, mean, std, min, quartiles, max.  Others: count, unique, top, freq.
-    Every column has its type; ``top`` and ``type`` are texts.
+    Every column has its type; ``top`` and ``type`` are texts.  One scan reads the table three times:
+    moments, counts of values and buckets, and the buckets that hold a quartile.
     """
-    df = clean(df)
     kind = kinds(df)
     numeric = [c for c in df.columns if kind[c] in ("integer", "float")]
     others = [c for c in df.columns if c not in numeric]
-    parts = []
+    scan = Scan(df, numeric, others)
+    known = [(f.name, "type", None, f.dataType.simpleString()) for f in df.schema.fields]
+    for c in scan.columns:
+        f = scan.facts[c]
+        known.append((c, "count", float(f.non_null), None))
+        if c in numeric:
+            known += [(c, "mean", f.mean, None), (c, "std", f.std, None), (c, "min", f.least, None), (c, "max", f.largest, None)]
+        else:
+            known.append((c, "unique", float(scan.sizes[c]), None))
+    out = df.sparkSession.createDataFrame(known, "column string, statistic string, number double, text string")
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     if numeric:
-        row = df.agg(*[
-            a for i, c in enumerate(numeric) for a in (
-                F.count(ref(c)).cast("double").alias(f"count{i}"),
-                F.avg(ref(c)).cast("double").alias(f"mean{i}"),
-                F.stddev_samp(ref(c)).alias(f"std{i}"),
-                F.min(ref(c)).cast("double").alias(f"min{i}"),
-                F.max(ref(c)).cast("double").alias(f"max{i}"),
-            )
-        ])
-        parts.append(row.select(rows_of([
-            {"column": F.lit(c), "statistic": F.lit(s), "number": F.col(f"{s}{i}")}
-            for i, c in enumerate(numeric) for s in ("count", "mean", "std", "min", "max")
-        ])))
-        parts.append(
-            quantiles(df, numeric, (0.25, 0.5, 0.75)).select(
-                "column",
-                F.concat(F.round(F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
-                F.col("value").alias("number"),
-            )
-        )
-    out = None
-    for p in parts:
-        p = p.select("column", "statistic", "number", F.lit(None).cast("string").alias("text"))
-        out = p if out is None else out.unionByName(p)
+        out = out.unionByName(scan.quantiles(numeric, (0.25, 0.5, 0.75)).select(
+            "column", F.concat(F.round(F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
+            F.col("value").alias("number"), no_text.alias("text")))
     if others:
-        top = modes(df, others)
-        counted = distinct_counts(df, others)
-        n = df.agg(*[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(others)]).select(
-            rows_of([{"column": F.lit(c), "count": F.col(f"n{i}")} for i, c in enumerate(others)])
-        )
-        joined = n.join(counted, "column", "left").join(top, "column", "left")
-        no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-        text = joined.select("column", rows_of([
-            {"statistic": F.lit("count"), "number": F.col("count").cast("double"), "text": no_text},
-            {"statistic": F.lit("unique"),
-             "number": F.coalesce("n_unique", F.lit(0)).cast("double"), "text": no_text},
-            {"statistic": F.lit("top"), "number": no_number, "text": F.col("top")},
-            {"statistic": F.lit("freq"), "number": F.col("freq").cast("double"), "text": no_text},
-        ]))
-        out = text if out is None else out.unionByName(text)
-    kinds_of = df.sparkSession.createDataFrame(
-        [(f.name, "type", None, f.dataType.simpleString()) for f in df.schema.fields],
-        "column string, statistic string, number double, text string")
-    return kinds_of if out is None else out.unionByName(kinds_of)
+        names = df.sparkSession.createDataFrame([(c,) for c in others], "column string")
+        out = out.unionByName(
+            names.join(_most_frequent(scan.counts(others)), "column", "left").select("column", rows_of([
+                {"statistic": F.lit("top"), "number": no_number, "text": F.col("top")},
+                {"statistic": F.lit("freq"), "number": F.col("freq").cast("double"), "text": no_text},
+            ])))
+    return out
 
 
 # --- rules over the profile -------------------------------------------------

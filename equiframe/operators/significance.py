@@ -37,7 +37,7 @@ def _listed(columns: str | Sequence[str]) -> list[str]:
 def chi_square(df: DataFrame, columns: str | Sequence[str], group_col: str) -> DataFrame:
     """Independence of each column and the group: ``(feature, test, stat, dof, p_value, n)``.
 
-    All columns are counted in one pass.  The statistic includes empty cells without
+    All columns are counted in one pass, whose cells are written once.  The statistic includes empty cells without
     building them: the sum of ``(O - E)^2 / E`` over all cells is
     ``n (sum O^2 / (R C) - 1)``.  With one degree of freedom the continuity
     correction is applied; in a 2 x 2 table ``|O - E|`` is the same in all cells and
@@ -46,12 +46,11 @@ def chi_square(df: DataFrame, columns: str | Sequence[str], group_col: str) -> D
     columns = _listed(columns)
     require(df, *columns, group_col)
     grouped = clean(df).withColumn("_group", ref(group_col).cast("string"))
-    cells = (
+    cells = materialise(  # read twice below
         melt_typed(grouped, columns, ["_group"])
         .filter(F.col("_group").isNotNull())
         .groupBy(F.col("column").alias("feature"), F.col("value").alias("row"), F.col("_group").alias("col"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        .agg(F.count(F.lit(1)).alias("n")), "cells")
     totals = cells.groupBy("feature", "col").agg(F.sum("n").alias("c"))
     by_row = (
         salted_join(cells, totals, ["feature", "col"], F.col("row"))
@@ -108,13 +107,19 @@ def group_moments(df: DataFrame, columns: str | Sequence[str], group_col: str) -
     ])).select("feature", "group", "n", "mean", "variance")
 
 
-def anova(df: DataFrame, columns: str | Sequence[str], group_col: str) -> DataFrame:
+def anova(
+    df: DataFrame, columns: str | Sequence[str], group_col: str, moments: DataFrame | None = None,
+) -> DataFrame:
     """One-way ANOVA of each column: ``(feature, test, stat, df1, df2, p_value)``.
 
     One pass over the table for all columns.  A group without any value makes a
-    result undefined, as it does for the usual implementation.
+    result undefined, as it does for the usual implementation.  ``moments`` of :func:`group_moments`
+    that cover the columns save that pass.
     """
-    g = group_moments(df, columns, group_col)
+    if moments is None:
+        g = group_moments(df, columns, group_col)
+    else:
+        g = moments.filter(F.col("feature").isin(_listed(columns)))
     n = F.col("n").cast("double")
     sums = g.groupBy("feature").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.min("n").alias("least"),

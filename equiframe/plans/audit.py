@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from equiframe.functions.columns import clean, is_numeric, require, rows_of
 from equiframe.functions.scale import evaluated
+from equiframe.functions.scan import Scan
 from equiframe.operators import findings as say
 from equiframe.operators.charts import distributions
 from equiframe.operators.model import (
@@ -17,7 +18,7 @@ from equiframe.operators.model import (
 )
 from equiframe.operators.outcome import COUNTS, disparities, output_fairness
 from equiframe.operators.prepare import recommend
-from equiframe.operators.profile import profile
+from equiframe.operators.profile import distinct_counts, profile_of
 from equiframe.operators.representation import fairness_summary, input_fairness
 from equiframe.operators.significance import anova, chi_square, group_moments
 from equiframe.sources.benchmark import benchmark_from_json
@@ -89,44 +90,52 @@ def model_fairness(
     return fitted, out
 
 
-def report_findings(df: DataFrame, audit_cols: Sequence[str], group_col: str = "race") -> DataFrame:
+def report_findings(
+    df: DataFrame, audit_cols: Sequence[str], group_col: str = "race", scan: Scan | None = None,
+) -> DataFrame:
     """One statistical finding per audited column.
 
-    Columns with up to ten values get a chi-square test, other numbers ANOVA; each
-    kind of test reads the table once for all its columns.
+    Columns with up to ten values get a chi-square test, other numbers ANOVA.  Distinct values (which a ``scan`` of
+    the same table may have counted), group moments and chi-square cells are a pass each, for all columns.
     """
     require(df, group_col, *audit_cols)
     df = clean(df)
-    sizes = {r["column"]: r["n_unique"] for r in profile(df, audit_cols).collect()}
-    few = [c for c in audit_cols if sizes[c] <= CATEGORICAL_UP_TO]
+    if scan is None:
+        counted = {r["column"]: r["n_unique"] for r in distinct_counts(df, audit_cols).collect()}
+    else:
+        counted = scan.sizes
+    few = [c for c in audit_cols if counted.get(c, 0) <= CATEGORICAL_UP_TO]
     many = [c for c in audit_cols if c not in few and is_numeric(df, c)]
     columns = ("feature", "test", "stat", "p_value")
-    tests = []
-    if few:
-        tests.append(chi_square(df, few, group_col).select(*columns))
-    if many:
-        tests.append(anova(df, many, group_col).select(*columns))
     untested = [
         ("test", c, None, "warning", f"{c}: text with over {CATEGORICAL_UP_TO} values has no group test.")
         for c in audit_cols if c not in few and c not in many
     ]
     out = df.sparkSession.createDataFrame(untested, ", ".join(f"`{c}` string" for c in say.COLUMNS))
-    if not tests:
+    if not few and not many:
         return out
-    moments = group_moments(df, few + many, group_col)
-    found = say.significance_findings(reduce(DataFrame.unionByName, tests), moments)
+    moments = evaluated(group_moments(df, few + many, group_col), "moments")
+    tests = []
+    if few:
+        tests.append(chi_square(df, few, group_col).select(*columns))
+    if many:
+        tests.append(anova(df, many, group_col, moments).select(*columns))
+    found = say.significance_findings(evaluated(reduce(DataFrame.unionByName, tests), "tests"), moments)
     return found.unionByName(out) if untested else found
 
 
 def audit_report(
     df: DataFrame, audit_cols: Sequence[str], group_col: str = "race", plan: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Recommendations, one statistical finding per audited column, and distributions."""
-    plan = recommend(df) if plan is None else plan
+    """Recommendations, one statistical finding per audited column, and distributions, all from one scan."""
+    numbers = [c for c in df.columns if is_numeric(df, c)]
+    listed = df.columns if plan is None else audit_cols
+    scan = Scan(df, [c for c in numbers if c in listed], listed, [c for c in numbers if c in audit_cols])
+    plan = recommend(df, profile_of(scan)) if plan is None else plan
     return {
         "recommendations": plan.select("column", "recommendation"),
-        "findings": report_findings(df, audit_cols, group_col),
-        "distributions": distributions(df, audit_cols),
+        "findings": report_findings(df, audit_cols, group_col, scan),
+        "distributions": distributions(df, audit_cols, scan),
     }
 
 
