@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiframe.functions import fixed as X
-from equiframe.functions.columns import as_text, clean, kinds, ref, require
+from equiframe.functions.columns import as_text, clean, kinds, ref, require, rows_of
 from equiframe.functions.scale import LOOKUP_ROWS, materialise, quantiles, salt_count
 from equiframe.operators.profile import modes, profile
 
@@ -232,52 +232,66 @@ def _label_text(df: DataFrame, name: str) -> Column:
 
 
 def label_codes(df: DataFrame, name: str) -> DataFrame:
-    """Rank of every label in text order, ``(label, n, code)``, however many there are.
+    """Rank of every label in text order, ``(label, n, code)``, however many there are."""
+    return label_dictionary(df, [name]).select("label", "n", "code")
 
-    Labels are range-partitioned, sorted and written with their place in the
-    partition; the partition sizes then turn places into ranks.  No label list
-    passes through the driver or one task.
+
+def label_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Ranks of the labels of several columns, ``(column, label, n, code)``, from one count and one write.
+
+    Labels are range-partitioned by column and text, sorted and written with their place in the
+    partition; the partition sizes then turn places into ranks, and a column's first rank is taken off.
+    No label list passes through the driver or one task.
     """
     place = F.monotonically_increasing_id()
     ranged = materialise(
-        df.select(_label_text(df, name).alias("label"))
-        .groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        .repartitionByRange("label").sortWithinPartitions("label")
-        .select("label", "n", F.shiftright(place, 33).alias("part"),
+        df.select(rows_of([{"column": F.lit(c), "label": _label_text(df, c)} for c in columns]))
+        .groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
+        .repartitionByRange("column", "label").sortWithinPartitions("column", "label")
+        .select("column", "label", "n", F.shiftright(place, 33).alias("part"),
                 place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")),
         "labels",
     )
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (  # one row per partition
-        ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-        .select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    # one row per partition and column, ranked over partitions within each column
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("part", "column").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("first"))
+        .select("part", "column", (F.coalesce(F.sum("size").over(earlier), F.lit(0)) - F.col("first")).alias("start"))
     )
-    return ranged.join(starts, "part").select(
-        "label", "n", (F.col("start") + F.col("place")).alias("code")
+    return ranged.join(starts, ["part", "column"]).select(
+        "column", "label", "n", (F.col("start") + F.col("place")).alias("code")
     )
 
 
-def _join_codes(df: DataFrame, name: str) -> DataFrame:
-    """Replace a column of many labels by its codes.
+def _join_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace columns of many labels by their codes, all from one dictionary.
 
-    Up to ``LOOKUP_ROWS`` codes are broadcast.  Beyond that it is a shuffled join in
-    which labels that hold over 1 % of the rows (there are under 100) are spread
-    over salts, so that no key is hot.
+    Up to ``LOOKUP_ROWS`` codes of a column are broadcast.  Beyond that it is a shuffled join in
+    which labels that hold over 1 % of the rows (there are under 100 a column) are spread
+    over salts, so that no key is hot.  One job over the dictionary tells sizes and hot labels of all columns.
     """
-    codes = label_codes(df, name)
-    keyed = df.withColumn("_label", _label_text(df, name))
-    table = codes.select(F.col("label").alias("_label"), F.col("code").alias("_code"), "n")
-    out = [F.col("_code").alias(c) if c == name else ref(c) for c in df.columns]
-    if codes.count() <= LOOKUP_ROWS:
-        return keyed.join(F.broadcast(table), "_label").select(*out)
-    total = codes.agg(F.sum("n").alias("t")).scalar()
-    hot = [r["label"] for r in codes.filter(F.col("n") > total * HOT_SHARE).select("label").collect()]
-    parts = salt_count(df.sparkSession)
-    salt = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(parts)).cast("int")
-    salted = keyed.withColumn("_salt", F.when(F.col("_label").isin(hot), salt).otherwise(F.lit(0)))
-    salts = F.when(F.col("_label").isin(hot), F.sequence(F.lit(0), F.lit(parts - 1)))
-    spread = table.withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
-    return salted.join(spread, ["_label", "_salt"]).select(*out)
+    codes = label_dictionary(df, columns)
+    sizes = codes.groupBy("column").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"))
+    facts = {r["column"]: r for r in codes.join(F.broadcast(sizes), "column").groupBy("column").agg(
+        F.first("labels").alias("labels"),
+        F.collect_list(F.when(F.col("n") > F.col("total") * HOT_SHARE, F.col("label"))).alias("hot")).collect()}
+    parts, out = salt_count(df.sparkSession), df
+    for c in columns:
+        if c not in facts:  # no row, no label
+            out = out.withColumn(c, F.lit(None).cast("bigint"))
+            continue
+        table = codes.filter(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        keyed = out.withColumn("_label", _label_text(out, c))
+        if facts[c]["labels"] <= LOOKUP_ROWS:
+            joined = keyed.join(F.broadcast(table), "_label")
+        else:
+            hot = F.col("_label").isin(facts[c]["hot"])
+            salt = F.pmod(F.xxhash64(*[ref(k) for k in df.columns]), F.lit(parts)).cast("int")
+            salts = F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+            joined = keyed.withColumn("_salt", F.when(hot, salt).otherwise(F.lit(0))).join(
+                table.withColumn("_salt", F.explode(salts)), ["_label", "_salt"])
+        out = joined.select(*[F.col("_code").alias(k) if k == c else ref(k) for k in out.columns])
+    return out
 
 
 def _code_of(df: DataFrame, name: str, values: Sequence[str], has_missing: bool) -> Column:
@@ -291,10 +305,8 @@ def _label_encode(df: DataFrame, columns: Sequence[str], fit: Fit) -> DataFrame:
         c: _code_of(df, c, fit.values[c], fit.missing[c]).alias(c) for c in columns if c in fit.values
     }
     out = df.select(*[small.get(c, ref(c)) for c in df.columns])
-    for c in columns:
-        if c not in small:
-            out = _join_codes(out, c)
-    return out
+    large = [c for c in columns if c not in small]
+    return _join_codes(out, large) if large else out
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -49,6 +49,26 @@ def test_label_codes_of_many_labels_with_a_hot_one(spark, monkeypatch, limit):
     assert all(order[r["was"]] == r["t"] for r in out)
 
 
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_large_columns_share_one_dictionary(spark, monkeypatch, limit):
+    monkeypatch.setattr(prep, "LOOKUP_ROWS", limit)
+    written, write = [], prep.materialise
+    monkeypatch.setattr(prep, "materialise", lambda df, name: written.append(name) or write(df, name))
+    df = spark.range(5000).select(
+        "id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 900)).alias("a.b"),
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("c"), (F.col("id") % 4).alias("d"),
+        F.lit(None).cast("string").alias("e"))
+    out = prep.label_encode(df, ["a.b", "c", "d", "e"])
+    assert out.columns == df.columns and written == ["labels"]
+    got = out.toPandas().set_index("id").sort_index()
+    was = df.toPandas().set_index("id").sort_index()
+    for c, values in (("a.b", was["a.b"].fillna("missing_label")), ("c", was["c"].astype(str)), ("d", was["d"].astype(str))):
+        order = {t: i for i, t in enumerate(sorted(set(values)))}
+        assert list(got[c]) == [order[v] for v in values]
+    assert set(got["e"]) == {0}
+    assert prep.label_encode(df.limit(0), ["a.b", "c"]).count() == 0
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5, -1.0), (3.0, 5, 2.0), (None, 5, 0.0)], "x double, c int, neg double")
     rows = prep.min_max_scale(df, ["x", "c"]).collect()

@@ -85,6 +85,8 @@ QUERIES = {
         table(s, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "p_size"]),
     "label_encode_many": lambda s, d: prep.label_encode(
         table(s, d, "customer").select("c_custkey", "c_name"), ["c_name"]),
+    "label_encode_two_large": lambda s, d: prep.label_encode(
+        table(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("key")), ["key", "o_custkey"]),
     "label_codes": lambda s, d: prep.label_codes(table(s, d, "lineitem").select("l_partkey"), "l_partkey"),
     "apply_plan": lambda s, d: rounded(prep.apply_plan(labelled(s, d))),
     "apply_plan_edited": _plan_edited,
@@ -167,6 +169,8 @@ ORACLES = {
     "label_encode": """SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand,
         dense_rank() OVER (ORDER BY CAST(p_size AS VARCHAR)) - 1 AS p_size FROM part""",
     "label_encode_many": """SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name FROM customer""",
+    "label_encode_two_large": """SELECT o_orderkey, dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS o_custkey,
+        dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS "key" FROM orders""",
     "label_codes": """SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS code FROM (
         SELECT CAST(l_partkey AS VARCHAR) AS label, count(*) AS n FROM lineitem GROUP BY 1)""",
     "apply_plan": f"""WITH v AS (SELECT DISTINCT * FROM ({LABELLED}))
