@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import as_text, clean, kinds, ref, require, rows_of
-from equiframe.functions.scale import LOOKUP_ROWS, materialise, quantiles, salt_count
-from equiframe.operators.profile import modes, profile
+from equiframe.functions.scale import LOOKUP_ROWS, materialise, salt_count
+from equiframe.functions.scan import Scan
+from equiframe.operators.profile import most_frequent, profile
 
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 ONE_HOT_LIMIT = 50
@@ -117,7 +118,10 @@ def dedupe(df: DataFrame) -> DataFrame:
 
 
 def _fills(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Fill value of each column: the mode of text and truth values, the median of numbers, the middle of times."""
+    """Fill value of each column: the mode of text and truth values, the median of numbers, the middle of times.
+
+    One scan serves all columns: edges, counts of values and buckets, and the buckets that hold a median.
+    """
     kind = kinds(df)
     types = {c: df.schema[c].dataType for c in columns}
     out = {}
@@ -125,16 +129,17 @@ def _fills(df: DataFrame, columns: Sequence[str]) -> dict:
     truths = [c for c in columns if isinstance(types[c], T.BooleanType)]
     numbers = [c for c in columns if kind[c] in ("integer", "float")]
     times = [c for c in columns if isinstance(types[c], TIMES)]
+    if not columns:
+        return out
+    ordered = [*numbers, *times]
+    scan = Scan(df.withColumns({c: _ticks(df, c) for c in times}), ordered, [*text, *truths])
     if text or truths:
-        found = {r["column"]: r["top"] for r in modes(df, [*text, *truths]).collect()}
+        found = {r["column"]: r["top"] for r in most_frequent(scan.counts([*text, *truths])).collect()}
         out.update({c: found.get(c, X.MISSING_FALLBACK) for c in text})
         out.update({c: found[c] == "true" for c in truths if found.get(c) is not None})
-    if times:
-        ticks = df.select(*[_ticks(df, c).alias(c) for c in times])
-        found = {r["column"]: r["value"] for r in quantiles(ticks, times, [0.5]).collect()}
+    if ordered:
+        found = {r["column"]: r["value"] for r in scan.quantiles(ordered, [0.5]).collect()}
         out.update({c: int(found[c] // 1) for c in times if c in found})
-    if numbers:
-        found = {r["column"]: r["value"] for r in quantiles(df, numbers, [0.5]).collect()}
         out.update({c: found[c] for c in numbers if c in found})
     return out
 

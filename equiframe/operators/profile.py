@@ -105,12 +105,13 @@ def missing_top(df: DataFrame, n: int = 30) -> DataFrame:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent text per column, the smallest one on a tie: ``(column, top, freq)``."""
-    return _most_frequent(
+    return most_frequent(
         melt(df, columns).filter(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _most_frequent(counts: DataFrame) -> DataFrame:
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """:func:`modes` of counted texts ``(column, value, n)``."""
     return counts.groupBy("column").agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("freq"))
 
@@ -143,7 +144,7 @@ def table_summary(df: DataFrame) -> DataFrame:
     if others:
         names = df.sparkSession.createDataFrame([(c,) for c in others], "column string")
         out = out.unionByName(
-            names.join(_most_frequent(scan.counts(others)), "column", "left").select("column", rows_of([
+            names.join(most_frequent(scan.counts(others)), "column", "left").select("column", rows_of([
                 {"statistic": F.lit("top"), "number": no_number, "text": F.col("top")},
                 {"statistic": F.lit("freq"), "number": F.col("freq").cast("double"), "text": no_text},
             ])))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from equiframe.functions.scan import Scan
 from equiframe.operators import charts
-from equiframe.operators.prepare import recommend
+from equiframe.operators.prepare import _fills, recommend
 from equiframe.operators.profile import profile, profile_of, table_summary
 from equiframe.plans.audit import audit_report
 
@@ -37,6 +37,7 @@ def passes(spark, job):
     (lambda df: table_summary(df).collect(), 3),
     (lambda df: charts.groupwise(df, ["race"], "x").collect(), 4),
     (lambda df: charts.groupwise(df, ["race"]).collect(), 2),
+    (lambda df: _fills(df, df.columns), 3),
     (lambda df: charts.box_stats(df, "x", "race").collect(), 3),
     (lambda df: charts.overview(df, ["race", "x", "part"]).collect(), 5),
     (lambda df: charts.histogram(df, ["x", "level"], "auto").collect(), 4),
