@@ -5,7 +5,8 @@ compared by exact cosine.  The number of bits follows the number of distinct vec
 expected occupancy of a hash value stays the same at every size, and the number of tables follows
 from the bits and the wanted recall at the threshold.
 
-Equal vectors are one class, compared once; the class size enters the link counts.
+Equal vectors are one class, compared once; the class size enters the link counts.  A row of a table carries the
+hash values of the first few tables, so a pair that has met in one of them is not joined again.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from equiframe.llm.components import connected_components
 from equiframe.llm.shared import Stored
 
+CARRIED = 8  # tables whose hash values every row carries
+
 
 def plan_tables(vectors: int, threshold: float, recall: float, spare_bits: int = 4) -> tuple[int, int]:
     """``(bits, tables)``: hash values outnumber the vectors, tables reach ``recall`` at the threshold."""
@@ -31,7 +34,9 @@ def plan_tables(vectors: int, threshold: float, recall: float, spare_bits: int =
 
 
 def _hashed(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """``(key, class)`` per table."""
+    """``(key, at, class, s0, s1, ...)`` per table ``at``; ``s`` are the hash values of the first tables."""
+    carried = min(CARRIED, tables)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
@@ -52,11 +57,26 @@ def _hashed(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))),
                          pa.array(np.full(len(part) * tables, size, np.int32)),
-                         pa.array(values.ravel()), pa.array(np.repeat(ids[part], tables))],
-                        names=["at", "dim", "value", "class"])
+                         pa.array(values.ravel()), pa.array(np.repeat(ids[part], tables)),
+                         *[pa.array(np.repeat(values[:, i], tables)) for i in range(carried)]],
+                        names=["at", "dim", "value", "class", *[f"s{i}" for i in range(carried)]])
 
-    signed = classes.select("class", "vector").mapInArrow(sign, "at int, dim int, value bigint, class bigint")
-    return signed.select(F.xxhash64("at", "dim", "value").alias("key"), "class")
+    signed = classes.select("class", "vector").mapInArrow(sign, ", ".join(
+        ["at int, dim int, value bigint, class bigint", *[f"s{i} bigint" for i in range(carried)]]))
+    return signed.select(F.xxhash64("at", "dim", "value").alias("key"), "at", "class", *[f"s{i}" for i in range(carried)])
+
+
+def _meetings(hashed: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b, of classes that share a hash value, each pair once.
+
+    A pair is left out of a table if it has met in an earlier one of those that rows carry; ``distinct``
+    sees the few that meet only in later tables.
+    """
+    x, y = hashed.alias("x"), hashed.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.class") < F.col("y.class"))
+    for i in range(sum(c.startswith("s") for c in hashed.columns)):
+        meet &= (F.col("x.at") <= i) | (F.col(f"x.s{i}") != F.col(f"y.s{i}"))
+    return x.join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def _cosine(x: Column, y: Column) -> Column:
@@ -91,11 +111,7 @@ def embedding_groups(
         F.min("key").alias("class"), F.count("*").alias("members"), F.first("vector").alias("vector")), "classes").frame
     bits, tables = plan_tables(classes.count(), threshold, recall)
     hashed = Stored(_hashed(classes, bits, tables, seed), "hashed").frame
-    met = (
-        hashed.alias("x").join(hashed.alias("y"), (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.class") < F.col("y.class")))
-        .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    )
+    met = _meetings(hashed)
     known = classes.select("class", "members", "vector")
     compared = (
         met.join(known.select(F.col("class").alias("a"), F.col("members").alias("m"), F.col("vector").alias("v")), "a")

@@ -2,7 +2,7 @@ import math
 import random
 
 from tests.llm.conftest import components
-from equiframe.llm.embeddings import embedding_groups
+from equiframe.llm.embeddings import _hashed, _meetings, embedding_groups
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -70,3 +70,18 @@ def test_empty_and_repeated(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [1.0, 0.1], 0)]
     got = {tuple(r) for r in embedding_groups(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("label", "class")).collect()}
     assert got == {(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False)}
+
+
+def test_meetings_are_those_of_all_tables(spark):
+    """The carried hash values drop repeats and no pair."""
+    random.seed(3)
+    base = [[random.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [x + random.gauss(0, 0.15) for x in base[i % 6]]) for i in range(90)]
+    hashed = _hashed(spark.createDataFrame(rows, "class bigint, vector array<double>"), 10, 20, 7).cache()
+    by_key = {}
+    for r in hashed.collect():
+        by_key.setdefault(r.key, set()).add(r["class"])
+    want = {(a, b) for g in by_key.values() for a in g for b in g if a < b}
+    got = [tuple(r) for r in _meetings(hashed).collect()]
+    assert len(got) == len(want) and set(got) == want
+    hashed.unpersist()
