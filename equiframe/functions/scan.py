@@ -5,6 +5,8 @@ A :class:`Scan` is told what is wanted of a table before anything is read:
 * ``facts``  counts, moments, ends and bucket edges of all columns from one aggregate;
 * ``cells``  the counts of all distinct values, and the totals of all buckets, from one grouped pass
   that is written to the shared folder;
+* ``top_values`` are the most frequent values of columns of which only those are wanted: a sketch in the first
+  aggregate tells which values the grouped pass counts;
 * ``quantiles`` and ``boxes`` then read rows of the few buckets that hold a wanted rank or a whisker's end.
 
 A number column whose values are counted and repeat is not read from the table again: its counts stand for it.
@@ -12,16 +14,17 @@ A number column whose values are counted and repeat is not read from the table a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equiframe.functions.columns import clean, kinds, ref, require, rows_of, typed_value
+from equiframe.functions.columns import clean, kinds, melt_typed, ref, require, rows_of, typed_value
+from equiframe.functions.frequent import Heavy, heavy_hashes, most_counted, sketch
 from equiframe.functions.scale import (
     as_splits, bucketed_rows, edges_of, materialise, opened, quantile_buckets, ranked_values, take_buckets,
 )
@@ -47,19 +50,22 @@ class Facts:
     below: int = 0                  # rows at either infinity
     above: int = 0
     splits: list[float] | None = None
+    listed: list | None = None      # the sketch of the most frequent values
 
 
 class Scan:
-    """What is wanted of ``numbers`` (moments), ``ordered`` numbers (all of them by default) and ``values`` (counts)."""
+    """What is wanted of ``numbers`` (moments), ``ordered`` numbers (all of them by default), ``values`` (counts of all)
+    and ``tops`` (how many of the most frequent values of a column)."""
 
     def __init__(self, df: DataFrame, numbers: Sequence[str] = (), values: Sequence[str] = (),
-                 ordered: Sequence[str] | None = None):
-        require(df, *numbers, *values)
+                 ordered: Sequence[str] | None = None, tops: Mapping[str, int] | None = None):
+        self.tops = dict(tops or {})
+        require(df, *numbers, *values, *self.tops)
         self.df = clean(df)
         self.numbers = list(dict.fromkeys(numbers))
         self.values = list(dict.fromkeys(values))
         self.ordered = [c for c in self.numbers if ordered is None or c in ordered]
-        self.columns = [c for c in df.columns if c in {*self.numbers, *self.values}]
+        self.columns = [c for c in df.columns if c in {*self.numbers, *self.values, *self.tops}]
         self._quartiles: dict[str, tuple[float, float]] = {}
         self.types = {f.name: f.dataType for f in df.schema.fields}
 
@@ -82,6 +88,8 @@ class Scan:
                     found["splits"] = edges_of(self.df.sparkSession, v)
             elif isinstance(self.types[c], T.BooleanType):
                 found["is_binary"] = F.count(ref(c)) > 0
+            if c in self.tops and c not in self.values:
+                found["listed"] = sketch(typed_value(c, self.types[c]))
             aggs += [e.alias(f"{name}{i}") for name, e in found.items()]
         row = self.df.agg(*aggs).first().asDict()
         out = {}
@@ -99,12 +107,18 @@ class Scan:
     def facts(self) -> dict[str, Facts]:
         return self._facts[1]
 
+    @cached_property
+    def heavy(self) -> dict[str, Heavy | None]:
+        """What the sketches tell of the columns whose most frequent values are wanted; None where all are counted."""
+        return {c: None if c in self.values else heavy_hashes(self.facts[c].listed, n, self.facts[c].non_null)
+                for c, n in self.tops.items()}
+
     @cached_property
     def cells(self) -> DataFrame:
         """``(column, bucket, value, n, low, high)``, written once.
 
         A value column has a row per distinct value, a missing one included; another ordered column has a row
-        per bucket, with the ends of its values.
+        per bucket, with the ends of its values.  Of a column whose most frequent values are wanted, the others are one row.
         """
         df, bucket = self.df, {}
         if self.ordered:
@@ -115,15 +129,49 @@ class Scan:
                 splitsArray=[self.facts[c].splits for c in self.ordered], handleInvalid="keep",
             ).transform(df)
         no_value = F.lit(None).cast("struct<whole:bigint,number:double,text:string>")
+
+        def value_of(c: str) -> Column:
+            value = typed_value(c, self.types[c])
+            if c in self.tops and self.heavy[c]:
+                return F.when(F.xxhash64(value).isin(self.heavy[c].keys), value)
+            return value if c in self.values or c in self.tops else no_value
+
         long = df.select(rows_of([{
             "column": F.lit(c),
             "bucket": F.col(f"_b{bucket[c]}").cast("int") if c in bucket else F.lit(None).cast("int"),
-            "value": typed_value(c, self.types[c]) if c in self.values else no_value,
+            "value": value_of(c),
             "x": F.col(f"_v{bucket[c]}") if c in bucket else F.lit(None).cast("double"),
-        } for c in self.columns if c in bucket or c in self.values]))
+        } for c in self.columns if c in bucket or c in self.values or c in self.tops]))
         return materialise(long.groupBy("column", "bucket", "value").agg(
             F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "cells")
 
+    def top_values(self) -> dict[str, list[tuple]]:
+        """The most frequent values of each column of ``tops`` as ``(value, n)``, ties by value; a column without a value has none.
+
+        Counts are exact.  Columns in which the candidates' counts do not clear the sketch's bound are read once more.
+        """
+        counted = self.cells.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("n").alias("n"))
+        best = self._best(counted, list(self.tops))
+        unproven = [c for c, heavy in self.heavy.items() if heavy and not self._proven(heavy, c, *best[c])]
+        if unproven:
+            every = melt_typed(self.df, unproven).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            best |= self._best(every, unproven)
+        return {c: [(next(v for v in r["value"] if v is not None), r["n"]) for r in rows] for c, (rows, _) in best.items()}
+
+    def _proven(self, heavy: Heavy, column: str, rows: list, total: int) -> bool:
+        nth = rows[-1]["n"] if len(rows) == self.tops[column] else None
+        return heavy.proves(nth, total, self.facts[column].non_null)
+
+    def _best(self, counted: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list, int]]:
+        """Per column its largest counts as rows, and the total of all."""
+        counted = counted.filter(F.col("column").isin(list(columns)))
+        totals = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        rows: dict[str, list] = {c: [] for c in columns}
+        for r in most_counted(counted, max(self.tops.values())).orderBy("column", "_rank").collect() if columns else []:
+            if len(rows[r["column"]]) < self.tops[r["column"]]:
+                rows[r["column"]].append(r)
+        return {c: (rows[c], totals.get(c, 0)) for c in columns}
+
     @cached_property
     def sizes(self) -> dict[str, int]:
         """Number of distinct values of each value column, counted exactly."""

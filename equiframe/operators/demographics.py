@@ -6,14 +6,18 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import (
-    as_text, bin_of, clean, is_numeric, ref, require, rows_of,
+    as_text, bin_of, clean, is_numeric, kinds, ref, require, rows_of,
 )
+from equiframe.functions.scale import salted_join
+from equiframe.functions.scan import Scan
 from equiframe.operators.profile import group_eligible, profile
 
 TOP_GROUPS = 20
+FEW_GROUPS = 1_000
 
 
 def demographic_columns(names: DataFrame | Iterable[str], exact_token: bool = False) -> list[str]:
@@ -93,16 +97,28 @@ def process_age_columns(df: DataFrame, exact_token: bool = False) -> DataFrame:
 
 
 def top_groups(df: DataFrame, column: str, n: int = TOP_GROUPS) -> DataFrame:
-    """Rows of the ``n`` most frequent values, ties by value."""
+    """Rows of the ``n`` most frequent values, ties by value.
+
+    Up to ``FEW_GROUPS`` values are found by a sketch and an exact recount and filter the table where it is read;
+    for more, and for values that have no text, all are counted and joined.
+    """
     require(df, column)
     frame = clean(df)
+    kind, data_type = kinds(df)[column], df.schema[column].dataType
+    if n <= FEW_GROUPS and not isinstance(data_type, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        found = [value for value, _ in Scan(frame, tops={column: n}).top_values()[column]]
+        if kind == "integer":
+            return frame.filter(ref(column).isin(found))
+        if isinstance(data_type, (T.FloatType, T.DoubleType)):
+            return frame.filter((ref(column).cast("double") + 0.0).isin(found))  # -0.0 is 0.0
+        return frame.filter(ref(column).cast("string").isin(found))
     kept = (
         frame.filter(ref(column).isNotNull())
         .groupBy(ref(column).alias("_top")).agg(F.count(F.lit(1)).alias("_n"))
         .orderBy(F.desc("_n"), "_top").limit(n).select("_top")
     )
-    # n rows, so broadcasting them is safe at any table size
-    return frame.join(F.broadcast(kept), ref(column) == F.col("_top"), "left_semi")
+    return salted_join(frame.withColumn("_top", ref(column)), kept, ["_top"], F.struct(*[ref(c) for c in df.columns]),
+                       "left_semi").drop("_top")
 
 
 # --- one-hot families --------------------------------------------------------------

@@ -13,7 +13,7 @@ from equiframe.functions import fixed as X
 from equiframe.functions.columns import as_text, clean, kinds, ref, require, rows_of
 from equiframe.functions.scale import LOOKUP_ROWS, materialise, salt_count
 from equiframe.functions.scan import Scan
-from equiframe.operators.profile import most_frequent, profile
+from equiframe.operators.profile import profile
 
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 ONE_HOT_LIMIT = 50
@@ -120,7 +120,7 @@ def dedupe(df: DataFrame) -> DataFrame:
 def _fills(df: DataFrame, columns: Sequence[str]) -> dict:
     """Fill value of each column: the mode of text and truth values, the median of numbers, the middle of times.
 
-    One scan serves all columns: edges, counts of values and buckets, and the buckets that hold a median.
+    One scan serves all columns: edges and sketches, counts of frequent values and buckets, and the buckets that hold a median.
     """
     kind = kinds(df)
     types = {c: df.schema[c].dataType for c in columns}
@@ -132,11 +132,11 @@ def _fills(df: DataFrame, columns: Sequence[str]) -> dict:
     if not columns:
         return out
     ordered = [*numbers, *times]
-    scan = Scan(df.withColumns({c: _ticks(df, c) for c in times}), ordered, [*text, *truths])
+    scan = Scan(df.withColumns({c: _ticks(df, c) for c in times}), ordered, tops=dict.fromkeys([*text, *truths], 1))
     if text or truths:
-        found = {r["column"]: r["top"] for r in most_frequent(scan.counts([*text, *truths])).collect()}
+        found = {c: top[0][0] for c, top in scan.top_values().items() if top}
         out.update({c: found.get(c, X.MISSING_FALLBACK) for c in text})
-        out.update({c: found[c] == "true" for c in truths if found.get(c) is not None})
+        out.update({c: found[c] == "true" for c in truths if c in found})
     if ordered:
         found = {r["column"]: r["value"] for r in scan.quantiles(ordered, [0.5]).collect()}
         out.update({c: int(found[c] // 1) for c in times if c in found})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiframe.functions.columns import as_text, clean, kinds, melt, melt_typed, ref, require, rows_of
+from equiframe.functions.columns import as_text, clean, kinds, melt_typed, ref, require, rows_of
 from equiframe.functions.fixed import NOT_TARGET_KEYWORDS, TARGET_KEYWORDS
 from equiframe.functions.scan import Scan
 
@@ -105,13 +105,15 @@ def missing_top(df: DataFrame, n: int = 30) -> DataFrame:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent text per column, the smallest one on a tie: ``(column, top, freq)``."""
-    return most_frequent(
-        melt(df, columns).filter(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    texts = df.select(*[as_text(c, types[c]).alias(c) for c in columns])
+    tops = Scan(texts, tops=dict.fromkeys(columns, 1)).top_values()
+    found = [(c, value, n) for c, top in tops.items() for value, n in top]
+    return df.sparkSession.createDataFrame(found, "column string, top string, freq bigint")
 
 
 def most_frequent(counts: DataFrame) -> DataFrame:
-    """:func:`modes` of counted texts ``(column, value, n)``."""
+    """Most frequent text per column, the smallest one on a tie, ``(column, top, freq)``, of counted texts ``(column, value, n)``."""
     return counts.groupBy("column").agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("freq"))
 
