@@ -2,6 +2,8 @@
 
 import math
 import os
+import struct
+import zlib
 
 import duckdb
 import pytest
@@ -72,6 +74,44 @@ def test_simhash_query(spark, db):
     assert {tuple(r) for r in Q.QUERIES["op7_simhash"](spark, DATA).collect()} == {(i, f"{p:016x}", root[i]) for i, p in prints.items()}
 
 
+def test_license_query(spark, db):
+    from tests.llm.test_license_scan import brute
+    docs = db.execute("SELECT doc_id, text FROM documents").fetchall()
+    rows = Q.QUERIES["op9_licenses"](spark, DATA).collect()
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert {r.doc_id: plain_row(r, names) for r in rows} == {i: tuple(
+        round(x, 9) if isinstance(x, float) else x for x in brute(t)) for i, t in docs}
+
+
+def test_token_count_query(spark, db):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = set()
+    for i, t in db.execute("SELECT doc_id, text FROM documents").fetchall():
+        n = len(library.encode(t or ""))
+        want.add((i, len((t or "").encode()), n, n > 4096))
+    rows = Q.QUERIES["op10_token_counts"](spark, DATA).collect()
+    assert {plain_row(r, ("doc_id", "n_bytes", "n_tokens", "over_limit")) for r in rows} == want
+
+
+def test_token_file_query(spark, db):
+    tokenizers = pytest.importorskip("tokenizers")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for i, t in db.execute("SELECT doc_id, text FROM documents ORDER BY 1").fetchall():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    rows = Q.QUERIES["op12_token_files"](spark, DATA).collect()
+    assert sorted(plain_row(r, ("doc_id", "start", "n_tokens", "ids_crc32")) for r in rows) == want
+
+
+def plain_row(row, names):
+    return tuple(round(row[n], 9) if isinstance(row[n], float) else row[n] for n in names)
+
+
 def test_pipeline(spark, db):
     """Each stage against a plain version of its rule, on its own input."""
     from tests.llm.conftest import components
