@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from equiframe.functions.columns import ref, rows_of
 
 LOOKUP_ROWS = 20_000
+LOOKUP_BYTES = 16 << 20  # of texts; what is larger is not broadcast
 
 _written: dict[str, list[str]] = {}  # by session
 
@@ -96,10 +97,19 @@ class Lookup:
     small: bool
 
 
+def _width(value) -> int:
+    """Bytes of a value, about."""
+    if isinstance(value, str):
+        return 4 * len(value)
+    if isinstance(value, (list, tuple)):
+        return sum(map(_width, value))
+    return len(value) if isinstance(value, (bytes, bytearray)) else 8
+
+
 def settle(summary: DataFrame) -> Lookup:
-    """Evaluate a summary and keep it as local rows when it has up to ``LOOKUP_ROWS``."""
+    """Evaluate a summary and keep it as local rows when it has up to ``LOOKUP_ROWS`` and ``LOOKUP_BYTES``."""
     found = summary.limit(LOOKUP_ROWS + 1).collect()
-    if len(found) > LOOKUP_ROWS:
+    if len(found) > LOOKUP_ROWS or sum(_width(v) for row in found for v in row) > LOOKUP_BYTES:
         return Lookup(summary, False)
     return Lookup(summary.sparkSession.createDataFrame(found, summary.schema), True)
 
@@ -118,7 +128,7 @@ def lookup_join(
 ) -> DataFrame:
     """Inner join of a table-sized frame with a summary, without moving the table if possible.
 
-    The summary is evaluated first.  Up to ``LOOKUP_ROWS`` rows it is broadcast, a size
+    The summary is evaluated first.  Up to ``LOOKUP_ROWS`` rows and ``LOOKUP_BYTES`` it is broadcast, a size
     known before the join is planned; the optimiser alone could not tell, as it sizes an
     aggregate by its input.  Beyond that the join is salted.
     """

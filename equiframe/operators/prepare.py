@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from equiframe.functions import fixed as X
 from equiframe.functions.columns import as_text, clean, kinds, ref, require, rows_of
-from equiframe.functions.scale import LOOKUP_ROWS, materialise, salt_count
+from equiframe.functions.scale import LOOKUP_BYTES, LOOKUP_ROWS, materialise, salt_count
 from equiframe.functions.scan import Scan
 from equiframe.operators.profile import profile
 
@@ -271,14 +271,14 @@ def label_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _join_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace columns of many labels by their codes, all from one dictionary.
 
-    Up to ``LOOKUP_ROWS`` codes of a column are broadcast.  Beyond that it is a shuffled join in
+    Up to ``LOOKUP_ROWS`` codes of a column, in ``LOOKUP_BYTES``, are broadcast.  Beyond that it is a shuffled join in
     which labels that hold over 1 % of the rows (there are under 100 a column) are spread
     over salts, so that no key is hot.  One job over the dictionary tells sizes and hot labels of all columns.
     """
     codes = label_dictionary(df, columns)
     sizes = codes.groupBy("column").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"))
     facts = {r["column"]: r for r in codes.join(F.broadcast(sizes), "column").groupBy("column").agg(
-        F.first("labels").alias("labels"),
+        F.first("labels").alias("labels"), F.sum(F.octet_length("label")).alias("bytes"),
         F.collect_list(F.when(F.col("n") > F.col("total") * HOT_SHARE, F.col("label"))).alias("hot")).collect()}
     parts, out = salt_count(df.sparkSession), df
     for c in columns:
@@ -287,7 +287,7 @@ def _join_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             continue
         table = codes.filter(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
         keyed = out.withColumn("_label", _label_text(out, c))
-        if facts[c]["labels"] <= LOOKUP_ROWS:
+        if facts[c]["labels"] <= LOOKUP_ROWS and facts[c]["bytes"] <= LOOKUP_BYTES:
             joined = keyed.join(F.broadcast(table), "_label")
         else:
             hot = F.col("_label").isin(facts[c]["hot"])

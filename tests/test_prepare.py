@@ -38,9 +38,9 @@ def test_label_encode_text_order(spark):
     assert [r["n"] for r in out] == [1, 0, 2, 0]
 
 
-@pytest.mark.parametrize("limit", [0, 20_000])
-def test_label_codes_of_many_labels_with_a_hot_one(spark, monkeypatch, limit):
-    monkeypatch.setattr(prep, "LOOKUP_ROWS", limit)
+@pytest.mark.parametrize("bound, limit", [("LOOKUP_ROWS", 0), ("LOOKUP_ROWS", 20_000), ("LOOKUP_BYTES", 100)])
+def test_label_codes_of_many_labels_with_a_hot_one(spark, monkeypatch, bound, limit):
+    monkeypatch.setattr(prep, bound, limit)
     df = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("t"), "id")
     out = prep.label_encode(df, ["t"]).join(df.withColumnRenamed("t", "was"), "id").collect()

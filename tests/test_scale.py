@@ -63,14 +63,14 @@ def test_materialise_uses_the_shared_folder(spark):
     assert release(spark) >= 1 and release(spark) == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_lookup_join_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr("equiframe.functions.scale.LOOKUP_ROWS", limit)
+@pytest.mark.parametrize("bound, limit", [("ROWS", 0), ("ROWS", 1000), ("BYTES", 10), ("BYTES", 1000)])
+def test_lookup_join_both_ways(spark, monkeypatch, bound, limit):
+    monkeypatch.setattr(f"equiframe.functions.scale.LOOKUP_{bound}", limit)
     big = spark.range(900).select((F.col("id") % 3).alias("k"), "id")
     summary = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, name string")
     joined = lookup_join(big, summary, ["k"], F.col("id"))
     assert joined.count() == 600
-    assert ("_salt" in joined._jdf.queryExecution().toString()) == (limit == 0)
+    assert ("_salt" in joined._jdf.queryExecution().toString()) == (limit < 1000)
 
 
 @pytest.mark.parametrize("limit", [0, 20_000])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equiframe.functions import fixed as X
 from equiframe.operators import demographics as demo
 from equiframe.operators.charts import column_labels, demographic_counts
 from equiframe.operators.profile import profile
-from workload.views import AGES, FLAGS, LABELLED, SEGMENTS, ages, flags, labelled, rounded, table
+from workload.views import AGES, FLAGS, LABELLED, SEGMENTS, ages, bins_sql, flags, labelled, rounded, table
 
 FAMILY = [f"demographic.{k}" for k in SEGMENTS]
 
@@ -44,10 +45,7 @@ QUERIES = {
 }
 
 _CASE = " ".join(f"WHEN \"demographic.{k}\" = 1 THEN '{k[len('race_'):]}'" for k in SEGMENTS)
-_AGE_GROUP = """CASE WHEN age >= 0 AND age < 13 THEN 'child' WHEN age >= 13 AND age < 18 THEN 'teen'
-    WHEN age >= 18 AND age < 30 THEN 'young adult' WHEN age >= 30 AND age < 45 THEN 'adult'
-    WHEN age >= 45 AND age < 60 THEN 'mid-age' WHEN age >= 60 AND age < 75 THEN 'senior'
-    WHEN age >= 75 AND age < 121 THEN 'elder' END AS age_group"""
+_AGE_GROUP = bins_sql("age", X.AGE_EDGES, X.AGE_LABELS) + " AS age_group"
 _LABELS = {"case.id": "Id", "demographic.race_auto": "Race Auto", "demographic.race_building": "Race Building",
            "demographic.race_furniture": "Race Furniture", "demographic.race_machinery": "Race Machinery",
            "lab.value": "Value"}
@@ -57,13 +55,9 @@ ORACLES = {
     "bin_age": f"SELECT *, {_AGE_GROUP} FROM ({AGES})",
     "process_age_columns": f"SELECT *, {_AGE_GROUP} FROM ({AGES}) WHERE age IS NULL OR age BETWEEN 0 AND 120",
     "age_chart_bins": f"""SELECT 'demographic.age_at_index' AS attribute,
-        CASE WHEN age >= 0 AND age < 25 THEN '<25' WHEN age >= 25 AND age < 50 THEN '25-49'
-             WHEN age >= 50 AND age < 75 THEN '50-75' WHEN age >= 75 THEN '>75' ELSE 'Unknown' END AS category,
+        coalesce({bins_sql('age', X.CHART_AGE_EDGES, X.CHART_AGE_LABELS)}, 'Unknown') AS category,
         count(*) AS n FROM ({AGES}) GROUP BY 2""",
-    "bin_right_closed": f"""SELECT *, CASE WHEN age > 0 AND age <= 20 THEN '0-20' WHEN age > 20 AND age <= 40 THEN '21-40'
-        WHEN age > 40 AND age <= 60 THEN '41-60' WHEN age > 60 AND age <= 80 THEN '61-80'
-        WHEN age > 80 AND age <= 100 THEN '81-100' WHEN age > 100 AND age <= 120 THEN '100+' END AS age_bin
-        FROM ({AGES})""",
+    "bin_right_closed": f"SELECT *, {bins_sql('age', X.NUMERIC_EDGES, X.NUMERIC_LABELS, True)} AS age_bin FROM ({AGES})",
     "top_groups": """SELECT p_partkey, p_size FROM part WHERE p_size IN (
         SELECT p_size FROM part GROUP BY 1 ORDER BY count(*) DESC, p_size LIMIT 20)""",
     "merge_onehot": f"""SELECT "case.id", round("lab.value", 6) AS "lab.value",

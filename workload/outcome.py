@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equiframe.functions import fixed as X
 from equiframe.functions.columns import rows_of
 from equiframe.operators import model
 from equiframe.operators.outcome import disparities, output_fairness, parity_odds
@@ -143,11 +144,6 @@ def _metrics_sql(attributes: list[str]) -> str:
           FROM m)"""
 
 
-_NAMES = {
-    "accuracy": "Overall Correctness", "precision": "Correctness of Positive Predictions",
-    "recall": "Coverage of Actual Positives", "f1": "Balance between Precision & Recall",
-    "selection_rate": "Group Selection Rate",
-}
 _PER_GROUP = """SELECT attribute, grp AS "group", n, tp, fp, fn, tn, CAST(n_all - n AS BIGINT) AS left_out, round(accuracy, 6) AS accuracy,
     round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
     round(selection_rate, 6) AS selection_rate FROM metrics"""
@@ -157,7 +153,7 @@ _GAPS = " UNION ALL ".join(
         UNION ALL SELECT attribute, '{m}', '{p}', 'ratio',
         CASE WHEN min({m}) > 0 THEN max({m}) / min({m}) ELSE CAST('Infinity' AS DOUBLE) END
         FROM metrics GROUP BY 1"""
-    for m, p in _NAMES.items()
+    for m, p in X.PLAIN_METRIC_NAMES.items()
 ) + """ UNION ALL SELECT attribute, 'demographic_parity', 'Demographic Parity Difference', 'difference',
         max(selection_rate) - min(selection_rate) FROM metrics GROUP BY 1
         UNION ALL SELECT attribute, 'equalized_odds', 'Equalized Odds Difference', 'difference',
@@ -273,7 +269,7 @@ ORACLES |= {
     "model_fairness": f"""WITH t AS ({_TEST}), {_report_sql('prediction')},
         g AS (SELECT 'grp:' || grp AS item, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT 'grp2:' || grp2, count(*) FROM t GROUP BY 1),
         d AS (SELECT a || ':' || m AS item, s AS metric FROM (VALUES ('grp'), ('grp2')) x(a), (VALUES
-            {", ".join(f"('{m}', '{k}')" for m in _NAMES for k in ("difference", "ratio"))},
+            {", ".join(f"('{m}', '{k}')" for m in X.PLAIN_METRIC_NAMES for k in ("difference", "ratio"))},
             ('demographic_parity', 'difference'), ('equalized_odds', 'difference')) y(m, s))
         SELECT * FROM report
         UNION ALL SELECT 'importance', 'l_quantity', 'over 0.2', 1.0

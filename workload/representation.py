@@ -6,13 +6,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from equiframe.functions import fixed as X
 from equiframe.operators import representation as rep
 from equiframe.sources.benchmark import benchmark_from_json, observed_benchmark
-from workload.views import LABELLED, labelled, literal_rows, rounded, table
+from workload.views import LABELLED, labelled, ladder_sql, literal_rows, rounded, table
 
 # HOUSEHOLD is missing on purpose.
 SHARES = {"AUTOMOBILE": 0.25, "BUILDING": 0.2, "FURNITURE": 0.15, "MACHINERY": 0.4}
-DEFAULT = {"Black": 0.36, "White": 0.19, "Hispanic": 0.16, "AIAN": 0.16, "Asian": 0.13}
 TYPED = {"1-URGENT": 0.3, "2-HIGH": 0.3, "3-MEDIUM": 0.2, "4-NOT SPECIFIED": 0.1, "5-LOW": 0.1}
 RACES = {"AUTOMOBILE": "Black", "BUILDING": "White", "FURNITURE": "Hispanic", "MACHINERY": "Asian"}
 
@@ -72,7 +72,7 @@ AUDIT_COLUMNS = """
                 ELSE 'Within bounds' END AS deviation_type
     FROM audit"""
 
-DISTANCES = """
+DISTANCES = f"""
     clamped AS (SELECT greatest(o, 1e-8) AS p, greatest(e, 1e-8) AS q FROM audit),
     normal AS (SELECT p / (SELECT sum(p) FROM clamped) AS p, q / (SELECT sum(q) FROM clamped) AS q FROM clamped),
     ranked AS (SELECT row_number() OVER (ORDER BY o) AS i, o / (SELECT sum(o) FROM audit) AS v FROM audit),
@@ -81,12 +81,9 @@ DISTANCES = """
         (SELECT avg(abs(a.v - b.v)) FROM ranked a JOIN ranked2 b ON a.i = b.i) AS w,
         (SELECT sum(a) / 2 FROM audit) AS tv),
     named AS (SELECT kl, w, tv,
-        CASE WHEN kl < 0.05 THEN '✅ Excellent alignment' WHEN kl < 0.15 THEN '🟢 Good alignment'
-             WHEN kl < 0.5 THEN '⚠️ Moderate deviation' ELSE '🚨 Severe deviation' END AS kl_s,
-        CASE WHEN w < 0.05 THEN '✅ Excellent alignment' WHEN w < 0.15 THEN '🟢 Mild deviation'
-             WHEN w < 0.3 THEN '⚠️ Moderate deviation' ELSE '🚨 Severe deviation' END AS w_s,
-        CASE WHEN tv < 0.1 THEN '✅ Excellent alignment' WHEN tv < 0.25 THEN '🟢 Mild deviation'
-             WHEN tv < 0.4 THEN '⚠️ Moderate deviation' ELSE '🚨 Severe deviation' END AS tv_s
+        {ladder_sql("kl", X.SEVERITY["kl_divergence"])} AS kl_s,
+        {ladder_sql("w", X.SEVERITY["wasserstein_distance"])} AS w_s,
+        {ladder_sql("tv", X.SEVERITY["total_variation"])} AS tv_s
         FROM distances)"""
 
 SEGMENT_SQL = _audit_sql("SELECT c_mktsegment FROM customer", "c_mktsegment", literal_rows(SHARES))
@@ -102,7 +99,7 @@ OBSERVED = """
 ORACLES = {
     "input_fairness": f"WITH {SEGMENT_SQL} {AUDIT_COLUMNS}",
     "input_fairness_default_benchmark":
-        f"WITH {_audit_sql(RACE_SOURCE, 'race', literal_rows(DEFAULT))} {AUDIT_COLUMNS}",
+        f"WITH {_audit_sql(RACE_SOURCE, 'race', literal_rows(X.DEFAULT_BENCHMARK))} {AUDIT_COLUMNS}",
     "input_fairness_missing_group": f"WITH {QUALITY_SQL} {AUDIT_COLUMNS}",
     "distribution_distance": f"""WITH {SEGMENT_SQL}, {DISTANCES}
         SELECT round(kl, 6) AS kl_divergence, round(w, 6) AS wasserstein_distance,

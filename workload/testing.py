@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from equiframe.functions import fixed as X
 from equiframe.functions.columns import rows_of
 from equiframe.functions.scale import shared_path
 from equiframe.operators import findings as say
@@ -13,7 +14,7 @@ from equiframe.operators.profile import groupwise_missing
 from equiframe.operators.significance import anova, chi_square, group_moments, ks_pairs, standardized_difference
 from equiframe.plans.audit import audit_report, report_findings, write_report
 from workload import outcome, preparation, profiling, visual
-from workload.views import LABELLED, PREDICTIONS, labelled, predictions, rounded, table
+from workload.views import LABELLED, PREDICTIONS, labelled, ladder_sql, predictions, rounded, table
 
 
 def _chi_two_dof(s, d):
@@ -325,7 +326,7 @@ ORACLES = {
     "report_findings": _findings_sql(),
     "findings": _all_findings_sql(),
     "audit_report": _report_sql(),
-    "standardized_difference": """WITH g AS (
+    "standardized_difference": f"""WITH g AS (
             SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v
             FROM orders GROUP BY 1),
         p AS (SELECT a.g AS group1, b.g AS group2, a.m AS m1, b.m AS m2, a.n AS n1, b.n AS n2,
@@ -333,8 +334,7 @@ ORACLES = {
               FROM g a JOIN g b ON a.g < b.g),
         d AS (SELECT *, (m1 - m2) / sd AS d FROM p)
         SELECT group1, group2, round(d, 6) AS d,
-               CASE WHEN abs(d) < 0.2 THEN 'Negligible' WHEN abs(d) < 0.5 THEN 'Small'
-                    WHEN abs(d) < 0.8 THEN 'Medium' ELSE 'Large' END AS effect_size,
+               {ladder_sql("abs(d)", X.EFFECT_SIZE)} AS effect_size,
                round(m1 / 1000, 6) AS mean1, round(m2 / 1000, 6) AS mean2, n1, n2, round(sd / 1000, 6) AS pooled_sd
         FROM d""",
     "chi_square": _chi_sql(PREDICTIONS, ["grp2", "label", "prediction"], "grp", False, True),

@@ -81,3 +81,17 @@ def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def literal_rows(values: dict[str, float]) -> str:
     return "VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in values.items())
+
+
+def ladder_sql(value: str, steps) -> str:
+    """SQL of a ladder of ``(upper bound, label)``; the last label has no bound."""
+    cases = " ".join(f"WHEN {value} < {bound} THEN '{label}'" for bound, label in steps if bound is not None)
+    return f"CASE {cases} ELSE '{steps[-1][1]}' END"
+
+
+def bins_sql(value: str, edges, labels, right: bool = False) -> str:
+    """SQL of bins, closed on the left unless ``right``; NULL outside."""
+    first, second = (">", "<=") if right else (">=", "<")
+    return "CASE " + " ".join(
+        f"WHEN {value} {first} {low}" + ("" if high == float("inf") else f" AND {value} {second} {high}") + f" THEN '{label}'"
+        for low, high, label in zip(edges, edges[1:], labels)) + " END"
