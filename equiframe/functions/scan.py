@@ -115,7 +115,7 @@ class Scan:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """``(column, bucket, value, n, low, high)``, written once.
+        """``(column, bucket, value, n, low, high)``, written once if several jobs may read it.
 
         A value column has a row per distinct value, a missing one included; another ordered column has a row
         per bucket, with the ends of its values.  Of a column whose most frequent values are wanted, the others are one row.
@@ -142,8 +142,9 @@ class Scan:
             "value": value_of(c),
             "x": F.col(f"_v{bucket[c]}") if c in bucket else F.lit(None).cast("double"),
         } for c in self.columns if c in bucket or c in self.values or c in self.tops]))
-        return materialise(long.groupBy("column", "bucket", "value").agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "cells")
+        found = long.groupBy("column", "bucket", "value").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        return materialise(found, "cells") if bucket or self.values else found  # the most frequent values alone are one job
 
     def top_values(self) -> dict[str, list[tuple]]:
         """The most frequent values of each column of ``tops`` as ``(value, n)``, ties by value; a column without a value has none.
@@ -165,10 +166,12 @@ class Scan:
     def _best(self, counted: DataFrame, columns: Sequence[str]) -> dict[str, tuple[list, int]]:
         """Per column its largest counts as rows, and the total of all."""
         counted = counted.filter(F.col("column").isin(list(columns)))
-        totals = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        sums = counted.groupBy("column").agg(F.sum("n").alias("n"), F.lit(0).alias("_rank"))
+        found = most_counted(counted, max(self.tops.values(), default=0)).unionByName(sums, allowMissingColumns=True).collect()
+        totals = {r["column"]: r["n"] for r in found if r["_rank"] == 0}
         rows: dict[str, list] = {c: [] for c in columns}
-        for r in most_counted(counted, max(self.tops.values())).orderBy("column", "_rank").collect() if columns else []:
-            if len(rows[r["column"]]) < self.tops[r["column"]]:
+        for r in sorted((r for r in found if r["_rank"]), key=lambda r: r["_rank"]):
+            if r["_rank"] <= self.tops[r["column"]]:
                 rows[r["column"]].append(r)
         return {c: (rows[c], totals.get(c, 0)) for c in columns}
 

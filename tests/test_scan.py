@@ -38,6 +38,7 @@ def passes(spark, job):
     (lambda df: charts.groupwise(df, ["race"], "x").collect(), 4),
     (lambda df: charts.groupwise(df, ["race"]).collect(), 2),
     (lambda df: _fills(df, df.columns), 3),
+    (lambda df: Scan(df, tops={"race": 1, "level": 1}).top_values(), 2),
     (lambda df: charts.box_stats(df, "x", "race").collect(), 3),
     (lambda df: charts.overview(df, ["race", "x", "part"]).collect(), 5),
     (lambda df: charts.histogram(df, ["x", "level"], "auto").collect(), 4),
