@@ -33,6 +33,7 @@ SEED = 42
 REPEATS = 10
 BLOCK_ROWS = 5_000
 MOST_CLASSES = 10_000  # a model holds a number per class and feature, or per class and node
+FOREST_ROWS = 1_000_000  # up to these a forest draws single rows, beyond it equal rows in parts
 KEY_HASH = "key_hash"
 SCORED = ("label", "prediction", "probability_1", "features", "slots", "slot_values", KEY_HASH)
 
@@ -187,6 +188,18 @@ def _ranked_levels(cells: DataFrame, columns: int) -> DataFrame:
     return ranged.join(starts, "part").select("column", "level", (F.col("start") + F.col("place")).alias("rank"))
 
 
+def _parts(cells: DataFrame, total: int, distinct: int) -> DataFrame:
+    """``cells`` with ``_parts`` and ``_weight``: how many rows of the fit stand for ``n`` equal ones, and the weight of each.
+
+    The weights of a cell add up to its count, so every row takes part.  Each tree draws every part a Poisson number of
+    times.  Up to ``FOREST_ROWS`` rows in all, a part is a row.  Beyond that a cell has its share of ``FOREST_ROWS``, and at least
+    an equal share of them, so that rare cells are still drawn row by row; parts are at most twice ``FOREST_ROWS`` and one per cell.
+    """
+    share = F.ceil(F.col("n") * F.lit(FOREST_ROWS / max(total, 1)))
+    parts = F.least(F.col("n"), F.greatest(share, F.lit(FOREST_ROWS // max(distinct, 1))))
+    return cells.withColumn("_parts", parts).withColumn("_weight", F.col("n") / F.col("_parts"))
+
+
 def train_baseline(
     df: DataFrame, target: str, features: Sequence[str] | None = None,
     key: Sequence[str] | None = None, **options,
@@ -195,8 +208,8 @@ def train_baseline(
 
     Equal rows of target and features are counted first, in the one pass before the fit; classes, levels and the
     training rows come from that table.  The regression weighs each by its count, which is the same loss; a
-    forest draws its samples from the rows themselves.  Scored rows are written once to the
-    shared folder: evaluation, importance and the fairness audit all read them.
+    forest draws its samples from the rows themselves, or from weighted parts of equal rows (:func:`_parts`).
+    Scored rows are written once to the shared folder: evaluation, importance and the fairness audit all read them.
     """
     require(df, target, *(features or []), *(key or []))
     df = clean(df).filter(ref(target).isNotNull())
@@ -217,15 +230,15 @@ def train_baseline(
         return encoding.encode(lookup_join(frame, indexed, ["_target"], spread), spread)
 
     train = cells.filter(~F.col("_test"))
-    total = train.agg(F.sum("n")).first()[0] or 0
+    total, distinct = train.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ready = labelled(train, F.xxhash64(*encoding.names)).select("_label", "_features", "n")
     if len(classes) == 2:
         ready = ready.withColumn("_weight", F.col("n").cast("double"))
         model = select_model(2, total, **{"weightCol": "_weight", **options}).fit(ready)
     else:
-        copies = ready.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-        rows = _spread(copies, [F.col("_copy"), F.col("_label"), vector_to_array("_features")]).select("_label", "_features")
-        model = select_model(len(classes), total, **options).fit(materialise(rows, "train"))
+        copies = _parts(ready, total, distinct).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_parts"))))
+        rows = _spread(copies, [F.col("_copy"), F.col("_label"), vector_to_array("_features")]).select("_label", "_features", "_weight")
+        model = select_model(len(classes), total, **{"weightCol": "_weight", **options}).fit(materialise(rows, "train"))
     test = _spread(df.filter(_is_test(df, key)).select("*", *inputs), [ref(c) for c in key])
     scored = model.transform(labelled(test, F.xxhash64(*[ref(c) for c in key]))).select(
         *[ref(c) for c in df.columns if c not in SCORED],

@@ -177,3 +177,33 @@ def test_too_many_classes_are_refused(table, monkeypatch):
     monkeypatch.setattr(model, "MOST_CLASSES", 20)
     with pytest.raises(ValueError, match="classes"):
         model.train_baseline(table.withColumn("c", F.col("id") % 30), "c", ["x"], ["id"])
+
+
+def test_a_forest_takes_many_equal_rows_in_weighted_parts(spark, monkeypatch):
+    monkeypatch.setattr(model, "FOREST_ROWS", 600, raising=False)
+    written = {}
+    real = model.materialise
+
+    def kept(df, name="frame"):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(model, "materialise", kept)
+    df = spark.range(30_000).select("id", F.when(F.col("id") < 20, 9.0).otherwise(F.col("id") % 7).alias("x"),
+                                    (F.col("id") % 3).cast("double").alias("z"))
+    df = df.withColumn("t", F.when(F.col("x") == 9, "rare").when(F.col("x") > 3, "high").otherwise("low"))
+    fitted = model.train_baseline(df, "t", ["x", "z"], ["id"], numTrees=5, maxDepth=4)
+    train, test = model.split(df, ["id"])
+    at = model.vector_to_array("_features")
+    got = {(r["x"], r["z"]): (r["rows"], r["n"]) for r in written["train"].groupBy(at[0].alias("x"), at[1].alias("z")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("_weight").alias("n")).collect()}
+    told = {(r["x"], r["z"]): r["count"] for r in train.groupBy("x", "z").count().collect()}
+    assert {k: n for k, (_, n) in got.items()} == pytest.approx(told)  # all rows count
+    assert sum(rows for rows, _ in got.values()) <= 2 * 600 + len(told)
+    assert all(rows == told[k] for k, (rows, _) in got.items() if k[0] == 9)  # rare rows are drawn one by one
+    assert fitted.scored.count() == test.count() and fitted.scored.filter("label <> prediction").count() == 0
+
+
+def test_a_small_forest_draws_single_rows(spark, table):
+    cells = spark.createDataFrame([(1.0, 5), (2.0, 1)], "_label double, n bigint")
+    assert {tuple(r) for r in model._parts(cells, 6, 2).collect()} == {(1.0, 5, 5, 1.0), (2.0, 1, 1, 1.0)}
