@@ -18,7 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from equiframe.llm.shared import Stored, slices
 SHARD_IDS = 1 << 20
 RANGE_BYTES = 32 << 20  # texts that a task gets
 MOST_RANGES = 50_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20  # texts encoded at once; their distinct words are cut and looked up once
 LEAST_USES = 8
 LEAST_GAIN = 0.02
 SLOT_BITS = 18  # pairs are counted by hash first; only those in a slot that is frequent are sorted
@@ -42,18 +42,33 @@ _MIXER = np.uint64(0x9E3779B97F4A7C15)
 MOST_EXPANSION = 1 << 12
 MAGIC, HEAD = b"RPG1", "<4sIIIIQB"  # mark, bytes of the table, rounds, rules, first rule, symbols, bits of a symbol
 SPACE_MARK = "Ġ"  # how byte-level vocabularies write a space
-JOINED = 64  # words in one call of the library
+JOINED = 64  # pieces in one string for the library
 # A space beside white space, at the start or at the end; all that Unicode, or Python, calls white space.
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD_SPACES = f"[{_WHITE}] | [{_WHITE}]|^ | $|^$"
+# What a byte is to the byte-level pattern, where its character alone tells: Latin letters, digits, white space, other ASCII.
+OTHER, LETTER, DIGIT, SIGN, WHITE = range(5)
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[0x21:0x7F] = SIGN
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_KINDS[0x30:0x3A] = DIGIT
+_KINDS[[0x09, 0x0A, 0x0D]] = WHITE
+_NOT_LETTERS = (0x97, 0xB7)  # after 0xC3: the signs of multiplication and division
+# A piece that is one match of the pattern: all letters, all digits or all signs of those kinds.
+ONE_MATCH = r"^(?:[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+|[0-9]+|[!-/:-@\[-`{-~]+)$"
+# The character that byte-level vocabularies write for each byte: printable Latin-1 as it is, the others from U+0100 on.
+_CHARS = np.arange(256, dtype="<u4")
+_HIDDEN = np.array([*range(0x21), *range(0x7F, 0xA1), 0xAD])
+_CHARS[_HIDDEN] = 0x100 + np.arange(len(_HIDDEN))
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    The file's pattern starts a new token at a space between two characters that are no white space.  So each
-    word with the space before it is encoded once, many in one call, where the tokens that begin with a space tell the words apart,
-    and is looked up afterwards.  Where the file has another pattern, or a text has other spaces or the
+    The file's pattern starts a new token at a space between two characters that are no white space, and where
+    letters, digits, signs or a single line break or tab meet (:func:`_pieces`).  So the pieces of each distinct word are encoded once and
+    looked up afterwards.  A piece that is one match goes to the file's model alone; of the others those with the space before
+    them go many in one string, where the tokens that begin with a space tell them apart.  Where the file has another pattern, or a text has other spaces or the
     string of a special token, whole texts are encoded.
     """
 
@@ -76,30 +91,75 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known = [pa.array([], pa.string())] * 2  # pieces inside a word, and pieces with the space before them
+        self.number = [np.empty(0, np.int64)] * 2
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         fast = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         return [e.ids for e in fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: pa.Array) -> None:
-        if not len(words):
-            return
-        cuts = pa.array([*range(0, len(words), JOINED), len(words)], pa.int32())
-        lines = [f" {line}" for line in pa.compute.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist()]
-        flat = np.array(list(chain.from_iterable(self._encode(lines))), dtype=np.uint32)
+    def _learn(self, pieces: pa.Array, spaced: bool) -> None:
+        single = pa.compute.match_substring_regex(pieces, ONE_MATCH).to_numpy(zero_copy_only=False)
+        self.known[spaced] = pa.concat_arrays([self.known[spaced], pieces])
+        number = np.empty(len(pieces), dtype=np.int64)
+        for chosen, learn in ((single, self._learn_single), (~single, self._learn_spaced if spaced else self._learn_inner)):
+            some = pieces.filter(pa.array(chosen))
+            if not len(some):
+                continue
+            flat, sizes = learn(some, SPACE_MARK if spaced else "")
+            number[chosen] = len(self.starts) + np.arange(len(some))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+        self.number[spaced] = np.concatenate([self.number[spaced], number])
+
+    def _learn_single(self, pieces: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are one match each, and how many each has: what the model makes of the match's bytes."""
+        data, offsets = _bytes_of(pieces)
+        written = _CHARS[data].tobytes().decode("utf-32-le")
+        tokenize = self.model.model.tokenize
+        found = [[t.id for t in tokenize(mark + written[a:b])] for a, b in pairwise(offsets.tolist())]
+        return _flat(found), np.array([len(f) for f in found], dtype=np.int64)
+
+    def _learn_inner(self, pieces: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self._encode(pieces.to_pylist())
+        return _flat(found), np.array([len(f) for f in found], dtype=np.int64)
+
+    def _learn_spaced(self, pieces: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        cuts = pa.array([*range(0, len(pieces), JOINED), len(pieces)], pa.int32())
+        lines = [f" {line}" for line in pa.compute.binary_join(pa.ListArray.from_arrays(cuts, pieces), " ").to_pylist()]
+        flat = _flat(self._encode(lines))
         starts = np.flatnonzero(self.begins[flat])
-        if len(starts) != len(words):
+        if len(starts) != len(pieces):
             raise ValueError("the tokenizer does not begin a token at the space before a word")
-        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
-        self.sizes = np.concatenate([self.sizes, np.diff(np.append(starts, len(flat)))])
-        self.flat = np.concatenate([self.flat, flat])
-        self.known = pa.concat_arrays([self.known, words])
+        return flat, np.diff(np.append(starts, len(flat)))
+
+    def _numbers(self, pieces: pa.Array, spaced: bool) -> np.ndarray:
+        """The number of each piece; pieces that are not known are learned."""
+        cut = pieces.dictionary_encode()
+        place = pa.compute.index_in(cut.dictionary, value_set=self.known[spaced])
+        new = cut.dictionary.filter(place.is_null())
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        at[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known[spaced]) + np.arange(len(new))
+        if len(new):
+            self._learn(new, spaced)
+        return self.number[spaced][at[cut.indices.to_numpy()]]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words with the space before them, one after another, and where each begins and how many it has."""
+        pieces, first = _pieces(words)
+        number = np.empty(len(pieces), dtype=np.int64)
+        for spaced in (False, True):
+            number[first == spaced] = self._numbers(pieces.filter(pa.array(first == spaced)), spaced)
+        sizes = self.sizes[number]
+        flat = _follow(self.flat, self.starts[number], sizes)
+        starts = (np.cumsum(sizes) - sizes)[first]
+        return flat, starts, np.diff(np.append(starts, len(flat)))
 
     def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
         """The ids of each text; texts are not null."""
-        if self.known.nbytes > self.most_bytes:
+        if sum(known.nbytes for known in self.known) > self.most_bytes:
             self._forget()
         odd = pa.compute.match_substring_regex(texts, ODD_SPACES).to_numpy(zero_copy_only=False)
         for special in self.special:
@@ -108,12 +168,8 @@ class Encoder:
             odd[:] = True
         cut = pa.compute.split_pattern(texts.filter(pa.array(~odd)), " ")
         words, offsets = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
-        place = pa.compute.index_in(words.dictionary, value_set=self.known)
-        new = words.dictionary.filter(place.is_null())
-        number = place.fill_null(0).to_numpy().astype(np.int64)
-        number[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
-        self._learn(new)
-        number = number[words.indices.to_numpy()]
+        flat, starts, sizes = self._words(words.dictionary)
+        number = words.indices.to_numpy()
         begin = iter(self._encode(words.take(pa.array(offsets[:-1])).cast(pa.string()).to_pylist()))  # no space before these
         whole = iter(self._encode(texts.filter(pa.array(odd)).to_pylist()))
         parts = iter(zip(offsets, offsets[1:]))
@@ -124,10 +180,47 @@ class Encoder:
                 continue
             low, high = next(parts)
             at = number[low + 1:high]
-            out.append(np.concatenate([np.array(next(begin), dtype=np.uint32), _follow(self.flat, self.starts[at], self.sizes[at])]))
+            out.append(np.concatenate([np.array(next(begin), dtype=np.uint32), _follow(flat, starts[at], sizes[at])]))
         return out
 
 
+def _flat(found: list[list[int]]) -> np.ndarray:
+    return np.array(list(chain.from_iterable(found)), dtype=np.uint32)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of some texts, one after another, and where each begins, with the end of the last."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words, none of them empty, cut where the byte-level pattern ends one match and begins the next, and which pieces begin a word.
+
+    No match goes from one of letters, digits, signs and white space other than the space to another, but for contractions,
+    which an apostrophe begins.  Of several white spaces in a row the last is a match of its own only in front of something else, so what
+    follows them stays with them; and characters whose kind is not known here stay with both neighbours.
+    """
+    if not len(words):
+        return words, np.empty(0, dtype=bool)
+    data, offsets = _bytes_of(words)
+    kind = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # U+00C0 to U+024F, two bytes each
+    lead = lead[(data[lead] != 0xC3) | ~np.isin(data[lead + 1], _NOT_LETTERS)]
+    kind[lead] = kind[lead + 1] = LETTER
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    left, right = kind[:-1], kind[1:]
+    cut[1:-1] = (left != right) & (left != OTHER) & (right != OTHER) & ~((data[:-1] == 0x27) & (right == LETTER))
+    run = np.flatnonzero(cut[1:-1] & (left == WHITE)) + 1  # behind a white space that another, or what may be one, stands before
+    cut[run[(run > 1) & np.isin(kind[run - 2], (WHITE, OTHER))]] = False
+    cut[offsets[:-1]] = True
+    begins = np.flatnonzero(cut[:-1])
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[offsets[:-1]] = True
+    ends = np.append(begins, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data)), first[begins]
+
+
 def _follow(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The pieces ``flat[start:start + size]`` one after another."""
     ends = np.cumsum(sizes)
@@ -198,19 +291,23 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_USES) -> tup
     floor, ended = None, False
     while len(sequence) > 1 and not ended:
         keys = sequence[:-1] << 32 | sequence[1:]
-        keys[last[:-1]] = -1
-        slot = (keys.view(np.uint64) * _MIXER >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        counted = np.bincount(slot[~last[:-1]], minlength=1 << SLOT_BITS)
+        slot = _slots(keys)
+        slot[last[:-1]] = 1 << SLOT_BITS  # no pair: its second symbol is of the next document
+        counted = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)
+        counted[-1] = 0
         top = int(counted.max())
         floor = max(least, min(top, floor or top) // 4)
         ended = floor == least
-        pairs, counts = np.unique(keys[(counted >= floor)[slot] & ~last[:-1]], return_counts=True)
+        near = np.flatnonzero((counted >= floor)[slot])
+        keys, slot = keys[near], slot[near]
+        pairs, counts = np.unique(keys, return_counts=True)
         made = Grammar(base, np.array(rounds), rules[-1], lengths)
         grown = made.sizes(pairs >> 32) + made.sizes(pairs & 0xFFFFFFFF)
         fit = (counts >= floor) & (grown <= MOST_EXPANSION)
         pairs, grown, counts = pairs[fit], grown[fit], counts[fit]
-        by_count = np.argsort(counts, kind="stable")
-        at, rule_of = _chosen(keys, slot, pairs[by_count])
+        # Equally frequent pairs in the order of a hash: in that of their symbols most of a chain would stand back each round.
+        by_count = np.lexsort((pairs.view(np.uint64) * _MIXER, counts))
+        at, rule_of = _chosen(near, keys, slot, pairs[by_count])
         uses = np.bincount(rule_of, minlength=len(pairs))
         worth = uses >= least
         taken = worth[rule_of]
@@ -232,27 +329,30 @@ def compress(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_USES) -> tup
     return Grammar(base, np.array(rounds), np.concatenate(rules), lengths), sequence, held
 
 
-def _chosen(keys: np.ndarray, slot: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``keys`` whose pair is replaced, and the number of the pair in ``pairs``, which rise in count.
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * _MIXER >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def _chosen(near: np.ndarray, keys: np.ndarray, slot: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places ``near``, with pairs ``keys``, whose pair is replaced, and its number in ``pairs``, which rise in count.
 
     Of pairs that overlap the one with the higher number is taken.  In a run of one symbol every other pair stands back.
     Of pairs that share a slot only the most frequent one is looked for; a later round finds the others.
     """
     holder = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-    own = (pairs.view(np.uint64) * _MIXER >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-    np.maximum.at(holder, own, np.arange(1, len(pairs) + 1))
+    np.maximum.at(holder, _slots(pairs), np.arange(1, len(pairs) + 1))
     number = holder[slot]
-    hit = np.flatnonzero(number)
-    hit = hit[pairs[number[hit] - 1] == keys[hit]]
-    rank = 2 * number[hit]
+    wanted = np.flatnonzero(np.concatenate([[-1], pairs])[number] == keys)
+    hit, number = near[wanted], number[wanted]
+    rank = 2 * number
     close = np.diff(hit, prepend=-2) == 1  # the pair of the place before is one of those as well
     same = close & (np.diff(rank, prepend=0) == 0)
     where = np.arange(len(hit))
     rank += (where - np.maximum.accumulate(np.where(same, 0, where))) % 2 == 0
     over_left = ~close | (rank > np.concatenate([[0], rank[:-1]]))
     over_right = ~np.concatenate([close[1:], [False]]) | (rank > np.concatenate([rank[1:], [0]]))
-    at = hit[over_left & over_right]
-    return at, number[at] - 1
+    taken = over_left & over_right
+    return hit[taken], number[taken] - 1
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:

@@ -41,6 +41,35 @@ def test_words_encode_like_whole_texts_made(texts):
         ENCODER.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="aZ é\u00d7\u00f7ßÿ\u024f\u0250ж漢\u0301²½٣sltrevmd19''--.,$\n\n\r\t\x0b\x1c\x85\xa0\u2003\x7f\x01", max_size=24), max_size=6))
+def test_pieces_encode_like_whole_texts(texts):
+    texts = [*texts, *[f"w {t} w" for t in texts]]
+    assert [f.tolist() for f in ENCODER.encode(pa.array(texts, pa.string()))] == [
+        ENCODER.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_cut_into_pieces():
+    words = ["don't", "a1b2...!!", "über,\nDie", "a\n\nb", "x-y's", "3×4", "ж.a"]
+    pieces, first = R._pieces(pa.array(["skipped", *words]).slice(1))
+    cut = []
+    for piece, begins in zip(pieces.to_pylist(), first):
+        cut = [*cut, [piece]] if begins else [*cut[:-1], [*cut[-1], piece]]
+    assert cut == [["don", "'t"], ["a", "1", "b", "2", "...!!"], ["über", ",", "\n", "Die"], ["a", "\n\nb"], ["x", "-", "y", "'s"],
+                   ["3×4"], ["ж.", "a"]]
+    assert len(R._pieces(pa.array([], pa.string()))[0]) == 0
+
+
+def test_each_piece_is_encoded_once(monkeypatch):
+    """Words that differ only in the signs and line breaks around them cost the library no more than the word alone."""
+    encoder, told = R.Encoder(MODEL), []
+    monkeypatch.setattr(encoder, "_learn", lambda pieces, *a, real=encoder._learn: told.extend(pieces.to_pylist()) or real(pieces, *a))
+    text = " ".join(["w", *[f"word{end}" for end in ("", ",", ".", "!", ".\nword", ",\nword", "-word", "'s", "##")] * 3])
+    for _ in range(2):
+        assert encoder.encode(pa.array([text]))[0].tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+    assert [t for t in told if "word" in t] == ["word", "word"]  # with and without a space in front
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=6), st.integers(0, 200), st.integers(0, 60))
 def test_shards_read_back(documents, start, count):
